@@ -2,31 +2,34 @@
 
 1. Fingerprints: words are split at ASCII white space after lowering A-Z; each shingle of ``width`` words (a text of fewer
    words is one shingle) hashes with XXH64; a bit is set where over half of the hashes have it.
-2. Table: fingerprints are made distinct (exact and equal-fingerprint copies are one entry, kept by their least id), and cut
-   into two 32-bit halves. Of two fingerprints within 4 bits, some half differs in at most 2. Each fingerprint
-   enters, for each half, the Hamming ball of radius 1 around it (33 values); two halves within 2 bits then meet.
-3. Verification: entries that meet are compared in full. A meeting place of n fingerprints yields a spanning forest of
-   the graph of its links, at most n - 1 edges, never its n * n pairs. Places of more than ``BLOCK`` fingerprints are
-   cut into blocks and each pair of blocks is a task of its own, so no task holds more than 2 * BLOCK entries
-   and no link is lost.
+2. Table: equal fingerprints are one entry, kept by their least id. Fingerprints are cut into 32-bit segments, and an entry is
+   put, for each segment, at the Hamming ball of radius 1 around it (33 places), so two segments that differ in at most 2
+   bits meet. Of two fingerprints of 64 bits that differ in up to 5, one of the two segments does.
+3. Verification: entries that meet are compared in full. A meeting of n entries yields a spanning forest of the graph of
+   its links, at most n - 1 edges, never its n * n pairs, and the same meeting at many places is verified once. Meetings
+   of more than ``BLOCK`` entries are cut into blocks and each pair of blocks is a task of its own, so no task holds more
+   than about 2 * BLOCK entries and no link is lost.
 4. Components of those edges.
 
-Only links between different fingerprints matter, as equal ones share an entry; the links of each document can be counted
-from entry sizes. Other radii: ``bits`` up to 5 need balls of radius 1, which is what this module builds.
+``near_duplicates`` links 64-bit fingerprints within ``bits`` bits, exactly. ``similar_documents`` links documents whose five-word
+shingles are similar to 0.8 or more by the distance of 1024-bit fingerprints. At that similarity no 32-bit segment of those is
+likely to be close, so it finds the candidates by a 128-bit fingerprint of the distinct words, where such documents differ in
+few bits, and verifies the complete distance of the 1024 bits.
 
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ids get a fingerprint and
-the component of their fingerprint (null if no id is there); repeated rows and ties share their fingerprint; an empty table
+Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ids get the component of
+their fingerprint (null if no id is there); repeated rows and ties share their fingerprint; an empty table
 gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -36,34 +39,81 @@ BITS = 4
 WIDTH = 4
 SEED = 42
 BLOCK = 2048
+STAGE_WIDTH = 5
+SIMILARITY = 0.8
+STAGE_WORDS = 16  # 64-bit words of the fingerprint that is verified
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The 64-bit SimHash of a text, unsigned."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     n = max(len(words) - width + 1, 1)
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    ones, cuts = np.zeros((8, 8), np.int64), np.arange(0, len(hashes), 255)
+    for k in range(8):  # bit k of each byte; up to 255 of them add up within their bytes
+        sums = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts)
+        ones[:, k] = sums.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones.reshape(64) > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def widened(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64-bit hash that a hash is widened by."""
+    x = hashes + _STEP * np.uint64(k + 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The 64-bit SimHash of a text, unsigned."""
+    words = (text or "").encode().lower().split()
+    return majority(shingle_hashes(words, width)) if words else 0
+
+
+def stage_fingerprints(text: str | None) -> tuple[list[int], list[int]]:
+    """(two 64-bit words over the distinct words, ``STAGE_WORDS`` over the five-word shingles)."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0, 0], [0] * STAGE_WORDS
+    single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
+    shingles = np.unique(shingle_hashes(words, STAGE_WIDTH))
+    return [majority(widened(single, k)) for k in range(2)], [majority(widened(shingles, k)) for k in range(STAGE_WORDS)]
+
+
+def largest_distance(similarity: float = SIMILARITY, bits: int = 64 * STAGE_WORDS) -> int:
+    """Bits in which sets of one size with this Jaccard similarity differ: the angle between them as a share of pi, plus one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed(fp)], ["doc_id", "fp"])
 
     return run
 
 
+def _stage_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        both = [stage_fingerprints(x.as_py()) for x in b.column(1)]
+        lists = [np.array([x[k] for x in both], np.uint64).reshape(len(both), -1).view(np.int64).tolist() for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["doc_id", "seek", "check"])
+
+
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, fp long), one row per document."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(width), "doc_id long, fp long")
@@ -82,7 +132,7 @@ def _forest(fps: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarra
     edges = []
     for i in left:
         others = right[(right > i)] if left is right else right
-        for j in others[np.bitwise_count(fps[others] ^ fps[i]) <= bits]:
+        for j in others[np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1) <= bits]:
             a, b = root(int(i)), root(int(j))
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -94,46 +144,63 @@ def _verify(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[int, int]] = []
-            for fps, ids, sides in zip(b.column("fps"), b.column("ids"), b.column("sides"), strict=True):
-                f, d = np.asarray(fps.values.to_numpy(zero_copy_only=False)).view(np.uint64), ids.values.to_numpy(zero_copy_only=False)
-                s = sides.values.to_numpy(zero_copy_only=False)
-                if s.any():
-                    out += _forest(f, d, np.flatnonzero(s == 0), np.flatnonzero(s == 1), bits)
+            for met in b.column("met"):
+                rows = met.values
+                n = len(rows)
+                fps = rows.field("check").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
+                ids, sides = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "side"))
+                if sides.any():
+                    out += _forest(fps, ids, np.flatnonzero(sides == 0), np.flatnonzero(sides == 1), bits)
                 else:
-                    every = np.arange(len(f))
-                    out += _forest(f, d, every, every, bits)
+                    every = np.arange(n)
+                    out += _forest(fps, ids, every, every, bits)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def links(entries: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """(a, b): edges between the entries (fp, node) whose transitive closure is that of all links within ``bits`` bits."""
-    if not 0 <= bits <= 5:
-        raise ValueError("balls of radius 1 in two halves find up to 5 differing bits")
-    halves = F.array(*[F.struct(F.lit(k).alias("half"), F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")) for k in (0, 1)])
-    flips = F.array(F.lit(0), *[F.lit(1 << k) for k in range(32)])
-    # one long per meeting place: the half in the 33rd bit
-    places = entries.select("fp", "node", F.explode(halves).alias("h")).select(
-        "fp", "node", F.explode(F.transform(flips, lambda x: F.col("h.value").bitwiseXOR(x).bitwiseOR(F.shiftleft(F.col("h.half").cast("long"), 32)))).alias("place")
-    )
-    sized = places.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1")
-    met = places.join(sized, "place").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+def links(entries: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): edges between the entries (node, seek, check) with the same components as all pairs that meet by ``seek`` and are within ``bits`` bits by ``check``."""
+    low = F.lit(0xFFFFFFFF)
+    segments = F.flatten(F.transform("seek", lambda x, k: F.array(*[F.shiftleft(2 * k.cast("long") + h, 32).bitwiseOR(F.shiftrightunsigned(x, 32 * h).bitwiseAND(low)) for h in (0, 1)])))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
+    places = entries.select("node", F.explode(segments).alias("own")).select("node", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("place"))
+    met = places.withColumn("n", F.count("*").over(Window.partitionBy("place"))).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     # an entry of block k goes to the task of each pair of blocks that has k; with one block, to that of (0, 0)
     tasks = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), (F.col("own") > x).cast("int").alias("side")),
+        lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j"), F.struct((F.col("mine") > x).cast("int").alias("side"), "node").alias("who")),
     )
-    dealt = met.withColumn("own", own).select("place", "fp", "node", F.explode(tasks).alias("t")).select("place", "t.i", "t.j", "fp", "node", "t.side")
-    groups = dealt.groupBy("place", "i", "j").agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("ids"), F.collect_list("side").alias("sides"))
-    return groups.filter(F.size("ids") > 1).select("fps", "ids", "sides").mapInArrow(_verify(bits), "a long, b long").distinct()
+    dealt = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("place", F.explode(tasks).alias("t"))
+    meetings = dealt.groupBy("place", "t.i", "t.j").agg(F.sort_array(F.collect_list("t.who")).alias("who")).filter(F.size("who") > 1)
+    once = meetings.groupBy("who").agg(F.min("place").alias("place"), F.min("i").alias("i"), F.min("j").alias("j"))
+    full = once.select("place", "i", "j", F.explode("who").alias("w")).select("place", "i", "j", "w.*").join(entries.select("node", "check"), "node")
+    groups = full.groupBy("place", "i", "j").agg(F.collect_list(F.struct("node", "side", "check")).alias("met"))
+    return groups.select("met").mapInArrow(_verify(bits), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per document."""
+    if not 0 <= bits <= 5:
+        raise ValueError("balls of radius 1 around two segments find up to 5 differing bits")
     fps = stage(fingerprints(docs, width), "simhash")
     entries = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash")
-    found = components(links(entries.filter("node is not null"), bits))
+    found = components(links(entries.filter("node is not null").select("node", F.array("fp").alias("seek"), F.array("fp").alias("check")), bits))
     named = entries.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of each document with an id: groups of documents that links of at least this similarity join."""
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    fps = stage(rows.mapInArrow(_stage_fingerprints, "doc_id long, seek array<long>, check array<long>"), "simhash")
+    entries = stage(fps.groupBy("seek", "check").agg(F.min("doc_id").alias("node")), "simhash")
+    found = components(links(entries, largest_distance(similarity)))
+    named = entries.join(found, "node", "left").select("seek", "check", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(named, ["seek", "check"]).select("doc_id", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, without the documents that are not the first of their group. Rows without an id stay; repeated rows of one id are one document."""
+    gone = stage(similar_documents(docs, similarity).groupBy("doc_id").agg(F.min("component_id").alias("first")).filter("doc_id <> first").select("doc_id"), "simhash")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

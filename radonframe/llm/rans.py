@@ -14,7 +14,7 @@ import numpy as np
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
+LANES = 2048
 EVERY = 256
 _HEAD = struct.Struct("<IIIII")  # symbols, lanes, checkpoints, words, CRC-32 of the symbols as 32-bit integers
 
@@ -75,8 +75,8 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY
             words.append(y[over].astype(np.uint32))
             total += out
             y = np.where(over, y >> np.uint64(32), y)
-        q, r = np.divmod(y, f)
-        x[: len(f)] = (q << np.uint64(SCALE)) + r + s
+        q = y // f
+        x[: len(f)] = (q << np.uint64(SCALE)) + (y - q * f) + s
         if step % every == 0:
             marks.append((x.copy(), total))
     marks.reverse()

@@ -23,11 +23,13 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,47 +40,90 @@ from .storage import new_folder, open_fs, stage
 MAGIC = b"RFTOKEN1"
 FILE_TOKENS = 1 << 22
 BLOCK_TOKENS = 1 << 20
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
+BLOCKS_PER_TASK = 8
 MANIFEST = "part int, seq int, file string, n_tokens long, blocks array<struct<block:int,first:long,n:long,at:long,bytes:long>>"
 _TAIL = struct.Struct("<QII")
 _PIECE = re.compile(r"\s*\S+|\s+")
+# How byte-level tokenizers split a text, and the characters that stand for bytes in their vocabularies
+# (printable Latin-1 characters for themselves, the other bytes in order from U+0100).
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(_OTHERS)}
+_SPACE = chr(_BYTE_CHARS[0x20])
 
 
-@cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    kind = json.load(open(path, encoding="utf-8"))
-    pre = kind["pre_tokenizer"] or {}
-    cuts = kind["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-    cuts = cuts and all(re.fullmatch(r"\S+", t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in kind["added_tokens"])
-    return Tokenizer.from_file(path), cuts
-
-
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to ids as little-endian 32-bit bytes.
+class Encoder:
+    """Texts to ids as little-endian 32-bit bytes, by a tokenizers file.
 
     A byte-level tokenizer never joins a non-space with white space after it, so a text's ids are those of its pieces
-    (white space and the word after it); pieces recur, and each is encoded once while the cache, of
-    ``CACHE_PIECES`` pieces, holds it. Other tokenizers get whole texts.
+    (white space and the word after it). Pieces recur: a cache keeps those seen since about ``CACHE_PIECES`` new ones ago. A new piece
+    is split as the tokenizer does and each part goes through its model. Pieces with an added token in them, and tokenizers of
+    other kinds, take the library's whole encoding.
     """
-    tokenizer, cuts = _tokenizer(path)
-    known: dict[str, bytes] = {}
-    as_bytes = lambda xs: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(xs, add_special_tokens=False)]
-
-    def run(texts: list[str]) -> list[bytes]:
-        if not cuts:
-            return as_bytes(texts)
-        if len(known) > CACHE_PIECES:
-            known.clear()
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        pre = kind["pre_tokenizer"] or {}
+        self.added = [t["content"] for t in kind["added_tokens"]]
+        self.cuts = kind["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.cuts = self.cuts and all(re.fullmatch(r"\S+", t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in kind["added_tokens"])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        tokenize, split, new, old = self.model.tokenize, _SPLIT.findall, self.new, self.old
+
+        def ids(part: str) -> bytes:
+            # of printable ASCII, only the space has another character
+            chars = part.replace(" ", _SPACE) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return array("I", [t.id for t in tokenize(chars)]).tobytes()
+
+        every = "\n".join(pieces)
+        if any(a in every for a in self.added):
+            odd = [p for p in pieces if any(a in p for a in self.added)]
+            new.update(zip(odd, self._whole(odd), strict=True))
+            pieces = [p for p in pieces if p not in new]
+        for p in pieces:
+            if p[0] == " " and p[1:].isalpha():  # one part
+                new[p] = ids(p)
+                continue
+            each = []
+            for part in split(p):
+                data = new.get(part) or old.get(part)
+                if data is None:
+                    data = new[part] = ids(part)
+                each.append(data)
+            new[p] = b"".join(each)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self._whole(texts)
+        if len(self.new) > CACHE_PIECES:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
         pieces = [_PIECE.findall(x) for x in texts]
-        new = list({p for ps in pieces for p in ps if p not in known})
-        for k in range(0, len(new), 4096):
-            known.update(zip(new[k : k + 4096], as_bytes(new[k : k + 4096]), strict=True))
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        unknown = {p for ps in pieces for p in ps if p not in new}
+        new.update((p, old[p]) for p in unknown if p in old)
+        rest = [p for p in unknown if p not in old]
+        for k in range(0, len(rest), 4096):
+            self._learn(rest[k : k + 4096])
+        return [b"".join(map(new.__getitem__, ps)) for ps in pieces]
 
-    return run
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker."""
+    return Encoder(path)
 
 
 def file_bytes(ids: np.ndarray, docs: list[tuple[int | None, int, int, int]], block_tokens: int = BLOCK_TOKENS) -> tuple[bytes, list[dict]]:
@@ -206,7 +251,8 @@ def read_pieces(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     units = based.select("file", "base", F.explode("blocks.block").alias("block"))
     kind = "doc_id long, start long, total long, at long, n long, crc long" + ", ids array<long>" * with_ids
-    return units.repartition(F.col("file"), F.col("block")).mapInArrow(_reader(with_ids), kind)
+    count = based.agg(F.sum(F.size("blocks")).alias("n")).first()["n"] or 0
+    return units.repartition(max(1, -(-count // BLOCKS_PER_TASK)), "file", "block").mapInArrow(_reader(with_ids), kind)
 
 
 def crc32_combine(a: int, b: int, n: int) -> int:

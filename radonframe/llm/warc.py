@@ -31,6 +31,7 @@ from .storage import new_folder, open_fs, stage
 REVISIT_BYTES = 1000
 FILE_BYTES = 1 << 28
 SPLIT_BYTES = 8 << 20
+SPLITS_PER_TASK = 2
 CHUNK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2000-01-01T00:00:00Z"
@@ -176,4 +177,5 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     splits = manifest.filter("bytes > 0").select("file", "bytes", starts.alias("start")).withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes")))
     kind = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return splits.repartition(F.col("file"), F.col("start")).mapInArrow(_reader, kind)
+    count = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes)).alias("n")).first()["n"] or 0
+    return splits.repartition(max(1, -(-count // SPLITS_PER_TASK)), "file", "start").mapInArrow(_reader, kind)

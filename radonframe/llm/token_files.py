@@ -112,12 +112,19 @@ class Encoder:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         pieces = [_PIECE.findall(x) for x in texts]
-        unknown = {p for ps in pieces for p in ps if p not in new}
+        every = [p for ps in pieces for p in ps]
+        found = list(map(new.get, every))
+        absent = [k for k, x in enumerate(found) if x is None]
+        unknown = {every[k] for k in absent}
         new.update((p, old[p]) for p in unknown if p in old)
-        rest = [p for p in unknown if p not in old]
-        for k in range(0, len(rest), 4096):
-            self._learn(rest[k : k + 4096])
-        return [b"".join(map(new.__getitem__, ps)) for ps in pieces]
+        self._learn([p for p in unknown if p not in old])
+        for k in absent:
+            found[k] = new[every[k]]
+        out, at = [], 0
+        for ps in pieces:
+            out.append(b"".join(found[at : at + len(ps)]))
+            at += len(ps)
+        return out
 
 
 @cache

@@ -55,18 +55,22 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that over half of the hashes have."""
-    ones, cuts = np.zeros((8, 8), np.int64), np.arange(0, len(hashes), 255)
-    for k in range(8):  # bit k of each byte; up to 255 of them add up within their bytes
-        sums = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts)
-        ones[:, k] = sums.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones.reshape(64) > len(hashes), bitorder="little").tobytes(), "little")
-
-
-def widened(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th 64-bit hash that a hash is widened by."""
-    x = hashes + _STEP * np.uint64(k + 1)
+def majority(hashes: np.ndarray) -> list[int]:
+    """The bits that over half of the hashes of each row have."""
+    ones = np.zeros((len(hashes), 8, 8), np.int64)
+    for at in range(0, hashes.shape[1], 1 << 14):
+        some = hashes[:, at : at + (1 << 14)]
+        cuts = np.arange(0, some.shape[1], 255)
+        for k in range(8):  # bit k of each byte; up to 255 of them add up within their bytes
+            sums = np.add.reduceat((some >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts, axis=1)
+            ones[:, :, k] += sums.view(np.uint8).reshape(len(hashes), -1, 8).sum(axis=1, dtype=np.int64)
+    packed = np.packbits(2 * ones.reshape(len(hashes), 64) > hashes.shape[1], axis=1, bitorder="little")
+    return packed.view("<u8").ravel().tolist()
+
+
+def widened(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` hashes for each hash, one row for each."""
+    x = hashes[None, :] + (_STEP * np.arange(1, words + 1, dtype=np.uint64))[:, None]
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -75,7 +79,7 @@ def widened(hashes: np.ndarray, k: int) -> np.ndarray:
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """The 64-bit SimHash of a text, unsigned."""
     words = (text or "").encode().lower().split()
-    return majority(shingle_hashes(words, width)) if words else 0
+    return majority(shingle_hashes(words, width)[None, :])[0] if words else 0
 
 
 def stage_fingerprints(text: str | None) -> tuple[list[int], list[int]]:
@@ -85,7 +89,7 @@ def stage_fingerprints(text: str | None) -> tuple[list[int], list[int]]:
         return [0, 0], [0] * STAGE_WORDS
     single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
     shingles = np.unique(shingle_hashes(words, STAGE_WIDTH))
-    return [majority(widened(single, k)) for k in range(2)], [majority(widened(shingles, k)) for k in range(STAGE_WORDS)]
+    return majority(widened(single, 2)), majority(widened(shingles, STAGE_WORDS))
 
 
 def largest_distance(similarity: float = SIMILARITY, bits: int = 64 * STAGE_WORDS) -> int:

@@ -24,7 +24,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -45,6 +45,7 @@ BLOCKS_PER_TASK = 8
 MANIFEST = "part int, seq int, file string, n_tokens long, blocks array<struct<block:int,first:long,n:long,at:long,bytes:long>>"
 _TAIL = struct.Struct("<QII")
 _PIECE = re.compile(r"\s*\S+|\s+")
+_RUN = re.compile(r"\s[ \n]")
 # How byte-level tokenizers split a text, and the characters that stand for bytes in their vocabularies
 # (printable Latin-1 characters for themselves, the other bytes in order from U+0100).
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -53,13 +54,28 @@ _BYTE_CHARS = {b: 256 + k for k, b in enumerate(_OTHERS)}
 _SPACE = chr(_BYTE_CHARS[0x20])
 
 
+class _Pieces(dict):
+    """Ids by piece, those of the last generation moving up when seen again; new ones are learned."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, key: str) -> bytes:
+        data = self.old.get(key)
+        if data is None:
+            data = self.learn(key)
+        self[key] = data
+        return data
+
+
 class Encoder:
     """Texts to ids as little-endian 32-bit bytes, by a tokenizers file.
 
     A byte-level tokenizer never joins a non-space with white space after it, so a text's ids are those of its pieces
     (white space and the word after it). Pieces recur: a cache keeps those seen since about ``CACHE_PIECES`` new ones ago. A new piece
     is split as the tokenizer does and each part goes through its model. Pieces with an added token in them, and tokenizers of
-    other kinds, take the library's whole encoding.
+    other kinds, take the library's whole encoding. Keys of the cache: a word for a space and the word, a line feed and a word for
+    just that, a space and any other piece for that piece.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,58 +89,48 @@ class Encoder:
         self.cuts = kind["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.cuts = self.cuts and all(re.fullmatch(r"\S+", t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in kind["added_tokens"])
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        tokenize, split, new, old = self.model.tokenize, _SPLIT.findall, self.new, self.old
-
-        def ids(part: str) -> bytes:
-            # of printable ASCII, only the space has another character
-            chars = part.replace(" ", _SPACE) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
-            return array("I", [t.id for t in tokenize(chars)]).tobytes()
-
-        every = "\n".join(pieces)
-        if any(a in every for a in self.added):
-            odd = [p for p in pieces if any(a in p for a in self.added)]
-            new.update(zip(odd, self._whole(odd), strict=True))
-            pieces = [p for p in pieces if p not in new]
-        for p in pieces:
-            if p[0] == " " and p[1:].isalpha():  # one part
-                new[p] = ids(p)
-                continue
-            each = []
-            for part in split(p):
-                data = new.get(part) or old.get(part)
-                if data is None:
-                    data = new[part] = ids(part)
-                each.append(data)
-            new[p] = b"".join(each)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.pieces = _Pieces(self._learn)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        # of printable ASCII, only the space has another character
+        chars = part.replace(" ", _SPACE) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [t.id for t in self.tokenize(chars)]).tobytes()
+
+    def _learn(self, key: str) -> bytes:
+        if key.isalpha():
+            return self._part(f" {key}")
+        piece = key[1:] if key[:1] == " " else key if key[:1] == "\n" else f" {key}"
+        for a in self.added:
+            if a in piece:
+                return self._whole(piece)
+        parts = _SPLIT.findall(piece)
+        if len(parts) == 1:
+            return self._part(piece)
+        # a part that is a space and a word is a piece of its own
+        return b"".join([self.pieces[p[1:]] if p[0] == " " and p[1:].isalpha() else self._part(p) for p in parts])
+
+    def _keys(self, text: str) -> list[str]:
+        if _RUN.search(text):  # some run of white space has two characters
+            return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else p if p[0] == "\n" and len(p) > 1 and not p[1].isspace() else f" {p}" for p in _PIECE.findall(text)]
+        out: list[str] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = f"\n{words[0]}" if out else f" {words[0]}"
+            out += words
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
-            return self._whole(texts)
-        if len(self.new) > CACHE_PIECES:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        pieces = [_PIECE.findall(x) for x in texts]
-        every = [p for ps in pieces for p in ps]
-        found = list(map(new.get, every))
-        absent = [k for k, x in enumerate(found) if x is None]
-        unknown = {every[k] for k in absent}
-        new.update((p, old[p]) for p in unknown if p in old)
-        self._learn([p for p in unknown if p not in old])
-        for k in absent:
-            found[k] = new[every[k]]
-        out, at = [], 0
-        for ps in pieces:
-            out.append(b"".join(found[at : at + len(ps)]))
-            at += len(ps)
-        return out
+            return [self._whole(x) for x in texts]
+        if len(self.pieces) > CACHE_PIECES:
+            fresh = _Pieces(self._learn)
+            fresh.old, self.pieces = dict(self.pieces), fresh
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, self._keys(x))) for x in texts]
 
 
 @cache

@@ -206,7 +206,7 @@ def fdk(projections: DataFrame, grid: Grid, angles: int, shape: tuple[int, int],
                 ok = (cu + du >= 0) & (cu + du < columns) & (cv + dv >= 0) & (cv + dv < rows)
                 w = np.abs(1 - du - (u - cu)) * np.abs(1 - dv - (v - cv))
                 value[ok] += w[ok] * panel[cu[ok] + du, cv[ok] + dv]
-        value *= (source / depth) ** 2 * (2 * math.pi / angles) * (source + detector) / source / spacing
+        value *= (source / depth) ** 2 * (math.pi / angles) * (source + detector) / source / spacing
         return pd.DataFrame({"j": np.arange(n), "value": value})
 
     return filtered.groupBy("view").applyInPandas(run, "j long, value double").groupBy("j").agg(F.sum("value").alias("value"))

@@ -17,7 +17,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"yardl"
@@ -216,7 +216,11 @@ def write_binary(events: DataFrame, folder: str, header: dict[str, Any], schema:
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """(block, delayed, detector_1, ...) of line-delimited JSON files."""
     rows = spark.read.text(path).select(F.from_json("value", BLOCK_JSON).alias("j")).filter("j.timeBlocks is not null").select("j.timeBlocks.*")
-    both = F.concat(*[F.transform(F.coalesce(c, F.array().cast(f"array<{EVENT}>")), lambda e, v=v: F.struct(F.lit(v).alias("delayed"), e.alias("e"))) for c, v in (("promptEvents", False), ("delayedEvents", True))])
+
+    def marked(column: str, delayed: bool) -> Column:
+        return F.transform(F.coalesce(column, F.array().cast(f"array<{EVENT}>")), lambda e: F.struct(F.lit(delayed).alias("delayed"), e.alias("e")))
+
+    both = F.concat(marked("promptEvents", False), marked("delayedEvents", True))
     names = ("detector1Id", "detector2Id", "tofIdx", "energy1Idx", "energy2Idx")
     return rows.select(F.col("id").alias("block"), F.explode(both).alias("x")).select("block", "x.delayed", *[F.col(f"x.e.{a}").alias(b) for a, b in zip(names, FIELDS, strict=True)])
 

@@ -251,6 +251,6 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 
 def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs``, all columns, with no window of any item. Rows are told apart by a hash of id and text, so null and repeated ids are no matter."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    hit = find_windows(build_index(rows.select(F.col("_row").alias("doc_id"), "text")), items, width).filter(F.size("spans") > 0)
-    return rows.join(stage(hit.select(F.col("doc_id").alias("_row")).distinct(), "hits"), "_row", "left_anti").select(*docs.columns)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    hit = find_windows(build_index(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))), items, width).filter(F.size("spans") > 0)
+    return rows.join(stage(hit.select(F.col("doc_id").alias("_row")).distinct(), "hits"), "_row", "left_anti").select("_doc.*")

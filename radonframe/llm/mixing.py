@@ -33,13 +33,15 @@ TOLERANCE = 1e-7
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with _key (the source, nulls as ''), _size and _salt."""
+    """(id, _key, _size, _salt, _doc): the source (nulls as ''), the size, the salt, and the row itself."""
     source = F.col(source_col).cast("string")
-    return docs.withColumns({
-        "_key": F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source)),
-        "_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
-        "_salt": F.pmod(F.xxhash64(id_col), F.lit(SALTS)),
-    })
+    return docs.select(
+        id_col,
+        F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source)).alias("_key"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt"),
+        F.struct(*docs.columns).alias("_doc"),
+    )
 
 
 def source_targets(cells: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -166,4 +168,4 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     """The documents of the mix: each row as often as it has copies, with the columns of ``docs``."""
     rows = keyed(docs)
     dealt = with_copies(rows, *_plan(rows, weights, cap))
-    return dealt.filter(F.col("copies") > 0).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return dealt.filter(F.col("copies") > 0).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_doc.*")

@@ -1,8 +1,8 @@
 """Quality classifier: a generalised additive model with pairwise interactions over features of the text alone.
 
-One pass over the whole texts stages the features (``FEATURES``, a few bytes per document). Labelled rows outside of the held-out fold are joined
-to them, and at most ``TRAIN_ROWS`` of those, first by a hash of the id, go to the driver, which fits the lookup tables. The model
-has a fixed size and goes to the tasks with their code; scoring adds up table entries over Arrow batches.
+At most ``TRAIN_ROWS`` labelled documents outside of the held-out fold, those first by a hash of the id, get their features (``FEATURES``), which
+the driver fits the lookup tables to. The model has a fixed size and goes to the tasks with their code; one pass over all
+whole texts takes their features and adds up table entries over Arrow batches.
 
 Defined cases: null text counts as empty; a null id is never held out and never a training row; a null label is no label; several labels of one
 document, or repeated documents, are training rows of their own; without training rows of both labels all scores
@@ -70,37 +70,35 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(FEATURES))
 
 
-def train(x: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> gam.Gam:
-    """Fit on at most ``limit`` labelled rows (doc_id, x) outside of the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> gam.Gam:
+    """Fit on at most ``limit`` labelled rows outside of the held-out fold, those first by a hash of the id; only their texts get features."""
     known = labels.filter("quality is not null").select(F.col("doc_id").cast("long"), "quality")
-    rows = x.filter(~held_out(F.col("doc_id"))).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(limit).select("x", "quality").toArrow()
+    ids = docs.select(F.col("doc_id").cast("long")).filter(~held_out(F.col("doc_id"))).join(known.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    chosen = stage(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit), "train-ids")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id", "left_semi")  # at most ``limit`` numbers
+    x = texts.mapInArrow(_features, "doc_id long, x array<float>")
+    rows = x.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(limit).select("x", "quality").toArrow()
     return gam.fit(matrix(rows.column("x").combine_chunks()) if rows.num_rows else np.empty((0, len(FEATURES))), rows.column("quality").to_numpy().astype(float))
 
 
 def _scores(model: gam.Gam):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(matrix(b.column("x"))))], ["doc_id", "score"])
+            rows = np.array([features(x.as_py()) for x in b.column(1)], np.float32).astype(np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(rows))], ["doc_id", "score"])
 
     return run
 
 
-def feature_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, x), one row per document, staged."""
-    return stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features, "doc_id long, x array<float>"), "features")
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per document."""
-    x = feature_table(docs)
-    return x.mapInArrow(_scores(train(x, labels)), "doc_id long, score double").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scores(train(docs, labels)), "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier does not reject. Texts are read twice rather than moved."""
-    model = train(feature_table(docs), labels)
+    """The rows of ``docs``, all columns, that the classifier does not reject."""
+    model = train(docs, labels)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

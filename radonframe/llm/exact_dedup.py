@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stage
+
 SALTS = 32
 
 
@@ -29,7 +31,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
     )
     classes = salted.repartition(F.col("_digest")).groupBy("_digest", "_text").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_n"))
-    digests = classes.groupBy("_digest").agg(F.count("*").alias("_texts"), F.max("_keep").alias("keep_id"), F.sum("_n").alias("group_size"))
+    # staged, as adaptive execution splits a hot digest only where both sides of the join are plain shuffles
+    digests = stage(classes.groupBy("_digest").agg(F.count("*").alias("_texts"), F.max("_keep").alias("keep_id"), F.sum("_n").alias("group_size")), "dedup")
     return (
         rows.select("_id", "_digest")
         .join(digests, "_digest")

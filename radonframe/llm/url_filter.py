@@ -181,7 +181,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], seen: DataFrame |
     """(page_id, host, path, rule, verdict, log_odds) of each page (page_id, url, html). seen: other texts to count words in."""
     ruled = stage(apply_rules(split_url(pages.withColumn("page_id", F.col("page_id").cast("long"))), Rules(rules)), "urls")
     counts = stage(unigrams((pages if seen is None else seen).select("html")), "urls")
-    tokens = stage(ruled.join(host_words(ruled, counts), "host", "left"), "urls")
+    hosts = stage(host_words(ruled, counts), "urls")  # so that adaptive execution can split a hot host's rows
+    tokens = stage(ruled.join(hosts, "host", "left"), "urls")
     odds = train(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,12 +11,12 @@
    than about 2 * BLOCK entries and no link is lost.
 4. Components of those edges.
 
-``near_duplicates`` links 64-bit fingerprints within ``bits`` bits, exactly. ``similar_documents`` links documents whose five-word
-shingles are similar to 0.8 or more by the distance of 1024-bit fingerprints. At that similarity no 32-bit segment of those is
-likely to be close, so it finds the candidates by a 128-bit fingerprint of the distinct words, where such documents differ in
-few bits, and verifies the complete distance of the 1024 bits.
+``near_duplicates`` links 64-bit fingerprints within ``bits`` bits, exactly. ``similar_documents`` links documents whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more, exactly but for collisions of 64-bit hashes of sets: its segments are parts of the
+sets (``shingle_sets``), of which every such pair shares one. Each meeting's least set is compared with the others in full; in the
+meetings that this does not join, 1024-bit fingerprints, taken at six standard deviations, pick the pairs to compare in full.
 
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ids get the component of
+Defined cases: null and empty texts have fingerprint zero, or an empty set, and are linked like any other; null ids get the component of
 their fingerprint (null if no id is there); repeated rows and ties share their fingerprint; an empty table
 gives an empty result; further columns are ignored.
 """
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .shingle_sets import places, similar
 from .storage import stage
 
 BITS = 4
@@ -41,7 +42,7 @@ SEED = 42
 BLOCK = 2048
 STAGE_WIDTH = 5
 SIMILARITY = 0.8
-STAGE_WORDS = 16  # 64-bit words of the fingerprint that is verified
+STAGE_WORDS = 16  # 64-bit words of the fingerprint of a set
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,20 +83,16 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return majority(shingle_hashes(words, width)[None, :])[0] if words else 0
 
 
-def stage_fingerprints(text: str | None) -> tuple[list[int], list[int]]:
-    """(two 64-bit words over the distinct words, ``STAGE_WORDS`` over the five-word shingles)."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles in order; a text without words has none."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return [0, 0], [0] * STAGE_WORDS
-    single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
-    shingles = np.unique(shingle_hashes(words, STAGE_WIDTH))
-    return majority(widened(single, 2)), majority(widened(shingles, STAGE_WORDS))
+    return np.unique(shingle_hashes(words, STAGE_WIDTH)) if words else np.empty(0, np.uint64)
 
 
-def largest_distance(similarity: float = SIMILARITY, bits: int = 64 * STAGE_WORDS) -> int:
-    """Bits in which sets of one size with this Jaccard similarity differ: the angle between them as a share of pi, plus one standard deviation."""
+def largest_distance(similarity: float = SIMILARITY, bits: int = 64 * STAGE_WORDS, deviations: float = 6) -> int:
+    """Bits in which sets of one size with this Jaccard similarity differ: the angle between them as a share of pi, plus ``deviations`` standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+    return math.floor(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -111,11 +108,56 @@ def _fingerprints(width: int):
     return run
 
 
-def _stage_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_node(elements: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(elements.astype("<u8").tobytes(), SEED)
+
+
+def _set_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        both = [stage_fingerprints(x.as_py()) for x in b.column(1)]
-        lists = [np.array([x[k] for x in both], np.uint64).reshape(len(both), -1).view(np.int64).tolist() for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["doc_id", "seek", "check"])
+        nodes = np.array([_set_node(shingle_set(x.as_py())) for x in b.column(1)], np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column(0), _signed(nodes)], ["doc_id", "node"])
+
+
+def _places(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: set[int] = set()
+            at: list[np.ndarray] = []
+            nodes: list[int] = []
+            held = 0
+            for x in b.column(0):
+                elements = shingle_set(x.as_py())
+                node = _set_node(elements)
+                if node in seen:
+                    continue
+                seen.add(node)
+                at.append(places(elements, similarity))
+                nodes.append(node)
+                held += len(at[-1])
+                if held > 1 << 18:
+                    yield _flat(at, nodes)
+                    at, nodes, held = [], [], 0
+            if nodes:
+                yield _flat(at, nodes)
+
+    return run
+
+
+def _flat(at: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_signed(np.concatenate(at)), _signed(np.repeat(np.array(nodes, np.uint64), [len(x) for x in at]))], ["place", "node"])
+
+
+SETS = "node long, size int, elements binary, sketch array<long>"
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_set(x.as_py()) for x in b.column(0)]
+        sketch = np.array([majority(widened(x, STAGE_WORDS)) if len(x) else [0] * STAGE_WORDS for x in sets], np.uint64).reshape(len(sets), STAGE_WORDS)
+        yield pa.RecordBatch.from_arrays(
+            [_signed(np.array([_set_node(x) for x in sets], np.uint64)), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()), pa.array(sketch.view(np.int64).tolist(), pa.list_(pa.int64()))],
+            ["node", "size", "elements", "sketch"],
+        )
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -163,24 +205,29 @@ def _verify(bits: int):
     return run
 
 
-def links(entries: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): edges between the entries (node, seek, check) with the same components as all pairs that meet by ``seek`` and are within ``bits`` bits by ``check``."""
-    low = F.lit(0xFFFFFFFF)
-    segments = F.flatten(F.transform("seek", lambda x, k: F.array(*[F.shiftleft(2 * k.cast("long") + h, 32).bitwiseOR(F.shiftrightunsigned(x, 32 * h).bitwiseAND(low)) for h in (0, 1)])))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
-    places = entries.select("node", F.explode(segments).alias("own")).select("node", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("place"))
-    met = places.withColumn("n", F.count("*").over(Window.partitionBy("place"))).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+def _gathered(met: DataFrame, entries: DataFrame, block: int) -> DataFrame:
+    """(met): the entries, by ``node``, of each meeting (place, node, n), in pairs of blocks, each set of entries once."""
     # an entry of block k goes to the task of each pair of blocks that has k; with one block, to that of (0, 0)
     tasks = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j"), F.struct((F.col("mine") > x).cast("int").alias("side"), "node").alias("who")),
     )
-    dealt = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("place", F.explode(tasks).alias("t"))
+    dealt = met.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("place", F.explode(tasks).alias("t"))
     meetings = dealt.groupBy("place", "t.i", "t.j").agg(F.sort_array(F.collect_list("t.who")).alias("who")).filter(F.size("who") > 1)
     once = meetings.groupBy("who").agg(F.min("place").alias("place"), F.min("i").alias("i"), F.min("j").alias("j"))
-    full = once.select("place", "i", "j", F.explode("who").alias("w")).select("place", "i", "j", "w.*").join(entries.select("node", "check"), "node")
-    groups = full.groupBy("place", "i", "j").agg(F.collect_list(F.struct("node", "side", "check")).alias("met"))
-    return groups.select("met").mapInArrow(_verify(bits), "a long, b long").distinct()
+    full = once.select("place", "i", "j", F.explode("who").alias("w")).select("place", "i", "j", "w.*").join(entries, "node")
+    groups = full.groupBy("place", "i", "j").agg(F.collect_list(F.struct("side", *entries.columns)).alias("met"))
+    return groups.select("met")
+
+
+def links(entries: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): edges between the entries (node, seek, check) with the same components as all pairs that meet by ``seek`` and are within ``bits`` bits by ``check``."""
+    low = F.lit(0xFFFFFFFF)
+    segments = F.flatten(F.transform("seek", lambda x, k: F.array(*[F.shiftleft(2 * k.cast("long") + h, 32).bitwiseOR(F.shiftrightunsigned(x, 32 * h).bitwiseAND(low)) for h in (0, 1)])))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
+    places = entries.select("node", F.explode(segments).alias("own")).select("node", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("place"))
+    met = places.withColumn("n", F.count("*").over(Window.partitionBy("place"))).filter("n > 1")
+    return _gathered(met, entries.select("node", "check"), block).mapInArrow(_verify(bits), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> DataFrame:
@@ -194,14 +241,69 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> Da
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _similar_pairs(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are at least this similar, a staged table."""
+    left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"of_{k}")) for k in "ab")
+    return stage(pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b").mapInArrow(_similar_pairs(similarity), "a long, b long"), "similar")
+
+
+def _open_pairs(similarity: float):
+    """Pairs of a meeting in different components that neither sizes nor, from 64 shingles up, sketches rule out."""
+    bits = largest_distance(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for met in b.column("met"):
+                rows = met.values
+                sketch = rows.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rows), -1)
+                ids, sides, sizes, own = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "side", "size", "own"))
+                left, right = (np.flatnonzero(sides == k) for k in (0, 1))
+                if not len(right):
+                    right = left
+                for i in left:
+                    others = right[right > i] if right is left else right
+                    low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+                    others = others[(own[others] != own[i]) & (low >= similarity * high - 1e-9)]
+                    near = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1) <= bits
+                    others = others[near | (np.minimum(sizes[others], sizes[i]) < 64)]
+                    if len(others):
+                        a, z = np.minimum(ids[others], ids[i]), np.maximum(ids[others], ids[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
+
+    return run
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of each document with an id: groups of documents that links of at least this similarity join."""
+    """(doc_id, component_id) of each document with an id: groups of documents that links of at least this similarity join, by all pairs."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    fps = stage(rows.mapInArrow(_stage_fingerprints, "doc_id long, seek array<long>, check array<long>"), "simhash")
-    entries = stage(fps.groupBy("seek", "check").agg(F.min("doc_id").alias("node")), "simhash")
-    found = components(links(entries, largest_distance(similarity)))
-    named = entries.join(found, "node", "left").select("seek", "check", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, ["seek", "check"]).select("doc_id", "component_id")
+    nodes = stage(rows.mapInArrow(_set_nodes, "doc_id long, node long"), "similar")
+    first = stage(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "similar")
+    at = Window.partitionBy("place")
+    every = rows.select("text").mapInArrow(_places(similarity), "place long, node long")
+    met = stage(every.withColumn("lead", F.min("node").over(at)).withColumn("last", F.max("node").over(at)).filter("lead < last").select("place", "node", "lead").distinct(), "similar")
+    wanted = stage(first.join(met.select("node").distinct(), "node", "left_semi"), "similar")
+    texts = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    sets = stage(texts.mapInArrow(_sets, SETS).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "similar")
+    # first each meeting's least node with the others: what that joins needs no further comparison
+    edges = _verified(met.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity)
+    joined = stage(components(edges), "similar")
+    owned = stage(sets.join(joined, "node", "left").select("node", "size", "sketch", F.coalesce("component", "node").alias("own")), "similar")
+    mixed = met.select("place", "node").join(owned.select("node", "own"), "node").withColumns({"n": F.count("*").over(at), "least": F.min("own").over(at), "most": F.max("own").over(at)})
+    rest = _gathered(mixed.filter("least < most").select("place", "node", "n"), owned, BLOCK)
+    edges = edges.unionByName(_verified(stage(rest.mapInArrow(_open_pairs(similarity), "a long, b long").distinct(), "similar"), sets, similarity))
+    found = first.join(components(edges), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = stage(found.join(least, "component").select("node", "component_id"), "similar")
+    return nodes.join(named, "node").select("doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -6,8 +6,8 @@ of one between them, so no phrase crosses over. Postings stay with their shard:
 
 Search: a phrase's terms are taken from the rarest (by counts over the whole index) to the most common; lists of positions,
 each less its term's offset in the phrase, are intersected until one is empty. What remains are exact matches. A proximity
-match is a stretch of at most the phrase's length plus ``slop`` words that has all its terms in any order, found around
-the rarest term's positions.
+match is a stretch of one document of at most the phrase's length plus ``slop`` words that has all its terms in any order, each as
+often as the phrase does, and no shorter such stretch within; it is found around the rarest term's positions.
 
 The query set goes to the tasks with their code, in blocks of at most about ``BLOCK_BYTES`` of text: a larger benchmark takes
 more passes over the index, whose hits are united.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .storage import stage
 
 WIDTH = 10
+SLOP = 2
 SHARD_WORDS = 1 << 18
 BLOCK_BYTES = 8 << 20
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
@@ -143,29 +144,40 @@ def phrase_starts(lists: dict[int, np.ndarray], phrases: Phrases) -> Iterator[tu
             yield int(k), starts
 
 
-def near_matches(lists: dict[int, np.ndarray], phrases: Phrases, slop: int) -> Iterator[tuple[int, int, int]]:
-    """(number of the phrase, first, last position) of the shortest stretch around each position of its rarest term that has all its terms within length + slop words."""
-    for k, p in enumerate(phrases.phrases):
-        terms = sorted(set(p.tolist()), key=lambda t: phrases.frequency[t])
-        if not all(t in lists for t in terms):
+def near_matches(lists: dict[int, np.ndarray], phrases: Phrases, slop: int, starts: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """(number of the phrase, first, last position) of the stretches of at most length + slop words, within one of the documents at ``starts``, that have all its terms, as often as it does, and contain no shorter one."""
+    here = np.zeros(len(phrases.vocabulary), bool)
+    here[list(lists)] = True
+    for k in np.flatnonzero(here[phrases.padded].all(axis=1)).tolist() if len(phrases.padded) else ():
+        p = phrases.phrases[k]
+        terms, times = np.unique(p, return_counts=True)
+        order = np.argsort(phrases.frequency[terms], kind="stable").tolist()
+        need, room = dict(zip(terms.tolist(), times.tolist(), strict=True)), len(p) + slop
+        around = lists[int(terms[order[0]])]
+        for t in (int(terms[o]) for o in order):
+            around = around[np.searchsorted(lists[t], around + room) - np.searchsorted(lists[t], around - room, "right") >= need[t]]
+        if not len(around):
             continue
-        room = len(p) + slop
-        for x in lists[terms[0]].tolist():
-            marks = sorted((int(y), t) for t in terms[1:] for y in lists[t][np.searchsorted(lists[t], x - room + 1) : np.searchsorted(lists[t], x + room)])
-            if len({t for _, t in marks}) < len(terms) - 1:
-                continue
-            best: tuple[int, int] | None = None
-            for lo in [x, *(y for y, _ in marks if y < x)]:
-                last: dict[int, int] = {}
-                for y, t in marks:
-                    if y >= lo:
-                        last.setdefault(t, y)
-                if len(last) == len(terms) - 1:
-                    hi = max([x, *last.values()])
-                    if hi - lo < room and (best is None or hi - lo < best[1] - best[0]):
-                        best = (lo, hi)
-            if best:
-                yield k, *best
+        near = {t: own[np.searchsorted(around, own + room) > np.searchsorted(around, own - room, "right")] for t in need for own in (lists[t],)}
+        at, kinds = np.concatenate(list(near.values())), np.repeat(list(near), [len(x) for x in near.values()])
+        ranks = np.argsort(at)
+        at, kinds = at[ranks], kinds[ranks].tolist()
+        documents = (np.searchsorted(starts, at, "right") if starts is not None else np.zeros(len(at), np.int64)).tolist()
+        at = at.tolist()
+        lo, missing, lack = 0, len(p), dict(need)
+        for hi, t in enumerate(kinds):
+            if documents[hi] != documents[lo]:
+                lo, missing, lack = hi, len(p), dict(need)
+            missing -= lack[t] > 0
+            lack[t] -= 1
+            last = None
+            while not missing:
+                last, left = lo, kinds[lo]
+                lack[left] += 1
+                missing += lack[left] > 0
+                lo += 1
+            if last is not None and at[hi] - at[last] < room:
+                yield k, at[last], at[hi]
 
 
 def windows(text: str | None, width: int = WIDTH) -> list[tuple[bytes, ...]]:
@@ -176,7 +188,7 @@ def windows(text: str | None, width: int = WIDTH) -> list[tuple[bytes, ...]]:
 HITS = "shard string, at int, doc_id long, n_words long, spans array<int>, items array<string>"
 
 
-def _search(phrases: Phrases, owners: list[list[str]]):
+def _search(phrases: Phrases, owners: list[list[str]], slop: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
@@ -184,11 +196,14 @@ def _search(phrases: Phrases, owners: list[list[str]]):
                 lists = shard_lists(row["terms"], np.array(row["counts"], np.int64), row["postings"], phrases)
                 spans: dict[int, list[tuple[int, int]]] = {}
                 items: dict[int, set[str]] = {}
-                for k, found in phrase_starts(lists, phrases):
-                    n = len(phrases.phrases[k])
-                    for d, x in zip((np.searchsorted(starts, found, "right") - 1).tolist(), found.tolist(), strict=True):
+                if slop is None:
+                    matches = ((k, found, found + len(phrases.phrases[k])) for k, found in phrase_starts(lists, phrases))
+                else:
+                    matches = ((k, np.array([lo]), np.array([hi + 1])) for k, lo, hi in near_matches(lists, phrases, slop, starts))
+                for k, found, ends in matches:
+                    for d, x, y in zip((np.searchsorted(starts, found, "right") - 1).tolist(), found.tolist(), ends.tolist(), strict=True):
                         # an empty document shares no position with a word: its gap is its own
-                        spans.setdefault(d, []).append((x - int(starts[d]), x - int(starts[d]) + n))
+                        spans.setdefault(d, []).append((x - int(starts[d]), y - int(starts[d])))
                         items.setdefault(d, set()).update(owners[k])
                 every = range(len(starts))
                 yield pa.RecordBatch.from_arrays(
@@ -221,8 +236,8 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], b.schema.names)
 
 
-def find_windows(index: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(shard, at, doc_id, n_words, spans, items): each document's hit words, as disjoint [from, to) pairs in a flat array, and the items hit."""
+def find_windows(index: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, *, slop: int | None = None) -> DataFrame:
+    """(shard, at, doc_id, n_words, spans, items): each document's hit words, as disjoint [from, to) pairs in a flat array, and the items hit; by exact windows or, with ``slop``, by proximity."""
     size = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
     hits: DataFrame | None = None
@@ -233,7 +248,7 @@ def find_windows(index: DataFrame, items: DataFrame, width: int = WIDTH, block_b
                 owners.setdefault(w, set()).add("null" if r["item_id"] is None else r["item_id"])
         phrases = Phrases(owners)
         rank_terms(index, phrases)
-        found = index.mapInArrow(_search(phrases, [sorted(x) for x in owners.values()]), HITS)
+        found = index.mapInArrow(_search(phrases, [sorted(x) for x in owners.values()], slop), HITS)
         hits = found if hits is None else hits.unionByName(found)
     if blocks > 1:
         hits = hits.groupBy("shard", "at", "doc_id", "n_words").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")).mapInArrow(_unite, HITS)
@@ -249,6 +264,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     )
 
 
+def proximity(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = SLOP) -> DataFrame:
+    """(doc_id, n_words, spans, items), one row per document: words in proximity matches of the items' windows, as disjoint [from, to) pairs in a flat array. Exact matches are among them."""
+    return find_windows(build_index(docs), items, width, slop=slop).select("doc_id", "n_words", "spans", "items")
+
+
 def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs``, all columns, with no window of any item. Rows are told apart by a hash of id and text, so null and repeated ids are no matter."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.struct(*docs.columns).alias("_doc"))

@@ -144,6 +144,19 @@ def bsrem_sub0(spark, sf_dir):
     return rounded(solvers.bsrem(h_matrix(spark, sf_dir), measured(spark, sf_dir), 2, relaxation=lambda n: 0.5 / (n + 1)).run(1, 2, only=0))
 
 
+_RBIEM_RATE = "value / (whole * peak + 1e-11)"
+
+
+@query(_solved("f2", _em_sql("f0", "f1", 0, 2, rate=_RBIEM_RATE), _em_sql("f1", "f2", 1, 2, rate=_RBIEM_RATE)))
+def rbiem_2sub(spark, sf_dir):
+    return rounded(solvers.rbiem(h_matrix(spark, sf_dir), measured(spark, sf_dir)).run(1, 2))
+
+
+@query(_solved("f4", *[_em_sql(f"f{k}", f"f{k + 1}", k % 2, 2, rate=f"value * {0.5 / (k // 2 + 1)} / (whole / 2 + 1e-11)", floor=1e-4) for k in range(4)]))
+def bsrem_2sub(spark, sf_dir):
+    return rounded(solvers.bsrem(h_matrix(spark, sf_dir), measured(spark, sf_dir), 2, relaxation=lambda n: 0.5 / (n + 1)).run(2, 2))
+
+
 def _chain_prior(phi, beta: float):
     """A prior over the line of suppliers, as a grid of one row."""
 
@@ -178,6 +191,18 @@ def rbimap_sub0(spark, sf_dir):
     return rounded(solver.run(1, 2, only=0))
 
 
+_RBIMAP_RATE = "value / (whole * peak + v + 1e-11)"
+_CHAIN_1_SQL = _CHAIN_SQL.replace("pr AS", "pr1 AS").replace("FROM b0", "FROM f1")
+
+
+@query(_solved("f2", _BUMPY_SQL, _CHAIN_SQL, _em_sql("b0", "f1", 0, 2, rate=_RBIMAP_RATE, prior="pr"), _CHAIN_1_SQL, _em_sql("f1", "f2", 1, 2, rate=_RBIMAP_RATE, prior="pr1")))
+def rbimap_2sub(spark, sf_dir):
+    h = h_matrix(spark, sf_dir)
+    solver = solvers.rbimap(h, measured(spark, sf_dir), _chain_prior(grid.quadratic()["phi1"], 0.001))
+    solver.image = _bumpy(h)
+    return rounded(solver.run(1, 2))
+
+
 @query(f"""WITH {H_SQL}, {_fp_sql("p", "f0")}, r AS (SELECT i, sum(h) AS row FROM h GROUP BY i),
 b AS (SELECT j, sum(h * (g - fp - s) / (row + 1e-11)) AS bp FROM h JOIN d USING (i) JOIN p USING (i) JOIN r USING (i) GROUP BY j), n AS (SELECT j, sum(h) AS norm FROM h GROUP BY j)
 SELECT j, round(greatest(value + bp / (norm + 1e-11), 0), 6) AS value FROM f0 JOIN b USING (j) JOIN n USING (j)""")
@@ -368,6 +393,11 @@ def pair_combinations(spark, sf_dir):
     return events.combinations(table(spark, sf_dir, "supplier").filter("s_nationkey = 3"), "s_suppkey")
 
 
+@query(f"WITH {_LUT_SQL} SELECT a.detector_id AS detector_1, b.detector_id AS detector_2 FROM lut a JOIN lut b ON a.detector_id < b.detector_id")
+def crystal_pairs(spark, sf_dir):
+    return events.combinations(events.scanner_lut(spark, SCANNER))
+
+
 @query(f"WITH {LISTMODE_SQL} SELECT event_id, CAST({DETECTORS - 1} * least(detector_1, detector_2) + greatest(detector_1, detector_2) - least(detector_1, detector_2) * (least(detector_1, detector_2) + 1) // 2 - 1 AS BIGINT) AS pair FROM lm WHERE detector_1 <> detector_2")
 def triangular_index(spark, sf_dir):
     lm = listmode(spark, sf_dir).filter("detector_1 <> detector_2")

@@ -5,18 +5,21 @@ have is one further kind of word in every class, so its probability sums over th
 
 1. Blocks: tasks turn documents into blocks of about ``BLOCK_TOKENS`` tokens, each with a vocabulary of its own, stored once.
    What moves later are rows per block and distinct word, not per token.
-2. Exchange: the ``CORE`` most frequent words (chosen from each block's ``CORE_CANDIDATES`` most frequent) move between ``CLASSES``
-   classes while that raises the likelihood of their bigrams. Their bigram counts over all training documents, at most CORE ** 2
-   sums whatever the corpus, are what the driver gets.
-3. All other words: every block gives each of its words the class that an exchange step would, from all occurrences next to core words; the
-   class with the most occurrences behind it wins over all blocks. Class bigrams are counted in the same pass, so the
-   transitions cover every training token.
-4. Scoring: counts and classes are joined to the blocks' vocabularies, gathered by block, and blocks are scored as arrays.
+2. Exchange: the ``CORE`` most frequent words of all training documents move between ``CLASSES`` classes while that raises the
+   likelihood of their bigrams. Their bigram counts, at most CORE ** 2 sums whatever the corpus, are what the driver gets.
+3. All other words, however many: each gets the class that an exchange step would give it. Its neighbours' classes are counted over
+   all blocks (at most 2 * CLASSES numbers a word), and the class with the largest gain wins. Counts are whole
+   numbers and log probabilities multiples of 2 ** -16, so the sums, and the classes, do not depend on how rows fall into blocks.
+4. Counts and classes are joined to the blocks' vocabularies. Class bigrams of all training tokens give the transitions, and the
+   same blocks are scored as arrays.
 
 ``base_score`` is the unigram score the model is compared with: additive smoothing with 0.1 over all training tokens.
 
+No key is hot: rows are keyed by word or block, and a word has one row for each block, of the tens of thousands that a block has.
+A task holds one block at a time; a text is within one block, so the longest text bounds a block that is longer than ``BLOCK_TOKENS``.
+
 Defined cases: null and empty texts are one end token; a null id is a training document; repeated rows are documents of their own; with no
-training documents every word is unknown; an empty table gives an empty result; further columns are ignored.
+training documents every word is unknown; an empty table gives an empty result; further columns are ignored; equally good classes go to the least.
 """
 
 from __future__ import annotations
@@ -27,18 +30,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stage
+from .storage import drop, stage
 
 FOLDS = 10
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 18
 CORE = 2048
-CORE_CANDIDATES = 4 * CORE
 CLASSES = 64
 PASSES = 12
 ADD = 0.1
+UNIT = 1 << 16  # of a log probability; sums below 2 ** 53 are exact
 PRIOR = 2.0  # pseudo-count of a class's transitions, spread like the classes themselves
 END = b"\n"
 _COLUMNS = {"block": pa.string(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "tokens": pa.binary(), "vocabulary": pa.list_(pa.binary()), "counts": pa.list_(pa.int32())}
@@ -87,54 +91,56 @@ def build_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame
     return stage(docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(_build(block_tokens), BLOCKS), "lm-blocks")
 
 
-def _ints(column: pa.Array) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False)
-
-
 def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, previous tokens, whether in training, start of each document); a document's first token follows an end token."""
-    tokens, sizes = np.frombuffer(row["tokens"], "<i4"), np.array(row["sizes"], np.int64)
+    tokens, sizes = np.frombuffer(row["tokens"], "<i4"), row["sizes"].to_numpy().astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[starts] = 0
-    return tokens, before, np.repeat(~np.array(row["held"], bool), sizes), starts
+    return tokens, before, np.repeat(~row["held"].to_numpy(zero_copy_only=False).astype(bool), sizes), starts
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The blocks of the batches one by one; a vocabulary stays an Arrow array."""
     for b in batches:
         for k in range(b.num_rows):
-            yield b.slice(k, 1).to_pylist()[0]
+            yield {name: b.column(name)[k].values if pa.types.is_list(b.schema.field(name).type) else b.column(name)[k].as_py() for name in b.schema.names}
+
+
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """(word, c) of all training tokens."""
+    return blocks.select(F.inline(F.arrays_zip("vocabulary", "counts"))).filter("counts > 0").groupBy(F.col("vocabulary").alias("word")).agg(F.sum("counts").alias("c"))
+
 
+def core_words(blocks: DataFrame, core: int = CORE) -> dict[bytes, int]:
+    """The words that exchange clustering works on with their counts, most frequent first after the end token; ties by word."""
+    top = word_counts(blocks).orderBy(F.col("word") != F.lit(END), F.desc("c"), "word").limit(core)
+    return {END: 0} | {bytes(r["word"]): r["c"] for r in top.collect()}
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        n = np.array(row["counts"], np.int64)
-        top = np.argsort(-n, kind="stable")[:CORE_CANDIDATES]
-        top = top[n[top] > 0]
-        yield pa.RecordBatch.from_arrays([pa.array([row["vocabulary"][k] for k in top], pa.binary()), pa.array(n[top])], ["word", "n"])
 
+def _at(vocabulary: pa.Array, words: pa.Array) -> np.ndarray:
+    """The place of each word of a vocabulary in ``words``, -1 where it is not there."""
+    return pc.fill_null(pc.index_in(vocabulary, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def core_words(blocks: DataFrame, core: int = CORE) -> list[bytes]:
-    """The words that exchange clustering works on, most frequent first; the end token is one."""
-    sums = blocks.select("vocabulary", "counts").mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [bytes(r["word"]) for r in sums.orderBy(F.desc("n"), "word").limit(core).collect()]
-    return [END, *(w for w in top if w != END)]
 
+def _flat(columns: dict[str, np.ndarray | pa.Array], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    yield from pa.table(columns).to_batches(max_chunksize=rows)
 
-def _pair_counts(core: dict[bytes, int]):
+
+def _pair_counts(words: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        core, size = pa.array(words, pa.binary()), len(words)
+        counts = np.zeros(size * size, np.int64)  # 32 MB
         for row in _rows(batches):
             tokens, before, train, _ = _block(row)
-            at = np.array([core.get(w, -1) for w in row["vocabulary"]], np.int64)
+            at = _at(row["vocabulary"], core)
             a, b = at[before], at[tokens]
             both = train & (a >= 0) & (b >= 0)
-            new, n = np.unique(a[both] * len(core) + b[both], return_counts=True)
-            every, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, n]), len(every)).astype(np.int64)
-            keys = every
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["pair", "n"])
+            pair, n = np.unique(a[both] * size + b[both], return_counts=True)
+            counts[pair] += n
+        seen = np.flatnonzero(counts)
+        yield from _flat({"pair": seen, "n": counts[seen]})
 
     return run
 
@@ -189,58 +195,77 @@ def transitions(counts: np.ndarray) -> np.ndarray:
     return np.vstack([(counts + PRIOR * own) / (counts.sum(axis=1, keepdims=True) + PRIOR), own])
 
 
-@dataclass(frozen=True)
-class Core:
-    classes: dict[bytes, int]
-    moves: np.ndarray  # log of transitions between core words
-
-
-def _vote(row: dict, core: Core) -> tuple[np.ndarray, np.ndarray]:
-    """Class and training count of each word of a block's vocabulary."""
-    size = core.moves.shape[1]
-    tokens, before, train, _ = _block(row)
-    known = np.array([core.classes.get(w, -1) for w in row["vocabulary"]], np.int64)
-    kind, n = known.copy(), np.array(row["counts"], np.int64)
-    at = np.flatnonzero(train & (known[tokens] < 0))
-    after = np.full(len(tokens), -1, np.int64)
-    after[:-1] = known[tokens[1:]]  # a document's last token is the end token, which is a core word
-    word, prev, follow = tokens[at], known[before[at]], after[at]
-    order = np.argsort(word, kind="stable")
-    word, prev, follow = word[order], prev[order], follow[order]
-    for lo in range(0, len(known), 1 << 15):
-        hi = min(lo + (1 << 15), len(known))
-        a, b = np.searchsorted(word, [lo, hi])
-        w, p, f = word[a:b] - lo, prev[a:b], follow[a:b]
-        sums = np.bincount(w[p >= 0] * size + p[p >= 0], minlength=(hi - lo) * size).reshape(-1, size) @ core.moves[:size]
-        sums += np.bincount(w[f >= 0] * size + f[f >= 0], minlength=(hi - lo) * size).reshape(-1, size) @ core.moves[:size].T
-        sums -= n[lo:hi, None] * core.moves[size]  # what a word's share of a class's emissions costs
-        bare = np.bincount(w[(p >= 0) | (f >= 0)], minlength=hi - lo) == 0
-        best = np.where(bare, np.argmax(core.moves[size]), np.argmax(sums, axis=1))
-        kind[lo:hi] = np.where(known[lo:hi] < 0, best, known[lo:hi])
-    return kind, n
-
-
-def _class_pairs(core: Core):
+_CONTEXT = np.dtype([("at", "u1"), ("n", "<u4")])  # class of a neighbour, ahead of the word or (from the number of classes on) after it
+
+
+def _contexts(words: list[bytes], kinds: np.ndarray, classes: int):
+    """(word, c, near) of each other word of a block in training: its count and its neighbours' classes, where those are core words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = core.moves.shape[1]
-        n = np.zeros(size * size, np.int64)
+        core, kind = pa.array(words, pa.binary()), np.append(kinds, -1)
         for row in _rows(batches):
-            kind, _ = _vote(row, core)
             tokens, before, train, _ = _block(row)
-            n += np.bincount(kind[before[train]] * size + kind[tokens[train]], minlength=size * size)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["pair", "n"])
+            known = kind[_at(row["vocabulary"], core)]
+            at = np.flatnonzero(train & (known[tokens] < 0))
+            word = tokens[at].astype(np.int64)
+            ahead, after = known[before[at]], known[tokens[at + 1]]  # a document's last token is the end token, which is a core word
+            key = np.concatenate([word[ahead >= 0] * 2 * classes + ahead[ahead >= 0], (word[after >= 0] * 2 + 1) * classes + after[after >= 0]])
+            key, n = np.unique(key, return_counts=True)
+            near = np.empty(len(key), _CONTEXT)
+            near["at"], near["n"] = key % (2 * classes), n
+            c = np.bincount(word, minlength=len(known))
+            own = np.flatnonzero(c)
+            ends = np.searchsorted(key, (own + 1) * 2 * classes) * _CONTEXT.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(near.tobytes())])
+            yield from _flat({"word": row["vocabulary"].take(pa.array(own)), "c": c[own], "near": packed}, 1 << 14)
 
     return run
 
 
-def _votes(core: Core):
+def _chosen(moves: np.ndarray):
+    """(word, c, class) of rows (word, c, near) in order of words: the class with the largest gain of an exchange step."""
+    classes = moves.shape[1]
+    units = np.round(moves * UNIT)  # floats with whole values, which add up exactly
+    gains, own = np.vstack([units[:classes], units[:classes].T]), units[classes]
+
+    def classed(words: pa.Array, c: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bare = ~near.any(axis=1)
+        best = np.where(bare, np.argmax(own), np.argmax(near @ gains - c[:, None] * own, axis=1))
+        yield from _flat({"word": words, "c": c, "class": best.astype(np.int32)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_c, last_near = None, 0, np.zeros(2 * classes)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1 << 14):
+                b = whole.slice(lo, 1 << 14)
+                place = b.column(0).dictionary_encode()
+                rows, words = place.indices.to_numpy(), place.dictionary
+                packed = np.frombuffer(b"".join(b.column(2).to_pylist()), _CONTEXT)
+                of = np.repeat(rows, pc.binary_length(b.column(2)).to_numpy() // _CONTEXT.itemsize)
+                near = np.bincount(of.astype(np.int64) * 2 * classes + packed["at"], packed["n"], len(words) * 2 * classes).reshape(-1, 2 * classes)
+                c = np.bincount(rows, b.column(1).to_numpy(), len(words)).astype(np.int64)
+                if last is not None and words[0] == last:
+                    c[0] += last_c
+                    near[0] += last_near
+                elif last is not None:
+                    yield from classed(pa.array([last.as_py()], pa.binary()), np.array([last_c]), last_near[None, :])
+                last, last_c, last_near = words[len(words) - 1], c[-1], near[-1].copy()
+                yield from classed(words[:-1], c[:-1], near[:-1])
+        if last is not None:
+            yield from classed(pa.array([last.as_py()], pa.binary()), np.array([last_c]), last_near[None, :])
+
+    return run
+
+
+def _class_pairs(classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(classes * classes, np.int64)
         for row in _rows(batches):
-            kind, n = _vote(row, core)
-            seen = np.flatnonzero(n)
-            table = pa.table({"word": pa.array(row["vocabulary"], pa.binary()).take(pa.array(seen)), "class": pa.array(kind[seen].astype(np.int32)), "n": pa.array(n[seen])})
-            yield from table.to_batches(max_chunksize=1 << 16)
+            kind = row["found"].to_numpy() % classes
+            tokens, before, train, _ = _block(row)
+            n += np.bincount(kind[before[train]] * classes + kind[tokens[train]], minlength=classes * classes)
+        at = np.flatnonzero(n)
+        yield from _flat({"pair": at, "n": n[at]})
 
     return run
 
@@ -256,65 +281,58 @@ class Model:
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(model.totals)
-        for b in batches:
-            for k in range(b.num_rows):
-                one = b.slice(k, 1)
-                row = one.drop_columns(["found"]).to_pylist()[0]
-                found = one.column("found").flatten()
-                at = found.field("at").to_numpy(zero_copy_only=False)
-                c, kind = np.zeros(len(at), np.float64), np.full(len(at), size, np.int64)
-                c[at], kind[at] = found.field("c").to_numpy(zero_copy_only=False), found.field("class").to_numpy(zero_copy_only=False)
-                kind[c == 0] = size
-                tokens, before, _, starts = _block(row)
-                base = np.log10((c + ADD) / (model.tokens + ADD * (model.distinct + 1)))
-                emit = np.log10((c + ADD) / np.append(model.totals, 1.0)[kind])
-                g, h = kind[before], kind[tokens]
-                each = np.where(h == size, model.unknown[g], np.hstack([model.moves, np.zeros((size + 1, 1))])[g, h] + emit[tokens])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(row["sizes"], pa.int64()),
-                        pa.array(np.add.reduceat((c > 0)[tokens].astype(np.int64), starts)), pa.array([model.tokens] * len(starts), pa.int64()),
-                        pa.array(np.add.reduceat(base[tokens], starts)), pa.array(np.add.reduceat(each, starts)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        classes = len(model.totals)
+        for row in _rows(batches):
+            found = row["found"].to_numpy()
+            c, kind = (found // classes).astype(float), np.where(found < classes, classes, found % classes)  # one further class of unknown words
+            tokens, before, _, starts = _block(row)
+            base = np.log10((c + ADD) / (model.tokens + ADD * (model.distinct + 1)))
+            emit = np.where(c > 0, np.log10((c + ADD) / np.append(model.totals, 1.0)[kind]), 0.0)
+            each = np.hstack([model.moves, model.unknown[:, None]])[kind[before], kind[tokens]] + emit[tokens]
+            sums = [np.add.reduceat(x, starts) for x in ((c > 0)[tokens].astype(np.int64), base[tokens], each)]
+            yield from _flat({
+                "doc_id": row["doc_ids"], "held_out": row["held"], "n_tokens": row["sizes"].cast(pa.int64()), "n_known": sums[0],
+                "train_tokens": np.full(len(starts), model.tokens), "base_score": sums[1], "score": sums[2],
+            })
 
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = FOLDS, core_size: int = CORE, classes: int = CLASSES) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = FOLDS, core_size: int = CORE, classes: int = CLASSES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document."""
+    if not 0 < classes <= 128:
+        raise ValueError("a neighbour's class and side are one byte")
+    spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
-    blocks = build_blocks(docs.select("doc_id", held.alias("held_out"), "text"))
-    core = {w: k for k, w in enumerate(core_words(blocks, core_size))}
-    pairs = blocks.drop("doc_ids", "counts").mapInArrow(_pair_counts(core), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    blocks = build_blocks(docs.select("doc_id", held.alias("held_out"), "text"), block_tokens)
+    core = core_words(blocks, core_size)
+    words, size = list(core), len(core)
+    texts = blocks.select("tokens", "sizes", "held", "vocabulary")
+    pairs = texts.mapInArrow(_pair_counts(words), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().sort_by("pair")
     key, n = pairs.column("pair").to_numpy(), pairs.column("n").to_numpy()
-    classes = min(classes, len(core))
-    kind = exchange(key // len(core), key % len(core), n, len(core), classes)
-    counts = np.bincount(kind[key // len(core)] * classes + kind[key % len(core)], n, classes**2).reshape(classes, classes)
-    chosen = Core({w: int(kind[k]) for w, k in core.items()}, np.log(transitions(counts)))
-
-    counts = np.zeros(classes**2)
-    for r in blocks.drop("doc_ids").mapInArrow(_class_pairs(chosen), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        counts[r["pair"]] = r["n"]
-    moves = transitions(counts.reshape(classes, classes))
-    votes = blocks.drop("doc_ids").mapInArrow(_votes(chosen), "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
-    known = stage(votes.groupBy("word").agg(F.sum("n").alias("c"), F.max_by("class", F.struct("n", "class")).alias("class")), "lm-words")
-    tokens, distinct, totals = 0, 0, np.zeros(classes)
-    kinds = np.zeros(classes)
+    classes = min(classes, size)
+    kind = exchange(key // size, key % size, n, size, classes)
+    counts = np.bincount(kind[key // size] * classes + kind[key % size], n, classes**2).reshape(classes, classes)
+
+    near = texts.mapInArrow(_contexts(words, kind, classes), "word binary, c long, near binary")
+    others = near.repartition("word").sortWithinPartitions("word").mapInArrow(_chosen(np.log(transitions(counts))), "word binary, c long, class int")
+    own = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "c": pa.array(list(core.values()), pa.int64()), "class": pa.array(kind.astype(np.int32))})).filter("c > 0")
+    known = stage(others.unionByName(own), "lm-words")
+
+    # a word's count times the number of classes, plus its class: one number for each place of a block's vocabulary
+    spelt = blocks.select("block", F.posexplode("vocabulary").alias("at", "word"))
+    found = spelt.join(known.select("word", (F.col("c") * classes + F.col("class")).alias("found")), "word", "left")
+    found = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("found", F.lit(0)).alias("found"))))["found"].alias("found"))
+    looked_up = stage(blocks.drop("vocabulary", "counts").join(found, "block"), "lm-blocks")
+    totals, kinds, moved = np.zeros(classes), np.zeros(classes), np.zeros(classes**2)
+    tokens = 0
     for r in known.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        tokens, distinct = tokens + r["c"], distinct + r["v"]
-        totals[r["class"]], kinds[r["class"]] = r["c"], r["v"]
-    totals = totals + ADD * (kinds + 1)
-    model = Model(tokens, distinct, np.log10(moves), np.log10(moves @ (ADD / totals)), totals)
-
-    lookup = (
-        blocks.select("block", F.posexplode("vocabulary").alias("at", "word"))
-        .join(known, "word", "left")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(0)).alias("class"))).alias("found"))
-    )
-    return blocks.drop("vocabulary", "counts").join(lookup, "block").mapInArrow(
+        tokens, totals[r["class"]], kinds[r["class"]] = tokens + r["c"], r["c"], r["v"]
+    drop(blocks, known)
+    for r in looked_up.select("tokens", "sizes", "held", "found").mapInArrow(_class_pairs(classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        moved[r["pair"]] = r["n"]
+    moves, totals = transitions(moved.reshape(classes, classes)), totals + ADD * (kinds + 1)
+    model = Model(tokens, int(kinds.sum()), np.log10(moves), np.log10(moves @ (ADD / totals)), totals)
+    return looked_up.select("doc_ids", "held", "sizes", "tokens", "found").mapInArrow(
         _score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -169,6 +169,86 @@ def test_probabilities_sum_to_one(spark):
     assert math.isclose(p[""] + sum(p[a] * x for a, x in zip(words, u, strict=True)), 1, rel_tol=1e-9)  # what starts a text
 
 
+def brute_class_lm(docs, core_size, classes):
+    """Scores by id, every exchange move judged by the whole likelihood."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    texts = {d: lm_tokens(t) for d, t in docs}
+    train = [t for d, t in texts.items() if not held(d)]
+    count, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["\n", *t[:-1]], t, strict=True))
+    words = sorted(count, key=lambda w: (w != "\n", -count[w], w.encode()))[:core_size]
+    place = {w: k for k, w in enumerate(words)}
+    core = {(place[a], place[b]): n for (a, b), n in pairs.items() if a in place and b in place}
+
+    def table(kind, of):
+        both = np.zeros((classes, classes))
+        for (a, b), n in of.items():
+            both[kind[a], kind[b]] += n
+        return both
+
+    x = lambda v: (v * np.log(np.maximum(v, 1e-300))).sum()
+
+    def likelihood(kind):
+        both = table(kind, core)
+        return x(both) - x(both.sum(0)) - x(both.sum(1))
+
+    kind = [k % classes for k in range(len(words))]
+    for _ in range(class_lm.PASSES):
+        moved = 0
+        for w in range(len(words)):
+            at = [likelihood([*kind[:w], k, *kind[w + 1 :]]) for k in range(classes)]
+            best = kind[w] if at[kind[w]] >= max(at) - 1e-9 else int(np.argmax(at))
+            moved, kind[w] = moved + (best != kind[w]), best
+        if moved <= len(words) // 200:
+            break
+
+    def moves(both):
+        own = (both.sum(0) + 1) / (both.sum(0) + 1).sum()
+        return (both + 2 * own) / (both.sum(1, keepdims=True) + 2), own
+
+    p, own = moves(table(kind, core))
+    of = {w: kind[k] for w, k in place.items()}
+    fixed = dict(of)
+    logs, log_own = np.round(np.log(p) * 65536), np.round(np.log(own) * 65536)
+    for w in count:
+        if w not in fixed:
+            gain, seen = -count[w] * log_own, 0
+            for (a, b), n in pairs.items():
+                if b == w and a in fixed:
+                    gain, seen = gain + n * logs[fixed[a]], 1
+                if a == w and b in fixed:
+                    gain, seen = gain + n * logs[:, fixed[b]], 1
+            of[w] = int(np.argmax(gain if seen else log_own))
+    p, _ = moves(table(of, pairs))
+    mass = np.array([sum(count[w] + 0.1 for w in of if of[w] == k) + 0.1 for k in range(classes)])
+    score = {}
+    for d, t in texts.items():
+        total = 0.0
+        known = [w in count for w in t]
+        for k, (a, b) in enumerate(zip(["\n", *t[:-1]], t, strict=True)):
+            if k and not known[k - 1]:
+                q = (table(of, pairs).sum(0) + 1) / (table(of, pairs).sum(0) + 1).sum()
+            else:
+                q = p[of[a]]
+            total += math.log10(q[of[b]] * (count[b] + 0.1) / mass[of[b]] if known[k] else (q * 0.1 / mass).sum())
+        score[d] = total
+    return score
+
+
+def test_scores_equal_those_of_a_brute_force_model(spark):
+    docs = [(r["doc_id"], " ".join((r["text"] or "").split()[:40])) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    rows = class_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), core_size=40, classes=4, block_tokens=500).collect()
+    want = brute_class_lm(docs, 40, 4)
+    assert len(rows) == len(want) and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in rows)
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
+    once = {r["doc_id"]: (r["score"], r["base_score"]) for r in class_lm.score_documents(docs.repartition(1)).collect()}
+    for parts, tokens in ((7, 1 << 18), (50, 1000)):
+        rows = class_lm.score_documents(docs.repartition(parts), block_tokens=tokens).collect()
+        assert len(rows) == len(once) and all(math.isclose(r[k], once[r["doc_id"]][j], rel_tol=1e-9) for r in rows for j, k in enumerate(("score", "base_score")))
+
+
 def test_exchange_gain_is_that_of_the_likelihood():
     rng = np.random.default_rng(1)
     n, classes = 40, 4

@@ -6,19 +6,20 @@
    put, for each segment, at the Hamming ball of radius 1 around it (33 places), so two segments that differ in at most 2
    bits meet. Of two fingerprints of 64 bits that differ in up to 5, one of the two segments does.
 3. Verification: entries that meet are compared in full. A meeting of n entries yields a spanning forest of the graph of
-   its links, at most n - 1 edges, never its n * n pairs, and the same meeting at many places is verified once. Meetings
-   of more than ``BLOCK`` entries are cut into blocks and each pair of blocks is a task of its own, so no task holds more
-   than about 2 * BLOCK entries and no link is lost.
+   its links, at most n - 1 edges, never its n * n pairs, and the same meeting at many places is verified once. Large
+   meetings are cut into blocks and each pair of blocks is a task of its own, so no task holds more than about two blocks and
+   no link is lost. A meeting of n blocks costs n * n / 2 comparisons of blocks and n copies of each.
 4. Components of those edges.
 
 ``near_duplicates`` links 64-bit fingerprints within ``bits`` bits, exactly. ``similar_documents`` links documents whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more, exactly but for collisions of 64-bit hashes of sets: its segments are parts of the
-sets (``shingle_sets``), of which every such pair shares one. Each meeting's least set is compared with the others in full; in the
-meetings that this does not join, 1024-bit fingerprints, taken at six standard deviations, pick the pairs to compare in full.
+shingles have a Jaccard similarity of 0.8 or more: its segments are those of ``shingle_sets``, of which such a pair shares one with probability
+1 - 1.5e-5 or more. Each entry's sets are compared with that of the least entry it meets; what that joins needs no further
+comparison. In meetings that are then still of several groups, all entries of different groups are compared: by 1024 SimHash bits within
+six standard deviations first, then in full. Sets are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts have fingerprint zero, or an empty set, and are linked like any other; null ids get the component of
-their fingerprint (null if no id is there); repeated rows and ties share their fingerprint; an empty table
-gives an empty result; further columns are ignored.
+their fingerprint (null if no id is there); repeated rows and ties share their fingerprint, and rows are kept or dropped one by one, so rows
+that share an id but not a text are documents of their own; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,17 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shingle_sets import places, similar
-from .storage import stage
+from .storage import drop, stage
 
 BITS = 4
 WIDTH = 4
 SEED = 42
 BLOCK = 2048
+BLOCK_ELEMENTS = 1 << 18  # of the sets of a block
 STAGE_WIDTH = 5
 SIMILARITY = 0.8
 STAGE_WORDS = 16  # 64-bit words of the fingerprint of a set
@@ -56,8 +58,8 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
 
 
-def majority(hashes: np.ndarray) -> list[int]:
-    """The bits that over half of the hashes of each row have."""
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes of each row have each bit: (rows, 64)."""
     ones = np.zeros((len(hashes), 8, 8), np.int64)
     for at in range(0, hashes.shape[1], 1 << 14):
         some = hashes[:, at : at + (1 << 14)]
@@ -65,8 +67,16 @@ def majority(hashes: np.ndarray) -> list[int]:
         for k in range(8):  # bit k of each byte; up to 255 of them add up within their bytes
             sums = np.add.reduceat((some >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts, axis=1)
             ones[:, :, k] += sums.view(np.uint8).reshape(len(hashes), -1, 8).sum(axis=1, dtype=np.int64)
-    packed = np.packbits(2 * ones.reshape(len(hashes), 64) > hashes.shape[1], axis=1, bitorder="little")
-    return packed.view("<u8").ravel().tolist()
+    return ones.reshape(len(hashes), 64)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def majority(hashes: np.ndarray) -> list[int]:
+    """The bits that over half of the hashes of each row have."""
+    return _packed(2 * _ones(hashes) > hashes.shape[1]).tolist()
 
 
 def widened(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -108,56 +118,45 @@ def _fingerprints(width: int):
     return run
 
 
-def _set_node(elements: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(elements.astype("<u8").tobytes(), SEED)
-
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """The 64 * ``STAGE_WORDS`` SimHash bits of a set."""
+    ones = np.zeros((STAGE_WORDS, 64), np.int64)
+    for at in range(0, len(elements), 1 << 13):
+        ones += _ones(widened(elements[at : at + (1 << 13)], STAGE_WORDS))
+    return _packed(2 * ones > len(elements))
 
-def _set_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        nodes = np.array([_set_node(shingle_set(x.as_py())) for x in b.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), _signed(nodes)], ["doc_id", "node"])
 
+def _set_node(elements: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(elements.astype("<u8").tobytes(), SEED)
 
-def _places(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: set[int] = set()
-            at: list[np.ndarray] = []
-            nodes: list[int] = []
-            held = 0
-            for x in b.column(0):
-                elements = shingle_set(x.as_py())
-                node = _set_node(elements)
-                if node in seen:
-                    continue
-                seen.add(node)
-                at.append(places(elements, similarity))
-                nodes.append(node)
-                held += len(at[-1])
-                if held > 1 << 18:
-                    yield _flat(at, nodes)
-                    at, nodes, held = [], [], 0
-            if nodes:
-                yield _flat(at, nodes)
 
-    return run
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([np.empty(0, np.uint64), *arrays])))
 
 
-def _flat(at: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_signed(np.concatenate(at)), _signed(np.repeat(np.array(nodes, np.uint64), [len(x) for x in at]))], ["place", "node"])
+NODES = "row long, doc_id long, node long, places array<long>"
+SETS = "node long, size long, elements binary, sketch array<long>"
 
 
-SETS = "node long, size int, elements binary, sketch array<long>"
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at, nodes = [], []
+        for x in b.column(2):
+            elements = shingle_set(x.as_py())
+            nodes.append(_set_node(elements))
+            at.append(places(elements))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(np.array(nodes, np.uint64)), _lists(at)], ["row", "doc_id", "node", "places"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingle_set(x.as_py()) for x in b.column(0)]
-        sketch = np.array([majority(widened(x, STAGE_WORDS)) if len(x) else [0] * STAGE_WORDS for x in sets], np.uint64).reshape(len(sets), STAGE_WORDS)
-        yield pa.RecordBatch.from_arrays(
-            [_signed(np.array([_set_node(x) for x in sets], np.uint64)), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()), pa.array(sketch.view(np.int64).tolist(), pa.list_(pa.int64()))],
-            ["node", "size", "elements", "sketch"],
-        )
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            sets = [shingle_set(x.as_py()) for x in whole.column(0).slice(lo, 256)]
+            yield pa.RecordBatch.from_arrays(
+                [_signed(np.array([_set_node(x) for x in sets], np.uint64)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()), _lists([sketch(x) for x in sets])],
+                ["node", "size", "elements", "sketch"],
+            )
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -165,54 +164,97 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
 
-def _forest(fps: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between the entries at ``left`` and those at ``right``."""
-    parent = np.arange(len(fps))
+class _Joined:
+    """Which entries of a meeting are joined already."""
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def __init__(self, labels: np.ndarray):
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        self.parent = first[of]
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    edges = []
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(x), self.root(y)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _sides(sides: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each entry with those it is compared with: the other side's, or the later ones if there is one side only."""
+    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     for i in left:
-        others = right[(right > i)] if left is right else right
-        for j in others[np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1) <= bits]:
-            a, b = root(int(i)), root(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((int(ids[i]), int(ids[j])))
-    return edges
+        yield int(i), right if len(right) else left[left > i]
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.StructArray]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.column(0)[k].values
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _numbers(rows: pa.StructArray, name: str) -> np.ndarray:
+    return rows.field(name).to_numpy(zero_copy_only=False)
+
+
+def _words(rows: pa.StructArray, name: str) -> np.ndarray:
+    return rows.field(name).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rows), -1)
 
 
 def _verify(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for met in b.column("met"):
-                rows = met.values
-                n = len(rows)
-                fps = rows.field("check").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
-                ids, sides = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "side"))
-                if sides.any():
-                    out += _forest(fps, ids, np.flatnonzero(sides == 0), np.flatnonzero(sides == 1), bits)
-                else:
-                    every = np.arange(n)
-                    out += _forest(fps, ids, every, every, bits)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for rows in _meetings(batches):
+            fps, ids, joined, out = _words(rows, "check"), _numbers(rows, "node"), _Joined(np.arange(len(rows))), []
+            for i, others in _sides(_numbers(rows, "side")):
+                near = others[np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1) <= bits]
+                out += [(int(ids[i]), int(ids[j])) for j in near if joined.join(i, int(j))]
+            yield _edges(out)
+
+    return run
+
+
+def _verify_sets(similarity: float):
+    """Edges between entries of different groups (own): first sizes and, from 64 shingles up, sketches rule pairs out, then sets are compared."""
+    bits = largest_distance(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _meetings(batches):
+            sketches, ids, sizes, own, out = _words(rows, "sketch"), _numbers(rows, "node"), _numbers(rows, "size"), _numbers(rows, "own"), []
+            joined, sets = _Joined(own), rows.field("elements")
+            at = lambda k: np.frombuffer(sets[k].as_py(), "<u8")  # noqa: B023, E731
+            for i, others in _sides(_numbers(rows, "side")):
+                others = others[own[others] != own[i]]
+                low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+                others = others[low >= similarity * high - 1e-9]
+                near = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1) <= bits
+                mine = None
+                for j in others[near | (np.minimum(sizes[others], sizes[i]) < 64)]:
+                    if joined.root(i) != joined.root(int(j)):
+                        mine = at(i) if mine is None else mine
+                        if similar(mine, at(int(j)), similarity):
+                            joined.join(i, int(j))
+                            out.append((int(ids[i]), int(ids[j])))
+            yield _edges(out)
 
     return run
 
 
-def _gathered(met: DataFrame, entries: DataFrame, block: int) -> DataFrame:
-    """(met): the entries, by ``node``, of each meeting (place, node, n), in pairs of blocks, each set of entries once."""
+def _gathered(met: DataFrame, entries: DataFrame) -> DataFrame:
+    """(met): the entries, by ``node``, of each meeting (place, node, blocks), in pairs of blocks, each set of entries once."""
     # an entry of block k goes to the task of each pair of blocks that has k; with one block, to that of (0, 0)
     tasks = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j"), F.struct((F.col("mine") > x).cast("int").alias("side"), "node").alias("who")),
     )
-    dealt = met.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("place", F.explode(tasks).alias("t"))
+    dealt = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("place", F.explode(tasks).alias("t"))
     meetings = dealt.groupBy("place", "t.i", "t.j").agg(F.sort_array(F.collect_list("t.who")).alias("who")).filter(F.size("who") > 1)
     once = meetings.groupBy("who").agg(F.min("place").alias("place"), F.min("i").alias("i"), F.min("j").alias("j"))
     full = once.select("place", "i", "j", F.explode("who").alias("w")).select("place", "i", "j", "w.*").join(entries, "node")
@@ -220,14 +262,19 @@ def _gathered(met: DataFrame, entries: DataFrame, block: int) -> DataFrame:
     return groups.select("met")
 
 
+def _blocks(amount: Column, block: int) -> Column:
+    return F.ceil(amount / F.lit(block)).cast("int")
+
+
 def links(entries: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
     """(a, b): edges between the entries (node, seek, check) with the same components as all pairs that meet by ``seek`` and are within ``bits`` bits by ``check``."""
     low = F.lit(0xFFFFFFFF)
     segments = F.flatten(F.transform("seek", lambda x, k: F.array(*[F.shiftleft(2 * k.cast("long") + h, 32).bitwiseOR(F.shiftrightunsigned(x, 32 * h).bitwiseAND(low)) for h in (0, 1)])))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
     places = entries.select("node", F.explode(segments).alias("own")).select("node", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("place"))
-    met = places.withColumn("n", F.count("*").over(Window.partitionBy("place"))).filter("n > 1")
-    return _gathered(met, entries.select("node", "check"), block).mapInArrow(_verify(bits), "a long, b long").distinct()
+    # counted before entries are brought together, so that a hot place is only a skewed join key
+    shared = stage(places.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place", _blocks(F.col("n"), block).alias("blocks")), "simhash")
+    return _gathered(places.join(shared, "place"), entries.select("node", "check")).mapInArrow(_verify(bits), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> DataFrame:
@@ -250,63 +297,53 @@ def _similar_pairs(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are at least this similar, a staged table."""
-    left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"of_{k}")) for k in "ab")
-    return stage(pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b").mapInArrow(_similar_pairs(similarity), "a long, b long"), "similar")
-
-
-def _open_pairs(similarity: float):
-    """Pairs of a meeting in different components that neither sizes nor, from 64 shingles up, sketches rule out."""
-    bits = largest_distance(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for met in b.column("met"):
-                rows = met.values
-                sketch = rows.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rows), -1)
-                ids, sides, sizes, own = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "side", "size", "own"))
-                left, right = (np.flatnonzero(sides == k) for k in (0, 1))
-                if not len(right):
-                    right = left
-                for i in left:
-                    others = right[right > i] if right is left else right
-                    low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-                    others = others[(own[others] != own[i]) & (low >= similarity * high - 1e-9)]
-                    near = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1) <= bits
-                    others = others[near | (np.minimum(sizes[others], sizes[i]) < 64)]
-                    if len(others):
-                        a, z = np.minimum(ids[others], ids[i]), np.maximum(ids[others], ids[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
-
-    return run
+def _grouped(rows: DataFrame, similarity: float) -> DataFrame:
+    """(row, doc_id, first): the first row (none, doc_id, row) of the group of each row (row, doc_id, text), a staged table. The least id is first, null ids come last."""
+    nodes = stage(rows.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_nodes, NODES), "similar")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    entries = stage(nodes.groupBy("node").agg(F.min(order).alias("first"), F.first("places").alias("places")), "similar")
+    places = entries.select("node", F.explode("places").alias("place"))
+    shared = stage(places.groupBy("place").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("place", "lead"), "similar")
+    met = stage(places.join(shared, "place"), "similar")
+    wanted = entries.join(met.select("node").distinct(), "node", "left_semi").select("first.row")
+    sets = stage(rows.join(wanted, "row", "left_semi").select(F.col("text").cast("string")).mapInArrow(_sets, SETS), "similar")
+    # first each entry with the least one it meets
+    star = stage(met.groupBy("node").agg(F.min("lead").alias("lead")).filter("lead < node"), "similar")
+    left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"of_{k}")) for k in ("lead", "node"))
+    edges = stage(star.join(right, "node").join(left, "lead").select("lead", "node", "of_lead", "of_node").mapInArrow(_similar_pairs(similarity), "a long, b long"), "similar")
+    joined = components(edges)
+    owned = stage(sets.join(joined, "node", "left").select("node", "size", "elements", "sketch", F.coalesce("component", "node").alias("own")), "similar")
+    drop(sets, shared, star, joined)
+    at = met.select("place", "node").join(owned.select("node", "own", "size"), "node")
+    mixed = stage(at.groupBy("place").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.sum("size").alias("n")).filter("least < most").select("place", _blocks(F.col("n"), BLOCK_ELEMENTS).alias("blocks")), "similar")
+    rest = _gathered(met.select("place", "node").join(mixed, "place"), owned).mapInArrow(_verify_sets(similarity), "a long, b long")
+    more = stage(rest.distinct(), "similar")
+    joined = components(edges.unionByName(more))
+    found = stage(entries.select("node", "first").join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "similar")
+    drop(met, owned, mixed, edges, more, joined, entries)
+    least = stage(found.groupBy("component").agg(F.min("first").alias("first")), "similar")
+    named = stage(found.drop("first").join(least, "component").select("node", "first"), "similar")
+    out = stage(nodes.select("row", "doc_id", "node").join(named, "node").select("row", "doc_id", "first"), "similar")
+    drop(nodes, found, least, named)
+    return out
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a staged table with a number for each row, and the name of its column. Nothing else tells repeated rows apart."""
+    name = next(x for x in (f"row_{k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns)
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of each document with an id: groups of documents that links of at least this similarity join, by all pairs."""
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    nodes = stage(rows.mapInArrow(_set_nodes, "doc_id long, node long"), "similar")
-    first = stage(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "similar")
-    at = Window.partitionBy("place")
-    every = rows.select("text").mapInArrow(_places(similarity), "place long, node long")
-    met = stage(every.withColumn("lead", F.min("node").over(at)).withColumn("last", F.max("node").over(at)).filter("lead < last").select("place", "node", "lead").distinct(), "similar")
-    wanted = stage(first.join(met.select("node").distinct(), "node", "left_semi"), "similar")
-    texts = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = stage(texts.mapInArrow(_sets, SETS).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "similar")
-    # first each meeting's least node with the others: what that joins needs no further comparison
-    edges = _verified(met.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity)
-    joined = stage(components(edges), "similar")
-    owned = stage(sets.join(joined, "node", "left").select("node", "size", "sketch", F.coalesce("component", "node").alias("own")), "similar")
-    mixed = met.select("place", "node").join(owned.select("node", "own"), "node").withColumns({"n": F.count("*").over(at), "least": F.min("own").over(at), "most": F.max("own").over(at)})
-    rest = _gathered(mixed.filter("least < most").select("place", "node", "n"), owned, BLOCK)
-    edges = edges.unionByName(_verified(stage(rest.mapInArrow(_open_pairs(similarity), "a long, b long").distinct(), "similar"), sets, similarity))
-    found = first.join(components(edges), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stage(found.join(least, "component").select("node", "component_id"), "similar")
-    return nodes.join(named, "node").select("doc_id", "component_id")
+    """(doc_id, component_id), one row per document: groups of documents that links of at least this similarity join, by the least id of each."""
+    rows, name = _numbered(docs.select("doc_id", "text"))
+    out = _grouped(rows.withColumnRenamed(name, "row"), similarity).select("doc_id", F.col("first.doc_id").alias("component_id"))
+    drop(rows)
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, without the documents that are not the first of their group. Rows without an id stay; repeated rows of one id are one document."""
-    gone = stage(similar_documents(docs, similarity).groupBy("doc_id").agg(F.min("component_id").alias("first")).filter("doc_id <> first").select("doc_id"), "simhash")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, one of each group: that with the least id, of those with no id or the same id any one."""
+    rows, name = _numbered(docs)
+    gone = _grouped(rows.select(F.col(name).alias("row"), "doc_id", "text"), similarity).filter("row <> first.row").select(F.col("row").alias(name))
+    return rows.join(gone, name, "left_anti").select(*docs.columns)

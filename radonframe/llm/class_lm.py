@@ -16,7 +16,7 @@ have is one further kind of word in every class, so its probability sums over th
 ``base_score`` is the unigram score the model is compared with: additive smoothing with 0.1 over all training tokens.
 
 No key is hot: rows are keyed by word or block, and a word has one row for each block, of the tens of thousands that a block has.
-A task holds one block at a time; a text is within one block, so the longest text bounds a block that is longer than ``BLOCK_TOKENS``.
+A task holds one block at a time and works on slices of about ``SLICE_TOKENS`` tokens; a text is within one slice, so the longest text bounds both.
 
 Defined cases: null and empty texts are one end token; a null id is a training document; repeated rows are documents of their own; with no
 training documents every word is unknown; an empty table gives an empty result; further columns are ignored; equally good classes go to the least.
@@ -24,20 +24,21 @@ training documents every word is unknown; an empty table gives an empty result;
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import drop, stage
 
 FOLDS = 10
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 22  # large, since a word has a row for each block that has it
+SLICE_TOKENS = 1 << 18
 CORE = 2048
 CLASSES = 64
 PASSES = 12
@@ -45,8 +46,8 @@ ADD = 0.1
 UNIT = 1 << 16  # of a log probability; sums below 2 ** 53 are exact
 PRIOR = 2.0  # pseudo-count of a class's transitions, spread like the classes themselves
 END = b"\n"
-_COLUMNS = {"block": pa.string(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "tokens": pa.binary(), "vocabulary": pa.list_(pa.binary()), "counts": pa.list_(pa.int32())}
-BLOCKS = "block string, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, vocabulary array<binary>, counts array<int>"
+_COLUMNS = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "tokens": pa.binary(), "vocabulary": pa.list_(pa.binary()), "counts": pa.list_(pa.int32())}
+BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, vocabulary array<binary>, counts array<int>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -59,13 +60,13 @@ def _build(block_tokens: int):
         held: list[bool] = []
         numbers: list[np.ndarray] = []
         vocabulary: dict[bytes, int] = {END: 0}
-        n = 0
+        block, n = TaskContext.get().partitionId() << 32, 0
 
         def flush() -> pa.RecordBatch:
             sizes = [len(x) for x in numbers]
             tokens = np.concatenate(numbers)
             train = tokens[np.repeat(~np.array(held, bool), sizes)]
-            row = [uuid.uuid4().hex, list(ids), list(held), sizes, tokens.astype("<i4").tobytes(), list(vocabulary), np.bincount(train, minlength=len(vocabulary)).tolist()]
+            row = [block, list(ids), list(held), sizes, tokens.astype("<i4").tobytes(), list(vocabulary), np.bincount(train, minlength=len(vocabulary)).tolist()]
             ids.clear(), held.clear(), numbers.clear(), vocabulary.clear()
             vocabulary[END] = 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _COLUMNS.values(), strict=True)], list(_COLUMNS))
@@ -79,7 +80,7 @@ def _build(block_tokens: int):
                 n += len(own)
                 if n >= block_tokens:
                     yield flush()
-                    n = 0
+                    block, n = block + 1, 0
         if ids:
             yield flush()
 
@@ -91,21 +92,25 @@ def build_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame
     return stage(docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(_build(block_tokens), BLOCKS), "lm-blocks")
 
 
-def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, previous tokens, whether in training, start of each document); a document's first token follows an end token."""
+def _slices(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, previous tokens, whether in training, start of each document) of a block's documents, slice by slice; a document's first token follows an end token."""
     tokens, sizes = np.frombuffer(row["tokens"], "<i4"), row["sizes"].to_numpy().astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[starts] = 0
-    return tokens, before, np.repeat(~row["held"].to_numpy(zero_copy_only=False).astype(bool), sizes), starts
+    train, ends = ~row["held"].to_numpy(zero_copy_only=False).astype(bool), np.cumsum(sizes)
+    cuts = np.append(np.flatnonzero(np.diff((ends - sizes) // SLICE_TOKENS, prepend=-1)), len(sizes))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        lo = ends[a] - sizes[a]
+        own, starts = tokens[lo : ends[b - 1]], ends[a:b] - sizes[a:b] - lo
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[starts] = 0
+        yield own, before, np.repeat(train[a:b], sizes[a:b]), starts
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The blocks of the batches one by one; a vocabulary stays an Arrow array."""
+    """The blocks of the batches one by one, lists as Arrow arrays and tokens as a buffer."""
     for b in batches:
         for k in range(b.num_rows):
-            yield {name: b.column(name)[k].values if pa.types.is_list(b.schema.field(name).type) else b.column(name)[k].as_py() for name in b.schema.names}
+            yield {name: b.column(name)[k].values if pa.types.is_list(b.schema.field(name).type) else b.column(name)[k].as_buffer() for name in b.schema.names}
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
@@ -133,12 +138,12 @@ def _pair_counts(words: list[bytes]):
         core, size = pa.array(words, pa.binary()), len(words)
         counts = np.zeros(size * size, np.int64)  # 32 MB
         for row in _rows(batches):
-            tokens, before, train, _ = _block(row)
             at = _at(row["vocabulary"], core)
-            a, b = at[before], at[tokens]
-            both = train & (a >= 0) & (b >= 0)
-            pair, n = np.unique(a[both] * size + b[both], return_counts=True)
-            counts[pair] += n
+            for tokens, before, train, _ in _slices(row):
+                a, b = at[before], at[tokens]
+                both = train & (a >= 0) & (b >= 0)
+                pair, n = np.unique(a[both] * size + b[both], return_counts=True)
+                counts[pair] += n
         seen = np.flatnonzero(counts)
         yield from _flat({"pair": seen, "n": counts[seen]})
 
@@ -204,16 +209,17 @@ def _contexts(words: list[bytes], kinds: np.ndarray, classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, kind = pa.array(words, pa.binary()), np.append(kinds, -1)
         for row in _rows(batches):
-            tokens, before, train, _ = _block(row)
             known = kind[_at(row["vocabulary"], core)]
-            at = np.flatnonzero(train & (known[tokens] < 0))
-            word = tokens[at].astype(np.int64)
-            ahead, after = known[before[at]], known[tokens[at + 1]]  # a document's last token is the end token, which is a core word
-            key = np.concatenate([word[ahead >= 0] * 2 * classes + ahead[ahead >= 0], (word[after >= 0] * 2 + 1) * classes + after[after >= 0]])
-            key, n = np.unique(key, return_counts=True)
+            c, keys = np.zeros(len(known), np.int64), []
+            for tokens, before, train, _ in _slices(row):
+                at = np.flatnonzero(train & (known[tokens] < 0))
+                word = tokens[at].astype(np.int64)
+                ahead, after = known[before[at]], known[tokens[at + 1]]  # a document's last token is the end token, which is a core word
+                keys += [word[ahead >= 0] * 2 * classes + ahead[ahead >= 0], (word[after >= 0] * 2 + 1) * classes + after[after >= 0]]
+                c += np.bincount(word, minlength=len(known))
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
             near = np.empty(len(key), _CONTEXT)
             near["at"], near["n"] = key % (2 * classes), n
-            c = np.bincount(word, minlength=len(known))
             own = np.flatnonzero(c)
             ends = np.searchsorted(key, (own + 1) * 2 * classes) * _CONTEXT.itemsize
             packed = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(near.tobytes())])
@@ -262,8 +268,8 @@ def _class_pairs(classes: int):
         n = np.zeros(classes * classes, np.int64)
         for row in _rows(batches):
             kind = row["found"].to_numpy() % classes
-            tokens, before, train, _ = _block(row)
-            n += np.bincount(kind[before[train]] * classes + kind[tokens[train]], minlength=classes * classes)
+            for tokens, before, train, _ in _slices(row):
+                n += np.bincount(kind[before[train]] * classes + kind[tokens[train]], minlength=classes * classes)
         at = np.flatnonzero(n)
         yield from _flat({"pair": at, "n": n[at]})
 
@@ -285,15 +291,18 @@ def _score(model: Model):
         for row in _rows(batches):
             found = row["found"].to_numpy()
             c, kind = (found // classes).astype(float), np.where(found < classes, classes, found % classes)  # one further class of unknown words
-            tokens, before, _, starts = _block(row)
             base = np.log10((c + ADD) / (model.tokens + ADD * (model.distinct + 1)))
             emit = np.where(c > 0, np.log10((c + ADD) / np.append(model.totals, 1.0)[kind]), 0.0)
-            each = np.hstack([model.moves, model.unknown[:, None]])[kind[before], kind[tokens]] + emit[tokens]
-            sums = [np.add.reduceat(x, starts) for x in ((c > 0)[tokens].astype(np.int64), base[tokens], each)]
-            yield from _flat({
-                "doc_id": row["doc_ids"], "held_out": row["held"], "n_tokens": row["sizes"].cast(pa.int64()), "n_known": sums[0],
-                "train_tokens": np.full(len(starts), model.tokens), "base_score": sums[1], "score": sums[2],
-            })
+            moves, first = np.hstack([model.moves, model.unknown[:, None]]), 0
+            for tokens, before, _, starts in _slices(row):
+                each = moves[kind[before], kind[tokens]] + emit[tokens]
+                sums = [np.add.reduceat(x, starts) for x in ((c > 0)[tokens].astype(np.int64), base[tokens], each)]
+                ids, held, sizes = (row[k].slice(first, len(starts)) for k in ("doc_ids", "held", "sizes"))
+                first += len(starts)
+                yield from _flat({
+                    "doc_id": ids, "held_out": held, "n_tokens": sizes.cast(pa.int64()), "n_known": sums[0],
+                    "train_tokens": np.full(len(starts), model.tokens), "base_score": sums[1], "score": sums[2],
+                })
 
     return run
 

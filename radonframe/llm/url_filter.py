@@ -1,11 +1,12 @@
 """URL filters: rules first, then naive Bayes over the words of segmented host names and of paths.
 
 1. Rules (host and path prefix; the longest that fits wins) decide what they cover, and label the training pages.
-2. Unigram counts of the words of the pages' texts are a table. Every distinct host label is cut into all substrings of
-   up to ``MAX_WORD`` letters, which a join looks up in that table; a Viterbi pass per label takes the likeliest
-   split. The vocabulary is never broadcast.
-3. Multinomial naive Bayes with add-one smoothing over tokens hashed to ``BUCKETS`` buckets, trained on all pages that a
-   rule decides: the model's size is fixed, so it goes to the tasks with their code.
+2. Unigram counts of the words of the pages' texts are a table. Every distinct run of letters in a host is cut into all substrings of up
+   to ``SHORT`` letters, which a join looks up in that table; a longer word is found by its first ``SHORT`` letters and then
+   compared in full, so no word or run is cut. A Viterbi pass per run takes the likeliest split. Runs of digits are words of their own.
+3. Multinomial naive Bayes with add-one smoothing over the exact vocabulary, a table too: counts of each token by verdict over all pages
+   that a rule decides. Log odds are joined to the tokens of the pages and added up by page, in units of 2 ** -32, so that the sums do
+   not depend on their order. A token that no training page has says nothing.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; null html has no words; with no training
 pages every page without a rule is allowed, as are ties; repeated rows and null ids are rows like others; an empty
@@ -20,17 +21,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stage
+from .storage import drop, stage
 
-MAX_WORD = 20
+SHORT = 20
 MAX_RULES = 1_000_000
-BUCKETS = 1 << 16
+UNIT = float(1 << 32)  # of log odds
 COUNTER_ENTRIES = 400_000
 VERDICTS = ("allow", "block")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,7 +84,7 @@ def apply_rules(urls: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tag, word = re.compile(rb"<[^>]*>"), re.compile(rb"(?<![a-z\x80-\xff])[a-z]{2,%d}(?![a-z\x80-\xff])" % MAX_WORD)
+    tag, word = re.compile(rb"<[^>]*>"), re.compile(rb"[a-z\x80-\xff]+")
     counts: Counter[bytes] = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -102,22 +101,31 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unigrams(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts (one string column): runs of 2 to ``MAX_WORD`` letters a-z outside of tags."""
+    """(word, n) over all texts (one string column): runs of letters outside of tags, A-Z lower-cased; characters beyond ASCII count as letters."""
     return texts.filter(F.col(texts.columns[0]).isNotNull()).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for label in b.column(0).to_pylist():
-            at = [(k, n) for k in range(len(label)) for n in range(1, min(MAX_WORD, len(label) - k) + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array([x[0] for x in at], pa.int32()), pa.array([label[k : k + n] for k, n in at])], ["label", "at", "word"])
+        for number, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for lo in range(0, len(label), 1 << 12):
+                at = [(k, n) for k in range(lo, min(lo + (1 << 12), len(label))) for n in range(1, min(SHORT, len(label) - k) + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(at)), pa.array([x[0] for x in at], pa.int32()), pa.array([label[k : k + n] for k, n in at])], ["id", "at", "part"])
 
 
 def best_split(label: str, found: dict[tuple[int, int], int], total: int) -> list[str]:
-    """The likeliest words of a label. found: counts by (start, length); an unseen string of n letters has 10 ** -n of one count."""
+    """The likeliest words of a label. found: counts by (start, length); an unseen string of n letters has 10 ** -n of one count; ties go to the shorter last word."""
+    ten, whole = math.log(10), math.log(total)
+    ending: dict[int, list[tuple[int, int]]] = {}
+    for (start, n), count in found.items():
+        ending.setdefault(start + n, []).append((start, count))
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unseen = (0.0, 0)  # the best start of an unseen string, by its score plus what its letters would cost
     for end in range(1, len(label) + 1):
-        best.append(max((best[k][0] + math.log(max(found.get((k, end - k), 0), 10.0 ** (1 - (end - k)) / 10) / total), k) for k in range(max(0, end - MAX_WORD), end)))
+        unseen = max(unseen, (best[end - 1][0] + (end - 1) * ten, end - 1))
+        options = [(unseen[0] - end * ten - whole, unseen[1])]
+        options += [(best[start][0] + math.log(count) - whole, start) for start, count in ending.get(end, ())]
+        best.append(max(options))
     words, end = [], len(label)
     while end:
         words.append(label[best[end][1] : end])
@@ -126,69 +134,67 @@ def best_split(label: str, found: dict[tuple[int, int], int], total: int) -> lis
 
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """(label, words) of distinct labels (strings of a-z)."""
+    """(label, words) of distinct labels (strings of letters)."""
     total = max(counts.agg(F.sum("n")).first()[0] or 0, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [best_split(x["label"], {(f["at"], f["len"]): f["n"] for f in x["found"] if f["n"]}, total) for x in b.to_pylist()]
+            words = [best_split(x["label"], {(f["at"], f["len"]): f["n"] for f in x["found"] or ()}, total) for x in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
 
-    parts = labels.mapInArrow(_substrings, "label string, at int, word string").join(counts, "word", "left")
-    found = parts.groupBy("label").agg(F.collect_list(F.struct("at", F.length("word").alias("len"), "n")).alias("found"))
-    return found.mapInArrow(run, "label string, words array<string>")
+    labels = stage(labels.withColumn("id", F.monotonically_increasing_id()), "labels")
+    size = F.length("word")
+    parts = labels.select("id", "label").mapInArrow(_substrings, "id long, at int, part string")
+    short = parts.join(counts.filter(size <= SHORT).withColumnRenamed("word", "part"), "part").select("id", "at", F.length("part").alias("len"), "n")
+    longer = counts.filter(size > SHORT).withColumn("part", F.substring("word", 1, SHORT))
+    same = F.substring(F.col("label"), F.col("at") + 1, size) == F.col("word")
+    long = parts.filter(F.length("part") == SHORT).join(longer, "part").join(labels, "id").filter(same).select("id", "at", size.alias("len"), "n")
+    found = short.unionByName(long).groupBy("id").agg(F.collect_list(F.struct("at", "len", "n")).alias("found"))
+    return labels.join(found, "id", "left").select("label", "found").mapInArrow(run, "label string, words array<string>")
 
 
-def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(host, words): the words of all labels of each distinct host."""
-    labels = hosts.select("host").distinct().select("host", F.posexplode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("at", "label"))
-    split = segment(labels.select("label").distinct(), counts)
-    return labels.join(split, "label").groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
-
-
-_TOKEN = re.compile(r"[^\W_]+")
+LABEL = r"[0-9]+|[^\x00-\x60\x7B-\x7F]+"
 
 
-def buckets(words: list[str] | None, path: str) -> np.ndarray:
-    """Hashed tokens of a url: the host's words, and the path's runs of letters and digits."""
-    tokens = [f"h {w}" for w in words or ()] + [f"p {w}" for w in _TOKEN.findall(path.lower())]
-    return np.array([xxhash.xxh64_intdigest(t.encode()) % BUCKETS for t in tokens], np.int64)
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words): the words of all runs of letters of each distinct host, and its runs of digits."""
+    labels = hosts.select("host").distinct().select("host", F.posexplode(F.regexp_extract_all("host", F.lit(LABEL), F.lit(0))).alias("at", "label"))
+    letters = ~F.col("label").rlike("^[0-9]")
+    split = segment(labels.filter(letters).select("label").distinct(), counts)
+    words = labels.join(split, "label", "left").withColumn("words", F.coalesce("words", F.array("label")))
+    return words.groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros((2, BUCKETS + 1), np.int64)  # the last place counts pages
-    for b in batches:
-        for words, path, ruled in zip(b.column("words").to_pylist(), b.column("path").to_pylist(), b.column("ruled").to_pylist(), strict=True):
-            k = VERDICTS.index(ruled)
-            np.add.at(n[k], buckets(words, path), 1)
-            n[k, BUCKETS] += 1
-    kind, at = np.nonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(n[kind, at])], ["kind", "at", "n"])
+def page_tokens(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(row, ruled, token) of pages (row, host, path, ruled), repeats included: the host's words, and the path's runs of letters and digits in lower case."""
+    own = pages.join(hosts, "host").select("row", "ruled", F.explode(F.transform("words", lambda w: F.concat(F.lit("h "), w))).alias("token"))
+    path = F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return own.unionByName(pages.select("row", "ruled", F.explode(F.transform(path, lambda w: F.concat(F.lit("p "), w))).alias("token")))
 
 
-def train(tokens: DataFrame) -> np.ndarray:
-    """Log odds of "block" by bucket, and of the classes at the end. At most 2 * (BUCKETS + 1) sums reach the driver."""
-    sums = tokens.filter("ruled is not null").mapInArrow(_class_counts, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros((2, BUCKETS + 1))
-    for r in sums:
-        n[r["kind"], r["at"]] = r["n"]
-    logs = np.log(n[:, :BUCKETS] + 1) - np.log(n[:, :BUCKETS].sum(axis=1, keepdims=True) + BUCKETS)
-    priors = np.log(n[:, BUCKETS] + 1)
-    return np.append(logs[1] - logs[0], priors[1] - priors[0])
+def train(pages: DataFrame, tokens: DataFrame) -> tuple[int, DataFrame]:
+    """Log odds of "block", in units: those of the classes, and a staged table (token, odds)."""
+    allow, block = (F.count(F.when(F.col("ruled") == v, 1)) for v in VERDICTS)
+    counts = stage(tokens.filter("ruled is not null").groupBy("token").agg(allow.alias("allow"), block.alias("block")), "urls")
+    n = counts.agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in VERDICTS], F.count("*").alias("distinct")).first()
+    of = pages.agg(allow.alias("allow"), block.alias("block")).first()
+    share = lambda v: F.log((F.col(v) + 1) / F.lit(float(n[v] + n["distinct"])))
+    odds = stage(counts.select("token", F.round((share("block") - share("allow")) * UNIT).cast("long").alias("odds")), "urls")
+    drop(counts)
+    return round((math.log(of["block"] + 1) - math.log(of["allow"] + 1)) * UNIT), odds
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], seen: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds) of each page (page_id, url, html). seen: other texts to count words in."""
-    ruled = stage(apply_rules(split_url(pages.withColumn("page_id", F.col("page_id").cast("long"))), Rules(rules)), "urls")
+    urls = apply_rules(split_url(pages.withColumn("page_id", F.col("page_id").cast("long"))), Rules(rules))
+    ruled = stage(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
     counts = stage(unigrams((pages if seen is None else seen).select("html")), "urls")
     hosts = stage(host_words(ruled, counts), "urls")  # so that adaptive execution can split a hot host's rows
-    tokens = stage(ruled.join(hosts, "host", "left"), "urls")
-    odds = train(tokens)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            each = [float(odds[buckets(w, p)].sum() + odds[BUCKETS]) for w, p in zip(b.column("words").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            verdicts = [r or VERDICTS[x > 0] for r, x in zip(b.column("ruled").to_pylist(), each, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("page_id", "host", "path", "rule")] + [pa.array(verdicts, pa.string()), pa.array(each, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "log_odds"])
-
-    return tokens.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, log_odds double")
+    tokens = stage(page_tokens(ruled.select("row", "host", "path", "ruled"), hosts), "urls")
+    prior, odds = train(ruled, tokens)
+    sums = stage(tokens.join(odds, "token").groupBy("row").agg(F.sum("odds").alias("odds")), "urls")
+    drop(counts, hosts, tokens, odds)
+    log_odds = (F.coalesce("odds", F.lit(0)) + F.lit(prior)) / UNIT
+    judged = ruled.join(sums, "row", "left").withColumn("log_odds", log_odds)
+    verdict = F.coalesce("ruled", F.when(F.col("log_odds") > 0, VERDICTS[1]).otherwise(VERDICTS[0]))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "log_odds")

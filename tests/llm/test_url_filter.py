@@ -72,3 +72,55 @@ def test_best_split_is_the_best_of_all():
 
     splits = [[label[a:b] for a, b in zip((0, *cut), (*cut, 5), strict=True)] for n in range(5) for cut in itertools.combinations(range(1, 5), n)]
     assert math.isclose(score(got), max(map(score, splits)))
+
+
+def brute_words_of(label, counts, total):
+    """All splits by recursion over the end, likeliest first, the shorter last word on ties."""
+    import functools
+    import math
+
+    @functools.cache
+    def best(n):
+        if not n:
+            return 0.0, ()
+        options = []
+        for k in range(n):
+            word = label[k:n]
+            options.append((best(k)[0] + (math.log(counts[word]) if word in counts else -len(word) * math.log(10)) - math.log(total), k, (*best(k)[1], word)))
+        top = max(x[0] for x in options)
+        return max((x for x in options if x[0] > top - 1e-9), key=lambda x: x[1])[::2]
+
+    return list(best(len(label))[1])
+
+
+def test_verdicts_equal_a_brute_force_model(spark, sf_dir):
+    import math
+    from collections import Counter
+
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    long = "extraordinarilylongcompoundword"
+    more = ["x://news24online.example.com/fr/a-1", f"x://{long}pills.com/de/x_9", "x://bücherladen.com/de/ä", f"x://shop{long}.net/x", "x://777.net/Ä/1", "x://xn--bcher-kva.io/"]
+    pages += [(10_000 + k, u, f"<b>{long} shop pills news bücherladen") for k, u in enumerate(more * 3)]
+    counts = Counter(w for _, _, h in pages for w in re.findall("[a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in re.sub("<[^>]*>", " ", h or ""))))
+    total = sum(counts.values())
+
+    def tokens(host, path):
+        for run in re.findall("[0-9]+|[a-z\x80-\U0010ffff]+", host):
+            yield from (f"h {w}" for w in ([run] if run[0].isdigit() else brute_words_of(run, counts, total)))
+        yield from (f"p {w}" for w in re.findall(r"[^\W_]+", path.lower()))
+
+    seen, of = {"allow": Counter(), "block": Counter()}, Counter()
+    for _, url, _ in pages:
+        host, path = brute_split(url)
+        if v := brute_rule(host, path)[1]:
+            seen[v].update(tokens(host, path))
+            of[v] += 1
+    distinct = len(set(seen["allow"]) | set(seen["block"]))
+    share = lambda v, t: math.log((seen[v][t] + 1) / (sum(seen[v].values()) + distinct))
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert len(got) == len(pages)
+    for d, url, _ in pages:
+        host, path = brute_split(url)
+        odds = math.log((of["block"] + 1) / (of["allow"] + 1)) + sum(share("block", t) - share("allow", t) for t in tokens(host, path) if t in seen["allow"] or t in seen["block"])
+        assert math.isclose(got[d]["log_odds"], odds, abs_tol=1e-6)
+        assert got[d]["verdict"] == (brute_rule(host, path)[1] or ("block" if odds > 0 else "allow"))

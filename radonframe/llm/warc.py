@@ -9,7 +9,8 @@ decodes to a WARC header, and owns the records that start inside its range, the
 beyond the range. Within a range, members follow each other without scanning.
 
 Defined cases: null html is an empty payload; a null page_id stays null; a null url is an empty target; control and
-non-ASCII characters of a url are percent-encoded; repeated rows (same id, same payload) are one page, each a response;
+non-ASCII characters of a url are percent-encoded; a record's id names its page and payload, so only repeated rows (same id, same payload),
+which are one page and each a response, share it;
 a null id loses to any other; an empty table writes no file and gives an empty result; further columns are ignored.
 """
 
@@ -42,15 +43,17 @@ _PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
 def plan_records(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, refers_to): payload is null where the record revisits page refers_to."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn(
-        "key", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.struct(F.unhex(F.sha2("payload", 256)).alias("d"), F.octet_length("payload").alias("n")))
-    )
-    keep = rows.filter("key is not null").groupBy("key").agg(F.max("page_id").alias("keep"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    return rows.join(keep, "key", "left").select("page_id", "url", "payload", F.when(~F.equal_null("page_id", "keep"), F.col("keep")).alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
+    large = F.octet_length("payload") >= REVISIT_BYTES
+    keyed = rows.filter(large).withColumn("key", F.struct(F.unhex(F.sha2("payload", 256)).alias("d"), F.octet_length("payload").alias("n")))
+    # staged, so that adaptive execution can split a hot payload's rows; small payloads pass by the join
+    keep = stage(keyed.groupBy("key").agg(F.max("page_id").alias("keep"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "warc-keep")
+    joined = keyed.join(keep, "key", "left").select("page_id", "url", "payload", F.when(~F.equal_null("page_id", "keep"), F.col("keep")).alias("refers_to"))
+    return joined.unionByName(rows.filter(~large).withColumn("refers_to", F.lit(None).cast("long")))
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, date: str = DATE) -> bytes:
@@ -59,9 +62,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or '', safe=_PRINTABLE)}", f"WARC-Payload-Digest: sha1:{digest}", f"Page-ID: {'' if page_id is None else page_id}",
-        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"Refers-To-Page-ID: {refers_to}"]),
+        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"Refers-To-Page-ID: {refers_to}"]),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"

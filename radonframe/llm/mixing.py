@@ -10,10 +10,11 @@ Rounding: cumulative rates, from the largest size down, are rounded to whole cop
 size down adds or removes the few copies that bring it nearest to the target: a source of ten documents misses it by a
 few hundredths, one of fifty by less than 0.3 %. That pass folds over a source's cells in one row: as many as the source has distinct
 sizes, not documents. A cell's copies are dealt evenly to its documents, the rest to those that come first by salt (a
-hash of the id) and id; the salt splits each cell into ``SALTS`` parts, so no task orders a hot cell.
+hash of id and text), id and a hash of the text; the salt splits each cell into ``SALTS`` parts, so no task orders a hot cell, be it
+one of null ids.
 
 Defined cases: null text has size 0; the null source is a source, the last; null ids come first; repeated rows
-are documents of their own (which of them gets an odd copy is not visible); documents of size 0 take nothing; an empty
+are documents of their own (of equal ids, sources and texts, which gets an odd copy is not visible); documents of size 0 take nothing; an empty
 table gives an empty result; further columns are ignored. Reruns agree.
 """
 
@@ -33,13 +34,14 @@ TOLERANCE = 1e-7
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, _key, _size, _salt, _doc): the source (nulls as ''), the size, the salt, and the row itself."""
+    """(id, _key, _size, _salt, _text, _doc): the source (nulls as ''), the size, the salt, a hash of the text, and the row itself."""
     source = F.col(source_col).cast("string")
     return docs.select(
         id_col,
         F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source)).alias("_key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt"),
+        F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).alias("_salt"),
+        F.xxhash64(text_col).alias("_text"),
         F.struct(*docs.columns).alias("_doc"),
     )
 
@@ -143,10 +145,10 @@ def with_copies(rows: DataFrame, parts: DataFrame, copies: DataFrame, id_col: st
     """``rows`` (of ``keyed``) with copies, rate, source_size and target. parts: the count m of each (_key, _size, _salt)."""
     before = Window.partitionBy("_key", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     plan = parts.withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0))).join(copies, ["_key", "_size"]).drop("m")
-    place = F.col("start") + F.row_number().over(Window.partitionBy("_key", "_size", "_salt").orderBy(id_col))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("_key", "_size", "_salt").orderBy(id_col, "_text"))
     whole = F.floor(F.col("copies") / F.col("n"))
     dealt = rows.join(plan, ["_key", "_size", "_salt"]).withColumn("place", place)
-    return dealt.withColumn("copies", whole + F.when(F.col("place") <= F.col("copies") - whole * F.col("n"), 1).otherwise(0)).drop("place", "start", "n")
+    return dealt.withColumn("copies", whole + F.when(F.col("place") <= F.col("copies") - whole * F.col("n"), 1).otherwise(0)).drop("place", "start", "n", "_text")
 
 
 def _plan(base: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +160,7 @@ def _plan(base: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFram
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, rate), one row per document."""
-    base = stage(keyed(docs).select("doc_id", "_key", "_size", "_salt"), "mixing")
+    base = stage(keyed(docs).select("doc_id", "_key", "_size", "_salt", "_text"), "mixing")
     return with_copies(base, *_plan(base, weights, cap)).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"), "copies", "rate"
     )

@@ -221,7 +221,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, file_tok
     """Write the files; the manifest (part, seq, file, n_tokens, blocks) comes back as a staged table."""
     folder = new_folder(docs.sparkSession, "tokens")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # a hot id's rows can go to several ranges, in order of their texts
+    dealt = rows.repartitionByRange("doc_id", F.substring("text", 1, 64), F.xxhash64("text")).sortWithinPartitions("doc_id", F.substring("text", 1, 64), F.xxhash64("text"))
     return stage(dealt.mapInArrow(_writer(tokenizer_path, folder, end_id, file_tokens, block_tokens), MANIFEST), "tokens-manifest")
 
 
@@ -260,8 +261,11 @@ def _reader(with_ids: bool):
 
 def read_pieces(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, total, at, n, crc[, ids]): the part of each document in each block, decoded from the files."""
-    order = Window.orderBy("part", "seq")
-    based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # parts first: what one task puts in order is a row for each task of the writer, and its files by themselves
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.sum("n").over(upto.orderBy("part")).alias("before"))
+    within = F.sum("n_tokens").over(upto.partitionBy("part").orderBy("seq"))
+    based = manifest.join(parts, "part").withColumn("base", F.coalesce("before", F.lit(0)) + F.coalesce(within, F.lit(0)))
     units = based.select("file", "base", F.explode("blocks.block").alias("block"))
     kind = "doc_id long, start long, total long, at long, n long, crc long" + ", ids array<long>" * with_ids
     count = based.agg(F.sum(F.size("blocks")).alias("n")).first()["n"] or 0

@@ -9,8 +9,8 @@ each less its term's offset in the phrase, are intersected until one is empty. W
 match is a stretch of one document of at most the phrase's length plus ``slop`` words that has all its terms in any order, each as
 often as the phrase does, and no shorter such stretch within; it is found around the rarest term's positions.
 
-The query set goes to the tasks with their code, in blocks of at most about ``BLOCK_BYTES`` of text: a larger benchmark takes
-more passes over the index, whose hits are united.
+The query set goes to the tasks with their code, in blocks of about ``BLOCK_BYTES`` of text at most, or of one item that is longer: a
+larger benchmark takes more passes over the index, whose hits are united.
 
 Words are runs of characters other than ASCII non-alphanumerics, after lowering A-Z. A window is ``width`` consecutive
 words of an item; an item of fewer words, but not none, is one window.
@@ -27,10 +27,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stage
+from .storage import drop, numbered, stage
 
 WIDTH = 10
 SLOP = 2
@@ -98,13 +99,18 @@ class Phrases:
         self.frequency = np.zeros(len(self.vocabulary), np.int64)
 
 
-def _frequencies(vocabulary: dict[bytes, int]):
+def _numbers(terms: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """The number of each term in a vocabulary, -1 where it is not there."""
+    return pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+
+
+def _frequencies(vocabulary: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(vocabulary), np.int64)
+        known, n = pa.array(vocabulary, pa.binary()), np.zeros(len(vocabulary), np.int64)
         for b in batches:
-            for terms, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                at = np.array([vocabulary.get(w, -1) for w in terms], np.int64)
-                np.add.at(n, at[at >= 0], counts.values.to_numpy()[at >= 0])
+            for terms, counts in zip(b.column(0), b.column(1), strict=True):
+                at = _numbers(terms.values, known)
+                n[at[at >= 0]] += counts.values.to_numpy()[at >= 0]  # a shard has each term once
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
 
@@ -113,15 +119,16 @@ def _frequencies(vocabulary: dict[bytes, int]):
 
 def rank_terms(index: DataFrame, phrases: Phrases) -> None:
     """Fill in the frequencies over the whole index of the phrases' terms (as many numbers as the block has terms)."""
-    sums = index.select("terms", "counts").mapInArrow(_frequencies(phrases.vocabulary), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = index.select("terms", "counts").mapInArrow(_frequencies(list(phrases.vocabulary)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     for r in sums.collect():
         phrases.frequency[r["at"]] = r["n"]
 
 
-def shard_lists(terms: list[bytes], counts: np.ndarray, postings: bytes, phrases: Phrases) -> dict[int, np.ndarray]:
+def shard_lists(terms: pa.Array, counts: np.ndarray, postings: pa.Buffer, vocabulary: pa.Array) -> dict[int, np.ndarray]:
     """Positions in a shard of the phrases' terms, by the term's number in the phrases' vocabulary."""
-    at, ends, every = phrases.vocabulary, np.cumsum(counts), np.frombuffer(postings, "<i4")
-    return {at[w]: every[e - n : e] for w, n, e in zip(terms, counts.tolist(), ends.tolist(), strict=True) if w in at}
+    at, ends, every = _numbers(terms, vocabulary), np.cumsum(counts), np.frombuffer(postings, "<i4")
+    here = np.flatnonzero(at >= 0)
+    return {k: every[e - n : e] for k, n, e in zip(at[here].tolist(), counts[here].tolist(), ends[here].tolist(), strict=True)}
 
 
 def phrase_starts(lists: dict[int, np.ndarray], phrases: Phrases) -> Iterator[tuple[int, np.ndarray]]:
@@ -190,10 +197,12 @@ HITS = "shard string, at int, doc_id long, n_words long, spans array<int>, items
 
 def _search(phrases: Phrases, owners: list[list[str]], slop: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(list(phrases.vocabulary), pa.binary())
         for b in batches:
-            for row in b.to_pylist():
-                starts, sizes = np.array(row["doc_starts"], np.int64), np.array(row["doc_words"], np.int64)
-                lists = shard_lists(row["terms"], np.array(row["counts"], np.int64), row["postings"], phrases)
+            for number in range(b.num_rows):
+                row = {name: b.column(name)[number] for name in b.schema.names}
+                starts, sizes = (row[name].values.to_numpy().astype(np.int64) for name in ("doc_starts", "doc_words"))
+                lists = shard_lists(row["terms"].values, row["counts"].values.to_numpy(), row["postings"].as_buffer(), vocabulary)
                 spans: dict[int, list[tuple[int, int]]] = {}
                 items: dict[int, set[str]] = {}
                 if slop is None:
@@ -208,7 +217,7 @@ def _search(phrases: Phrases, owners: list[list[str]], slop: int | None = None):
                 every = range(len(starts))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["shard"]] * len(starts)), pa.array(every, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(sizes),
+                        pa.array([row["shard"].as_py()] * len(starts), pa.string()), pa.array(every, pa.int32()), row["doc_ids"].values, pa.array(sizes),
                         pa.array([[v for s in united(spans.get(d, ())) for v in s] for d in every], pa.list_(pa.int32())),
                         pa.array([sorted(items.get(d, ())) for d in every], pa.list_(pa.string())),
                     ],
@@ -238,12 +247,13 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_windows(index: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, *, slop: int | None = None) -> DataFrame:
     """(shard, at, doc_id, n_words, spans, items): each document's hit words, as disjoint [from, to) pairs in a flat array, and the items hit; by exact windows or, with ``slop``, by proximity."""
+    items = items.select(F.col("item_id").cast("string"), "text").distinct()
     size = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
     hits: DataFrame | None = None
     for k in range(blocks):
         owners: dict[tuple[bytes, ...], set[str]] = {}
-        for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select(F.col("item_id").cast("string"), "text").collect():
+        for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect():
             for w in windows(r["text"], width):
                 owners.setdefault(w, set()).add("null" if r["item_id"] is None else r["item_id"])
         phrases = Phrases(owners)
@@ -270,7 +280,9 @@ def proximity(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int =
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs``, all columns, with no window of any item. Rows are told apart by a hash of id and text, so null and repeated ids are no matter."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.struct(*docs.columns).alias("_doc"))
-    hit = find_windows(build_index(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))), items, width).filter(F.size("spans") > 0)
-    return rows.join(stage(hit.select(F.col("doc_id").alias("_row")).distinct(), "hits"), "_row", "left_anti").select("_doc.*")
+    """The rows of ``docs``, all columns, with no window of any item. Rows are told apart by a number of their own, so null and repeated ids are no matter."""
+    rows, name = numbered(docs)
+    index = build_index(rows.select(F.col(name).alias("doc_id"), "text"))
+    hit = stage(find_windows(index, items, width).filter(F.size("spans") > 0).select(F.col("doc_id").alias(name)).distinct(), "hits")
+    drop(index)
+    return rows.join(hit, name, "left_anti").select(*docs.columns)

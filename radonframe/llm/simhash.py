@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingle_sets import places, similar
-from .storage import drop, stage
+from .storage import drop, numbered, stage
 
 BITS = 4
 WIDTH = 4
@@ -328,15 +328,9 @@ def _grouped(rows: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` as a staged table with a number for each row, and the name of its column. Nothing else tells repeated rows apart."""
-    name = next(x for x in (f"row_{k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns)
-    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
-
-
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id), one row per document: groups of documents that links of at least this similarity join, by the least id of each."""
-    rows, name = _numbered(docs.select("doc_id", "text"))
+    rows, name = numbered(docs.select("doc_id", "text"))
     out = _grouped(rows.withColumnRenamed(name, "row"), similarity).select("doc_id", F.col("first.doc_id").alias("component_id"))
     drop(rows)
     return out
@@ -344,6 +338,6 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, one of each group: that with the least id, of those with no id or the same id any one."""
-    rows, name = _numbered(docs)
+    rows, name = numbered(docs)
     gone = _grouped(rows.select(F.col(name).alias("row"), "doc_id", "text"), similarity).filter("row <> first.row").select(F.col("row").alias(name))
     return rows.join(gone, name, "left_anti").select(*docs.columns)

@@ -14,6 +14,7 @@ from urllib.parse import urlparse
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -44,6 +45,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a staged table with a number for each row, and the name of its column. Nothing else tells repeated rows apart."""
+    name = next(x for x in (f"row_{k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns)
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove staged tables that nothing reads any more."""
     for df in tables:

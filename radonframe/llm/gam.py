@@ -1,8 +1,8 @@
 """A generalised additive model with pairwise interactions for a 0/1 label, in numpy.
 
 Cyclic boosting: rounds go through the features in turn, and each fits a shallow tree of one feature to the residuals, whose leaf
-values add to that feature's lookup table. Pairs that explain most of what is left get tables of two features, boosted
-the same way. The rounds stop where the loss on a held-back part of the rows is least. A score is a sum of table
+values add to that feature's lookup table. Of all pairs of features, those that explain most of what is left get tables of two
+features, boosted the same way. The rounds stop where the loss on a held-back part of the rows is least. A score is a sum of table
 entries, one addition of a gathered column per table.
 """
 
@@ -130,9 +130,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 0) -> Gam:
     def histogram(i: int, j: int, w: np.ndarray) -> np.ndarray:
         return np.bincount(wide[i][train] * shape[j] + wide[j][train], w, shape[i] * shape[j]).reshape(shape[i], shape[j])
 
-    top = np.argsort([-np.abs(t[b[:, k]]).mean() for k, t in enumerate(model.tables)], kind="stable")[:12]
     g, h = grads()
-    gains = sorted(((-_pair_tree(histogram(i, j, g), histogram(i, j, h))[1], i, j) for a, i in enumerate(top.tolist()) for j in top.tolist()[a + 1 :]))
+    gains = sorted((-_pair_tree(histogram(i, j, g), histogram(i, j, h))[1], i, j) for i in range(len(sizes)) for j in range(i + 1, len(sizes)))
     model.pairs = [(i, j, np.zeros((shape[i], shape[j]))) for _, i, j in gains[:PAIRS]]
 
     def two(k: int) -> None:

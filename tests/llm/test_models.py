@@ -102,6 +102,45 @@ def test_quality_on_rows_held_out(spark):
     assert auc(held["score"].to_numpy(), held["quality"].to_numpy()) > 0.8
 
 
+MARKS = set("*#$%&@^~_=+<>{}[]\\/")
+
+
+def plain_features(text):
+    """The classifier's numbers, character by character and word by word."""
+    raw = (text or "").encode()
+    text = raw.decode("latin-1")
+    white = " \t\n\r\x0b\x0c"
+    words = [w for w in "".join(" " if c in white else c for c in text).split(" ") if w]
+    lines = [x for x in text.split("\n") if x.strip(white)]
+    n, chars = max(len(words), 1), max(len(text), 1)
+    counts, triples = Counter(words), {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+    share = lambda test: sum(map(test, text)) / chars
+    upper = lambda w: any("A" <= c <= "Z" for c in w) and not any("a" <= c <= "z" for c in w)
+    kinds = [lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: ord(c) > 127, lambda c: c in white, lambda c: c in ",;:", lambda c: c == ".", lambda c: c == "!", lambda c: c == "|", lambda c: c in MARKS]
+    other = lambda c: not any(k(c) for k in kinds) and not "a" <= c <= "z"
+    sizes = [len(w) for w in words] or [0]
+    return [
+        math.log(len(words) + 1), sum(sizes) / len(sizes), max(sizes), sum(k <= 3 for k in sizes) / len(sizes), len(counts) / n, max(counts.values(), default=0) / n,
+        1 - len(triples) / max(len(words) - 2, 1) if len(words) > 2 else 0.0, *map(share, kinds), share(other),
+        math.log(len(lines) + 1), n / max(len(lines), 1), 1 - len(set(lines)) / max(len(lines), 1), sum(x.rstrip(white)[-1:] in ".!?" for x in lines) / max(len(lines), 1),
+        sum("A" <= w[0] <= "Z" for w in words) / n, sum(upper(w) and len(w) > 1 for w in words) / n, sum(w[-1] in MARKS or w[0] in MARKS for w in words) / n, len(words) / (text.count(".") + 1),
+    ]
+
+
+def test_quality_scores_are_sums_of_table_entries(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels).collect()}
+    assert model.pairs
+    for r in docs.orderBy("doc_id").limit(200).collect():
+        x = [float(np.float32(v)) for v in plain_features(r["text"])]
+        at = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        total = model.intercept + sum(t[k] for t, k in zip(model.tables, at, strict=True))
+        total += sum(t[model.coarse[i][at[i]], model.coarse[j][at[j]]] for i, j, t in model.pairs)
+        assert math.isclose(got[r["doc_id"]], 1 / (1 + math.exp(-total)), rel_tol=1e-6)
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(d, d % 2, "x") for d in range(1, 11)] + [(1, None, "x"), (None, 1, "x")], "doc_id long, quality int, text string")
     rows = quality.score_documents(odd, labels).collect()

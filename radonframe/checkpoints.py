@@ -19,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="radonframe-"))
     return df.checkpoint()
+
+
+def kept(df: DataFrame, key: str) -> DataFrame:
+    """``df`` computed once, dealt to tasks by ``key``; later joins and groupings by that key need no shuffle of it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartition(parts, key))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 ELECTRON_KEV = 511.0
 ELECTRON_RADIUS_CM = 2.818e-13
+THOMSON_CM2 = 6.65e-25
 FWHM_PER_SIGMA = 2 * math.sqrt(2 * math.log(2))
 
 
@@ -25,10 +26,10 @@ def compton_differential(cos_theta: Column, energy: Column) -> Column:
 
 
 def compton_total(energy: Column) -> Column:
-    """Klein-Nishina total cross section (up to 2 pi r^2)."""
+    """Klein-Nishina total cross section in cm^2."""
     a = energy / ELECTRON_KEV
     near = (1 + a) / (a * a) * (2 * (1 + a) / (1 + 2 * a) - F.log(1 + 2 * a) / a)
-    return near + F.log(1 + 2 * a) / (2 * a) - (1 + 3 * a) / ((1 + 2 * a) * (1 + 2 * a))
+    return F.lit(0.75 * THOMSON_CM2) * (near + F.log(1 + 2 * a) / (2 * a) - (1 + 3 * a) / ((1 + 2 * a) * (1 + 2 * a)))
 
 
 def erf(x: Column) -> Column:
@@ -43,8 +44,8 @@ def erf(x: Column) -> Column:
 
 
 def detector_efficiency(energy: Column, resolution: float = 0.15, threshold: float = 430.0) -> Column:
-    """Share of photons of an energy that the threshold accepts, for a resolution (FWHM as a share of 511 keV)."""
-    sigma = resolution / FWHM_PER_SIGMA * F.sqrt(energy * ELECTRON_KEV)
+    """Share of photons of an energy that the threshold accepts, for a resolution (FWHM as a share of 511 keV, the same at all energies)."""
+    sigma = ELECTRON_KEV * resolution / FWHM_PER_SIGMA
     return 0.5 * (1 - erf((F.lit(threshold) - energy) / (math.sqrt(2) * sigma)))
 
 

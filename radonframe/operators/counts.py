@@ -64,9 +64,9 @@ def weighted_sum(counts: DataFrame, weights: DataFrame, by: str, keys: Sequence[
 
 
 def field_of_view(counts: DataFrame, contraction: int = 1) -> DataFrame:
-    """One row (r_first, r_last, z_first, z_last): the box of pixels with counts, ``contraction`` - 1 pixels smaller at each end."""
+    """One row (r_first, r_last, z_first, z_last): the box of pixels with counts, ``contraction`` pixels smaller at each end."""
     seen = counts.groupBy("r", "z").agg(F.sum("value").alias("value")).filter("value > 0")
-    c = contraction - 1
+    c = contraction
     return seen.agg((F.min("r") + c).alias("r_first"), (F.max("r") - c).alias("r_last"), (F.min("z") + c).alias("z_first"), (F.max("z") - c).alias("z_last"))
 
 
@@ -120,6 +120,23 @@ def stitch(images: DataFrame, offsets: DataFrame, size: int) -> DataFrame:
     return weighted.groupBy("x", "y", "plane").agg(F.sum(F.col("value") * F.col("weight")).alias("value")).withColumnRenamed("plane", "z")
 
 
+def fill_beds(projections: DataFrame, offsets: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
+    """(bed, keys, z, value) of beds ``size`` planes long: of an overlap, a bed takes the half next to its neighbour from that neighbour.
+
+    projections: (bed, keys, z, value); offsets: (bed, place, offset), offset the bed's first plane. A bed's planes below the middle of its
+    overlap with the bed below come from that one, those above the middle of the other overlap from the bed above.
+    """
+    w = Window.orderBy("place")  # beds, a handful
+    around = offsets.withColumns({"down": F.col("offset") - F.lag("offset").over(w), "up": F.lead("offset").over(w) - F.col("offset"), "below": F.lag("bed").over(w), "above": F.lead("bed").over(w)})
+    half = lambda d: F.floor((F.lit(size) - d) / 2).cast("int")
+    plan = around.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    z, low, high = F.col("z"), F.coalesce(half(F.col("down")), F.lit(0)), F.coalesce(F.col("up") + half(F.col("up")), F.lit(size))
+    source = F.when(z >= high, F.struct(F.col("above").alias("bed"), (z - F.col("up")).cast("int").alias("z")))
+    source = source.when(z < low, F.struct(F.col("below").alias("bed"), (z + F.col("down")).cast("int").alias("z"))).otherwise(F.struct(F.col("bed").alias("bed"), z.cast("int").alias("z")))
+    plan = plan.select(F.col("bed").alias("_bed"), F.col("z").cast("int").alias("_z"), source.alias("_from")).select("_bed", "_z", "_from.*")
+    return projections.join(plan, ["bed", "z"]).select(F.col("_bed").alias("bed"), *keys, F.col("_z").alias("z"), "value")
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], first: tuple[str, str], second: tuple[str, str], tie: str) -> DataFrame:
     """Each left row with the right row nearest by two differences in turn, of those with equal keys; ties by ``tie``.
 

@@ -115,9 +115,9 @@ def lor_radius() -> Column:
 
 
 def lor_angle() -> Column:
-    """Angle of a line with the x axis, infinite where the ends coincide."""
+    """Angle of a line with the x axis, up to a quarter turn; infinite where the ends coincide."""
     d = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
-    return F.when(d > 0, F.acos((F.col("x2") - F.col("x1")) / d)).otherwise(F.lit(float("inf")))
+    return F.when(d > 0, F.acos(F.abs(F.col("x2") - F.col("x1")) / d)).otherwise(F.lit(float("inf")))
 
 
 def in_volume(half: tuple[float, float, float], pairs: tuple[tuple[str, str], ...] = (("x", "y"), ("x", "z"), ("y", "z"))) -> Column:
@@ -136,6 +136,11 @@ def in_volume(half: tuple[float, float, float], pairs: tuple[tuple[str, str], ..
     return ~miss
 
 
+def coarse_tof(tof: Column, per_bin: int, middle: int) -> Column:
+    """A vendor's fine time bin as one of a scanner's coarse bins, which run the other way."""
+    return (-F.floor(tof / per_bin) + middle).cast("long")
+
+
 def ring_plane(r1: Column, r2: Column, rings: int) -> Column:
     """Number of the plane of two rings (from 0): direct planes first, then by ring difference, each way apart."""
     d = F.abs(r1 - r2)
@@ -199,22 +204,26 @@ def lookup_cells(events: DataFrame, sinogram: DataFrame, scanner: Scanner, tof_b
     return with_cells(events, scanner, tof_bins).join(sinogram, keys, "left").fillna(0.0, ["value"])
 
 
-SYMMETRY = [f"{level}_{way}" for way in ("trans", "axial") for level in ("crystal", "submodule", "module")]
+def level_number(detector: Column, level: str, way: str, scanner: Scanner) -> Column:
+    """A level's transaxial ("trans") or axial number of a detector."""
+    value, radix = (F.pmod(detector, F.lit(scanner.per_ring)) if way == "trans" else F.floor(detector / scanner.per_ring)), 1
+    for x in LEVELS[: LEVELS.index(level)]:
+        radix *= getattr(scanner, f"{x}_{way}")
+    return F.pmod(F.floor(value / radix), F.lit(getattr(scanner, f"{level}_{way}"))).cast("int")
 
 
 def symmetry_key(events: DataFrame, scanner: Scanner) -> DataFrame:
-    """Events with key: a pair's differences of level numbers, the smaller detector first, sector differences around the ring."""
-    low, high = F.least("detector_1", "detector_2"), F.greatest("detector_1", "detector_2")
+    """Events with key: what pairs of equal sensitivity share, the smaller detector first.
 
-    def number(d: Column, level: str, way: str) -> Column:
-        v, radix = (F.pmod(d, F.lit(scanner.per_ring)) if way == "trans" else F.floor(d / scanner.per_ring)), 1
-        for x in LEVELS[: LEVELS.index(level)]:
-            radix *= getattr(scanner, f"{x}_{way}")
-        return F.pmod(F.floor(v / radix), F.lit(getattr(scanner, f"{level}_{way}"))).cast("int")
-
-    parts = [(number(high, *n.split("_")) - number(low, *n.split("_")) + getattr(scanner, n) - 1).cast("int").alias(n) for n in ("crystal_trans", "submodule_trans", "module_trans", "crystal_axial", "submodule_axial", "module_axial")]
-    turn = F.pmod(number(high, "rsector", "trans") - number(low, "rsector", "trans"), F.lit(scanner.rsector_trans)).cast("int").alias("turn")
-    return events.withColumn("key", F.struct(*parts, turn))
+    Both crystals' axial and transaxial numbers, the differences of axial submodules and modules (from 0), and the turn between sectors.
+    """
+    ends = {1: F.least("detector_1", "detector_2"), 2: F.greatest("detector_1", "detector_2")}
+    parts = [level_number(d, "crystal", way, scanner).alias(f"crystal_{way}_{k}") for way in ("axial", "trans") for k, d in ends.items()]
+    for level in ("submodule", "module"):
+        difference = level_number(ends[2], level, "axial", scanner) - level_number(ends[1], level, "axial", scanner)
+        parts.append((difference + getattr(scanner, f"{level}_axial") - 1).cast("int").alias(f"{level}_axial"))
+    turn = level_number(ends[2], "rsector", "trans", scanner) - level_number(ends[1], "rsector", "trans", scanner)
+    return events.withColumn("key", F.struct(*parts, F.pmod(turn, F.lit(scanner.rsector_trans)).cast("int").alias("turn")))
 
 
 def normalization_weights(measured: DataFrame, pairs: DataFrame, scanner: Scanner, lut: DataFrame, cylinder: float, delta: float = 1e-11) -> DataFrame:
@@ -229,6 +238,17 @@ def normalization_weights(measured: DataFrame, pairs: DataFrame, scanner: Scanne
     return rows.select("detector_1", "detector_2", F.when(F.abs("radius") < cylinder, share * geometric_correction(F.col("radius"), cylinder, delta)).otherwise(0.0).alias("weight"))
 
 
+def norm_sinogram(weights: DataFrame, scanner: Scanner) -> DataFrame:
+    """(a, r, p, value) of all pairs' weights (detector_1, detector_2, weight): half of each pair's goes to the plane of its rings in either order, which the symmetry along the axis allows."""
+    p = scanner.per_ring
+    first = F.pmod("detector_1", F.lit(p)) >= F.pmod("detector_2", F.lit(p))
+    ends = {k: F.when(first if k == 1 else ~first, F.col("detector_1")).otherwise(F.col("detector_2")) for k in (1, 2)}
+    places = {f"_c{k}": F.pmod(d, F.lit(p)).cast("int") for k, d in ends.items()} | {f"_r{k}": F.floor(d / p).cast("int") for k, d in ends.items()}
+    planes = F.array(ring_plane(F.col("_r1"), F.col("_r2"), scanner.rings), ring_plane(F.col("_r2"), F.col("_r1"), scanner.rings))
+    placed = weights.withColumns(places).join(cell_table(weights.sparkSession, scanner), ["_c1", "_c2"]).withColumn("p", F.explode(planes))
+    return placed.groupBy("a", "r", "p").agg((F.sum("weight") / 2).alias("value"))
+
+
 def axial_sensitivity(z: Column, half: float) -> Column:
     """Triangular scale along the axis: 1 in the middle, 0 at the ends."""
     return F.greatest(1 - F.abs(z) / half, F.lit(0.0))

@@ -65,7 +65,7 @@ def log_cosh(delta: float = 1.0) -> dict[str, Callable[[Column, Column], Column]
     return {"phi0": lambda r, s: F.log(F.cosh((r - s) / delta)), "phi1": lambda r, s: F.tanh((r - s) / delta)}
 
 
-def relative_difference(gamma: float = 2.0, delta: float = 1e-11) -> dict[str, Callable[[Column, Column], Column]]:
+def relative_difference(gamma: float = 1.0, delta: float = 1e-11) -> dict[str, Callable[[Column, Column], Column]]:
     q = lambda r, s: r + s + gamma * F.abs(r - s) + delta
     return {
         "phi0": lambda r, s: (r - s) * (r - s) / q(r, s),
@@ -109,12 +109,11 @@ def kernel_matrix(df: DataFrame, keys: Sequence[str], n: int | None, scale: floa
     exp(-(difference / scale)^2 / 2) * exp(-(distance / width)^2 / 2), of the n most similar neighbours and the voxel itself.
     """
     own = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("k"), F.lit(1.0).alias("w"))
-    chosen = F.array_contains(F.slice(_ranked(), 1, n), F.lit(0)) if n else None
     parts = []
     for number, o in enumerate(OFFSETS):
         d = (F.col("value") - near_value(o)) / scale
         w = F.exp(-d * d / 2) * math.exp(-sum(x * x for x in o) / (2 * width * width))
-        if chosen is not None:
+        if n:
             w = F.when(F.array_contains("top", number), w).otherwise(0.0)
         parts.append(F.struct(*[F.lit(v).alias(c) for v, c in zip(o, "ijk", strict=True)], w.alias("w")))
     near = neighbourhood(df, keys)
@@ -131,11 +130,6 @@ def gaussian_kernel(sigma: float, half: int | None = None) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def triangle_kernel(sigma: float, half: int) -> list[float]:
-    raw = [max(0.0, 1 - abs(k) / sigma) for k in range(-half, half + 1)]
-    return [w / sum(raw) for w in raw]
-
-
 def lines(df: DataFrame, keys: Sequence[str], axis: str, axes: Sequence[str] = AXES, value: str = "value") -> DataFrame:
     """One row per line along an axis, line: its values in order."""
     rest = [a for a in axes if a != axis]
@@ -245,16 +239,20 @@ def centre_of_mass(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[(F.sum(F.col("value") * F.col(a)) / total).alias(f"c{a}") for a in AXES])
 
 
-def best_line_angle(df: DataFrame, keys: Sequence[str], angles_deg: Sequence[int], centre: float) -> DataFrame:
-    """(keys, angle): the line through (centre, centre) with the least weighted sum of distances of the voxels, ties by the smaller angle."""
-    sums = [F.sum(F.col("value") * F.abs((F.col("x") - centre) * math.sin(math.radians(a)) - (F.col("y") - centre) * math.cos(math.radians(a)))).alias(f"d{k}") for k, a in enumerate(angles_deg)]
+def best_line_angle(df: DataFrame, keys: Sequence[str], angles_deg: Sequence[int], shape: tuple[int, int]) -> DataFrame:
+    """(keys, angle): the line through the middle voxel (n // 2) with the least sum of distances of the voxels that are not zero, ties by the smaller angle.
+
+    Rows (x) go down and columns (y) to the right, as in an image.
+    """
+    row, column = F.col("x") - shape[0] // 2, F.col("y") - shape[1] // 2
+    sums = [F.sum(F.when(F.col("value") != 0, F.abs(column * math.sin(math.radians(a)) - row * math.cos(math.radians(a)))).otherwise(0.0)).alias(f"d{k}") for k, a in enumerate(angles_deg)]
     options = F.array(*[F.struct(F.round(F.col(f"d{k}"), 9).alias("d"), F.lit(a).alias("angle")) for k, a in enumerate(angles_deg)])
     return df.groupBy(*keys).agg(*sums).select(*keys, F.array_min(options)["angle"].alias("angle"))
 
 
 def ball_masks(df: DataFrame, size: int, radius: float) -> DataFrame:
-    """value, 0 outside of the discs of a radius about the grid's centre in each of the three planes."""
-    m = (size - 1) / 2
+    """value, 0 outside of the discs of a radius about the grid's middle voxel (n // 2) in each of the three planes."""
+    m = size // 2
     inside = lambda a, b: (F.col(a) - m) * (F.col(a) - m) + (F.col(b) - m) * (F.col(b) - m) <= radius * radius
     return df.withColumn("value", F.when(inside("x", "y") & inside("x", "z") & inside("y", "z"), F.col("value")).otherwise(0.0))
 

@@ -48,13 +48,13 @@ def gradient_sf(h: DataFrame, data: DataFrame, image: DataFrame, x: DataFrame, d
     return e.join(algebra.forward(h, x), "i").select("i", (-F.col("value") * F.col("g") / (F.col("e") * F.col("e"))).alias("value"))
 
 
-def mse_gradient(h: DataFrame, data: DataFrame, image: DataFrame, scale: float = 1.0) -> DataFrame:
+def mse_gradient(h: DataFrame, data: DataFrame, image: DataFrame, scale: float = 1.0, norm: DataFrame | None = None) -> DataFrame:
     """(j, value): scale * H^T (g - H f - s)."""
     rest = _expected(h, data, image).select("i", ((F.col("g") - F.col("fp") - F.col("s")) * scale).alias("value"))
     return algebra.backward(h, rest)
 
 
-def sart_gradient(h: DataFrame, data: DataFrame, image: DataFrame, delta: float = DELTA) -> DataFrame:
+def sart_gradient(h: DataFrame, data: DataFrame, image: DataFrame, delta: float = DELTA, norm: DataFrame | None = None) -> DataFrame:
     """(j, value): H^T ((g - H f - s) / (H 1 + delta))."""
     rest = _expected(h, data, image).join(algebra.row_sums(h), "i")
     return algebra.backward(h, rest.select("i", ((F.col("g") - F.col("fp") - F.col("s")) / (F.col("value") + delta)).alias("value")))

@@ -1,9 +1,9 @@
 """Line integrals through voxel grids by Joseph's method, and projectors that fuse them with the sums they feed.
 
-Rays are tables (i, x1, y1, z1, x2, y2, z2) in mm. A batch of rays is stepped at once along its main axis with bilinear interpolation
-in the other two. The matrix of a large system is never stored: ``project`` multiplies by an image in the
-same pass, ``back_project`` sums within each Arrow batch before the shuffle. Both take the image's grid with their code, and
-check its size (``MAX_VOXELS``); beyond it, use ``weights`` and the joins of ``algebra``.
+Rays are tables (i, x1, y1, z1, x2, y2, z2) in mm, with time of flight also offset, the centre of their time bin in mm from the line's middle
+towards its second end. A batch of rays is stepped at once along its main axis with bilinear interpolation in the other two. The
+matrix of a large system is never stored: ``project`` multiplies by an image in the same pass, ``back_project`` sums within each Arrow
+batch before the shuffle. An image of up to ``MAX_VOXELS`` voxels is broadcast; a larger one is joined to the rays' weights.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_VOXELS = 1 << 25
+from . import algebra
+
+MAX_VOXELS = 1 << 23  # 64 MB
 ENDS = ["x1", "y1", "z1", "x2", "y2", "z2"]
 
 
@@ -62,77 +64,75 @@ def joseph(rays: np.ndarray, grid: Grid, low: np.ndarray | None = None, high: np
     return tuple(np.concatenate([x[n] for x in out]) for n in range(3))
 
 
-def weights(rays: DataFrame, grid: Grid) -> DataFrame:
-    """(i, j, h): the matrix of the rays, j = (x * ny + y) * nz + z."""
+def tof_shares(t: np.ndarray, length: np.ndarray, bins: np.ndarray, width: float, sigma: float) -> np.ndarray:
+    """Share of a point at parameter t of a line that a time bin (centre in mm from the middle) sees: a Gaussian over the bin."""
+    z = (t - 0.5) * length - bins
+    erf = np.vectorize(math.erf, otypes=[float])
+    return 0.5 * (erf((z + width / 2) / (sigma * math.sqrt(2))) - erf((z - width / 2) / (sigma * math.sqrt(2))))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ray, voxel, w = joseph(f[ENDS].to_numpy(float), grid)
-            yield pd.DataFrame({"i": f["i"].to_numpy()[ray], "j": voxel, "h": w})
 
-    return rays.select("i", *ENDS).mapInPandas(run, "i long, j long, h double").groupBy("i", "j").agg(F.sum("h").alias("h"))
+def _kernel(x: pd.DataFrame, grid: Grid, tof: tuple[float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ray, voxel, weight) of a frame of rays; tof: (width, sigma) of time bins in mm."""
+    ends = x[ENDS].to_numpy(float)
+    ray, voxel, w = joseph(ends, grid)
+    if tof is not None:
+        place = np.stack(np.unravel_index(voxel, grid.shape), axis=1)
+        points = (place - (np.array(grid.shape) - 1) / 2) * np.array(grid.spacing)
+        step = ends[ray, 3:] - ends[ray, :3]
+        length = np.linalg.norm(step, axis=1)
+        t = ((points - ends[ray, :3]) * step).sum(axis=1) / length**2
+        w = w * tof_shares(t, length, x["offset"].to_numpy(float)[ray], *tof)
+    return ray, voxel, w
 
 
-def dense(image: DataFrame, grid: Grid) -> np.ndarray:
-    """The grid of an image (j, value), with a check of its size."""
-    n = math.prod(grid.shape)
-    if n > MAX_VOXELS:
-        raise ValueError(f"{n} voxels are too many to hold in each task; use weights() and algebra.forward()")
-    out = np.zeros(n)
-    rows = image.select("j", "value").toArrow()
-    out[rows.column("j").to_numpy()] = rows.column("value").to_numpy()
-    return out
+def _columns(tof: tuple[float, float] | None, *more: str) -> list[str]:
+    return ["i", *ENDS, *more, *(["offset"] if tof else [])]
 
 
-def project(rays: DataFrame, image: DataFrame, grid: Grid) -> DataFrame:
-    """(i, value): the image's integral along each ray."""
-    f = dense(image, grid)
+def weights(rays: DataFrame, grid: Grid, tof: tuple[float, float] | None = None) -> DataFrame:
+    """(i, j, h): the matrix of the rays, j = (x * ny + y) * nz + z."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            ray, voxel, w = joseph(x[ENDS].to_numpy(float), grid)
-            yield pd.DataFrame({"i": x["i"], "value": np.bincount(ray, w * f[voxel], len(x))})
-
-    return rays.select("i", *ENDS).mapInPandas(run, "i long, value double")
+            ray, voxel, w = _kernel(x, grid, tof)
+            yield pd.DataFrame({"i": x["i"].to_numpy()[ray], "j": voxel, "h": w})
 
-
-def tof_shares(t: np.ndarray, length: np.ndarray, bins: np.ndarray, width: float, sigma: float) -> np.ndarray:
-    """Share of a point at parameter t of a line that a time bin (centre in mm from the middle) sees: a Gaussian over the bin."""
-    z = (t - 0.5) * length - bins
-    erf = np.vectorize(math.erf, otypes=[float])
-    return 0.5 * (erf((z + width / 2) / (sigma * math.sqrt(2))) - erf((z - width / 2) / (sigma * math.sqrt(2))))
+    return rays.select(*_columns(tof)).mapInPandas(run, "i long, j long, h double").groupBy("i", "j").agg(F.sum("h").alias("h"))
 
 
-def project_tof(rays: DataFrame, image: DataFrame, grid: Grid, width: float, sigma: float) -> DataFrame:
-    """(i, value) of rays with a column offset, the centre of their time bin in mm from the line's middle towards its second end."""
-    f = dense(image, grid)
-    shape, d = np.array(grid.shape), np.array(grid.spacing)
+def project(rays: DataFrame, image: DataFrame, grid: Grid, tof: tuple[float, float] | None = None) -> DataFrame:
+    """(i, value): the integral along each ray of the image (j, value)."""
+    n = math.prod(grid.shape)
+    if n > MAX_VOXELS:
+        seen = algebra.forward(weights(rays, grid, tof), image)
+        return rays.select("i").join(seen, "i", "left").fillna(0.0, ["value"])
+    rows, f = image.select("j", "value").toArrow(), np.zeros(n)
+    f[rows.column("j").to_numpy()] = rows.column("value").to_numpy()
+    held = rays.sparkSession.sparkContext.broadcast(f)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            ends = x[ENDS].to_numpy(float)
-            ray, voxel, w = joseph(ends, grid)
-            place = np.stack(np.unravel_index(voxel, grid.shape), axis=1)
-            points = (place - (shape - 1) / 2) * d
-            step = ends[ray, 3:] - ends[ray, :3]
-            length = np.linalg.norm(step, axis=1)
-            t = ((points - ends[ray, :3]) * step).sum(axis=1) / length**2
-            share = tof_shares(t, length, x["offset"].to_numpy(float)[ray], width, sigma)
-            yield pd.DataFrame({"i": x["i"], "value": np.bincount(ray, w * f[voxel] * share, len(x))})
+            ray, voxel, w = _kernel(x, grid, tof)
+            yield pd.DataFrame({"i": x["i"], "value": np.bincount(ray, w * held.value[voxel], len(x))})
 
-    return rays.select("i", *ENDS, "offset").mapInPandas(run, "i long, value double")
+    return rays.select(*_columns(tof)).mapInPandas(run, "i long, value double")
 
 
-def back_project(rays: DataFrame, grid: Grid) -> DataFrame:
+def project_tof(rays: DataFrame, image: DataFrame, grid: Grid, width: float, sigma: float) -> DataFrame:
+    """(i, value) of rays with time bins."""
+    return project(rays, image, grid, (width, sigma))
+
+
+def back_project(rays: DataFrame, grid: Grid, tof: tuple[float, float] | None = None) -> DataFrame:
     """(j, value) of rays with a column value: sums within a batch, then over batches."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            ray, voxel, w = joseph(x[ENDS].to_numpy(float), grid)
+            ray, voxel, w = _kernel(x, grid, tof)
             j, at = np.unique(voxel, return_inverse=True)
             yield pd.DataFrame({"j": j, "value": np.bincount(at, w * x["value"].to_numpy(float)[ray], len(j))})
 
-    return rays.select("i", *ENDS, "value").mapInPandas(run, "j long, value double").groupBy("j").agg(F.sum("value").alias("value"))
+    return rays.select(*_columns(tof, "value")).mapInPandas(run, "j long, value double").groupBy("j").agg(F.sum("value").alias("value"))
 
 
 def cone_beam_rays(spark, angles: int, shape: tuple[int, int], spacing: float, source: float, detector: float) -> DataFrame:
@@ -180,33 +180,54 @@ def fdk_weights(projections: DataFrame, source: float, detector: float, columns:
 def fdk(projections: DataFrame, grid: Grid, angles: int, shape: tuple[int, int], spacing: float, source: float, detector: float) -> DataFrame:
     """(j, value): Feldkamp's reconstruction of (view, col, row, value), voxel driven, with bilinear interpolation on the panel.
 
-    Each (view) goes to one task as a panel, whose size is the detector's; voxel sums are added within tasks before the shuffle.
+    A task adds its views up to one slab of the volume, of at most ``MAX_VOXELS`` voxels, at a time; what is shuffled is a slab for each task.
     """
     columns, rows = shape
     filtered = filter_lines(fdk_weights(projections, source, detector, columns, rows, spacing), ["view", "row"], "col")
     n, d = math.prod(grid.shape), np.array(grid.spacing)
-    if n > MAX_VOXELS:
-        raise ValueError("too many voxels for one task's image")
+    slabs = -(-n // MAX_VOXELS)
+    parts = int(projections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        view = int(frame["view"].iloc[0])
-        panel = np.zeros(shape)
-        panel[frame["col"], frame["row"]] = frame["value"]
-        place = np.stack(np.unravel_index(np.arange(n), grid.shape), axis=1)
-        x, y, z = ((place - (np.array(grid.shape) - 1) / 2) * d).T
+    def add(out: np.ndarray, view: int, panel: np.ndarray, first: int) -> None:
         phi = 2 * math.pi * view / angles
-        depth = source - (x * math.cos(phi) + y * math.sin(phi))
-        scale = (source + detector) / depth
-        u = (-x * math.sin(phi) + y * math.cos(phi)) * scale / spacing + (columns - 1) / 2
-        v = z * scale / spacing + (rows - 1) / 2
-        value = np.zeros(n)
-        cu, cv = np.floor(u).astype(int), np.floor(v).astype(int)
-        for du in (0, 1):
-            for dv in (0, 1):
-                ok = (cu + du >= 0) & (cu + du < columns) & (cv + dv >= 0) & (cv + dv < rows)
-                w = np.abs(1 - du - (u - cu)) * np.abs(1 - dv - (v - cv))
-                value[ok] += w[ok] * panel[cu[ok] + du, cv[ok] + dv]
-        value *= (source / depth) ** 2 * (math.pi / angles) * (source + detector) / source / spacing
-        return pd.DataFrame({"j": np.arange(n), "value": value})
+        for lo in range(0, len(out), 1 << 18):
+            part = out[lo : lo + (1 << 18)]
+            place = np.stack(np.unravel_index(np.arange(first + lo, first + lo + len(part)), grid.shape), axis=1)
+            x, y, z = ((place - (np.array(grid.shape) - 1) / 2) * d).T
+            depth = source - (x * math.cos(phi) + y * math.sin(phi))
+            scale = (source + detector) / depth
+            u = (-x * math.sin(phi) + y * math.cos(phi)) * scale / spacing + (columns - 1) / 2
+            v = z * scale / spacing + (rows - 1) / 2
+            value = np.zeros(len(part))
+            cu, cv = np.floor(u).astype(int), np.floor(v).astype(int)
+            for du in (0, 1):
+                for dv in (0, 1):
+                    ok = (cu + du >= 0) & (cu + du < columns) & (cv + dv >= 0) & (cv + dv < rows)
+                    w = np.abs(1 - du - (u - cu)) * np.abs(1 - dv - (v - cv))
+                    value[ok] += w[ok] * panel[cu[ok] + du, cv[ok] + dv]
+            part += value * (source / depth) ** 2 * (math.pi / angles) * (source + detector) / source / spacing
 
-    return filtered.groupBy("view").applyInPandas(run, "j long, value double").groupBy("j").agg(F.sum("value").alias("value"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slab, view, out, panel = None, None, np.zeros(0), np.zeros(shape)
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for lo in range(0, len(out), 1 << 16):
+                part = out[lo : lo + (1 << 16)]
+                yield pd.DataFrame({"j": np.arange(slab * MAX_VOXELS + lo, slab * MAX_VOXELS + lo + len(part)), "value": part})
+
+        for frame in frames:
+            for (s, v), g in frame.groupby(["slab", "view"], sort=True):
+                if (s, v) != (slab, view):
+                    if view is not None:
+                        add(out, view, panel, slab * MAX_VOXELS)
+                    if s != slab:
+                        yield from flush()
+                        out = np.zeros(min(MAX_VOXELS, n - int(s) * MAX_VOXELS))
+                    slab, view, panel = int(s), int(v), np.zeros(shape)
+                panel[g["col"], g["row"]] = g["value"]
+        if view is not None:
+            add(out, view, panel, slab * MAX_VOXELS)
+            yield from flush()
+
+    dealt = filtered.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)))).repartition(parts, "slab", "view").sortWithinPartitions("slab", "view")
+    return dealt.select("slab", "view", "col", "row", "value").mapInPandas(run, "j long, value double").groupBy("j").agg(F.sum("value").alias("value"))

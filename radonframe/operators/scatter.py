@@ -1,18 +1,22 @@
-"""Single scatter simulation for PET: sampled scatter points, sampled detector pairs, and the tail fit."""
+"""Single scatter simulation for PET: sampled scatter points, sampled detector pairs, and the scale of the estimate.
+
+The integrals from every point to every sampled crystal are a table, one row for each such ray; pairs are joined to it by their two crystals,
+so a pair has a row for each point, which sums take in at once.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rays import Grid, dense, joseph
+from ..checkpoints import kept
+from ..functions import physics
+from . import algebra
+from .rays import Grid, project
 
-ELECTRON_KEV = 511.0
+ENDS = ("x", "y", "z")
 
 
 def scatter_points(attenuation: DataFrame, step: int = 4, cutoff: float = 0.004) -> DataFrame:
@@ -27,52 +31,105 @@ def sample_detectors(ids: DataFrame, per_ring: int, rings: int, between_rings: i
     return ids.filter((F.pmod(place, F.lit(within_ring)) == 0) & ((F.pmod(ring, F.lit(between_rings)) == 0) | (ring == rings - 1)))
 
 
-def klein_nishina_total(energy: np.ndarray) -> np.ndarray:
-    a = energy / ELECTRON_KEV
-    return (1 + a) / a**2 * (2 * (1 + a) / (1 + 2 * a) - np.log1p(2 * a) / a) + np.log1p(2 * a) / (2 * a) - (1 + 3 * a) / (1 + 2 * a) ** 2
+def _numbered(points: DataFrame, grid: Grid) -> DataFrame:
+    """(s, mu, sx, sy, sz): the points in mm, numbered by their voxel."""
+    nx, ny, nz = grid.shape
+    at = [((F.col(c) - (n - 1) / 2) * d).alias(f"s{c}") for c, n, d in zip(ENDS, grid.shape, grid.spacing, strict=True)]
+    return points.select(((F.col("x") * ny + F.col("y")) * nz + F.col("z")).cast("long").alias("s"), F.col("value").alias("mu"), *at)
+
+
+def _rays(points: DataFrame, crystals: DataFrame, share: tuple[int, int] | None = None) -> DataFrame:
+    """Rays from every point to every crystal, i = s * 2^20 + detector_id; share: (k, n), the k-th of n equal parts of each."""
+    every = points.join(crystals.select("detector_id", *ENDS), F.lit(True))  # the table of rays is the product of both samples
+    lo, hi = (0.0, 1.0) if share is None else (share[0] / share[1], (share[0] + 1) / share[1])
+    on = lambda c, t: F.col(f"s{c}") + (F.col(c) - F.col(f"s{c}")) * t
+    return every.select("s", "detector_id", (F.col("s") * (1 << 20) + F.col("detector_id")).alias("i"), *[on(c, t).alias(f"{c}{k}") for k, t in ((1, lo), (2, hi)) for c in ENDS])
 
 
-def single_scatter(pairs: DataFrame, points: DataFrame, activity: DataFrame, attenuation: DataFrame, grid: Grid, resolution: float = 0.15, threshold: float = 430.0) -> DataFrame:
-    """(i, value): mean over the scatter points of the single-scatter probability of each pair (i, x1 .. z2).
+def _norm(*parts: Column) -> Column:
+    return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
 
-    points: (x, y, z, value) in voxels, a sample whose number the lattice bounds; it goes to the tasks with the code, as the two grids do.
+
+def single_scatter(
+    pairs: DataFrame, lut: DataFrame, points: DataFrame, activity: DataFrame, attenuation: DataFrame, grid: Grid,
+    resolution: float = 0.15, threshold: float = 430.0, tof: tuple[list[float], float, int] | None = None,
+) -> DataFrame:
+    """(i[, tof], value): mean over the points of the single-scatter probability of each pair (i, detector_1, detector_2).
+
+    lut: (detector_id, x, y, z) of the sampled crystals; points: (x, y, z, value) in voxels; activity, attenuation: (j, value).
+    tof: (centres of the time bins in mm, sigma in mm, parts that each ray's emission integral is cut into).
+    """
+    numbered = _numbered(points, grid)
+    mu_rays = project(_rays(numbered, lut), attenuation, grid).select("i", F.exp(-F.col("value")).alias("pass"))
+    if tof is None:
+        emission = project(_rays(numbered, lut), activity, grid).select("i", F.array("value").alias("emission"))
+    else:
+        parts = [project(_rays(numbered, lut, (k, tof[2])), activity, grid).select("i", F.lit(k).alias("k"), "value") for k in range(tof[2])]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        emission = every.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("k", "value")))["value"].alias("emission"))
+    every = numbered.join(lut.select("detector_id", *ENDS), F.lit(True)).withColumn("i", F.col("s") * (1 << 20) + F.col("detector_id"))
+    legs = kept(every.join(mu_rays, "i").join(emission, "i").drop("i"), "detector_id")
+
+    out = pairs.select("i", "detector_1", "detector_2")
+    for k in (1, 2):
+        names = [F.col(c).alias(f"{c}_{k}") for c in (*ENDS, "pass", "emission")]
+        own = legs.select("s", F.col("detector_id").alias(f"detector_{k}"), *names, *(["mu", "sx", "sy", "sz"] if k == 1 else []))
+        out = out.join(own, "detector_1" if k == 1 else ["s", "detector_2"])
+    leg = {k: [F.col(f"{c}_{k}") - F.col(f"s{c}") for c in ENDS] for k in (1, 2)}
+    out = out.withColumns({f"far_{k}": _norm(*leg[k]) for k in (1, 2)})
+    dot = sum((p * q for p, q in zip(leg[1][1:], leg[2][1:], strict=True)), leg[1][0] * leg[2][0])
+    out = out.withColumn("cos", -dot / (F.col("far_1") * F.col("far_2")))  # of the angle by which the photon turns
+    out = out.withColumn("energy", physics.photon_energy_after_scatter(F.col("cos")))
+    whole = physics.compton_total(F.lit(physics.ELECTRON_KEV))
+    out = out.withColumn("more", physics.compton_total(F.col("energy")) / whole - 1)
+
+    def face(k: int) -> Column:
+        """Cosine of the incidence on a crystal of a ring."""
+        x, y = F.col(f"x_{k}"), F.col(f"y_{k}")
+        return (leg[k][0] * x + leg[k][1] * y) / (F.col(f"far_{k}") * _norm(x, y))
+
+    geometry = face(1) * face(2) * math.prod(grid.spacing) / F.pow(F.col("far_1") * F.col("far_2"), 2)
+    passed = F.col("pass_1") * F.col("pass_2") * F.col("mu")
+    section = physics.compton_differential(F.col("cos"), F.lit(physics.ELECTRON_KEV)) / whole
+    out = out.withColumn("factor", geometry * passed * section * physics.detector_efficiency(F.col("energy"), resolution, threshold))
+    # the photon that scatters passes its leg with less energy than the factor takes
+    slower = {k: F.pow(F.col(f"pass_{k}"), F.col("more")) for k in (1, 2)}
+    if tof is None:
+        each = F.col("emission_1")[0] * slower[2] + F.col("emission_2")[0] * slower[1]
+        return out.groupBy("i").agg(F.avg(F.col("factor") * each).alias("value"))
+    centres, sigma, n = tof
+
+    def seen(k: int) -> Column:
+        """By time bin: the emission integral's parts times the shares of the bins that see them."""
+        sign = -1 if k == 1 else 1
+        middles = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda m: (m + 0.5) / n * F.col(f"far_{k}"))
+        offsets = F.transform(F.array(*[F.lit(float(c)) for c in centres]), lambda c: sign * ((F.col("far_2") - F.col("far_1")) / 2 + c))
+        raw = F.transform(offsets, lambda o: F.transform(middles, lambda m: F.exp(-(o - m) * (o - m) / (2 * sigma * sigma))))
+        total = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda m: F.aggregate(raw, F.lit(0.0), lambda s, r: s + F.get(r, m)))
+        part = lambda r: F.zip_with(F.zip_with(r, total, lambda x, t: F.when(t > 0, x / t).otherwise(0.0)), F.col(f"emission_{k}"), lambda x, e: x * e)
+        return F.transform(raw, lambda r: F.aggregate(part(r), F.lit(0.0), lambda s, x: s + x))
+
+    both = F.zip_with(seen(1), seen(2), lambda a, b: F.col("factor") * (a * slower[2] + b * slower[1]))
+    return out.select("i", F.posexplode(both).alias("tof", "each")).groupBy("i", "tof").agg(F.avg("each").alias("value"))
+
+
+def scatter_scale(h: DataFrame, scatter: DataFrame, measured: DataFrame, attenuation: DataFrame, cutoff: float = 0.004, randoms: DataFrame | None = None) -> DataFrame:
+    """One row, value: the scale of a scatter estimate (i, value) to the measured (i, value) in bins that see nothing denser than the cutoff.
+
+    Both are back projected from those bins over the back projection of ones, less that of the randoms; negative voxels of what is left count
+    as zero, and the scale is the least-squares one. h: (i, j, h); time bins of a bin i are rows of their own.
     """
-    f, mu = dense(activity, grid), dense(attenuation, grid)
-    shape, d = np.array(grid.shape), np.array(grid.spacing)
-    rows = points.orderBy("x", "y", "z").toPandas()
-    at = (rows[["x", "y", "z"]].to_numpy(float) - (shape - 1) / 2) * d
-    mu_at, volume = rows["value"].to_numpy(float), float(np.prod(d))
-    erf = np.vectorize(math.erf, otypes=[float])
-
-    def integrals(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ray, voxel, w = joseph(ends, grid)
-        return np.bincount(ray, w * f[voxel], len(ends)), np.exp(-np.bincount(ray, w * mu[voxel], len(ends)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            a, b = x[["x1", "y1", "z1"]].to_numpy(float), x[["x2", "y2", "z2"]].to_numpy(float)
-            total = np.zeros(len(x))
-            for point, mu_s in zip(at, mu_at, strict=True):
-                s = np.broadcast_to(point, a.shape)
-                (ea, ta), (eb, tb) = integrals(np.hstack([s, a])), integrals(np.hstack([s, b]))
-                va, vb = a - s, b - s
-                ra, rb = np.linalg.norm(va, axis=1), np.linalg.norm(vb, axis=1)
-                cos = -(va * vb).sum(axis=1) / (ra * rb)  # of the angle by which the photon turns
-                energy = ELECTRON_KEV / (2 - cos)
-                p = energy / ELECTRON_KEV
-                dsigma = 0.5 * p * (1 - p * (1 - cos**2) + p**2)
-                sigma, sigma0 = klein_nishina_total(energy), klein_nishina_total(np.array([ELECTRON_KEV]))[0]
-                width = resolution / (2 * math.sqrt(2 * math.log(2))) * np.sqrt(energy * ELECTRON_KEV)
-                eff = 0.5 * (1 - erf((threshold - energy) / (math.sqrt(2) * width)))
-                rel = sigma / sigma0
-                face = [np.abs((v[:, :2] * e[:, :2]).sum(axis=1)) / (r * np.maximum(np.linalg.norm(e[:, :2], axis=1), 1e-9)) for v, e, r in ((va, a, ra), (vb, b, rb))]
-                total += (ea * tb ** (rel - 1) + eb * ta ** (rel - 1)) * ta * tb * mu_s * eff * face[0] * face[1] * dsigma / sigma0 * volume / (ra * rb) ** 2
-            yield pd.DataFrame({"i": x["i"], "value": total / max(len(at), 1)})
-
-    return pairs.select("i", "x1", "y1", "z1", "x2", "y2", "z2").mapInPandas(run, "i long, value double")
-
-
-def tail_scale(scatter: DataFrame, measured: DataFrame) -> DataFrame:
-    """One row, value: the least-squares scale of a scatter estimate (j, value) to measured (j, value), outside the body."""
-    both = scatter.withColumnRenamed("value", "s").join(measured.withColumn("value", F.greatest("value", F.lit(0.0))), "j")
-    return both.agg((F.sum(F.col("s") * F.col("value")) / F.sum(F.col("s") * F.col("s"))).alias("value"))
+    body = attenuation.select("j", F.when(F.col("value") > cutoff, 1.0).otherwise(0.0).alias("value"))
+    inside = algebra.forward(h, body).filter("value > 0").select("i")
+    norm = algebra.normalization(h).withColumnRenamed("value", "norm")
+
+    def back(rows: DataFrame, name: str) -> DataFrame:
+        outside = rows.select("i", "value").join(inside, "i", "left_anti")
+        return algebra.backward(h, outside).join(norm, "j").select("j", (F.col("value") / F.col("norm")).alias(name))
+
+    both = back(scatter, "s").join(back(measured, "m"), "j", "full")
+    both = both.withColumn("r", F.lit(0.0)) if randoms is None else both.join(back(randoms, "r"), "j", "left")
+    left = F.greatest(F.coalesce("m", F.lit(0.0)) - F.coalesce("r", F.lit(0.0)), F.lit(0.0))
+    return both.agg((F.sum(F.col("s") * left) / F.sum(F.col("s") * F.col("s"))).alias("value"))

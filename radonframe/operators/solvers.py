@@ -1,7 +1,8 @@
 """Preconditioned gradient ascent: a driver loop over relational plans.
 
-Every sub-iteration is f + C(f) * (likelihood gradient - prior gradient), values at or below a floor set to it, and its result is
-checkpointed. H is read once per subset; partition it by i before, and the joins of all iterations reuse that.
+Every sub-iteration is f + C(f) * (likelihood gradient - w * prior gradient), w the subset's share of the measured bins, values at or
+below a floor set to it, and its result is checkpointed. H and the measurements are kept once, dealt to tasks by i: the joins on i and the
+forward projection's sums of all sub-iterations need no further shuffle of them. The subsets' normalisations are computed once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, kept
 from . import algebra, likelihoods
 
 DELTA = likelihoods.DELTA
@@ -27,44 +28,59 @@ class Parts:
     f: Column = field(default_factory=lambda: F.col("value"))
     norm: Column = field(default_factory=lambda: F.col("norm"))  # of the subset
     whole: Column = field(default_factory=lambda: F.col("whole"))  # of all subsets
-    prior: Column = field(default_factory=lambda: F.col("prior"))
+    prior: Column = field(default_factory=lambda: F.col("prior"))  # of the subset's share
+    share: Column = field(default_factory=lambda: F.col("share"))  # of the measured bins that the subset has
 
 
 @dataclass
 class Solver:
-    """precondition: C(f); gradient: of the likelihood, given the subset's matrix and data."""
+    """precondition: C(f); gradient: of the likelihood, given the subset's matrix and data; fov: (j, value), scales of the prior's gradient by voxel."""
 
     h: DataFrame
     data: DataFrame
     precondition: Callable[[Parts, float, int], Column]
-    gradient: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = likelihoods.poisson_gradient
+    gradient: Callable[..., DataFrame] = likelihoods.poisson_gradient
     prior: Prior | None = None
     floor: float = 0.0
     uses_peak: bool = False  # of (norm + prior) / (whole + prior + delta), one number per sub-iteration
     image: DataFrame | None = None
-
-    def initial(self) -> DataFrame:
-        return self.h.select("j").distinct().withColumn("value", F.lit(1.0))
+    fov: DataFrame | None = None
+    sensitivity: DataFrame | None = None  # (j, value) of the whole system where H has rows of measured events only; subsets have their share of it
 
     def run(self, iterations: int, subsets: int = 1, only: int | None = None, callback: Callback | None = None) -> DataFrame:
-        """The image after the iterations; it is kept, so a later call goes on from there."""
-        image = self.initial() if self.image is None else self.image
-        whole = algebra.normalization(self.h).withColumnRenamed("value", "whole")
+        """The image after the iterations; it is kept, so a later call goes on from there. callback: what it returns after a sub-iteration takes the image's place."""
+        h, data = kept(self.h, "i"), kept(self.data, "i")
+        number = F.pmod("i", F.lit(subsets)).cast("int").alias("m")
+        shares = {r["m"]: r["n"] for r in data.groupBy(number).agg(F.count("*").alias("n")).collect()}  # one row for each subset
+        share = {m: n / max(sum(shares.values()), 1) for m, n in shares.items()}
+        if self.sensitivity is None:
+            norms = cut(h.groupBy("j", number).agg(F.sum("h").alias("norm")))
+        else:
+            parts = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(float(x)).alias("share")) for m, x in share.items()]))
+            norms = cut(self.sensitivity.withColumn("p", parts).select("j", "p.m", (F.col("value") * F.col("p.share")).alias("norm")))
+        whole = norms.groupBy("j").agg(F.sum("norm").alias("whole"))
+        image = whole.select("j", F.lit(1.0).alias("value")) if self.image is None else self.image
         for n in range(iterations):
             for m in range(subsets) if only is None else [only]:
-                if callback:
-                    image = callback(image, n, m) or image
-                h, data = (algebra.subset(x, m, subsets) for x in (self.h, self.data))
-                norm = algebra.normalization(h).withColumnRenamed("value", "norm")
-                step = self.gradient(h, data, image).withColumnRenamed("value", "step")
+                own, bins = (algebra.subset(x, m, subsets) for x in (h, data))
+                norm = norms.filter(F.col("m") == m).drop("m")
+                step = self.gradient(own, bins, image, norm=norm.withColumnRenamed("norm", "value")).withColumnRenamed("value", "step")
                 rows = image.join(whole, "j", "left").join(norm, "j", "left").join(step, "j", "left").fillna(0.0)
-                drift = self.prior(image) if self.prior else None
-                rows = rows.withColumn("prior", F.lit(0.0)) if drift is None else rows.join(drift.withColumnRenamed("value", "prior"), "j", "left").fillna(0.0)
+                rows = rows.withColumn("share", F.lit(share.get(m, 0.0)))
+                if self.prior is None:
+                    rows = rows.withColumn("prior", F.lit(0.0))
+                else:
+                    rows = rows.join(self.prior(image).withColumnRenamed("value", "prior"), "j", "left").fillna(0.0).withColumn("prior", F.col("prior") * F.col("share"))
+                    if self.fov is not None:
+                        rows = rows.join(self.fov.withColumnRenamed("value", "fov"), "j", "left").fillna(0.0, ["fov"]).withColumn("prior", F.col("prior") * F.col("fov")).drop("fov")
                 peak = 0.0
                 if self.uses_peak:
                     peak = rows.agg(F.max((F.col("norm") + F.col("prior")) / (F.col("whole") + F.col("prior") + DELTA))).first()[0] or 0.0
                 new = F.col("value") + self.precondition(Parts(), peak, n) * (F.col("step") - F.col("prior"))
                 image = cut(rows.select("j", F.when(new <= self.floor, self.floor).otherwise(new).alias("value")))
+                if callback:
+                    changed = callback(image, n, m)
+                    image = image if changed is None else changed
         self.image = image
         return image
 
@@ -89,9 +105,9 @@ def rbimap(h: DataFrame, data: DataFrame, prior: Prior) -> Solver:
     return Solver(h, data, lambda p, peak, _: p.f / (p.whole * peak + p.prior + DELTA), prior=prior, uses_peak=True)
 
 
-def bsrem(h: DataFrame, data: DataFrame, subsets: int, prior: Prior | None = None, relaxation: Callable[[int], float] = lambda n: 1.0) -> Solver:
-    """C = f * relaxation(n) / (H^T 1 / subsets + delta); values at or below 1e-4 become 1e-4."""
-    return Solver(h, data, lambda p, _, n: p.f * relaxation(n) / (p.whole / subsets + DELTA), prior=prior, floor=1e-4)
+def bsrem(h: DataFrame, data: DataFrame, prior: Prior | None = None, relaxation: Callable[[int], float] = lambda n: 1.0) -> Solver:
+    """C = f * relaxation(n) / (w * H^T 1 + delta), w the subset's share of the bins; values at or below 1e-4 become 1e-4."""
+    return Solver(h, data, lambda p, _, n: p.f * relaxation(n) / (p.share * p.whole + DELTA), prior=prior, floor=1e-4)
 
 
 def sart(h: DataFrame, data: DataFrame, relaxation: Callable[[int], float] = lambda n: 1.0) -> Solver:

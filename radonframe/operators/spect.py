@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grid
-from .rays import Grid  # noqa: F401
 
 Stencil = DataFrame
 
 
 def stencil(spark, angles_deg: Sequence[float], n: int) -> Stencil:
     """(a, x, y, xi, yi, w): rotated voxel (x, y) of each angle as a bilinear sum of voxels (xi, yi). As many rows as 4 n^2 per angle."""
-    rows = None
     out = spark.range(n).select(F.col("id").cast("int").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     out = out.withColumn("angle", F.explode(F.array(*[F.struct(F.lit(k).alias("a"), F.lit(float(v)).alias("deg")) for k, v in enumerate(angles_deg)])))
     m, phi = (n - 1) / 2, F.radians("angle.deg")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import algebra, counts, events, grid, likelihoods, solvers
+from ..operators import algebra, counts, events, grid, likelihoods, solvers, spect
+from ..sources import imaging, projections
 from .fixtures import (
     CELLS_SQL, DETECTORS, H_SQL, LISTMODE_SQL, SCANNER, TOF_BINS, VOLUMES_SQL, WINDOWS, WINDOWS_SQL, h_matrix, listmode, measured, ones, table, volumes, window_counts,
 )
@@ -97,7 +98,8 @@ def _fp_sql(name: str, f: str, m: int | None = None, n: int = 1) -> str:
 
 
 def _em_sql(f: str, out: str, m: int | None = None, n: int = 1, rate: str = "value / (norm + 1e-11)", prior: str = "", floor: float = 0.0) -> str:
-    """One sub-iteration from table f to table out; prior: a table (j, v)."""
+    """One sub-iteration from table f to table out; prior: a table (j, v), of which the subset's share of the bins acts."""
+    share = "1.0" if m is None else f"(SELECT count(*) FILTER (i % {n} = {m}) / count(*) FROM d)"
     join, v = (f"LEFT JOIN {prior} USING (j)", "v") if prior else ("", "0.0")
     new = f"value + {rate} * (bp - norm - {v})"
     return f"""
@@ -105,7 +107,7 @@ def _em_sql(f: str, out: str, m: int | None = None, n: int = 1, rate: str = "val
 {out}_b AS (SELECT j, sum(h * g / (fp + s + 1e-11)) AS bp FROM h JOIN d USING (i) JOIN {out}_p USING (i) GROUP BY j),
 {out}_n AS (SELECT j, sum(h) AS norm FROM h {_sub(m, n)} GROUP BY j),
 {out}_w AS (SELECT j, sum(h) AS whole FROM h GROUP BY j),
-{out}_r AS (SELECT f.j, f.value, coalesce(norm, 0) AS norm, whole, coalesce(bp, 0) AS bp, {v} AS v FROM {f} f JOIN {out}_w USING (j) LEFT JOIN {out}_n USING (j) LEFT JOIN {out}_b USING (j) {join}),
+{out}_r AS (SELECT f.j, f.value, coalesce(norm, 0) AS norm, whole, coalesce(bp, 0) AS bp, {v} * {share} AS v, {share} AS share FROM {f} f JOIN {out}_w USING (j) LEFT JOIN {out}_n USING (j) LEFT JOIN {out}_b USING (j) {join}),
 {out}_k AS (SELECT max((norm + v) / (whole + v + 1e-11)) AS peak FROM {out}_r),
 {out} AS (SELECT j, CASE WHEN {new} <= {floor} THEN {floor} ELSE {new} END AS value FROM {out}_r, {out}_k)"""
 
@@ -139,9 +141,9 @@ def rbiem_sub0(spark, sf_dir):
     return rounded(solvers.rbiem(h_matrix(spark, sf_dir), measured(spark, sf_dir)).run(1, 2, only=0))
 
 
-@query(_solved("f1", _em_sql("f0", "f1", 0, 2, rate="value * 0.5 / (whole / 2 + 1e-11)", floor=1e-4)))
+@query(_solved("f1", _em_sql("f0", "f1", 0, 2, rate="value * 0.5 / (share * whole + 1e-11)", floor=1e-4)))
 def bsrem_sub0(spark, sf_dir):
-    return rounded(solvers.bsrem(h_matrix(spark, sf_dir), measured(spark, sf_dir), 2, relaxation=lambda n: 0.5 / (n + 1)).run(1, 2, only=0))
+    return rounded(solvers.bsrem(h_matrix(spark, sf_dir), measured(spark, sf_dir), relaxation=lambda n: 0.5 / (n + 1)).run(1, 2, only=0))
 
 
 _RBIEM_RATE = "value / (whole * peak + 1e-11)"
@@ -152,9 +154,9 @@ def rbiem_2sub(spark, sf_dir):
     return rounded(solvers.rbiem(h_matrix(spark, sf_dir), measured(spark, sf_dir)).run(1, 2))
 
 
-@query(_solved("f4", *[_em_sql(f"f{k}", f"f{k + 1}", k % 2, 2, rate=f"value * {0.5 / (k // 2 + 1)} / (whole / 2 + 1e-11)", floor=1e-4) for k in range(4)]))
+@query(_solved("f4", *[_em_sql(f"f{k}", f"f{k + 1}", k % 2, 2, rate=f"value * {0.5 / (k // 2 + 1)} / (share * whole + 1e-11)", floor=1e-4) for k in range(4)]))
 def bsrem_2sub(spark, sf_dir):
-    return rounded(solvers.bsrem(h_matrix(spark, sf_dir), measured(spark, sf_dir), 2, relaxation=lambda n: 0.5 / (n + 1)).run(2, 2))
+    return rounded(solvers.bsrem(h_matrix(spark, sf_dir), measured(spark, sf_dir), relaxation=lambda n: 0.5 / (n + 1)).run(2, 2))
 
 
 def _chain_prior(phi, beta: float):
@@ -191,8 +193,29 @@ def rbimap_sub0(spark, sf_dir):
     return rounded(solver.run(1, 2, only=0))
 
 
-_RBIMAP_RATE = "value / (whole * peak + v + 1e-11)"
+_OSMAPOSL_RATE = "value / (norm + v + 1e-11)"
 _CHAIN_1_SQL = _CHAIN_SQL.replace("pr AS", "pr1 AS").replace("FROM b0", "FROM f1")
+_CHAIN_2_SQL = _CHAIN_SQL.replace("pr AS", "pr2 AS").replace("FROM b0", "FROM f2")
+
+
+@query(_solved("f3", _BUMPY_SQL, _CHAIN_SQL, _em_sql("b0", "f1", 0, 3, rate=_OSMAPOSL_RATE, prior="pr"), _CHAIN_1_SQL, _em_sql("f1", "f2", 1, 3, rate=_OSMAPOSL_RATE, prior="pr1"), _CHAIN_2_SQL, _em_sql("f2", "f3", 2, 3, rate=_OSMAPOSL_RATE, prior="pr2")))
+def osmaposl_3sub(spark, sf_dir):
+    h = h_matrix(spark, sf_dir)
+    solver = solvers.osmaposl(h, measured(spark, sf_dir), _chain_prior(grid.quadratic()["phi1"], 0.001))
+    solver.image = _bumpy(h)
+    return rounded(solver.run(1, 3))
+
+
+@query(_solved("f1", _BUMPY_SQL, _CHAIN_SQL.replace("0.001 *", "(CASE WHEN j % 3 = 0 THEN 0.0 ELSE 1.0 / (1 + j % 3) END) * 0.001 *"), _em_sql("b0", "f1", rate=_OSMAPOSL_RATE, prior="pr")))
+def osmaposl_fov(spark, sf_dir):
+    h = h_matrix(spark, sf_dir)
+    solver = solvers.osmaposl(h, measured(spark, sf_dir), _chain_prior(grid.quadratic()["phi1"], 0.001))
+    k = F.pmod("j", F.lit(3))
+    solver.image, solver.fov = _bumpy(h), ones(h).filter(k != 0).withColumn("value", 1.0 / (1 + k))
+    return rounded(solver.run(1))
+
+
+_RBIMAP_RATE = "value / (whole * peak + v + 1e-11)"
 
 
 @query(_solved("f2", _BUMPY_SQL, _CHAIN_SQL, _em_sql("b0", "f1", 0, 2, rate=_RBIMAP_RATE, prior="pr"), _CHAIN_1_SQL, _em_sql("f1", "f2", 1, 2, rate=_RBIMAP_RATE, prior="pr1")))
@@ -265,10 +288,10 @@ v0 AS (SELECT i, ht / (fp + s + 1e-11) AS v FROM q0 JOIN d USING (i) JOIN p0 USI
 SELECT round(sqrt(sum((v0.v + v1.v) * (v0.v + v1.v) * g)), 6) AS value FROM v0 JOIN v1 USING (i) JOIN d USING (i)""")
 def uncertainty_2iter(spark, sf_dir):
     h, data = h_matrix(spark, sf_dir), measured(spark, sf_dir)
-    solver, kept = solvers.osem(h, data), []
-    last = solver.run(2, callback=lambda f, n, m: kept.append(f))
+    kept = [ones(h)]
+    solvers.osem(h, data).run(2, callback=lambda f, n, m: kept.append(f))
     mask = ones(h).withColumn("value", F.when(F.pmod("j", F.lit(2)) == 0, 1.0).otherwise(0.0))
-    return rounded(solvers.uncertainty(h, data, [*kept, last], mask))
+    return rounded(solvers.uncertainty(h, data, kept, mask))
 
 
 _K_SQL = "kk AS (SELECT j, l, w FROM (SELECT DISTINCT j FROM h), LATERAL (SELECT j AS l, 0.75 AS w UNION ALL SELECT j + 1 - 2 * (j % 2), 0.25))"
@@ -353,6 +376,13 @@ def lor_lookup(spark, sf_dir):
     return ends.filter(F.col("detector_1") % p != F.col("detector_2") % p).select("event_id", F.round(events.lor_radius(), 5).alias("radius"))
 
 
+@query(f"WITH {LISTMODE_SQL}, {_LUT_SQL}, {_ENDS_SQL} SELECT event_id, round(acos(least(abs(x1 - x2) / len, 1)), 5) AS angle FROM le WHERE detector_1 % 24 <> detector_2 % 24")
+def lor_angle(spark, sf_dir):
+    ends = events.with_endpoints(listmode(spark, sf_dir), events.scanner_lut(spark, SCANNER))
+    p = SCANNER.per_ring
+    return ends.filter(F.col("detector_1") % p != F.col("detector_2") % p).select("event_id", F.round(events.lor_angle(), 5).alias("angle"))
+
+
 def _slab_sql(axis: str, h: float) -> str:
     d = f"({axis}2 - {axis}1)"
     enter = f"CASE WHEN {d} = 0 THEN CASE WHEN abs({axis}1) <= {h} THEN '-inf'::DOUBLE ELSE 'inf'::DOUBLE END ELSE least((-{h} - {axis}1) / {d}, ({h} - {axis}1) / {d}) END AS i{axis}"
@@ -388,9 +418,9 @@ def sinogram_lookup(spark, sf_dir):
     return events.lookup_cells(lm, sinogram, SCANNER).select("event_id", "value")
 
 
-@query("SELECT a.s_suppkey AS detector_1, b.s_suppkey AS detector_2 FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_nationkey = 3 AND b.s_nationkey = 3")
+@query("SELECT a.s_suppkey AS detector_1, b.s_suppkey AS detector_2 FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
 def pair_combinations(spark, sf_dir):
-    return events.combinations(table(spark, sf_dir, "supplier").filter("s_nationkey = 3"), "s_suppkey")
+    return events.combinations(table(spark, sf_dir, "supplier"), "s_suppkey")
 
 
 @query(f"WITH {_LUT_SQL} SELECT a.detector_id AS detector_1, b.detector_id AS detector_2 FROM lut a JOIN lut b ON a.detector_id < b.detector_id")
@@ -411,25 +441,27 @@ def tof_digitize(spark, sf_dir):
 
 @query("SELECT event_id, CAST(-floor(CAST(event_id - 500 AS DOUBLE) / 13) + 14 AS BIGINT) AS tof FROM events")
 def tof_remap(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", (-F.floor((F.col("event_id") - 500) / 13) + 14).cast("long").alias("tof"))
+    return table(spark, sf_dir, "events").select("event_id", events.coarse_tof(F.col("event_id") - 500, 13, 14).alias("tof"))
 
 
+_SYM_KEY = "ca1, ca2, ct1, ct2, sa, ma, turn"
 _SYM_SQL = """
 lh AS (SELECT *, least(detector_1, detector_2) AS lo, greatest(detector_1, detector_2) AS hi FROM lm),
-ky AS (SELECT *, CAST(hi % 24 % 2 - lo % 24 % 2 + 1 AS INTEGER) AS ct, CAST(hi % 24 // 2 % 2 - lo % 24 // 2 % 2 + 1 AS INTEGER) AS mt,
-  CAST(hi // 24 % 2 - lo // 24 % 2 + 1 AS INTEGER) AS ca, CAST(hi // 24 // 2 % 2 - lo // 24 // 2 % 2 + 1 AS INTEGER) AS ma, CAST(((hi % 24 // 4) - (lo % 24 // 4) + 6) % 6 AS INTEGER) AS turn FROM lh)"""
+ky AS (SELECT *, CAST(lo // 24 % 2 AS INTEGER) AS ca1, CAST(hi // 24 % 2 AS INTEGER) AS ca2, CAST(lo % 24 % 2 AS INTEGER) AS ct1, CAST(hi % 24 % 2 AS INTEGER) AS ct2, 0 AS sa,
+  CAST(hi // 24 // 2 % 2 - lo // 24 // 2 % 2 + 1 AS INTEGER) AS ma, CAST(((hi % 24 // 4) - (lo % 24 // 4) + 6) % 6 AS INTEGER) AS turn FROM lh)"""
 
 
-@query(f"WITH {LISTMODE_SQL}, {_SYM_SQL} SELECT ct, mt, ca, ma, turn, count(*) AS n FROM ky GROUP BY ALL")
+@query(f"WITH {LISTMODE_SQL}, {_SYM_SQL} SELECT {_SYM_KEY}, count(*) AS n FROM ky GROUP BY ALL")
 def symmetry_key(spark, sf_dir):
     keyed = events.symmetry_key(listmode(spark, sf_dir), SCANNER)
-    return keyed.groupBy(F.col("key.crystal_trans").alias("ct"), F.col("key.module_trans").alias("mt"), F.col("key.crystal_axial").alias("ca"), F.col("key.module_axial").alias("ma"), "key.turn").agg(F.count("*").alias("n"))
+    names = {"crystal_axial_1": "ca1", "crystal_axial_2": "ca2", "crystal_trans_1": "ct1", "crystal_trans_2": "ct2", "submodule_axial": "sa", "module_axial": "ma", "turn": "turn"}
+    return keyed.groupBy(*[F.col(f"key.{long}").alias(short) for long, short in names.items()]).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {LISTMODE_SQL.replace("lm AS", "ev AS")}, {_LUT_SQL}, pr AS (SELECT a.detector_id AS detector_1, b.detector_id AS detector_2 FROM lut a JOIN lut b ON a.detector_id < b.detector_id),
 lm AS (SELECT detector_1, detector_2, 1 AS real FROM ev UNION ALL SELECT detector_1, detector_2, 0 FROM pr), {_SYM_SQL},
-n AS (SELECT ct, mt, ca, ma, turn, sum(real) AS seen, sum(1 - real) AS al FROM ky GROUP BY ALL),
-e AS (SELECT ky.detector_1, ky.detector_2, seen, al, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ky JOIN n USING (ct, mt, ca, ma, turn) JOIN lut a ON a.detector_id = ky.detector_1 JOIN lut b ON b.detector_id = ky.detector_2 WHERE real = 0),
+n AS (SELECT {_SYM_KEY}, sum(real) AS seen, sum(1 - real) AS al FROM ky GROUP BY ALL),
+e AS (SELECT ky.detector_1, ky.detector_2, seen, al, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ky JOIN n USING ({_SYM_KEY}) JOIN lut a ON a.detector_id = ky.detector_1 JOIN lut b ON b.detector_id = ky.detector_2 WHERE real = 0),
 r AS (SELECT *, sqrt((x2 - x1) ^ 2 + (y2 - y1) ^ 2) AS len FROM e),
 t AS (SELECT *, abs(CASE WHEN len > 1e-9 THEN (x1 * y2 - y1 * x2) / len ELSE sqrt(x1 * x1 + y1 * y1) END) AS rad FROM r)
 SELECT detector_1, detector_2, round(CASE WHEN rad < 41.3 THEN seen / al / (sqrt(1 - (rad / 41.3) ^ 2) + 1e-11) ELSE 0 END, 6) AS weight FROM t""")
@@ -439,6 +471,18 @@ def normalization_weights(spark, sf_dir):
     return rounded(events.normalization_weights(listmode(spark, sf_dir), pairs, SCANNER, lut, 41.3), 6, "weight")
 
 
+_PLANE_SQL = "CASE WHEN {a} = {b} THEN {a} WHEN {a} < {b} THEN 4 + ({b} - {a} - 1) * (8 - {b} + {a}) + {a} ELSE 4 + ({a} - {b} - 1) * (8 - {a} + {b}) + 4 - 2 * ({a} - {b}) + {a} END"
+
+
+@query(f"""WITH {_LUT_SQL}, lm AS (SELECT a.detector_id AS detector_1, b.detector_id AS detector_2, 0 AS tof, 1.0 / (1 + (a.detector_id + b.detector_id) % 5) AS weight FROM lut a JOIN lut b ON a.detector_id < b.detector_id), {CELLS_SQL},
+ways AS (SELECT a, r, {_PLANE_SQL.format(a="r1", b="r2")} AS p, weight FROM cells UNION ALL SELECT a, r, {_PLANE_SQL.format(a="r2", b="r1")}, weight FROM cells)
+SELECT a, r, CAST(p AS INTEGER) AS p, round(sum(weight) / 2, 6) AS value FROM ways GROUP BY 1, 2, 3""")
+def norm_sinogram(spark, sf_dir):
+    pairs = events.combinations(events.scanner_lut(spark, SCANNER))
+    weights = pairs.withColumn("weight", 1.0 / (1 + F.pmod(F.col("detector_1") + F.col("detector_2"), F.lit(5))))
+    return rounded(events.norm_sinogram(weights, SCANNER))
+
+
 @query("SELECT vec_id, round(greatest(1 - abs(label - 4.5) / 4.0, 0), 6) AS value FROM embeddings")
 def axial_sensitivity(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(events.axial_sensitivity(F.col("label") - 4.5, 4.0), 6).alias("value"))
@@ -466,7 +510,7 @@ def subsample_blocks(spark, sf_dir):
     return rounded(counts.subsample(window_counts(spark, sf_dir), 2, 3, 1), 4)
 
 
-@query(f"""WITH {WINDOWS_SQL}, s AS (SELECT r, z, sum(value) AS v FROM c WHERE "window" = 'view' GROUP BY r, z HAVING sum(value) > 0) SELECT CAST(min(r) + 1 AS INTEGER) AS r_first, CAST(max(r) - 1 AS INTEGER) AS r_last, CAST(min(z) + 1 AS INTEGER) AS z_first, CAST(max(z) - 1 AS INTEGER) AS z_last FROM s""")
+@query(f"""WITH {WINDOWS_SQL}, s AS (SELECT r, z, sum(value) AS v FROM c WHERE "window" = 'view' GROUP BY r, z HAVING sum(value) > 0) SELECT CAST(min(r) + 2 AS INTEGER) AS r_first, CAST(max(r) - 2 AS INTEGER) AS r_last, CAST(min(z) + 2 AS INTEGER) AS z_first, CAST(max(z) - 2 AS INTEGER) AS z_last FROM s""")
 def fov_box(spark, sf_dir):
     return counts.field_of_view(window_counts(spark, sf_dir).filter("window = 'view'"), 2)
 
@@ -554,6 +598,14 @@ def prior_rdp(spark, sf_dir):
     return rounded(grid.prior(_positive(spark, sf_dir), ["vec_id"], grid.relative_difference(2.0, 1e-3)["phi1"]), 5)
 
 
+_Q1 = "(r + s + abs(r - s) + 1e-11)"
+
+
+@query(_prior_sql(f"((r - s) * (abs(r - s) + 3 * s + r + 2e-11) / {_Q1} ^ 2)", "abs(r) + 0.1", "abs(s) + 0.1"))
+def prior_rdp_default(spark, sf_dir):
+    return rounded(grid.prior(_positive(spark, sf_dir), ["vec_id"], grid.relative_difference()["phi1"]), 5)
+
+
 @query(_prior_sql(f"(2 * (2 * s + 1e-3) ^ 2 / {_Q} ^ 3 - 2 * (2 * r + 1e-3) * (2 * s + 1e-3) / {_Q} ^ 3)", "abs(r) + 0.1", "abs(s) + 0.1"))
 def prior_rdp_second(spark, sf_dir):
     phi = grid.relative_difference(2.0, 1e-3)
@@ -605,13 +657,14 @@ def centre_of_mass(spark, sf_dir):
     return rounded(grid.centre_of_mass(volumes(spark, sf_dir).withColumn("value", F.abs("value")), ["vec_id"]), 6, "cx", "cy", "cz")
 
 
-@query(f"""WITH {VOLUMES_SQL}, s AS (SELECT vec_id, angle, round(sum(abs(value) * abs((x - 1.5) * sin(radians(angle)) - (y - 1.5) * cos(radians(angle)))), 9) AS d FROM vol, range(0, 180, 15) t(angle) GROUP BY 1, 2)
+@query(f"""WITH {VOLUMES_SQL}, s AS (SELECT vec_id, angle, round(sum(abs((y - 2) * sin(radians(angle)) - (x - 2) * cos(radians(angle)))) FILTER (abs(value) > 0.1), 9) AS d FROM vol, range(0, 180, 15) t(angle) GROUP BY 1, 2)
 SELECT vec_id, CAST(arg_min(angle, (d, angle)) AS INTEGER) AS angle FROM s GROUP BY vec_id""")
 def best_angle(spark, sf_dir):
-    return grid.best_line_angle(volumes(spark, sf_dir).withColumn("value", F.abs("value")), ["vec_id"], range(0, 180, 15), 1.5)
+    seen = volumes(spark, sf_dir).withColumn("value", F.when(F.abs("value") > 0.1, F.col("value")).otherwise(0.0))
+    return grid.best_line_angle(seen, ["vec_id"], range(0, 180, 15), (4, 4))
 
 
-@query(f"WITH {VOLUMES_SQL} SELECT vec_id, x, y, z, CASE WHEN (x - 1.5) ^ 2 + (y - 1.5) ^ 2 <= 2.6 AND (x - 1.5) ^ 2 + (z - 1.5) ^ 2 <= 2.6 AND (y - 1.5) ^ 2 + (z - 1.5) ^ 2 <= 2.6 THEN value ELSE 0 END AS value FROM vol")
+@query(f"WITH {VOLUMES_SQL} SELECT vec_id, x, y, z, CASE WHEN (x - 2) ^ 2 + (y - 2) ^ 2 <= 2.6 AND (x - 2) ^ 2 + (z - 2) ^ 2 <= 2.6 AND (y - 2) ^ 2 + (z - 2) ^ 2 <= 2.6 THEN value ELSE 0 END AS value FROM vol")
 def disk_mask(spark, sf_dir):
     return grid.ball_masks(volumes(spark, sf_dir), 4, 2.6**0.5)
 
@@ -664,11 +717,11 @@ _KN = "(1 / (1 + e / 511 * (1 - c)))"
 
 @query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, 100 + l_quantity * 8 AS e, cos(l_discount * 20) AS c FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(e / (1 + e / 511 * (1 - c)), 6) AS energy, round(2.818e-13 * 2.818e-13 / 2 * {_KN} * (1 - {_KN} * (1 - c * c) + {_KN} * {_KN}) * 1e26, 6) AS differential,
-round((1 + e / 511) / (e / 511) ^ 2 * (2 * (1 + e / 511) / (1 + 2 * e / 511) - ln(1 + 2 * e / 511) / (e / 511)) + ln(1 + 2 * e / 511) / (2 * e / 511) - (1 + 3 * e / 511) / (1 + 2 * e / 511) ^ 2, 6) AS total FROM t""")
+round(1e26 * 0.75 * 6.65e-25 * ((1 + e / 511) / (e / 511) ^ 2 * (2 * (1 + e / 511) / (1 + 2 * e / 511) - ln(1 + 2 * e / 511) / (e / 511)) + ln(1 + 2 * e / 511) / (2 * e / 511) - (1 + 3 * e / 511) / (1 + 2 * e / 511) ^ 2), 6) AS total FROM t""")
 def compton_cross_section(spark, sf_dir):
     e, c = 100 + F.col("l_quantity") * 8, F.cos(F.col("l_discount") * 20)
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", F.round(physics.photon_energy_after_scatter(c, e), 6).alias("energy"), F.round(physics.compton_differential(c, e) * 1e26, 6).alias("differential"), F.round(physics.compton_total(e), 6).alias("total"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(physics.photon_energy_after_scatter(c, e), 6).alias("energy"), F.round(physics.compton_differential(c, e) * 1e26, 6).alias("differential"), F.round(physics.compton_total(e) * 1e26, 6).alias("total"))
 
 
 @query("""WITH t AS (SELECT p_partkey, p_size / 5.0 AS d, 0.1 + p_size * 10.0 AS e FROM part) SELECT p_partkey, round(sqrt(((0.15 / (2.5 - 2 / 20.0)) * d / 2.354820045030949 + 0.15 / 2.354820045030949) ^ 2 + 0.04), 6) AS sigma, round(3.0 * exp(-0.4 * sqrt(e)) + 0.5 * exp(-0.05 * sqrt(e)), 6) AS mu,
@@ -678,8 +731,66 @@ def response_curves(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(physics.psf_sigma(d, 0.15, 2.5, 20.0, 0.2), 6).alias("sigma"), F.round(physics.dual_sqrt_exponential(e, 3.0, 0.5, 0.4, 0.05), 6).alias("mu"), F.round(physics.hamming(d, 2.0, 8.0), 6).alias("hamming"))
 
 
-@query("""SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, length(html) - length(replace(html, '<a ', '')) AS links FROM pages""")
+@query("""WITH l AS (SELECT page_id, unnest(string_split(replace(html, '>', '>' || chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(html, '>', '>' || chr(10)), chr(10)), 1) AS n FROM pages),
+k AS (SELECT page_id, n, lower(trim(regexp_replace(split_part(line, '=', 1), '^[!;\\s]+', ''))) AS key, trim(substr(line, strpos(line, '=') + 1)) AS value FROM l WHERE strpos(line, '=') > 0)
+SELECT page_id, arg_min(value, n) AS first, count(*) AS n FROM k WHERE regexp_matches(key, 'a href|div class') GROUP BY page_id""")
 def header_value(spark, sf_dir):
-    title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
-    links = F.length("html") - F.length(F.replace("html", F.lit("<a "), F.lit("")))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(title != "", title).alias("title"), links.cast("long").alias("links"))
+    """Attributes of tags as the lines of a header: one line ends with each tag."""
+    lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.replace("html", F.lit(">"), F.lit(">\n")), "\n")).alias("line", "value"))
+    header = imaging.header_lines(lines, "=").withColumnRenamed("page_id", "file")
+    found = imaging.header_value(header, "a href|div class", "string")
+    return found.select(F.col("file").alias("page_id"), F.col("values")[0].alias("first"), F.size("values").cast("long").alias("n"))
+
+
+@query("""WITH t AS (SELECT p_partkey, (430 - 352.5 - p_size * 5.0) / (sqrt(2) * 511 * 0.15 / (2 * sqrt(2 * ln(2)))) AS u FROM part),
+e AS (SELECT p_partkey, u, 2 / sqrt(pi()) * exp(-u * u) * sum(exp((2 * n + 1) * ln(abs(u)) + 2 * n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2))) AS erf FROM t, range(120) r(n) GROUP BY p_partkey, u)
+SELECT p_partkey, round(0.5 * (1 - sign(u) * erf), 6) AS value FROM e""")
+def detector_efficiency(spark, sf_dir):
+    energy = 352.5 + F.col("p_size") * 5.0
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(physics.detector_efficiency(energy), 6).alias("value"))
+
+
+@query("""WITH b AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS bed, CAST(o_orderkey % 4 AS INTEGER) AS x, CAST(o_custkey % 3 AS INTEGER) AS y, CAST(month(o_orderdate) - 1 AS INTEGER) AS z, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3, 4),
+o AS (SELECT bed, (row_number() OVER (ORDER BY bed) - 1) * 9 AS off FROM (SELECT DISTINCT bed FROM b)),
+s AS (SELECT o.bed, CAST(z AS INTEGER) AS z, CASE WHEN up.bed IS NOT NULL AND z >= 9 + 1 THEN up.bed WHEN dn.bed IS NOT NULL AND z < 1 THEN dn.bed ELSE o.bed END AS src,
+  CASE WHEN up.bed IS NOT NULL AND z >= 9 + 1 THEN z - 9 WHEN dn.bed IS NOT NULL AND z < 1 THEN z + 9 ELSE z END AS sz
+  FROM o LEFT JOIN o up ON up.off = o.off + 9 LEFT JOIN o dn ON dn.off = o.off - 9, range(12) t(z))
+SELECT s.bed, x, y, s.z, round(value, 2) AS value FROM s JOIN b ON b.bed = s.src AND b.z = s.sz""")
+def fill_beds(spark, sf_dir):
+    images = _beds(spark, sf_dir)
+    years = counts.bed_order(images.select("bed").distinct().withColumn("z", F.col("bed")))
+    offsets = years.select("bed", "place", (F.col("place") * 9).cast("int").alias("offset"))
+    return rounded(counts.fill_beds(images, offsets, 12, ["x", "y"]), 2)
+
+
+@query(f"""WITH {VOLUMES_SQL}, k AS (SELECT x, o, exp(-o * o / (2 * (0.4 + 0.3 * x) ^ 2)) AS w FROM range(4) t(x), range(-3, 4) u(o)), n AS (SELECT x, o, w / sum(w) OVER (PARTITION BY x) AS w FROM k)
+SELECT v.vec_id AS a, v.x, v.y, v.z, round(sum(n.w * coalesce(s.value, 0)), 6) AS value FROM vol v JOIN n USING (x) LEFT JOIN vol s ON s.vec_id = v.vec_id AND s.x = v.x AND s.z = v.z AND s.y = v.y + n.o GROUP BY 1, 2, 3, 4""")
+def psf_blur(spark, sf_dir):
+    turned = volumes(spark, sf_dir).withColumnRenamed("vec_id", "a")
+    return rounded(spect.depth_blur(turned, lambda x: 0.4 + 0.3 * x, 3))
+
+
+_FRAMES_SQL = """f AS (SELECT vec_id AS frame, CAST(vec_id // 250 AS INTEGER) AS "window", 0 AS slot, embedding FROM embeddings),
+g AS (SELECT d, k, (CASE WHEN d = 1 THEN 10.0 ELSE 190.0 END + 2.88 * k + 180) % 360 AS angle, CASE WHEN d = 1 THEN 24.0 ELSE (200 + k) / 10.0 END AS radius FROM range(1, 3) t(d), range(125) u(k)),
+w AS (SELECT *, row_number() OVER (ORDER BY d, k) - 1 AS view, row_number() OVER (ORDER BY round(angle, 6), d, k) - 1 AS a FROM g)"""
+
+
+def _frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Vectors as frames of 8 x 8 pixels, 250 to a window; two detectors, one on a circle and one that moves out."""
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8))
+    frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.floor(F.col("vec_id") / 250).cast("int").alias("window"), F.lit(0).alias("slot"), pixels.alias("pixels"))
+    own = F.when(F.col("detector") == 1, F.array(F.lit(240.0))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(124)), lambda k: 200.0 + k))
+    rotations = spark.range(1, 3).select(F.col("id").alias("detector"), F.lit(125).alias("views"), F.when(F.col("id") == 1, 10.0).otherwise(190.0).alias("start"), F.lit(2.88).alias("step"), F.lit("CCW").alias("direction")).withColumn("radial", own)
+    return frames, rotations
+
+
+@query(f"WITH {_FRAMES_SQL} SELECT CAST(view AS INTEGER) AS view, CAST(a AS INTEGER) AS a, round(angle, 6) AS angle, round(radius, 6) AS radius FROM w")
+def projection_views(spark, sf_dir):
+    return rounded(projections.views(_frames(spark, sf_dir)[1]), 6, "angle", "radius")
+
+
+@query(f"""WITH {_FRAMES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY "window", slot ORDER BY frame) - 1 AS view FROM f),
+p AS (SELECT "window", slot, a, unnest(embedding) AS v, unnest(range(len(embedding))) AS n FROM n JOIN w USING (view))
+SELECT "window", slot, CAST(a AS INTEGER) AS a, CAST(n % 8 AS INTEGER) AS r, CAST(7 - n // 8 AS INTEGER) AS z, CAST(v AS DOUBLE) AS value FROM p""")
+def frames_to_projections(spark, sf_dir):
+    return projections.projections(*_frames(spark, sf_dir))

@@ -1,13 +1,12 @@
 """Readers of text headers, raw volumes, CT views, scanner, collimator and material tables, and writers of raw volumes.
 
-Raw files come through Spark's ``binaryFile`` source and are decoded in numpy, one file per row; text through ``read.text``.
+Raw files are read in ranges of planes; text comes through ``read.text``.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,19 +14,28 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import read_planes
+
 DTYPES = {"float32": "<f4", "float64": "<f8", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "uint8": "u1"}
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, key, value) of ``key := value`` lines."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    parts = rows.withColumn("p", F.split("value", ":=", 2)).filter(F.size("p") == 2)
-    return parts.select("file", F.lower(F.trim(F.regexp_replace(F.col("p")[0], r"^[!;\s]+", ""))).alias("key"), F.trim(F.col("p")[1]).alias("value"))
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    return header_lines(rows)
+
+
+def header_lines(lines: DataFrame, sign: str = ":=") -> DataFrame:
+    """Lines (.., value) with key and value in place of value, those that have the sign between them."""
+    parts = lines.withColumn("p", F.split("value", sign, 2)).filter(F.size("p") == 2)
+    rest = [c for c in lines.columns if c != "value"]
+    return parts.select(*rest, F.lower(F.trim(F.regexp_replace(F.col("p")[0], r"^[!;\s]+", ""))).alias("key"), F.trim(F.col("p")[1]).alias("value"))
 
 
 def header_value(header: DataFrame, key: str, kind: str = "double") -> DataFrame:
-    """(file, values): all values of the keys that match a pattern, cast; an absent key has no row."""
-    return header.filter(F.col("key").rlike(key)).groupBy("file").agg(F.collect_list(F.col("value").cast(kind)).alias("values"))
+    """(file, values): all values of the keys that match a pattern, cast, in the order of lines; an absent key has no row."""
+    value = F.struct("line", F.col("value").cast(kind).alias("v"))
+    return header.filter(F.col("key").rlike(key)).groupBy("file").agg(F.sort_array(F.collect_list(value))["v"].alias("values"))
 
 
 def view_angles(start: float, extent: float, n: int, clockwise: bool) -> Column:
@@ -37,21 +45,12 @@ def view_angles(start: float, extent: float, n: int, clockwise: bool) -> Column:
 
 
 def read_raw(spark: SparkSession, path: str, shape: tuple[int, int, int], dtype: str = "float32", flip: tuple[bool, bool, bool] = (False, False, False)) -> DataFrame:
-    """(file, x, y, z, value) of raw volumes stored with z slowest and x fastest; flip: axes to reverse."""
+    """(file, x, y, z, value) of raw volumes stored with z slowest and x fastest, read plane by plane; flip: axes to reverse."""
     if dtype not in DTYPES:
         raise ValueError(f"{dtype!r} is not one of {', '.join(DTYPES)}")
-    nx, ny, nz = shape
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p, content in zip(frame["path"], frame["content"], strict=True):
-                v = np.frombuffer(content, DTYPES[dtype], nx * ny * nz).reshape(nz, ny, nx).transpose(2, 1, 0)
-                v = v[tuple(slice(None, None, -1 if f else 1) for f in flip)]
-                for x in range(nx):
-                    y, z = np.divmod(np.arange(ny * nz), nz)
-                    yield pd.DataFrame({"file": p, "x": np.int32(x), "y": y.astype(np.int32), "z": z.astype(np.int32), "value": v[x].ravel().astype(float)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, x int, y int, z int, value double")
+    planes = read_planes(spark, path, shape[1], shape[0], DTYPES[dtype]).filter(F.col("plane") < shape[2])
+    ends = {c: (F.lit(n - 1) - F.col(of) if f else F.col(of)).cast("int").alias(c) for c, of, n, f in zip("xyz", ("column", "row", "plane"), shape, flip, strict=True)}
+    return planes.select("file", *ends.values(), "value")
 
 
 def write_raw(volume: DataFrame, folder: str, shape: tuple[int, int, int], scale: Column | None = None) -> DataFrame:

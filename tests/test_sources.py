@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from radonframe.operators import events as ev
 from radonframe.plans import fixtures
-from radonframe.sources import imaging, listmode
+from radonframe.sources import imaging, listmode, projections, ranges
 from radonframe.streaming import listmode as stream
 
 HEADER = {
@@ -76,3 +76,45 @@ def test_stream_count_rates(spark, sf_dir, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     got = stream.run_once(stream.count_rates(stream.stream_events(spark, f"{tmp_path}/in", rows.schema), "1 day", "2 days"), "rates", f"{tmp_path}/checkpoint")
     assert got.agg(F.sum("n")).first()[0] == rows.count()
+
+
+def test_simulated_projections(spark, tmp_path):
+    v = np.arange(2 * 3 * 4, dtype="<f4").reshape(2, 3, 4)  # image, row, column
+    (tmp_path / "p.bin").write_bytes(v.tobytes())
+    (tmp_path / "p.h").write_text(
+        "!INTERFILE :=\n!name of data file := p.bin\n!matrix size [1] := 4\n!matrix size [2] := 3\n!total number of images := 2\n!number format := short float\n!number of bytes per pixel := 4\n"
+        "!number of projections := 4\n!extent of rotation := 360\nstart angle := 30\n!direction of rotation := CW\n;Radius := 250\nenergy window lower level := 187.2\nenergy window upper level := 228.8\n"
+    )
+    rows = {(r["a"], r["r"], r["z"]): r["value"] for r in projections.read_simulated(spark, f"{tmp_path}/p.h").collect()}
+    assert rows == {(a, r, z): float(v[a, 2 - z, r]) for a in range(2) for r in range(4) for z in range(3)}
+    views = projections.simulated_views(spark, f"{tmp_path}/p.h", 0.1).orderBy("a").collect()
+    assert [r["angle"] for r in views] == [30.0, 300.0, 210.0, 120.0] and {r["radius"] for r in views} == {25.0}
+    window = projections.windows_of(imaging.read_header(spark, f"{tmp_path}/p.h")).first()
+    assert (window["lower"], window["upper"]) == (187.2, 228.8) and abs(window["width"] - 41.6) < 1e-9
+
+
+def test_simulated_attenuation(spark, tmp_path):
+    v = np.random.default_rng(0).random((2, 3, 4)).astype("<f4")  # z, y, x
+    (tmp_path / "m.bin").write_bytes(v.tobytes())
+    (tmp_path / "m.h").write_text("!name of data file := m.bin\n!matrix size [1] := 4\n!matrix size [2] := 3\n!matrix size [3] := 2\n")
+    for castor in (False, True):
+        got = {(r["x"], r["y"], r["z"]): r["value"] for r in projections.read_simulated_attenuation(spark, f"{tmp_path}/m.h", castor).collect()}
+        assert got == {(x, y, z): float(v[1 - z, 2 - y if castor else y, x]) for x in range(4) for y in range(3) for z in range(2)}
+
+
+def test_ranges_of_a_raw_file_are_tasks(spark, tmp_path):
+    v = np.arange(50 * 6, dtype="<i2").reshape(50, 2, 3)
+    (tmp_path / "v.raw").write_bytes(b"head" + v.tobytes())
+    rows = ranges.read_planes(spark, f"{tmp_path}/v.raw", 2, 3, "<i2", skip=4, range_bytes=40).collect()
+    assert {(r["plane"], r["row"], r["column"]): r["value"] for r in rows} == {(p, y, x): float(v[p, y, x]) for p in range(50) for y in range(2) for x in range(3)}
+
+
+def test_views_of_detectors_and_metadata(spark):
+    rotations = spark.createDataFrame([(1, 3, 0.0, 60.0, "CW", [100.0, 110.0, 120.0], [1.0, 2.0, 3.0])], "detector int, views int, start double, step double, direction string, radial array<double>, offsets array<double>")
+    rows = [(r["view"], r["a"], r["angle"], r["radius"]) for r in projections.views(rotations).orderBy("view").collect()]
+    assert [r[:3] for r in rows] == [(0, 2, 180.0), (1, 1, 120.0), (2, 0, 60.0)] and np.allclose([r[3] for r in rows], [10.1, 11.2, 12.3])
+    frames = spark.createDataFrame([(k, 0, 0, [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]) for k in range(3)], "frame int, window int, slot int, pixels array<array<double>>")
+    meta = projections.metadata(frames, (4.8, 4.4)).first()
+    assert (meta["nr"], meta["nz"], meta["nx"], meta["ny"]) == (3, 2, 3, 3) and np.allclose([meta["dr"], meta["dz"]], [0.48, 0.44])
+    counts = projections.projections(frames, rotations)
+    assert counts.filter("a = 0 and r = 2 and z = 0").first()["value"] == 6.0 and projections.chosen(counts, window=1).count() == 0

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.physics import bilinear_mu
 from .grid import convolve, gaussian_kernel
 
 CELL = ("a", "r", "z")
@@ -145,3 +146,42 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], first: tuple
     order = F.struct(F.abs(F.col(f"l.{first[0]}") - F.col(f"r.{first[1]}")).alias("d1"), F.abs(F.col(f"l.{second[0]}") - F.col(f"r.{second[1]}")).alias("d2"), F.col(f"r.{tie}").alias("tie"))
     joined = left.alias("l").join(right.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
     return joined.groupBy(*[F.col(f"l.{c}") for c in left.columns]).agg(F.min(order)["tie"].alias(tie))
+
+
+def conversion(table: DataFrame, model: str, energy: float, ct_energy: float) -> DataFrame:
+    """One row (a1, b1, a2, b2) of a table (Energy, CT Energy, Model Name, Lower Coeff, ..) of two-line conversions of CT numbers to attenuation.
+
+    Of the rows of the scanner's model, if it has any, else of all, the one nearest in energy, then in that of the CT.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(c, "[ -]", ""))
+    own = F.when(plain(F.col("Model Name")) == model.replace(" ", "").replace("-", "").lower(), 0).otherwise(1)
+    order = F.struct(own.alias("own"), F.abs(F.col("Energy") - energy).alias("d1"), F.abs(F.col("CT Energy") - ct_energy).alias("d2"))
+    names = {"a1": "Lower Coeff", "b1": "Lower Constant", "a2": "Upper Coeff", "b2": "Upper Constant"}
+    best = F.min_by(F.struct(*[F.col(c).cast("double").alias(k) for k, c in names.items()]), order)
+    return table.agg(best.alias("b")).select("b.*")
+
+
+def converted(volume: DataFrame, table: DataFrame, model: str, energy: float, ct_energy: float) -> DataFrame:
+    """CT numbers (.., value) as attenuation, by the conversion of the table."""
+    one = F.broadcast(conversion(table, model, energy, ct_energy))  # one row
+    mu = bilinear_mu(F.col("value"), F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2"))
+    return volume.join(one).withColumn("value", mu).drop("a1", "b1", "a2", "b2")
+
+
+def interpolated(material: DataFrame, energy: Column, name: str = "mu") -> DataFrame:
+    """One row: the attenuation of a material (energy, mu) at an energy, on a line between the rows around it."""
+    below = F.max_by(F.struct("energy", "mu"), F.when(F.col("energy") <= energy, F.col("energy")))
+    above = F.min_by(F.struct("energy", "mu"), F.when(F.col("energy") >= energy, F.col("energy")))
+    share = F.when(F.col("hi.energy") > F.col("lo.energy"), (energy - F.col("lo.energy")) / (F.col("hi.energy") - F.col("lo.energy"))).otherwise(0.0)
+    return material.agg(below.alias("lo"), above.alias("hi")).select((F.col("lo.mu") + share * (F.col("hi.mu") - F.col("lo.mu"))).alias(name))
+
+
+def material_lines(air: DataFrame, water: DataFrame, bone: DataFrame, ct_energy: float, energy: float) -> DataFrame:
+    """One row (a1, b1, a2, b2): the two lines through air, water and bone, of their CT numbers at one energy and their attenuation at another."""
+    one = None
+    for name, rows in (("air", air), ("water", water), ("bone", bone)):
+        both = interpolated(rows, F.lit(float(ct_energy)), f"{name}_ct").join(interpolated(rows, F.lit(float(energy)), name))  # one row each
+        one = both if one is None else one.join(both)
+    number = lambda m: (F.col(f"{m}_ct") - F.col("water_ct")) / (F.col("water_ct") - F.col("air_ct")) * 1000
+    slope = lambda p, q: (F.col(q) - F.col(p)) / (number(q) - number(p))
+    return one.select(slope("air", "water").alias("a1"), F.col("water").alias("b1"), slope("water", "bone").alias("a2"), F.col("water").alias("b2"))

@@ -145,6 +145,21 @@ def cone_beam_rays(spark, angles: int, shape: tuple[int, int], spacing: float, s
     return out.select("i", (c * source).alias("x1"), (s * source).alias("y1"), F.lit(0.0).alias("z1"), (-c * detector - s * u).alias("x2"), (-s * detector + c * u).alias("y2"), v.alias("z2"))
 
 
+def arc_rays(views: DataFrame, columns: int, rows: int, source: float, pitch: float, height: float) -> DataFrame:
+    """Rays of a third-generation scanner: a curved panel, ``source`` mm from the focal spot, that turns with it.
+
+    views: (view, phi, rho, z, dphi, drho, dz, centre_column, centre_row): the focal spot's place with its shifts, and the panel's central element;
+    pitch: angle between columns; height: mm between rows. i = (view * columns + column) * rows + row.
+    """
+    every = views.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    phi, rho, z = F.col("phi") + F.col("dphi"), F.col("rho") + F.col("drho"), F.col("z") + F.col("dz")
+    turn = F.col("phi") + (F.col("column") - F.col("centre_column")) * pitch
+    # the panel's middle of curvature is the focal spot without its shifts
+    ends = {"x1": rho * F.cos(phi), "y1": rho * F.sin(phi), "z1": z, "x2": F.col("rho") * F.cos("phi") - source * F.cos(turn), "y2": F.col("rho") * F.sin("phi") - source * F.sin(turn), "z2": F.col("z") + (F.col("row") - F.col("centre_row")) * height}
+    i = ((F.col("view") * columns + F.col("column")) * rows + F.col("row")).cast("long")
+    return every.select(i.alias("i"), *[v.cast("double").alias(k) for k, v in ends.items()])
+
+
 def ramp_filter(n: int) -> np.ndarray:
     """|FFT| of the band-limited ramp sampled at n points."""
     k = np.concatenate([np.arange(1, n // 2 + 1, 2), np.arange(n // 2 - 1, 0, -2)])

@@ -7,6 +7,7 @@ forward projection's sums of all sub-iterations need no further shuffle of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut, kept
 from . import algebra, likelihoods
+from .rays import filter_lines
 
 DELTA = likelihoods.DELTA
 Prior = Callable[[DataFrame], DataFrame]
@@ -140,9 +142,14 @@ def uncertainty(h: DataFrame, data: DataFrame, iterates: list[DataFrame], mask:
     return data.join(v, "i").agg(F.sqrt(F.sum(F.col("value") * F.col("value") * F.col("g"))).alias("value"))
 
 
-def filtered_back_projection(h: DataFrame, filtered: DataFrame, angles: int) -> DataFrame:
-    """(j, value): back projection of filtered projections (i, value), times pi over the number of angles."""
-    return algebra.backward(h, filtered).withColumn("value", F.col("value") * F.lit(3.141592653589793 / angles))
+def filtered_back_projection(h: DataFrame, projections: DataFrame, angles: int, bins: int, window: Callable | None = None) -> DataFrame:
+    """(j, value): back projection of ramp-filtered projections (i, value), i = angle * bins + bin, times pi over the number of angles.
+
+    window: a further filter, of the frequency's share of its largest. A line of bins is a task's group, as long as the detector is wide.
+    """
+    lines = projections.select(F.floor(F.col("i") / bins).cast("long").alias("angle"), F.pmod("i", F.lit(bins)).cast("long").alias("bin"), "value")
+    filtered = filter_lines(lines, ["angle"], "bin", window).select((F.col("angle") * bins + F.col("bin")).alias("i"), "value")
+    return algebra.backward(h, filtered).withColumn("value", F.col("value") * F.lit(math.pi / angles))
 
 
 def dip_step(em: DataFrame, network: DataFrame, dual: DataFrame, rho: float, norm: DataFrame) -> DataFrame:
@@ -150,3 +157,27 @@ def dip_step(em: DataFrame, network: DataFrame, dual: DataFrame, rho: float, nor
     t = em.withColumnRenamed("value", "em").join(network.withColumnRenamed("value", "net"), "j").join(dual.withColumnRenamed("value", "dual"), "j").join(norm.withColumnRenamed("value", "norm"), "j")
     u = F.col("net") - F.col("dual") - F.col("norm") / rho
     return t.select("j", (0.5 * u + 0.5 * F.sqrt(u * u + 4 * F.col("em") * F.col("norm") / rho)).alias("value"))
+
+
+def dip(h: DataFrame, data: DataFrame, network: Callable[[DataFrame, int], DataFrame], rho: float, iterations: int, subsets: int = 1, em_steps: int = 1) -> DataFrame:
+    """The network's last output (j, value), by alternating steps: EM and its closed-form update, a fit of the network to what it is to give, and the dual variable.
+
+    network(label, n): the output (j, value) of a network fitted to ``label`` in iteration n; what it is and where it runs is the caller's. Its
+    output for an image of ones, n = 0, is where the iterations start.
+    """
+    solver = osem(h, data)
+    norm = cut(algebra.normalization(h))
+    positive = lambda x: x.withColumn("value", F.greatest("value", F.lit(0.0)))
+    image = out = cut(network(norm.select("j", F.lit(1.0).alias("value")), 0))
+    dual = norm.select("j", F.lit(0.0).alias("value"))
+    for n in range(iterations):
+        for _ in range(em_steps):
+            for m in range(subsets):
+                solver.image = positive(image)
+                em = solver.run(1, subsets, only=m)
+                image = cut(dip_step(em, out, dual, rho, norm))
+        label = image.join(dual.withColumnRenamed("value", "dual"), "j").select("j", (F.col("value") + F.col("dual")).alias("value"))
+        out = cut(network(label, n + 1))
+        moved = dual.withColumnRenamed("value", "dual").join(image, "j").join(out.withColumnRenamed("value", "net"), "j")
+        dual = cut(moved.select("j", (F.col("dual") + F.col("value") - F.col("net")).alias("value")))
+    return positive(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,10 +31,18 @@ def rotated(image: DataFrame, turns: Stencil) -> DataFrame:
     return turns.join(source, ["xi", "yi"]).groupBy("a", "x", "y", "z").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def depth_blur(df: DataFrame, sigma: Callable[[Column], Column], half: int, axis: str = "y") -> DataFrame:
-    """(a, x, y, z, value) blurred along an axis by a Gaussian whose width in voxels depends on x: weights sum to 1 over the kernel, and zeros lie beyond the edge."""
+def depth_blur(df: DataFrame, sigma: Callable[[Column], Column], half: int, axis: str = "y", shape: str = "gaussian") -> DataFrame:
+    """(a, x, y, z, value) blurred along an axis with a width in voxels that depends on x: weights sum to 1 over the kernel, and zeros lie beyond the edge.
+
+    shape: "gaussian" of that standard deviation, or "square", the triangle of square holes that is 0 from that width on.
+    """
     s = sigma(F.col("x"))
-    weights = [F.when(s > 0, F.exp(-F.lit(float(o * o)) / (2 * s * s))).otherwise(1.0 if o == 0 else 0.0) for o in range(-half, half + 1)]
+    if shape == "gaussian":
+        weights = [F.when(s > 0, F.exp(-F.lit(float(o * o)) / (2 * s * s))).otherwise(1.0 if o == 0 else 0.0) for o in range(-half, half + 1)]
+    elif shape == "square":
+        weights = [F.greatest(1 - F.when(s > 0, abs(o) / s).otherwise(0.0 if o == 0 else 1.0), F.lit(0.0)) for o in range(-half, half + 1)]
+    else:
+        raise ValueError(f"{shape!r} is neither gaussian nor square")
     total = sum(weights[1:], weights[0])
     rows = grid.lines(df, ["a"], axis).withColumn("ws", F.transform(F.array(*weights), lambda w: w / total))
     n = F.size("line")
@@ -42,6 +51,29 @@ def depth_blur(df: DataFrame, sigma: Callable[[Column], Column], half: int, axis
     return grid.unlines(rows.withColumn("line", done), ["a"], axis)
 
 
+def plane_blur(df: DataFrame, sigma: Callable[[Column], Column], spacing: tuple[float, float], half: tuple[int, int], shape: str = "gaussian") -> DataFrame:
+    """Blurred along y and then z, by a width in cm that depends on x; spacing: of voxels along y and z in cm."""
+    for axis, d, h in zip("yz", spacing, half, strict=True):
+        df = depth_blur(df, lambda x, d=d: sigma(x) / d, h, axis, shape)
+    return df
+
+
+def kernel_half(sigma_cm: float, spacing: float, deviations: float = 3.0) -> int:
+    """Offsets to each side that a kernel needs for the widest response."""
+    return math.ceil(sigma_cm / spacing * deviations)
+
+
+def distance(n: int, radius: float, spacing: float) -> Callable[[Column], Column]:
+    """Distance in cm of a plane x of n from a detector at a radius on the +x side; never negative."""
+    return lambda x: F.greatest(F.lit(radius) - (x - (n - 1) / 2) * spacing, F.lit(0.0))
+
+
+def cut_off(projections: DataFrame, mask: DataFrame) -> DataFrame:
+    """(a, r, z, value), 0 outside of the mask's pixels (r, z). It is its own transpose."""
+    inside = mask.select("r", "z").distinct().withColumn("inside", F.lit(True))
+    return projections.join(inside, ["r", "z"], "left").select("a", "r", "z", F.when(F.col("inside"), F.col("value")).otherwise(0.0).alias("value"))
+
+
 def forward(image: DataFrame, turns: Stencil, probability: DataFrame | None = None, blur: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, r, z, value). probability: (a, x, y, z, value), that a photon from a voxel is detected at an angle."""
     rows = rotated(image, turns)

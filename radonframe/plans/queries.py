@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import algebra, counts, events, grid, likelihoods, solvers, spect
-from ..sources import imaging, projections
+from ..operators import algebra, counts, events, grid, likelihoods, planes, solvers, spect
+from ..sources import coincidences, imaging, projections
 from .fixtures import (
     CELLS_SQL, DETECTORS, H_SQL, LISTMODE_SQL, SCANNER, TOF_BINS, VOLUMES_SQL, WINDOWS, WINDOWS_SQL, h_matrix, listmode, measured, ones, table, volumes, window_counts,
 )
@@ -131,6 +131,23 @@ def osem_2sub(spark, sf_dir):
     return rounded(solvers.osem(h_matrix(spark, sf_dir), measured(spark, sf_dir)).run(1, 2))
 
 
+def _planes_sql() -> str:
+    parts = []
+    for z, flag in enumerate("FO"):
+        d = f"d AS (SELECT l_orderkey AS i, sum(l_extendedprice) FILTER (l_linestatus = '{flag}') AS g, 0.0 AS s FROM lineitem GROUP BY 1), dd AS (SELECT 1)"
+        steps = f"{_em_sql('f0', 'f1', 0, 2)}, {_em_sql('f1', 'f2', 1, 2)}"
+        h = H_SQL[: H_SQL.index("d AS (")] + d.replace("AS g", "AS g0", 1).replace("d AS (SELECT l_orderkey", "d0 AS (SELECT l_orderkey", 1) + ", d AS (SELECT i, coalesce(g0, 0) AS g, s FROM d0)" + H_SQL[H_SQL.index(",\nf0") :]
+        parts.append(f"SELECT j, CAST({z} AS INTEGER) AS z, round(value, 4) AS value FROM (WITH {h}, {steps} SELECT j, value FROM f2)")
+    return " UNION ALL ".join(parts)
+
+
+@query(_planes_sql())
+def osem_planes(spark, sf_dir):
+    """Both line statuses as planes of one matrix."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("z"), F.col("l_extendedprice").alias("value"))
+    return rounded(planes.long(planes.osem(h_matrix(spark, sf_dir), planes.wide(rows, "i", 2), 1, subsets=2), "j"), 4)
+
+
 @query(_solved("f1", _em_sql("f0", "f1", 1, 3)))
 def osem_one_subset(spark, sf_dir):
     return rounded(solvers.osem(h_matrix(spark, sf_dir), measured(spark, sf_dir)).run(1, 3, only=1))
@@ -322,11 +339,19 @@ def dip_step(spark, sf_dir):
     return rounded(solvers.dip_step(em, network, ones(h).withColumn("value", F.lit(0.5)), 2000.0, algebra.normalization(h)))
 
 
-@query("""WITH h AS (SELECT l_orderkey AS i, l_suppkey AS j, sum(l_quantity) AS h FROM lineitem GROUP BY 1, 2), g AS (SELECT o_orderkey AS i, o_totalprice AS value FROM orders)
-SELECT j, round(sum(h * value) * 3.141592653589793 / 60 / 1e6, 6) AS value FROM h JOIN g USING (i) GROUP BY j""")
+_RAMP_SQL = "CASE WHEN {d} = 0 THEN 0.25 WHEN {d} % 2 <> 0 THEN -1 / (pi() * {d}) ^ 2 ELSE 0.0 END"
+
+
+@query(f"""WITH h AS (SELECT l_orderkey AS i, l_suppkey AS j, sum(l_quantity) AS h FROM lineitem GROUP BY 1, 2), g AS (SELECT o_orderkey AS i, o_orderkey // 60 AS a, o_orderkey % 60 AS b, o_totalprice AS v FROM orders),
+f AS (SELECT t.i, sum(s.v * {_RAMP_SQL.format(d="abs(t.b - s.b)")}) AS value FROM g t JOIN g s USING (a) GROUP BY t.i)
+SELECT j, round(sum(h * value) * pi() / 60 / 1e6, 6) AS value FROM h JOIN f USING (i) GROUP BY j""")
 def filtered_back_projection(spark, sf_dir):
-    filtered = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("value"))
-    out = solvers.filtered_back_projection(h_matrix(spark, sf_dir), filtered, 60)
+    """The ramp is a convolution, which the SQL does directly."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.floor(F.col("o_orderkey") / 60).alias("angle"), F.col("o_totalprice").alias("value"))
+    # lines with all of their bins
+    bins = rows.select("angle").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(59)))).select((F.col("angle") * 60 + F.col("bin")).alias("i"))
+    full = bins.join(rows.select("i", "value"), "i", "left").fillna(0.0)
+    out = solvers.filtered_back_projection(h_matrix(spark, sf_dir), full, 60, 60)
     return out.select("j", F.round(F.col("value") / 1e6, 6).alias("value"))
 
 
@@ -794,3 +819,36 @@ p AS (SELECT "window", slot, a, unnest(embedding) AS v, unnest(range(len(embeddi
 SELECT "window", slot, CAST(a AS INTEGER) AS a, CAST(n % 8 AS INTEGER) AS r, CAST(7 - n // 8 AS INTEGER) AS z, CAST(v AS DOUBLE) AS value FROM p""")
 def frames_to_projections(spark, sf_dir):
     return projections.projections(*_frames(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT event_id, CAST(event_id % 6 AS INTEGER) AS s1, CAST(user_id % 6 AS INTEGER) AS s2, CAST(event_id % 4 AS INTEGER) AS m1, CAST(user_id // 6 % 4 AS INTEGER) AS m2, CAST(event_id // 4 % 4 AS INTEGER) AS c1, CAST(user_id // 24 % 4 AS INTEGER) AS c2,
+  user_id % 5 AS o1, event_id % 5 AS o2, event_type = 'click' AS scattered, value FROM events)
+SELECT event_id, CAST((c1 // 2 + m1 // 2 * 2) * 24 + c1 % 2 + m1 % 2 * 2 + s1 * 4 AS INTEGER) AS detector_1, CAST((c2 // 2 + m2 // 2 * 2) * 24 + c2 % 2 + m2 % 2 * 2 + s2 * 4 AS INTEGER) AS detector_2,
+  CAST(CASE WHEN value - 130 < -100 THEN -1 WHEN value - 130 >= 100 THEN 8 ELSE floor((value - 130 + 100) / 25) END AS INTEGER) AS tof
+FROM e WHERE o1 = o2 AND NOT scattered""")
+def true_coincidences(spark, sf_dir):
+    """Events as coincidences of a simulation: those that are neither random nor scattered."""
+    e, u = F.col("event_id"), F.col("user_id")
+    number = lambda v, n: F.pmod(F.floor(v), F.lit(n)).cast("int")
+    rows = table(spark, sf_dir, "events").withColumns({
+        "rsector_1": number(e, 6), "rsector_2": number(u, 6), "module_1": number(e, 4), "module_2": number(u / 6, 4), "submodule_1": F.lit(0), "submodule_2": F.lit(0), "crystal_1": number(e / 4, 4), "crystal_2": number(u / 24, 4),
+        **{f"{c}_{k}": F.pmod(v, F.lit(5)).cast("double") for k, v in ((1, u), (2, e)) for c in "xyz"},
+        "compton_1": (F.col("event_type") == "click").cast("int"), "compton_2": F.lit(0), "rayleigh_1": F.lit(0), "rayleigh_2": F.lit(0),
+        "time_1": F.col("value") / 0.15e12, "time_2": F.lit(130.0) / 0.15e12,
+    })
+    kept = coincidences.chosen(rows, randoms=False, scatters=False)
+    return coincidences.detectors(kept, SCANNER, [25.0 * k - 100 for k in range(9)]).select("event_id", "detector_1", "detector_2", "tof")
+
+
+@query(f"""WITH {VOLUMES_SQL}, k AS (SELECT x, o, greatest(1 - abs(o) / (1.2 + 0.5 * x), 0) AS w FROM range(4) t(x), range(-3, 4) u(o)), n AS (SELECT x, o, w / sum(w) OVER (PARTITION BY x) AS w FROM k),
+y AS (SELECT v.vec_id, v.x, v.y, v.z, sum(n.w * coalesce(s.value, 0)) AS value FROM vol v JOIN n USING (x) LEFT JOIN vol s ON s.vec_id = v.vec_id AND s.x = v.x AND s.z = v.z AND s.y = v.y + n.o GROUP BY 1, 2, 3, 4)
+SELECT v.vec_id AS a, v.x, v.y, v.z, round(sum(n.w * coalesce(s.value, 0)), 6) AS value FROM y v JOIN n USING (x) LEFT JOIN y s ON s.vec_id = v.vec_id AND s.x = v.x AND s.y = v.y AND s.z = v.z + n.o GROUP BY 1, 2, 3, 4""")
+def psf_square(spark, sf_dir):
+    turned = volumes(spark, sf_dir).withColumnRenamed("vec_id", "a")
+    return rounded(spect.plane_blur(turned, lambda x: 1.2 + 0.5 * x, (1.0, 1.0), (3, 3), "square"))
+
+
+@query(f"""WITH {WINDOWS_SQL} SELECT a, r, z, round(sum(CASE WHEN r BETWEEN 3 AND 12 AND z < 3 THEN value ELSE 0 END), 4) AS value FROM c WHERE "window" = 'view' GROUP BY a, r, z""")
+def cut_off(spark, sf_dir):
+    rows = window_counts(spark, sf_dir).filter("window = 'view'")
+    return rounded(spect.cut_off(rows, rows.filter("r between 3 and 12 and z < 3")), 4)

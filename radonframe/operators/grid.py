@@ -1,7 +1,7 @@
 """Operators on dense grids: tables with key columns, x, y, z and value.
 
 Neighbourhood operators work on lines: a window along one axis, or a line gathered into an array as long as the grid is wide. A
-3 x 3 x 3 neighbourhood is three windows, one per axis, that carry arrays of 3, 9 and 27 values, rather than a join with 26 offsets.
+3 x 3 x 3 neighbourhood is three windows within slabs, one per axis, that carry arrays of 3, 9 and 27 values, rather than a join with 26 offsets.
 Grids are dense; a missing voxel is not taken for zero.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
+SLAB = 16  # planes of x that a task has together
 OFFSETS = [o for o in itertools.product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
 
 
@@ -34,13 +35,18 @@ def detection_probability(mu: DataFrame, keys: Sequence[str], step: float) -> Da
 
 
 def neighbourhood(df: DataFrame, keys: Sequence[str], column: str = "value") -> DataFrame:
-    """``df`` with near: the 27 values around each voxel, x slowest, the edge's own value beyond the edge."""
-    out = df.withColumn("near", F.array(column))
+    """``df`` with near: the 27 values around each voxel, x slowest, the edge's own value beyond the edge.
+
+    Planes are dealt to tasks in slabs of ``SLAB`` with the plane on either side, once: the three windows sort within slabs and shuffle nothing.
+    """
+    own = lambda x: F.floor(x / SLAB).cast("int")
+    slabs = F.array_distinct(F.array(own(F.col("x") - 1), own(F.col("x")), own(F.col("x") + 1)))
+    out = df.withColumn("_slab", F.explode(slabs)).repartition(*keys, "_slab").withColumn("near", F.array(column))
     for axis in reversed(AXES):
-        w = Window.partitionBy(*keys, *_others(axis)).orderBy(axis)
+        w = Window.partitionBy(*keys, "_slab", *_others(axis)).orderBy(axis)
         before, after = F.coalesce(F.lag("near").over(w), F.col("near")), F.coalesce(F.lead("near").over(w), F.col("near"))
         out = out.withColumn("near", F.concat(before, "near", after))
-    return out
+    return out.filter(own(F.col("x")) == F.col("_slab")).drop("_slab")
 
 
 def near_value(offset: tuple[int, int, int], near: str = "near") -> Column:

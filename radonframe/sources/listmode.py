@@ -28,6 +28,9 @@ EVENT = "struct<detector1Id:bigint,detector2Id:bigint,tofIdx:bigint,energy1Idx:b
 BLOCK_JSON = f"timeBlocks struct<id:bigint,promptEvents:array<{EVENT}>,delayedEvents:array<{EVENT}>>"
 
 
+FILE_EVENTS = 4_000_000
+
+
 def to_varints(values: np.ndarray) -> bytes:
     """Unsigned integers as varints, in numpy."""
     v = np.asarray(values, np.uint64)
@@ -187,17 +190,14 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, detector_id long, x double, y double, z double, bins int, tof_range double")
 
 
-def write_binary(events: DataFrame, folder: str, header: dict[str, Any], schema: str = "") -> DataFrame:
-    """Write events (block, delayed, detector_1, ...) as files, one per partition, whole blocks in each; (file, events) of what was written.
+def write_binary(events: DataFrame, folder: str, header: dict[str, Any], schema: str = "", file_events: int = FILE_EVENTS) -> DataFrame:
+    """Write events (block, delayed, detector_1, ...) as files of whole blocks in order, of about ``file_events`` at most; (file, events) of what was written.
 
-    Names are unique, and only files of tasks that succeeded are in the result.
+    A task holds a file's events at a time; a block is a unit of the format, and as such within one file. Names are unique, and only files of
+    tasks that succeeded are in the result.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [f for f in frames if len(f)]
-        if not rows:
-            return
-        frame = pd.concat(rows)
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, b in frame.groupby("block", sort=True):
             late = b["delayed"].to_numpy(bool)
@@ -208,9 +208,26 @@ def write_binary(events: DataFrame, folder: str, header: dict[str, Any], schema:
         name = f"{where}/{uuid.uuid4().hex}.bin"
         with system.open_output_stream(name) as f:
             f.write(encoded(header, out, schema))
-        yield pd.DataFrame({"file": [name], "events": [len(frame)]})
+        return pd.DataFrame({"file": [name], "events": [len(frame)]})
 
-    return events.repartition("block").select("block", "delayed", *FIELDS).mapInPandas(run, "file string, events long")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n = 0
+        for frame in frames:
+            # what a block that is not the last one ends goes out once there is enough of it
+            if n + len(frame) >= file_events:
+                every = pd.concat([*held, frame])
+                last = every["block"] == every["block"].iloc[-1]
+                if not last.all():
+                    yield write(every[~last])
+                held = [every[last]]
+            elif len(frame):
+                held.append(frame)
+            n = sum(map(len, held))
+        if n:
+            yield write(pd.concat(held))
+
+    return events.repartition("block").sortWithinPartitions("block").select("block", "delayed", *FIELDS).mapInPandas(run, "file string, events long")
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:

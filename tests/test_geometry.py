@@ -89,3 +89,21 @@ def test_convolution_equals_numpy(spark):
     kernel = grid.gaussian_kernel(1.2, 2)
     got = [r["value"] for r in grid.convolve(df, ["k"], "x", kernel).orderBy("x").collect()]
     assert np.allclose(got, np.convolve(v, kernel, "same"))
+
+
+def test_neighbourhood_over_slabs(spark):
+    v = np.random.default_rng(9).random((2, 37, 3, 4))
+    df = spark.createDataFrame([(*map(int, k), float(x)) for k, x in np.ndenumerate(v)], "k int, x int, y int, z int, value double")
+    padded = np.pad(v, ((0, 0), (1, 1), (1, 1), (1, 1)), mode="edge")
+    rows = grid.neighbourhood(df, ["k"]).collect()
+    assert len(rows) == v.size and all(np.allclose(r["near"], padded[r["k"], r["x"] : r["x"] + 3, r["y"] : r["y"] + 3, r["z"] : r["z"] + 3].ravel()) for r in rows)
+
+
+def test_feldkamp_in_slabs(spark, monkeypatch):
+    g = rays.Grid((6, 6, 5), (2.0, 2.0, 2.0))
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(v, c, r, float(rng.random())) for v in range(5) for c in range(8) for r in range(8)], "view int, col int, row int, value double")
+    whole = {r["j"]: r["value"] for r in rays.fdk(p, g, 5, (8, 8), 2.0, 300.0, 100.0).collect()}
+    monkeypatch.setattr(rays, "MAX_VOXELS", 70)
+    parts = {r["j"]: r["value"] for r in rays.fdk(p, g, 5, (8, 8), 2.0, 300.0, 100.0).collect()}
+    assert len(whole) == 180 and whole.keys() == parts.keys() and all(math.isclose(x, parts[j], rel_tol=1e-9, abs_tol=1e-12) for j, x in whole.items())

@@ -118,3 +118,17 @@ def test_views_of_detectors_and_metadata(spark):
     assert (meta["nr"], meta["nz"], meta["nx"], meta["ny"]) == (3, 2, 3, 3) and np.allclose([meta["dr"], meta["dz"]], [0.48, 0.44])
     counts = projections.projections(frames, rotations)
     assert counts.filter("a = 0 and r = 2 and z = 0").first()["value"] == 6.0 and projections.chosen(counts, window=1).count() == 0
+
+
+def test_binary_files_hold_whole_blocks(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(int(b), bool(rng.integers(2)), *map(int, rng.integers(0, 3, 5))) for b in range(12) for _ in range(int(rng.integers(1, 9)))]
+    names = "block long, delayed boolean, detector_1 long, detector_2 long, tof long, energy_1 long, energy_2 long"
+    events = spark.createDataFrame(rows, names).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    files = listmode.write_binary(events, f"{tmp_path}/out", HEADER, file_events=6).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(files) > 4 and sum(r["events"] for r in files) == len(rows)
+    back = listmode.read_binary(spark, f"{tmp_path}/out")
+    assert back.groupBy("block").agg(F.countDistinct("file").alias("n")).filter("n > 1").count() == 0
+    assert sorted(map(tuple, back.drop("file").collect())) == sorted(rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,7 +90,51 @@ def digitize(value: Column, low: float, high: float, bins: int) -> Column:
     return (F.width_bucket(value, F.lit(float(low)), F.lit(float(high)), F.lit(bins)) - 1).cast("int")
 
 
-def tof_efficiency(offset: Column, centres: Column, sigma: float, width: float) -> Column:
-    """Array of Gaussian weights of bins around an offset, normalised over the bins."""
-    raw = F.transform(centres, lambda c: F.exp(-(c - offset) * (c - offset) / (2 * sigma * sigma)) * width)
-    return F.transform(raw, lambda w: w / F.aggregate(raw, F.lit(0.0), lambda s, v: s + v))
+def tof_efficiency(offsets: Column, centres: Column, sigma: float) -> Column:
+    """Array by offset of arrays by centre: Gaussian weights of the centres around each offset, those of a centre adding up to 1 over the offsets."""
+    raw = F.transform(offsets, lambda o: F.transform(centres, lambda c: F.exp(-(o - c) * (o - c) / (2 * sigma * sigma))))
+    none = F.transform(centres, lambda c: F.lit(0.0))
+    total = F.aggregate(raw, none, lambda s, r: F.zip_with(s, r, lambda x, y: x + y))
+    return F.transform(raw, lambda r: F.zip_with(r, total, lambda x, t: F.when(t > 0, x / t).otherwise(0.0)))
+
+
+@dataclass(frozen=True)
+class TimeBins:
+    """Time bins spread evenly about the middle of lines: their number, their whole range and the width of the uncertainty (FWHM), in mm."""
+
+    number: int
+    range: float
+    fwhm: float
+
+    @property
+    def width(self) -> float:
+        return self.range / self.number
+
+    @property
+    def sigma(self) -> float:
+        return self.fwhm / 2.355
+
+    @property
+    def edges(self) -> list[float]:
+        return [self.range * (k / self.number - 0.5) for k in range(self.number + 1)]
+
+    @property
+    def centres(self) -> list[float]:
+        return [(k - self.number / 2 + 0.5) * self.width for k in range(self.number)]
+
+
+def collimator_response(hole_diameter: float, hole_length: float, mu: float, intrinsic: float = 0.0, intrinsic_140: float | None = None, energy: float = 140.0, shape: str = "gaussian") -> tuple[float, float, float]:
+    """(a, b, c) of a response's width sqrt((a d + b)^2 + c^2) at a distance d: its standard deviation, or of square holes half their shadow.
+
+    intrinsic, intrinsic_140: the crystal's resolution (FWHM) at the energy or at 140 keV, from which it falls with the root of the energy.
+    """
+    slope = hole_diameter / (hole_length - 2 / mu)
+    if shape == "square":
+        return slope / 2, hole_diameter / 2, 0.0
+    own = intrinsic if intrinsic_140 is None else intrinsic_140 * math.sqrt(140.0 / energy)
+    return slope / FWHM_PER_SIGMA, hole_diameter / FWHM_PER_SIGMA, own / FWHM_PER_SIGMA
+
+
+def response_width(distance: Column, response: tuple[float, float, float]) -> Column:
+    a, b, c = response
+    return F.sqrt((a * distance + b) * (a * distance + b) + c * c)

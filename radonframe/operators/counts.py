@@ -30,11 +30,12 @@ def window_scatter_variance(lower: Column, upper: Column | None, width_lower: fl
     return v if upper is None else v + upper * (width_peak / width_upper * weight_upper) ** 2
 
 
-def smooth_scatter(scatter: DataFrame, sigmas: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Separable Gaussian blur of (a, r, z, value): around the circle of angles, with the edge's value along r and z."""
+def smooth_scatter(scatter: DataFrame, sigmas: dict[str, float], keys: Sequence[str] = (), squared: bool = False) -> DataFrame:
+    """Separable Gaussian blur of (a, r, z, value): around the circle of angles, with the edge's value along r and z. squared: by the squares of the weights, as variances are."""
     for axis, sigma in sigmas.items():
         if sigma > 0:
-            scatter = convolve(scatter, keys, axis, gaussian_kernel(sigma), "circular" if axis == "a" else "nearest", CELL)
+            kernel = [w * w if squared else w for w in gaussian_kernel(sigma)]
+            scatter = convolve(scatter, keys, axis, kernel, "circular" if axis == "a" else "nearest", CELL)
     return scatter
 
 
@@ -185,3 +186,33 @@ def material_lines(air: DataFrame, water: DataFrame, bone: DataFrame, ct_energy:
     number = lambda m: (F.col(f"{m}_ct") - F.col("water_ct")) / (F.col("water_ct") - F.col("air_ct")) * 1000
     slope = lambda p, q: (F.col(q) - F.col(p)) / (number(q) - number(p))
     return one.select(slope("air", "water").alias("a1"), F.col("water").alias("b1"), slope("water", "bone").alias("a2"), F.col("water").alias("b2"))
+
+
+def window_estimate(
+    projections: DataFrame, widths: dict[int, float], peak: int, lower: int, upper: int | None = None, weight_lower: float = 0.5, weight_upper: float = 0.5, sigmas: dict[str, float] | None = None,
+) -> DataFrame:
+    """(a, r, z, value, variance): the scatter in the peak window of projections (window, a, r, z, value), and its variance, both smoothed if asked; widths: of the windows in keV."""
+    wide = window_pivot(projections, [lower, *([] if upper is None else [upper])])
+    args = (F.col(f"w_{lower}"), None if upper is None else F.col(f"w_{upper}"), widths[lower], 1.0 if upper is None else widths[upper], widths[peak], weight_lower, weight_upper)
+    value = wide.select(*CELL, window_scatter(*args).alias("value"))
+    variance = wide.select(*CELL, window_scatter_variance(*args).alias("value"))
+    if sigmas:
+        # a sum of independent counts has the sum of their variances, each times its weight squared
+        value, variance = smooth_scatter(value, sigmas), smooth_scatter(variance, sigmas, squared=True)
+    return value.join(variance.withColumnRenamed("value", "variance"), list(CELL))
+
+
+def stray_scatter(blank: DataFrame, mask: DataFrame, duration_ratio: float, widths: dict[int, float], peak: int, lower: int, upper: int | None = None, weight_lower: float = 0.5, weight_upper: float = 0.5) -> DataFrame:
+    """One row, value: the scatter that the stray counts of a blank scan's windows would be taken for in the peak window."""
+    wide = None
+    for w in [lower, *([] if upper is None else [upper])]:
+        one = stray_mean(blank.filter(F.col("window") == w), mask, duration_ratio).withColumnRenamed("value", f"w_{w}")
+        wide = one if wide is None else wide.join(one)  # one row each
+    low, high = F.col(f"w_{lower}"), None if upper is None else F.col(f"w_{upper}")
+    return wide.select(window_scatter(low, high, widths[lower], 1.0 if upper is None else widths[upper], widths[peak], weight_lower, weight_upper).alias("value"))
+
+
+def subsampled_views(views: DataFrame, angles: int, first: int = 0) -> DataFrame:
+    """Views (a, ..) of every ``angles``-th angle from ``first``, numbered anew, as ``subsample`` does with counts."""
+    kept = views.filter((F.col("a") >= first) & (F.pmod(F.col("a") - first, F.lit(angles)) == 0))
+    return kept.withColumn("a", F.floor((F.col("a") - first) / angles).cast("int"))

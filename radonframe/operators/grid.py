@@ -226,8 +226,8 @@ def shift(df: DataFrame, keys: Sequence[str], shape: tuple[int, int, int], by: t
     return resample(df, keys, shape, [[float(a == b) for b in range(3)] + [-by[a]] for a in range(3)])
 
 
-def displace(df: DataFrame, keys: Sequence[str], field: DataFrame) -> DataFrame:
-    """The grid sampled at each voxel plus its displacement (keys, x, y, z, dx, dy, dz), trilinear, zero outside."""
+def _displaced(keys: Sequence[str], field: DataFrame) -> DataFrame:
+    """(keys, ox, oy, oz, x, y, z, w): the weights of the voxels around each voxel plus its displacement."""
     corners = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip(AXES, c, strict=True)]) for c in itertools.product((0, 1), repeat=3)])
     at = field.select(*keys, *[F.col(a).alias(f"o{a}") for a in AXES], *[(F.col(a) + F.col(f"d{a}")).alias(f"p{a}") for a in AXES]).withColumn("c", F.explode(corners))
     weight = F.lit(1.0)
@@ -235,16 +235,33 @@ def displace(df: DataFrame, keys: Sequence[str], field: DataFrame) -> DataFrame:
         share = F.col(f"p{a}") - F.floor(f"p{a}")
         weight = weight * F.when(F.col(f"c.d{a}") == 1, share).otherwise(1 - share)
         at = at.withColumn(a, (F.floor(f"p{a}") + F.col(f"c.d{a}")).cast("int"))
-    hit = at.withColumn("w", weight).join(df, [*keys, *AXES], "left")
+    return at.withColumn("w", weight)
+
+
+def displace(df: DataFrame, keys: Sequence[str], field: DataFrame) -> DataFrame:
+    """The grid sampled at each voxel plus its displacement (keys, x, y, z, dx, dy, dz), trilinear, zero outside."""
+    hit = _displaced(keys, field).join(df, [*keys, *AXES], "left")
     out = hit.groupBy(*keys, *[f"o{a}" for a in AXES]).agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("value"))
     return out.select(*keys, *[F.col(f"o{a}").alias(a) for a in AXES], "value")
 
 
+def displace_back(df: DataFrame, keys: Sequence[str], field: DataFrame) -> DataFrame:
+    """The transpose of ``displace``: each voxel's value goes to the voxels that it was sampled from. The grid's voxels are those of the field."""
+    source = df.select(*keys, *[F.col(a).alias(f"o{a}") for a in AXES], "value")
+    out = _displaced(keys, field).join(source, [*keys, *[f"o{a}" for a in AXES]]).groupBy(*keys, *AXES).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return field.select(*keys, *AXES).join(out, [*keys, *AXES], "left").fillna(0.0, ["value"])
+
+
 def centre_of_mass(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     total = F.sum("value")
     return df.groupBy(*keys).agg(*[(F.sum(F.col("value") * F.col(a)) / total).alias(f"c{a}") for a in AXES])
 
 
+def shift_to_middle(df: DataFrame, keys: Sequence[str], shape: tuple[int, int, int]) -> DataFrame:
+    """(keys, sx, sy, sz): from the centre of mass to half the grid's size."""
+    return centre_of_mass(df, keys).select(*keys, *[(F.lit(n / 2) - F.col(f"c{a}")).alias(f"s{a}") for a, n in zip(AXES, shape, strict=True)])
+
+
 def best_line_angle(df: DataFrame, keys: Sequence[str], angles_deg: Sequence[int], shape: tuple[int, int]) -> DataFrame:
     """(keys, angle): the line through the middle voxel (n // 2) with the least sum of distances of the voxels that are not zero, ties by the smaller angle.
 

@@ -58,6 +58,15 @@ def sensitivity(lines: DataFrame, grid: Grid, attenuation: DataFrame | None = No
     return rays.back_project(lines.withColumn("value", F.col("value") + delta), grid)
 
 
+def sensitivity_sinogram(norm: DataFrame, scanner: Scanner, grid: Grid, attenuation: DataFrame | None = None) -> DataFrame:
+    """(i, a, r, p, value) of a normalisation sinogram (a, r, p, value): times the survival of its bins' lines."""
+    lines = sinogram_rays(norm, scanner)
+    if attenuation is None:
+        return lines.select("i", "a", "r", "p", "value")
+    out = survival(lines, attenuation, grid).withColumnRenamed("value", "out")
+    return lines.join(out, "i").select("i", "a", "r", "p", (F.col("value") * F.col("out")).alias("value"))
+
+
 def axial_range(lut: DataFrame, grid: Grid) -> DataFrame:
     """One row (low, high): the voxels along the axis that the crystals reach."""
     middle, d = (grid.shape[2] - 1) / 2, grid.spacing[2]

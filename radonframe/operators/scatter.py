@@ -106,10 +106,8 @@ def single_scatter(
         sign = -1 if k == 1 else 1
         middles = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda m: (m + 0.5) / n * F.col(f"far_{k}"))
         offsets = F.transform(F.array(*[F.lit(float(c)) for c in centres]), lambda c: sign * ((F.col("far_2") - F.col("far_1")) / 2 + c))
-        raw = F.transform(offsets, lambda o: F.transform(middles, lambda m: F.exp(-(o - m) * (o - m) / (2 * sigma * sigma))))
-        total = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda m: F.aggregate(raw, F.lit(0.0), lambda s, r: s + F.get(r, m)))
-        part = lambda r: F.zip_with(F.zip_with(r, total, lambda x, t: F.when(t > 0, x / t).otherwise(0.0)), F.col(f"emission_{k}"), lambda x, e: x * e)
-        return F.transform(raw, lambda r: F.aggregate(part(r), F.lit(0.0), lambda s, x: s + x))
+        shares = physics.tof_efficiency(offsets, middles, sigma)
+        return F.transform(shares, lambda r: F.aggregate(F.zip_with(r, F.col(f"emission_{k}"), lambda x, e: x * e), F.lit(0.0), lambda s, x: s + x))
 
     both = F.zip_with(seen(1), seen(2), lambda a, b: F.col("factor") * (a * slower[2] + b * slower[1]))
     return out.select("i", F.posexplode(both).alias("tof", "each")).groupBy("i", "tof").agg(F.avg("each").alias("value"))

@@ -98,3 +98,9 @@ def backward(projections: DataFrame, turns: Stencil, n: int, probability: DataFr
 def attenuation(mu: DataFrame, turns: Stencil, step: float) -> DataFrame:
     """(a, x, y, z, value): detection probability of each voxel at each angle."""
     return grid.detection_probability(rotated(mu, turns), ["a"], step)
+
+
+def average_probability(mu: DataFrame, turns: Stencil, step: float, angles: int) -> DataFrame:
+    """(x, y, z, value): detection probability of each voxel, turned back from each angle and averaged over them."""
+    back = attenuation(mu, turns, step).join(turns, ["a", "x", "y"]).groupBy("xi", "yi", "z").agg((F.sum(F.col("w") * F.col("value")) / angles).alias("value"))
+    return back.select(F.col("xi").alias("x"), F.col("yi").alias("y"), "z", "value")

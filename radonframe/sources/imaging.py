@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.physics import TimeBins
 from .ranges import read_planes
 
 DTYPES = {"float32": "<f4", "float64": "<f8", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "uint8": "u1"}
@@ -121,6 +122,12 @@ def scanner_info(table: DataFrame, name: str) -> DataFrame:
     })
 
 
+def time_bins(table: DataFrame, name: str) -> TimeBins:
+    """The time bins of a scanner: one row."""
+    r = table.filter(F.col("scanner_name") == name).select("num_tof_bins", "tof_range", "tof_fwhm").first()
+    return TimeBins(int(r["num_tof_bins"]), float(r["tof_range"]), float(r["tof_fwhm"]))
+
+
 def read_collimators(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(code, diameter, septa, length) of the records (lines that start with ``*``) whose code has a text."""
     rows = spark.read.text(path).filter(F.startswith("value", F.lit("*"))).select(F.split(F.trim(F.regexp_replace("value", r"^\*\s*", "")), r"\s+").alias("p"))

@@ -122,24 +122,44 @@ def kem(h: DataFrame, data: DataFrame, kernel: DataFrame, iterations: int, subse
     return algebra.apply(kernel, osem(algebra.compose(h, kernel), data).run(iterations, subsets))
 
 
-def uncertainty(h: DataFrame, data: DataFrame, iterates: list[DataFrame], mask: DataFrame) -> DataFrame:
-    """One row, value: the standard deviation of the masked sum of a one-subset EM image, to first order in the counts.
-
-    V = sum over n of B_n (Q_(n+1) ... Q_last mask), with Q_n x = d(f_(n+1))/d(f_n)^T x and B_n the same for the counts; the
-    variance is the sum of V^2 g.
+def uncertainty(
+    h: DataFrame, data: DataFrame, iterates: list[DataFrame], mask: DataFrame, subsets: int = 1, curvature: Callable[[DataFrame, DataFrame], DataFrame] | None = None, additive_variance: DataFrame | None = None,
+) -> DataFrame:
+    """One row (value, percent): the standard deviation of the masked sum of the last of ``iterates`` of OSEM (all sub-iterations and the first image), to first order in the counts.
+
+    V = sum over n of B_n (Q_(n+1) ... Q_last mask), with Q_n x = d(f_(n+1))/d(f_n)^T x and B_n the same for the counts; the variance is the sum
+    of V^2 g. curvature(f, x): the prior's second derivative at f times x, of which a subset's share acts. additive_variance: (i, value), variances
+    of the additive term, which add the same sum for it.
     """
-    norm = algebra.normalization(h).withColumnRenamed("value", "norm")
-    x, v = mask, None
+    h, data = kept(h, "i"), kept(data, "i")
+    number = F.pmod("i", F.lit(subsets)).cast("int").alias("m")
+    norms = cut(h.groupBy("j", number).agg(F.sum("h").alias("norm")))
+    shares = {r["m"]: r["n"] for r in data.groupBy(number).agg(F.count("*").alias("n")).collect()}  # one row for each subset
+    x = iterates[-1].select("j").join(mask, "j", "left").fillna(0.0, ["value"])  # what is not in the mask counts as 0
+    v, w = None, None
+    add = lambda whole, part: part if whole is None else whole.unionByName(part).groupBy("i").agg(F.sum("value").alias("value"))
     for n in range(len(iterates) - 2, -1, -1):
-        f, after = iterates[n], iterates[n + 1].withColumnRenamed("value", "after")
+        m = n % subsets
+        own, bins = (algebra.subset(t, m, subsets) for t in (h, data))
+        f, after, norm = iterates[n], iterates[n + 1].withColumnRenamed("value", "after"), norms.filter(F.col("m") == m).drop("m")
         scaled = x.withColumnRenamed("value", "x").join(f, "j").join(norm, "j").select("j", (F.col("x") * F.col("value") / (F.col("norm") + DELTA)).alias("value"))
-        b = likelihoods.gradient_gf(h, data, f, scaled)
-        v = b if v is None else v.unionByName(b).groupBy("i").agg(F.sum("value").alias("value"))
-        curve = likelihoods.gradient_ff(h, data, f, scaled).withColumnRenamed("value", "curve")
-        keep = x.withColumnRenamed("value", "x").join(f, "j").join(after, "j").join(curve, "j", "left")
-        x = cut(keep.select("j", (F.coalesce("curve", F.lit(0.0)) + F.col("after") / (F.col("value") + DELTA) * F.col("x")).alias("value")))
-        v = cut(v)
-    return data.join(v, "i").agg(F.sqrt(F.sum(F.col("value") * F.col("value") * F.col("g"))).alias("value"))
+        v = cut(add(v, likelihoods.gradient_gf(own, bins, f, scaled)))
+        if additive_variance is not None:
+            w = cut(add(w, likelihoods.gradient_sf(own, bins, f, scaled)))
+        if n:
+            curve = likelihoods.gradient_ff(own, bins, f, scaled).withColumnRenamed("value", "curve")
+            keep = x.withColumnRenamed("value", "x").join(f, "j").join(after, "j").join(curve, "j", "left")
+            new = F.coalesce("curve", F.lit(0.0)) + F.col("after") / (F.col("value") + DELTA) * F.col("x")
+            if curvature is not None:
+                keep = keep.join(curvature(f, scaled).withColumnRenamed("value", "bent"), "j", "left")
+                new = new - F.coalesce("bent", F.lit(0.0)) * (shares.get(m, 0) / sum(shares.values()))
+            x = cut(keep.select("j", new.alias("value")))
+    square = lambda t, c: t.select((F.col("value") * F.col("value") * F.col(c)).alias("s"))
+    terms = square(data.join(v, "i"), "g")
+    if w is not None:
+        terms = terms.unionByName(square(w.join(additive_variance.withColumnRenamed("value", "var"), "i"), "var"))
+    total = iterates[-1].join(mask.withColumnRenamed("value", "in"), "j").agg(F.sum(F.col("value") * F.col("in")).alias("total"))
+    return terms.agg(F.sqrt(F.sum("s")).alias("value")).join(F.broadcast(total)).select("value", (F.col("value") / F.col("total") * 100).alias("percent"))  # one row
 
 
 def filtered_back_projection(h: DataFrame, projections: DataFrame, angles: int, bins: int, window: Callable | None = None) -> DataFrame:

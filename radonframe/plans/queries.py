@@ -308,7 +308,7 @@ def uncertainty_2iter(spark, sf_dir):
     kept = [ones(h)]
     solvers.osem(h, data).run(2, callback=lambda f, n, m: kept.append(f))
     mask = ones(h).withColumn("value", F.when(F.pmod("j", F.lit(2)) == 0, 1.0).otherwise(0.0))
-    return rounded(solvers.uncertainty(h, data, kept, mask))
+    return rounded(solvers.uncertainty(h, data, kept, mask)).select("value")
 
 
 _K_SQL = "kk AS (SELECT j, l, w FROM (SELECT DISTINCT j FROM h), LATERAL (SELECT j AS l, 0.75 AS w UNION ALL SELECT j + 1 - 2 * (j % 2), 0.25))"

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radonframe.operators import counts, events, planes, rays, solvers, spect
+from radonframe.operators import callbacks, counts, events, planes, rays, solvers, spect
 from radonframe.sources import coincidences
 
 TABLE = [
@@ -141,3 +141,30 @@ def test_response_by_distance(spark):
 def test_fine_time_bins(spark):
     rows = spark.createDataFrame([(-13,), (0,), (12,), (13,)], "t int").select(events.coarse_tof(F.col("t"), 13, 14).alias("b")).collect()
     assert [r["b"] for r in rows] == [15, 14, 14, 13]
+
+
+def test_uncertainty_over_subsets_with_a_prior(spark, system):
+    h, rows, g = system
+    data = spark.createDataFrame([(i, float(g[i, 1]), 0.2) for i in range(24)], "i long, g double, s double")
+    first = spark.createDataFrame([(j, 1.0 + j % 3) for j in range(9)], "j long, value double")
+    store = callbacks.Iterates(first)
+    solver = solvers.osem(rows, data)
+    solver.image = first
+    solver.run(2, 2, callback=store)
+    bend = lambda f, x: f.withColumnRenamed("value", "f").join(x, "j").withColumn("value", F.col("f") * F.col("value") * 0.3).select("j", "value")
+    mask = spark.createDataFrame([(j, 1.0) for j in range(4)], "j long, value double")
+    spread = spark.createDataFrame([(i, 0.1 * (i + 1)) for i in range(24)], "i long, value double")
+    got = solvers.uncertainty(rows, data, store.images, mask, 2, bend, spread).first()
+    f = [1.0 + np.arange(9) % 3]
+    for n in range(4):
+        own = h[n % 2 :: 2]
+        f.append(f[-1] * (own.T @ (g[n % 2 :: 2, 1] / (own @ f[-1] + 0.2))) / own.sum(axis=0))
+    x, v, w = (np.arange(9) < 4) * 1.0, np.zeros(24), np.zeros(24)
+    for n in range(3, -1, -1):
+        own, k = h[n % 2 :: 2], slice(n % 2, None, 2)
+        e, t = own @ f[n] + 0.2, x * f[n] / own.sum(axis=0)
+        v[k] += own @ t / e
+        w[k] += -(own @ t) * g[k, 1] / e**2
+        x = own.T @ (-(own @ t) * g[k, 1] / e**2) + f[n + 1] / f[n] * x - 0.5 * 0.3 * f[n] * t
+    want = math.sqrt((v**2 * g[:, 1]).sum() + (w**2 * 0.1 * (np.arange(24) + 1)).sum())
+    assert math.isclose(got["value"], want, rel_tol=1e-6) and math.isclose(got["percent"], want / f[-1][:4].sum() * 100, rel_tol=1e-6)

@@ -1,35 +1,40 @@
 """Volumes whose planes share one matrix: no coupling along the axis, as in parallel-beam SPECT without blur along it.
 
-An image is one row for each in-plane voxel, (j, z0, z1, ..), and projections one for each in-plane bin, (i, z0, z1, ..). A join with the
-in-plane matrix (i, j, h) then serves all planes at once: it has as many rows as one plane's would, and sums run over columns.
+An image has a row for each in-plane voxel and chunk of ``WIDTH`` planes, (j, c, z0, z1, ..), and projections one for each in-plane bin and
+chunk, (i, c, z0, z1, ..). A join with the in-plane matrix (i, j, h) then serves a chunk's planes at once, and sums run over columns; a chunk is
+as wide as compiled code takes well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut, kept
 
 DELTA = 1e-11
+WIDTH = 8
+
+
+def wide(rows: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
+    """(key, c, z0, ..) of rows (key, z, value); absent ones are 0, as are planes beyond the last one."""
+    sums = [F.sum(F.when(F.col("z") % width == k, F.col("value")).otherwise(0.0)).alias(f"z{k}") for k in range(width)]
+    return rows.groupBy(key, F.floor(F.col("z") / width).cast("int").alias("c")).agg(*sums)
 
 
-def wide(rows: DataFrame, key: str, planes: int) -> DataFrame:
-    """(key, z0, ..) of rows (key, z, value); absent ones are 0."""
-    return rows.groupBy(key).agg(*[F.sum(F.when(F.col("z") == k, F.col("value")).otherwise(0.0)).alias(f"z{k}") for k in range(planes)])
+def long(rows: DataFrame, key: str, planes: int) -> DataFrame:
+    """(key, z, value) of rows (key, c, z0, ..)."""
+    names = _planes(rows)
+    each = rows.select(key, "c", F.posexplode(F.array(*names)).alias("k", "value"))
+    return each.select(key, (F.col("c") * len(names) + F.col("k")).alias("z"), "value").filter(F.col("z") < planes)
 
 
-def long(rows: DataFrame, key: str) -> DataFrame:
-    """(key, z, value) of rows (key, z0, ..)."""
-    names = [c for c in rows.columns if c != key]
-    return rows.select(key, F.posexplode(F.array(*names)).alias("z", "value"))
+def _planes(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in ("i", "j", "c")]
 
 
 def _sums(h: DataFrame, rows: DataFrame, on: str, to: str) -> DataFrame:
-    names = [c for c in rows.columns if c != on]
-    return h.join(rows, on).groupBy(to).agg(*[F.sum(F.col("h") * F.col(c)).alias(c) for c in names])
+    return h.join(rows, on).groupBy(to, "c").agg(*[F.sum(F.col("h") * F.col(c)).alias(c) for c in _planes(rows)])
 
 
 def forward(h: DataFrame, image: DataFrame) -> DataFrame:
@@ -46,20 +51,21 @@ def spect_matrix(turns: DataFrame, n: int) -> DataFrame:
 
 
 def osem(h: DataFrame, data: DataFrame, iterations: int, subset: Column | None = None, subsets: int = 1, image: DataFrame | None = None, delta: float = DELTA) -> DataFrame:
-    """The image (j, z0, ..) after the iterations, from projections (i, z0, ..). subset: the number of a bin's subset, by i; the remainder by default."""
-    names: Sequence[str] = [c for c in data.columns if c != "i"]
+    """The image (j, c, z0, ..) after the iterations, from projections (i, c, z0, ..). subset: the number of a bin's subset, by i; the remainder by default."""
+    names = _planes(data)
     number = (F.pmod("i", F.lit(subsets)) if subset is None else subset).cast("int").alias("m")
     h, data = kept(h.withColumn("m", number), "i"), kept(data.withColumn("m", number), "i")
     norms = cut(h.groupBy("j", "m").agg(F.sum("h").alias("norm")))
     if image is None:
-        image = norms.select("j").distinct().select("j", *[F.lit(1.0).alias(c) for c in names])
+        chunks = data.agg(F.max("c")).first()[0] or 0
+        image = norms.select("j").distinct().withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks)))).select("j", "c", *[F.lit(1.0).alias(c) for c in names])
     for _ in range(iterations):
         for m in range(subsets):
             own, bins, norm = (x.filter(F.col("m") == m).drop("m") for x in (h, data, norms))
-            seen = forward(own, image).select("i", *[F.col(c).alias(f"f_{c}") for c in names])
-            ratio = bins.join(seen, "i").select("i", *[(F.col(c) / (F.col(f"f_{c}") + delta)).alias(c) for c in names])
-            back = backward(own, ratio).select("j", *[F.col(c).alias(f"b_{c}") for c in names])
-            rows = image.join(norm, "j", "left").join(back, "j", "left").fillna(0.0)
+            seen = forward(own, image).select("i", "c", *[F.col(c).alias(f"f_{c}") for c in names])
+            ratio = bins.join(seen, ["i", "c"]).select("i", "c", *[(F.col(c) / (F.col(f"f_{c}") + delta)).alias(c) for c in names])
+            back = backward(own, ratio).select("j", "c", *[F.col(c).alias(f"b_{c}") for c in names])
+            rows = image.join(norm, "j", "left").join(back, ["j", "c"], "left").fillna(0.0)
             new = [F.col(c) + F.col(c) / (F.col("norm") + delta) * (F.col(f"b_{c}") - F.col("norm")) for c in names]
-            image = cut(rows.select("j", *[F.greatest(v, F.lit(0.0)).alias(c) for v, c in zip(new, names, strict=True)]))
+            image = cut(rows.select("j", "c", *[F.greatest(v, F.lit(0.0)).alias(c) for v, c in zip(new, names, strict=True)]))
     return image

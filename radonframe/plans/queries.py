@@ -145,7 +145,7 @@ def _planes_sql() -> str:
 def osem_planes(spark, sf_dir):
     """Both line statuses as planes of one matrix."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("z"), F.col("l_extendedprice").alias("value"))
-    return rounded(planes.long(planes.osem(h_matrix(spark, sf_dir), planes.wide(rows, "i", 2), 1, subsets=2), "j"), 4)
+    return rounded(planes.long(planes.osem(h_matrix(spark, sf_dir), planes.wide(rows, "i", 1), 1, subsets=2), "j", 2), 4)
 
 
 @query(_solved("f1", _em_sql("f0", "f1", 1, 3)))

@@ -100,7 +100,7 @@ def system(spark):
 def test_planes_are_solved_as_by_themselves(spark, system):
     h, rows, g = system
     data = spark.createDataFrame([(i, z, float(g[i, z])) for i in range(24) for z in range(3)], "i long, z int, value double")
-    image = planes.long(planes.osem(rows, planes.wide(data, "i", 3), 2, subsets=3), "j")
+    image = planes.long(planes.osem(rows, planes.wide(data, "i", 2), 2, subsets=3), "j", 3)
     got = {(r["j"], r["z"]): r["value"] for r in image.collect()}
     f = np.ones((9, 3))
     for _ in range(2):

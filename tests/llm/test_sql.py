@@ -9,5 +9,5 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     same(QUERIES[name](spark, sf_dir).toPandas(), oracle(ORACLE_SQL[name], sf_dir))
 
 
-def test_there_are_ten():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+def test_there_are_thirteen():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}

@@ -90,13 +90,22 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
 
 
 class Phrases:
-    """A block of phrases as arrays over its own vocabulary."""
+    """A block of phrases as one array over its own vocabulary."""
 
     def __init__(self, phrases: Iterable[tuple[bytes, ...]]) -> None:
+        phrases = list(phrases)
         self.vocabulary: dict[bytes, int] = {}
-        self.phrases = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in p], np.int64) for p in phrases]
-        self.padded = np.array([np.resize(p, max(map(len, self.phrases))) for p in self.phrases]) if self.phrases else np.empty((0, 1), np.int64)
-        self.frequency = np.zeros(len(self.vocabulary), np.int64)
+        number = self.vocabulary
+        self.sizes = np.fromiter(map(len, phrases), np.int64, len(phrases))
+        self.ends = np.cumsum(self.sizes)
+        self.terms = np.fromiter((number.setdefault(w, len(number)) for p in phrases for w in p), np.int32, int(self.sizes.sum()))
+        widest = int(self.sizes.max(initial=1))
+        # each phrase repeated up to the length of the longest
+        self.padded = self.terms[(self.ends - self.sizes)[:, None] + np.arange(widest) % self.sizes[:, None]]
+        self.frequency = np.zeros(len(number), np.int64)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.terms[self.ends[k] - self.sizes[k] : self.ends[k]]
 
 
 def _numbers(terms: pa.Array, vocabulary: pa.Array) -> np.ndarray:
@@ -136,7 +145,7 @@ def phrase_starts(lists: dict[int, np.ndarray], phrases: Phrases) -> Iterator[tu
     here = np.zeros(len(phrases.vocabulary), bool)
     here[list(lists)] = True
     for k in np.flatnonzero(here[phrases.padded].all(axis=1)) if len(phrases.padded) else ():
-        p = phrases.phrases[k]
+        p = phrases[k]
         starts: np.ndarray | None = None
         for off in np.argsort(phrases.frequency[p], kind="stable"):
             own = lists[p[off]]
@@ -156,7 +165,7 @@ def near_matches(lists: dict[int, np.ndarray], phrases: Phrases, slop: int, star
     here = np.zeros(len(phrases.vocabulary), bool)
     here[list(lists)] = True
     for k in np.flatnonzero(here[phrases.padded].all(axis=1)).tolist() if len(phrases.padded) else ():
-        p = phrases.phrases[k]
+        p = phrases[k]
         terms, times = np.unique(p, return_counts=True)
         order = np.argsort(phrases.frequency[terms], kind="stable").tolist()
         need, room = dict(zip(terms.tolist(), times.tolist(), strict=True)), len(p) + slop
@@ -206,7 +215,7 @@ def _search(phrases: Phrases, owners: list[list[str]], slop: int | None = None):
                 spans: dict[int, list[tuple[int, int]]] = {}
                 items: dict[int, set[str]] = {}
                 if slop is None:
-                    matches = ((k, found, found + len(phrases.phrases[k])) for k, found in phrase_starts(lists, phrases))
+                    matches = ((k, found, found + phrases.sizes[k]) for k, found in phrase_starts(lists, phrases))
                 else:
                     matches = ((k, np.array([lo]), np.array([hi + 1])) for k, lo, hi in near_matches(lists, phrases, slop, starts))
                 for k, found, ends in matches:

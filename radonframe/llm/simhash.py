@@ -2,7 +2,7 @@
 
 1. Fingerprints: words are split at ASCII white space after lowering A-Z; each shingle of ``width`` words (a text of fewer
    words is one shingle) hashes with XXH64; a bit is set where over half of the hashes have it.
-2. Table: equal fingerprints are one entry, kept by their least id. Fingerprints are cut into 32-bit segments, and an entry is
+2. Table: equal fingerprints are one entry and one node of the graph, whatever their ids. Fingerprints are cut into 32-bit segments, and an entry is
    put, for each segment, at the Hamming ball of radius 1 around it (33 places), so two segments that differ in at most 2
    bits meet. Of two fingerprints of 64 bits that differ in up to 5, one of the two segments does.
 3. Verification: entries that meet are compared in full. A meeting of n entries yields a spanning forest of the graph of
@@ -274,17 +274,24 @@ def links(entries: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
     places = entries.select("node", F.explode(segments).alias("own")).select("node", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("place"))
     # counted before entries are brought together, so that a hot place is only a skewed join key
     shared = stage(places.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place", _blocks(F.col("n"), block).alias("blocks")), "simhash")
-    return _gathered(places.join(shared, "place"), entries.select("node", "check")).mapInArrow(_verify(bits), "a long, b long").distinct()
+    found = stage(_gathered(places.join(shared, "place"), entries.select("node", "check")).mapInArrow(_verify(bits), "a long, b long").distinct(), "simhash")
+    drop(shared)
+    return found
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per document."""
+    """(doc_id, fingerprint, component_id), one row per document: the least id of the documents that links of fingerprints reach, null where none has one."""
     if not 0 <= bits <= 5:
         raise ValueError("balls of radius 1 around two segments find up to 5 differing bits")
     fps = stage(fingerprints(docs, width), "simhash")
-    entries = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash")
-    found = components(links(entries.filter("node is not null").select("node", F.array("fp").alias("seek"), F.array("fp").alias("check")), bits))
-    named = entries.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    entries = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash")
+    # nodes are fingerprints: an id can have several, and one can have no id
+    edges = links(entries.select(F.col("fp").alias("node"), F.array("fp").alias("seek"), F.array("fp").alias("check")), bits)
+    found = stage(components(edges).withColumnRenamed("node", "fp").join(entries, "fp"), "simhash")
+    least = stage(found.groupBy("component").agg(F.min("least").alias("component_id")), "simhash")
+    linked = found.join(least, "component").select("fp", "component_id")
+    named = stage(entries.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash")
+    drop(entries, edges, found, least)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

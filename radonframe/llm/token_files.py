@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -177,18 +178,18 @@ def read_index(f, size: int) -> tuple[rans.Table, np.ndarray, list[dict]]:
 def _writer(path: str, folder: str, end_id: int, file_tokens: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        part, rows, held, docs, n = TaskContext.get().partitionId(), [], [], [], 0
+        part, rows, held, docs, n = TaskContext.get().partitionId(), [], [], deque(), 0
 
         def flush(whole: bool) -> None:
-            nonlocal held, docs, n
+            nonlocal held, n
             ids = np.concatenate(held) if held else np.empty(0, np.uint32)
             while len(ids) >= file_tokens or (whole and len(ids)):
                 now, here, left = ids[:file_tokens], [], min(len(ids), file_tokens)
                 while left:
-                    d, m, before, total = docs.pop(0)
+                    d, m, before, total = docs.popleft()
                     here.append((d, min(m, left), before, total))
                     if m > left:
-                        docs.insert(0, (d, m - left, before + left, total))
+                        docs.appendleft((d, m - left, before + left, total))
                     left -= here[-1][1]
                 data, blocks = file_bytes(now, here, block_tokens)
                 name = f"{folder}/{part:06d}-{len(rows):05d}-{uuid.uuid4().hex}.rft"

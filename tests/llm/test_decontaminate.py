@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import numpy as np
 import pytest
 
 from radonframe.llm import decontaminate
@@ -70,3 +72,16 @@ def test_proximity():
     lists = {0: np.array([5, 90]), 1: np.array([3, 50]), 2: np.array([7, 91])}
     assert list(decontaminate.near_matches(lists, phrases, 2)) == [(0, 3, 7)]
     assert list(decontaminate.near_matches(lists, phrases, 1)) == []
+
+
+def test_many_windows():
+    rng = np.random.default_rng(5)
+    w = [b"%d" % k for k in rng.integers(0, 50_000, 200_009)]
+    every = [tuple(w[k : k + 10]) for k in range(200_000)] + [(b"one",), (b"two", b"words")]
+    began = time.time()
+    p = decontaminate.Phrases(every)
+    assert time.time() - began < 10
+    names = list(p.vocabulary)
+    for k in (0, 7, 199_999, 200_000, 200_001):
+        assert tuple(names[x] for x in p[k]) == every[k] and {names[x] for x in p.padded[k]} == set(every[k])
+    assert decontaminate.Phrases([]).padded.shape[0] == 0

@@ -44,6 +44,18 @@ def test_equals_brute_force(documents, odd):
         assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in simhash.near_duplicates(docs).collect()) == want
 
 
+def test_shared_and_null_ids(spark, monkeypatch):
+    far, near = 0x0F0F_3333_5555_00FF, (1 << 63) | 0x1234
+    fps = {"A": far, "A+": far ^ 1, "B": near, "B+": near ^ 6, "C": near ^ 6 ^ 0xF0, "chain": near ^ 6 ^ 0xF00, "lone": 0x7777_1111_2222_4444}
+    signed = {k: v - (1 << 64) if v >> 63 else v for k, v in fps.items()}
+    rows = [(1, "A"), (5, "A+"), (5, "B"), (9, "B+"), (None, "C"), (20, "chain"), (None, "lone")]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: spark.createDataFrame([(d, signed[k]) for d, k in rows], "doc_id long, fp long"))
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(None).collect()}
+    want = brute_components([(d, fps[k]) for d, k in rows])
+    assert got == {(d, f"{f:016x}"): c for (d, f), c in want.items()}
+    assert [got[d, f"{fps[k]:016x}"] for d, k in rows] == [1, 1, 5, 5, 5, 20, None] or got[20, f"{fps['chain']:016x}"] == 5
+
+
 def test_empty_table(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.without_near_duplicates(none).count() == 0

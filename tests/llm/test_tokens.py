@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -91,3 +92,12 @@ def test_a_changed_block_is_noticed():
 def test_crc_of_joined_parts():
     a, b = b"some bytes", b"and many more" * 99
     assert token_files.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_a_million_empty_texts(spark):
+    docs = spark.range(1_000_000, numPartitions=1).selectExpr("id AS doc_id", "cast(null AS string) AS text")
+    began = time.time()
+    got = token_files.token_digests(token_files.write_tokens(docs, PATH))
+    row = got.selectExpr("count(*)", "sum(n_tokens)", "max(start)", "count(distinct ids_crc32)").first()
+    assert tuple(row) == (1_000_000, 1_000_000, 999_999, 1)
+    assert time.time() - began < 60

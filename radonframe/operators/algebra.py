@@ -1,6 +1,7 @@
 """The sparse bilinear operator H as a table (i, j, h): projections are a join and a grouped sum.
 
-Images are tables (j, value), projections (i, value). Which side is broadcast is left to the optimizer, which checks sizes.
+Images are tables (j, value), projections (i, value). Which side is broadcast is left to the optimizer, which checks sizes. The four
+projections below also take a ``systems.System`` in place of the table.
 """
 
 from __future__ import annotations
@@ -18,21 +19,29 @@ def matrix(rows: DataFrame, i: str, j: str, weight: Column) -> DataFrame:
 
 def forward(h: DataFrame, image: DataFrame) -> DataFrame:
     """(i, value): sum over j of h * image."""
+    if not isinstance(h, DataFrame):
+        return h.forward(image)
     return h.join(image, "j").groupBy("i").agg(F.sum(F.col("h") * F.col("value")).alias("value"))
 
 
 def backward(h: DataFrame, projections: DataFrame) -> DataFrame:
     """(j, value): sum over i of h * projections."""
+    if not isinstance(h, DataFrame):
+        return h.backward(projections)
     return h.join(projections, "i").groupBy("j").agg(F.sum(F.col("h") * F.col("value")).alias("value"))
 
 
 def normalization(h: DataFrame) -> DataFrame:
     """(j, value): the back projection of ones."""
+    if not isinstance(h, DataFrame):
+        return h.normalization()
     return h.groupBy("j").agg(F.sum("h").alias("value"))
 
 
 def row_sums(h: DataFrame) -> DataFrame:
     """(i, value): the forward projection of ones."""
+    if not isinstance(h, DataFrame):
+        return h.row_sums()
     return h.groupBy("i").agg(F.sum("h").alias("value"))
 
 

@@ -14,15 +14,19 @@ Stencil = DataFrame
 
 
 def stencil(spark, angles_deg: Sequence[float], n: int) -> Stencil:
-    """(a, x, y, xi, yi, w): rotated voxel (x, y) of each angle as a bilinear sum of voxels (xi, yi). As many rows as 4 n^2 per angle."""
+    """(a, x, y, xi, yi, w): rotated voxel (x, y) of each angle as a bilinear sum of voxels (xi, yi). As many rows as 4 n^2 per angle at most; each
+    rotated voxel has one at least, of weight 0 where nothing is turned to it, so that turned volumes are whole grids."""
     out = spark.range(n).select(F.col("id").cast("int").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     out = out.withColumn("angle", F.explode(F.array(*[F.struct(F.lit(k).alias("a"), F.lit(float(v)).alias("deg")) for k, v in enumerate(angles_deg)])))
     m, phi = (n - 1) / 2, F.radians("angle.deg")
     out = out.withColumns({"p": F.cos(phi) * (F.col("x") - m) + F.sin(phi) * (F.col("y") - m) + m, "q": -F.sin(phi) * (F.col("x") - m) + F.cos(phi) * (F.col("y") - m) + m})
     rows = out.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])))
     share = lambda c, d: F.when(d == 1, F.col(c) - F.floor(c)).otherwise(1 - F.col(c) + F.floor(c))
-    rows = rows.select(F.col("angle.a").alias("a"), "x", "y", (F.floor("p") + F.col("c.i")).cast("int").alias("xi"), (F.floor("q") + F.col("c.j")).cast("int").alias("yi"), (share("p", F.col("c.i")) * share("q", F.col("c.j"))).alias("w"))
-    return rows.filter((F.col("w") > 1e-12) & F.col("xi").between(0, n - 1) & F.col("yi").between(0, n - 1))
+    rows = rows.select(F.col("angle.a").alias("a"), "x", "y", (F.floor("p") + F.col("c.i")).cast("int").alias("xi"), (F.floor("q") + F.col("c.j")).cast("int").alias("yi"), (share("p", F.col("c.i")) * share("q", F.col("c.j"))).alias("w"), (F.col("c.i") + F.col("c.j") == 0).alias("first"))
+    inside = F.col("xi").between(0, n - 1) & F.col("yi").between(0, n - 1)
+    edge = {c: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(n - 1)) for c in ("xi", "yi")}
+    rows = rows.withColumn("w", F.when(inside, F.col("w")).otherwise(0.0)).withColumns(edge)
+    return rows.filter((F.col("w") > 1e-12) | F.col("first")).drop("first")
 
 
 def rotated(image: DataFrame, turns: Stencil) -> DataFrame:
@@ -31,8 +35,8 @@ def rotated(image: DataFrame, turns: Stencil) -> DataFrame:
     return turns.join(source, ["xi", "yi"]).groupBy("a", "x", "y", "z").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def depth_blur(df: DataFrame, sigma: Callable[[Column], Column], half: int, axis: str = "y", shape: str = "gaussian") -> DataFrame:
-    """(a, x, y, z, value) blurred along an axis with a width in voxels that depends on x: weights sum to 1 over the kernel, and zeros lie beyond the edge.
+def depth_blur(df: DataFrame, sigma: Callable[[Column], Column], half: int, axis: str = "y", shape: str = "gaussian", keys: Sequence[str] = ("a",)) -> DataFrame:
+    """(keys, x, y, z, value) blurred along an axis with a width in voxels that depends on x, and on keys if it names them: weights sum to 1 over the kernel, and zeros lie beyond the edge.
 
     shape: "gaussian" of that standard deviation, or "square", the triangle of square holes that is 0 from that width on.
     """
@@ -44,11 +48,11 @@ def depth_blur(df: DataFrame, sigma: Callable[[Column], Column], half: int, axis
     else:
         raise ValueError(f"{shape!r} is neither gaussian nor square")
     total = sum(weights[1:], weights[0])
-    rows = grid.lines(df, ["a"], axis).withColumn("ws", F.transform(F.array(*weights), lambda w: w / total))
+    rows = grid.lines(df, keys, axis).withColumn("ws", F.transform(F.array(*weights), lambda w: w / total))
     n = F.size("line")
     at = lambda p: F.when((p < 0) | (p >= n), 0.0).otherwise(F.col("line")[F.least(F.greatest(p, F.lit(0)), n - 1)])
     done = F.transform("line", lambda v, k: sum((at(k + o) * F.col("ws")[o + half] for o in range(-half, half + 1)), F.lit(0.0)))
-    return grid.unlines(rows.withColumn("line", done), ["a"], axis)
+    return grid.unlines(rows.withColumn("line", done), keys, axis)
 
 
 def plane_blur(df: DataFrame, sigma: Callable[[Column], Column], spacing: tuple[float, float], half: tuple[int, int], shape: str = "gaussian") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import algebra, counts, events, grid, likelihoods, planes, solvers, spect
+from ..operators import algebra, beds, counts, events, grid, likelihoods, planes, rays, solvers, spect, systems
 from ..sources import coincidences, imaging, projections
 from .fixtures import (
     CELLS_SQL, DETECTORS, H_SQL, LISTMODE_SQL, SCANNER, TOF_BINS, VOLUMES_SQL, WINDOWS, WINDOWS_SQL, h_matrix, listmode, measured, ones, table, volumes, window_counts,
@@ -89,23 +89,23 @@ def motion_forward(spark, sf_dir):
 # Solvers
 
 
-def _sub(m: int | None, n: int) -> str:
-    return "" if m is None else f"WHERE i % {n} = {m}"
+def _sub(m: int | None, n: int, key: str = "i") -> str:
+    return "" if m is None else f"WHERE {key} % {n} = {m}"
 
 
-def _fp_sql(name: str, f: str, m: int | None = None, n: int = 1) -> str:
-    return f"{name} AS (SELECT i, sum(h * value) AS fp FROM h JOIN {f} USING (j) {_sub(m, n)} GROUP BY i)"
+def _fp_sql(name: str, f: str, m: int | None = None, n: int = 1, key: str = "i") -> str:
+    return f"{name} AS (SELECT i, sum(h * value) AS fp FROM h JOIN {f} USING (j) {_sub(m, n, key)} GROUP BY i)"
 
 
-def _em_sql(f: str, out: str, m: int | None = None, n: int = 1, rate: str = "value / (norm + 1e-11)", prior: str = "", floor: float = 0.0) -> str:
-    """One sub-iteration from table f to table out; prior: a table (j, v), of which the subset's share of the bins acts."""
-    share = "1.0" if m is None else f"(SELECT count(*) FILTER (i % {n} = {m}) / count(*) FROM d)"
+def _em_sql(f: str, out: str, m: int | None = None, n: int = 1, rate: str = "value / (norm + 1e-11)", prior: str = "", floor: float = 0.0, key: str = "i") -> str:
+    """One sub-iteration from table f to table out; prior: a table (j, v), of which the subset's share of the bins acts; key: what subsets are remainders of."""
+    share = "1.0" if m is None else f"(SELECT count(*) FILTER ({key} % {n} = {m}) / count(*) FROM d)"
     join, v = (f"LEFT JOIN {prior} USING (j)", "v") if prior else ("", "0.0")
     new = f"value + {rate} * (bp - norm - {v})"
     return f"""
-{_fp_sql(f"{out}_p", f, m, n)},
+{_fp_sql(f"{out}_p", f, m, n, key)},
 {out}_b AS (SELECT j, sum(h * g / (fp + s + 1e-11)) AS bp FROM h JOIN d USING (i) JOIN {out}_p USING (i) GROUP BY j),
-{out}_n AS (SELECT j, sum(h) AS norm FROM h {_sub(m, n)} GROUP BY j),
+{out}_n AS (SELECT j, sum(h) AS norm FROM h {_sub(m, n, key)} GROUP BY j),
 {out}_w AS (SELECT j, sum(h) AS whole FROM h GROUP BY j),
 {out}_r AS (SELECT f.j, f.value, coalesce(norm, 0) AS norm, whole, coalesce(bp, 0) AS bp, {v} * {share} AS v, {share} AS share FROM {f} f JOIN {out}_w USING (j) LEFT JOIN {out}_n USING (j) LEFT JOIN {out}_b USING (j) {join}),
 {out}_k AS (SELECT max((norm + v) / (whole + v + 1e-11)) AS peak FROM {out}_r),
@@ -131,6 +131,44 @@ def osem_2sub(spark, sf_dir):
     return rounded(solvers.osem(h_matrix(spark, sf_dir), measured(spark, sf_dir)).run(1, 2))
 
 
+@query(_solved("f3", *[_em_sql(f"f{m}", f"f{m + 1}", m, 3, key="(i // 8)") for m in range(3)]))
+def osem_views(spark, sf_dir):
+    """Subsets of every third view of 8 bins."""
+    return rounded(solvers.osem(h_matrix(spark, sf_dir), measured(spark, sf_dir)).run(1, systems.by_view(3, 8)))
+
+
+BEDS_SQL = """hb AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS bed, * FROM lineitem),
+h AS (SELECT l_orderkey * 4 + bed AS i, l_suppkey * 4 + bed AS j, sum(l_quantity) AS h FROM hb GROUP BY 1, 2),
+d AS (SELECT l_orderkey * 4 + bed AS i, sum(l_extendedprice) AS g, sum(l_tax) AS s FROM hb GROUP BY 1),
+f0 AS (SELECT DISTINCT j, CAST(1 AS DOUBLE) AS value FROM h)"""
+
+
+@query(f"WITH {BEDS_SQL}, {_em_sql('f0', 'f1', 0, 2, key='(i // 4)')}, {_em_sql('f1', 'f2', 1, 2, key='(i // 4)')} SELECT CAST(j % 4 AS INTEGER) AS bed, j // 4 AS j, round(value, 5) AS value FROM f2")
+def osem_beds(spark, sf_dir):
+    """Return flags as beds: three systems in one plan, each with two subsets of its bins."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("bed", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2))
+    h = rows.groupBy("bed", F.col("l_orderkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("h"))
+    data = rows.groupBy("bed", F.col("l_orderkey").alias("i")).agg(F.sum("l_extendedprice").alias("g"), F.sum("l_tax").alias("s"))
+    return rounded(beds.parted(beds.solver(solvers.osem, h, data).run(1, beds.subsets_of(2)), "j"), 5)
+
+
+RAYS_SQL = """lines AS (SELECT event_id AS i, user_id % 3 AS way, user_id // 3 % 4 AS p, user_id // 12 % 4 AS q, value AS g, 0.5 AS s FROM events),
+h AS (SELECT i, CAST(CASE way WHEN 0 THEN (k * 4 + p) * 4 + q WHEN 1 THEN (p * 4 + k) * 4 + q ELSE (p * 4 + q) * 4 + k END AS BIGINT) AS j, 2.0 AS h FROM lines, range(4) t(k)),
+d AS (SELECT i, g, s FROM lines), f0 AS (SELECT j, CAST(1 AS DOUBLE) AS value FROM range(64) t(j))"""
+
+
+@query(f"WITH {RAYS_SQL}, {_em_sql('f0', 'f1', 0, 2)}, {_em_sql('f1', 'f2', 1, 2)} SELECT j, round(value, 6) AS value FROM (SELECT * FROM f2 UNION ALL SELECT * FROM f0 WHERE j NOT IN (SELECT j FROM h))")
+def osem_rays(spark, sf_dir):
+    """Each event's line along an axis of 4 x 4 x 4 voxels of 2 mm; H is not stored."""
+    e = table(spark, sf_dir, "events")
+    way, p, q = F.pmod("user_id", F.lit(3)), F.pmod(F.floor(F.col("user_id") / 3), F.lit(4)), F.pmod(F.floor(F.col("user_id") / 12), F.lit(4))
+    at = [F.when(way == 0, F.lit(None)).otherwise(p), F.when(way == 0, p).when(way == 2, q), F.when(way == 2, F.lit(None)).otherwise(q)]
+    ends = [F.coalesce((c - 1.5) * 2, F.lit(end)).alias(f"{axis}{k}") for k, end in ((1, -10.0), (2, 10.0)) for axis, c in zip("xyz", at, strict=True)]
+    data = e.select(F.col("event_id").alias("i"), F.col("value").alias("g"), F.lit(0.5).alias("s"))
+    system = systems.Rays(e.select(F.col("event_id").alias("i"), *ends), rays.Grid((4, 4, 4), (2.0, 2.0, 2.0)))
+    return rounded(solvers.osem(system, data).run(1, 2))
+
+
 def _planes_sql() -> str:
     parts = []
     for z, flag in enumerate("FO"):

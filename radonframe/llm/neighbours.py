@@ -7,7 +7,8 @@
 3. NN-descent: neighbours of neighbours meet at the node between them. A node, its neighbours and a block of the nodes that have it as theirs
    are a unit; in each unit all pairs with an edge that is new since the last round are compared, and each node takes the nearest it has met. A node
    that very many have as theirs has several units, dealt anew each round, so that nobody is left out and work stays in proportion to edges.
-   Units near each other (one block of the first table) are computed together, so that a vector travels to them once. Rounds end when fewer
+   Units near each other (``PART`` nodes of a block of the first table) are computed together, so that a vector travels to them once, in half
+   precision. Rounds end when fewer
    than ``SETTLED`` of the edges are new, or after ``ROUNDS``.
 4. Search: a query starts at the node of its own vector, if there is one, and at ``ENTRIES`` fixed nodes. Each step is a join: the nearest ``STEP``
    nodes of its beam that are not yet expanded give their neighbours (edges both ways; of those that point at a node the nearest 2 * ``K``),
@@ -33,18 +34,19 @@ from .storage import drop, stage
 
 K = 32
 BLOCK = 1024
+PART = 256  # nodes whose units are computed together
 TABLES = 2
 ROUNDS, SETTLED = 8, 0.08
 BEAM, STEP, ENTRIES = 192, 64, 64
 QUERIES = 256  # of a part of the search
 EDGES = "a long, b long, s float"
-UNITS = "node long, unit binary, codes array<long>, embedding array<double>"
+UNITS = "node long, unit binary, half binary, codes array<long>, embedding array<double>"
 _SEED = 20
 
 
 @dataclass
 class Index:
-    """Staged tables: rows (row, vec_id, node), vectors (node, home, unit, embedding), graph (a, b, s, fresh), search edges (a, b)."""
+    """Staged tables: rows (row, vec_id, node), vectors (node, home, unit, half, embedding), graph (a, b, s, fresh), search edges (a, b)."""
 
     rows: DataFrame
     vectors: DataFrame
@@ -58,10 +60,10 @@ class Index:
         drop(self.rows, self.vectors, self.graph, self.edges)
 
 
-def _floats(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A matrix of the vectors that are stored as bytes of single precision."""
+def _floats(column: pa.Array | pa.ChunkedArray, kind: str = "<f4") -> np.ndarray:
+    """A matrix of the vectors that are stored as bytes, in single precision."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float32, copy=False)
 
 
 def _numbers(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
@@ -85,7 +87,7 @@ def _units(bits: int, dim: int):
             signs = (x @ planes.T > 0).reshape(len(x), TABLES, bits)
             codes = (signs << np.arange(bits)).sum(axis=2, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * TABLES, pa.int32()), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary()), lists, b.column(1)], ["node", "unit", "codes", "embedding"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([v.tobytes() for v in x.astype(t)], pa.binary()) for t in ("<f4", "<f2")], lists, b.column(1)], ["node", "unit", "half", "codes", "embedding"])
 
     return run
 
@@ -130,7 +132,7 @@ def _meet(k: int):
     def run(edges: pa.Table, vectors: pa.Table) -> pa.Table:
         ids = _numbers(vectors, "node")
         order = np.argsort(ids)
-        ids, x, low = ids[order], _floats(vectors.column("unit"))[order], _numbers(vectors, "low")[order]
+        ids, x, low = ids[order], _floats(vectors.column("half"), "<f2")[order], _numbers(vectors, "low")[order]
         v, block, u, fresh = (_numbers(edges, c) for c in ("v", "block", "u", "fresh"))
         order = np.lexsort((block, v))
         v, block, u, fresh = v[order], block[order], np.searchsorted(ids, u[order]), fresh[order]
@@ -168,7 +170,7 @@ def _start(vectors: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame
     codes = vectors.select("node", F.posexplode("codes").alias("table", "code"))
     counts = codes.groupBy("table", "code").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
     placed = stage(codes.join(counts, ["table", "code"]).select("node", "table", F.xxhash64(key, F.pmod(F.xxhash64("node", "table"), "blocks")).alias("home")), "neighbours")
-    out = stage(vectors.join(placed.filter("table = 0").select("node", "home"), "node").select("node", "home", "unit", "embedding"), "neighbours")
+    out = stage(vectors.join(placed.filter("table = 0").select("node", "home"), "node").select("node", "home", "unit", "half", "embedding"), "neighbours")
     dealt = placed.join(out.select("node", "unit"), "node")
     graph = _nearest(dealt.groupBy("table", "home").applyInArrow(_within(k), EDGES).withColumn("old", F.lit(False)), k)
     graph = stage(graph, "neighbours")
@@ -180,17 +182,18 @@ def _round(vectors: DataFrame, graph: DataFrame, k: int, parts: int, number: int
     """The graph after one round."""
     low = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("low")).withColumnRenamed("a", "node")
     theirs = graph.groupBy("b").agg(F.ceil(F.count("*") / F.lit(2 * k)).alias("blocks")).withColumnRenamed("b", "node")
-    nodes = vectors.select("node", "home", "unit").join(low, "node", "left").join(theirs, "node", "left")
-    nodes = stage(nodes.select(F.col("node").alias("u"), "home", "unit", F.coalesce("low", F.lit(-2.0).cast("float")).alias("low"), F.coalesce("blocks", F.lit(1)).alias("blocks")), "neighbours")
+    nodes = vectors.select("node", "home", "half").join(low, "node", "left").join(theirs, "node", "left")
+    nodes = stage(nodes.select(F.col("node").alias("u"), "home", "half", F.coalesce("low", F.lit(-2.0).cast("float")).alias("low"), F.coalesce("blocks", F.lit(1)).alias("blocks")), "neighbours")
     at = nodes.select(F.col("u").alias("v"), "home", "blocks")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     forward = graph.select(F.col("a").alias("v"), F.col("b").alias("u"), "fresh").join(at, "v").select("v", "home", "u", "fresh", every)
     backward = graph.select(F.col("b").alias("v"), F.col("a").alias("u"), "fresh").join(at, "v").select("v", "home", "u", "fresh", F.pmod(F.xxhash64("u", F.lit(number)), "blocks").alias("block"))
     own = at.select("v", "home", F.col("v").alias("u"), F.lit(False).alias("fresh"), every)
-    part = F.when(F.col("block") == 0, F.col("home")).otherwise(F.pmod(F.xxhash64("v", "block"), F.lit(parts)))
+    within = F.pmod(F.xxhash64("v"), F.lit(-(-BLOCK // PART)))
+    part = F.when(F.col("block") == 0, F.xxhash64("home", within)).otherwise(F.pmod(F.xxhash64("v", "block"), F.lit(parts)))
     edges = forward.unionByName(backward).unionByName(own).select(part.alias("part"), "v", "block", "u", "fresh").distinct()
     edges = stage(edges, "neighbours")
-    needed = edges.select(F.col("part").alias("to"), F.col("u").alias("node")).distinct().join(nodes.select(F.col("u").alias("node"), "unit", "low"), "node")
+    needed = edges.select(F.col("part").alias("to"), F.col("u").alias("node")).distinct().join(nodes.select(F.col("u").alias("node"), "half", "low"), "node")
     met = edges.groupBy("part").cogroup(needed.groupBy("to")).applyInArrow(_meet(k), EDGES)
     out = stage(_nearest(met.withColumn("old", F.lit(False)).unionByName(graph.select("a", "b", "s", F.lit(True).alias("old"))), k), "neighbours")
     drop(nodes, edges)
@@ -212,7 +215,7 @@ def build(rows: DataFrame, k: int = K, members: int = 6, block: int = BLOCK, rou
     done, fresh = 0, n * k
     while done < rounds and fresh > SETTLED * n * k:
         old, done = graph, done + 1
-        graph = _round(placed, old, k, 1 + n // block, done)
+        graph = _round(placed, old, k, 1 + n // PART, done)
         drop(old)
         fresh = graph.filter("fresh").count()
     order = Window.partitionBy("a").orderBy(F.desc("s"), "b")

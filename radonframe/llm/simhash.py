@@ -284,13 +284,13 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> Da
     if not 0 <= bits <= 5:
         raise ValueError("balls of radius 1 around two segments find up to 5 differing bits")
     fps = stage(fingerprints(docs, width), "simhash")
-    entries = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash")
-    # nodes are fingerprints: an id can have several, and one can have no id
-    edges = links(entries.select(F.col("fp").alias("node"), F.array("fp").alias("seek"), F.array("fp").alias("check")), bits)
-    found = stage(components(edges).withColumnRenamed("node", "fp").join(entries, "fp"), "simhash")
+    # nodes are numbers of fingerprints: an id can have several of these, and one can have no id
+    entries = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "simhash")
+    edges = links(entries.select("node", F.array("fp").alias("seek"), F.array("fp").alias("check")), bits)
+    found = stage(components(edges).join(entries.select("node", "least"), "node"), "simhash")
     least = stage(found.groupBy("component").agg(F.min("least").alias("component_id")), "simhash")
-    linked = found.join(least, "component").select("fp", "component_id")
-    named = stage(entries.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash")
+    linked = found.join(least, "component").select("node", "component_id")
+    named = stage(entries.join(linked, "node", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash")
     drop(entries, edges, found, least)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

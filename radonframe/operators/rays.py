@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import erf
 from . import algebra
 
 MAX_VOXELS = 1 << 23  # 64 MB
@@ -67,7 +68,6 @@ def joseph(rays: np.ndarray, grid: Grid, low: np.ndarray | None = None, high: np
 def tof_shares(t: np.ndarray, length: np.ndarray, bins: np.ndarray, width: float, sigma: float) -> np.ndarray:
     """Share of a point at parameter t of a line that a time bin (centre in mm from the middle) sees: a Gaussian over the bin."""
     z = (t - 0.5) * length - bins
-    erf = np.vectorize(math.erf, otypes=[float])
     return 0.5 * (erf((z + width / 2) / (sigma * math.sqrt(2))) - erf((z - width / 2) / (sigma * math.sqrt(2))))
 
 

@@ -170,3 +170,66 @@ def test_forward_of_a_sinogram_is_its_matrix(spark, scene):
     a = {r["i"]: r["value"] for r in rays.project(lines, image(spark, f), GRID).collect()}
     b = {r["i"]: r["value"] for r in algebra.forward(rays.weights(lines, GRID), image(spark, f)).collect()}
     assert len(a) == 48 and all(math.isclose(v, b.get(i, 0.0), abs_tol=1e-9) for i, v in a.items())
+
+
+def test_scatter_in_all_bins_equals_numpy(spark, scene):
+    """Linear radial functions in each plane of sampled rings, then lines between rings, and the scale by back projections."""
+    f, mu = scene[0], scene[1]
+    per, rings = SCANNER.per_ring, SCANNER.rings
+    lut = events.scanner_lut(spark, SCANNER)
+    chosen = scatter.sample_detectors(lut, per, rings, 2, 4)
+    ids = sorted(r["detector_id"] for r in chosen.collect())
+    pairs = [(a * per * rings + b, a, b) for a, b in itertools.combinations(ids, 2) if a % per != b % per]
+    table = spark.createDataFrame(pairs, "i long, detector_1 int, detector_2 int")
+    own = mu * 0.004 / mu.max() * 2
+    place = [(*map(int, np.unravel_index(j, GRID.shape)), float(v)) for j, v in enumerate(own)]
+    points = scatter.scatter_points(spark.createDataFrame(place, "x int, y int, z int, value double"), 2)
+    sparse = events.with_cells(scatter.single_scatter(table, chosen, points, image(spark, f), image(spark, own), GRID).join(table, "i"), SCANNER).select("a", "r", "p", "value")
+    cells = {(r["_c1"], r["_c2"]): (r["a"], r["r"]) for r in events.cell_table(spark, SCANNER).collect() if r["_c1"] > r["_c2"]}
+    planes = {(a, b): r for a in range(rings) for b in range(rings) for r in [spark.range(1).select(events.ring_plane(F.lit(a), F.lit(b), rings)).first()[0]]}
+    z = {r["detector_id"] // per: r["z"] for r in lut.filter(F.pmod("detector_id", F.lit(per)) == 0).collect()}
+    known = sorted({d // per for d in ids})
+    nodes = np.array(sorted({cells[a, b] for a, b in itertools.permutations({d % per for d in ids}, 2) if a > b}), float)
+    every = np.array(sorted(set(cells.values())), float)
+    value = {(r["a"], r["r"], r["p"]): r["value"] for r in sparse.collect()}
+    distance = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    n = len(nodes)
+    system = np.block([[-distance(nodes, nodes), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    fitted = {}
+    for s, t in itertools.product(known, known):
+        w = np.linalg.solve(system, [*[value.get((*map(int, c), planes[s, t]), 0.0) for c in nodes], 0.0])
+        fitted[s, t] = -distance(every, nodes) @ w[:n] + w[n]
+    want = {}
+    for a, b in itertools.product(range(rings), range(rings)):
+        total = 0.0
+        for s, t in itertools.product(known, known):
+            share = lambda x, k: np.interp(-z[x], [-z[y] for y in known], np.eye(len(known))[known.index(k)])
+            total = total + share(a, s) * share(b, t) * fitted[s, t]
+        want |= {(*map(int, c), planes[a, b]): v for c, v in zip(every, total, strict=True)}
+    got = {(r["a"], r["r"], r["p"]): r["value"] for r in scatter.interpolated(sparse, SCANNER, chosen).collect()}
+    top = max(map(abs, want.values()))
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 * top for k, v in want.items())
+    # the whole way
+    rng = np.random.default_rng(4)
+    counts = {k: float(x) for k, x in zip(sorted(want), rng.poisson(3, len(want)), strict=True)}
+    measured = spark.createDataFrame([(*k, v) for k, v in counts.items()], "a int, r int, p int, value double")
+    whole = {(r["a"], r["r"], r["p"]): r["value"] for r in scatter.estimate(image(spark, f), image(spark, own), measured, SCANNER, GRID, 2, 0.004, 2, 4).collect()}
+    bins = pet.sinogram_rays(measured.select("a", "r", "p"), SCANNER).persist()
+    number = {(r["a"], r["r"], r["p"]): r["i"] for r in bins.collect()}
+    order = {i: k for k, i in enumerate(sorted(number.values()))}
+    h = np.zeros((len(order), N))
+    for r in rays.weights(bins.select("i", *rays.ENDS), GRID).collect():
+        h[order[r["i"]], r["j"]] = r["h"]
+    column = lambda d: np.array([x for _, x in sorted((order[number[k]], v) for k, v in d.items())])
+    outside, norm = h @ (own > 0.004) == 0, h.sum(axis=0)
+    assert 0 < outside.sum() < len(outside)
+    back = lambda v: h.T @ (v * outside) / np.where(norm > 0, norm, 1)
+    s, m = back(column(want)), back(column(counts))
+    scale = (s * np.maximum(m, 0)).sum() / (s * s).sum()
+    assert whole.keys() == want.keys() and all(abs(whole[k] - v * scale) < 1e-6 * top * abs(scale) for k, v in want.items())
+    with pytest.raises(ValueError):
+        scatter.MAX_NODES, most = 3, scatter.MAX_NODES
+        try:
+            scatter.interpolated(sparse, SCANNER, chosen)
+        finally:
+            scatter.MAX_NODES = most

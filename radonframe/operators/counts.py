@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,22 +79,33 @@ def stray_mean(blank: DataFrame, mask: DataFrame, duration_ratio: float) -> Data
     return inside.agg((F.sum("value") / (F.countDistinct("a") * F.countDistinct("r", "z")) * duration_ratio).alias("value"))
 
 
-def density_peak(values: DataFrame, low: float, high: float, bins: int, prominence: float) -> DataFrame:
-    """At most one row, value: the last peak of the curvature of a density histogram that stands out by ``prominence``.
+def density_peak(values: DataFrame, low: float = 1200.0, high: float = 1600.0, bins: int = 10, prominence: float = 8e-5) -> float | None:
+    """The middle of the last bin, of equal ones between the least and the largest value inside (low, high), where the second gradient of the
+    density has a peak that stands out by ``prominence``; none if there is no such peak.
 
-    Bins (few) are sorted in one task; the curvature is the negative second gradient of the density.
+    So it is the foot of a bump in the density and not its top: the second gradient is largest where the density turns up. Null and
+    non-finite values take no part. Counts of the bins, a few numbers, come to the driver.
     """
     inside = values.filter((F.col("value") > low) & (F.col("value") < high))
-    width = (high - low) / bins
-    n = inside.groupBy((F.width_bucket("value", F.lit(low), F.lit(high), F.lit(bins)) - 1).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    every = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(n, "bin", "left").fillna(0)
-    w = Window.orderBy("bin")
-    density = every.withColumn("d", F.col("n") / F.sum("n").over(Window.partitionBy()) / width)
-    slope = lambda c: F.when(F.lag(c).over(w).isNull(), F.lead(c).over(w) - F.col(c)).when(F.lead(c).over(w).isNull(), F.col(c) - F.lag(c).over(w)).otherwise((F.lead(c).over(w) - F.lag(c).over(w)) / 2)
-    curve = density.withColumn("g", slope("d")).withColumn("c", -slope("g"))
-    before, after = F.min("c").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.min("c").over(w.rowsBetween(0, Window.unboundedFollowing))
-    peaks = curve.withColumns({"up": F.lag("c").over(w), "down": F.lead("c").over(w), "base": F.greatest(before, after)}).filter((F.col("c") > F.col("up")) & (F.col("c") > F.col("down")) & (F.col("c") - F.col("base") >= prominence))
-    return peaks.groupBy().agg(F.max("bin").alias("bin")).filter("bin is not null").select((low + (F.col("bin") + 0.5) * width).alias("value"))
+    ends = inside.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    if ends["lo"] is None:
+        return None
+    lo, hi = (ends["lo"], ends["hi"]) if ends["hi"] > ends["lo"] else (ends["lo"] - 0.5, ends["hi"] + 0.5)
+    width = (hi - lo) / bins
+    at = F.least(F.floor((F.col("value") - lo) / width), F.lit(bins - 1)).cast("int")  # the last bin has its upper end
+    n = np.zeros(bins)
+    for r in inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).collect():
+        n[r["bin"]] = r["n"]
+    curve = np.gradient(np.gradient(n / n.sum() / width)).tolist()
+    for k in range(bins - 2, 0, -1):
+        first = next((m for m in range(k, -1, -1) if curve[m] != curve[k]), None)  # of a flat top the last bin counts
+        if curve[k + 1] >= curve[k] or first is None or curve[first] > curve[k]:
+            continue
+        sides = [curve[k::-1], curve[k:]]
+        bases = [min(side[: next((m for m, v in enumerate(side) if v > curve[k]), len(side))]) for side in sides]
+        if curve[k] - max(bases) >= prominence:
+            return lo + (k + 0.5) * width
+    return None
 
 
 def bed_order(beds: DataFrame) -> DataFrame:
@@ -191,7 +203,10 @@ def material_lines(air: DataFrame, water: DataFrame, bone: DataFrame, ct_energy:
 def window_estimate(
     projections: DataFrame, widths: dict[int, float], peak: int, lower: int, upper: int | None = None, weight_lower: float = 0.5, weight_upper: float = 0.5, sigmas: dict[str, float] | None = None,
 ) -> DataFrame:
-    """(a, r, z, value, variance): the scatter in the peak window of projections (window, a, r, z, value), and its variance, both smoothed if asked; widths: of the windows in keV."""
+    """(a, r, z, value, variance): the scatter in the peak window of projections (window, a, r, z, value), and its variance, both smoothed if asked; widths: of the windows in keV.
+
+    The variance is each bin's own; for sums over bins of a smoothed estimate, which are not independent, see ``window_variance``.
+    """
     wide = window_pivot(projections, [lower, *([] if upper is None else [upper])])
     args = (F.col(f"w_{lower}"), None if upper is None else F.col(f"w_{upper}"), widths[lower], 1.0 if upper is None else widths[upper], widths[peak], weight_lower, weight_upper)
     value = wide.select(*CELL, window_scatter(*args).alias("value"))
@@ -202,6 +217,31 @@ def window_estimate(
     return value.join(variance.withColumnRenamed("value", "variance"), list(CELL))
 
 
+def smoothed_variance(variance: DataFrame, sigmas: dict[str, float], shape: tuple[int, int]) -> Callable[[DataFrame], DataFrame]:
+    """For ``solvers.uncertainty``: the variance of a sum with weights x (i, value) of an estimate that was smoothed, as its terms s * (F x)^2.
+
+    variance: (a, r, z, value), s of the bins before smoothing; F: the smoothing; i = (a * r's pixels + r) * z's pixels + z, ``shape`` the numbers of
+    pixels. Neighbouring bins of a smoothed estimate share counts, which this keeps and a variance for each bin would not. Bins without a weight count as 0.
+    """
+    number = (F.col("a").cast("long") * shape[0] + F.col("r")) * shape[1] + F.col("z")
+    cells = variance.withColumnRenamed("value", "var").withColumn("i", number)
+
+    def terms(x: DataFrame) -> DataFrame:
+        every = cells.join(x, "i", "left").fillna(0.0, ["value"])
+        smooth = smooth_scatter(every.select(*CELL, "value"), sigmas)
+        return smooth.join(cells, list(CELL)).select("i", (F.col("var") * F.col("value") * F.col("value")).alias("value"))
+
+    return terms
+
+
+def window_variance(
+    projections: DataFrame, widths: dict[int, float], peak: int, lower: int, upper: int | None = None, weight_lower: float = 0.5, weight_upper: float = 0.5, *, sigmas: dict[str, float], shape: tuple[int, int],
+) -> Callable[[DataFrame], DataFrame]:
+    """``smoothed_variance`` of the scatter that ``window_estimate`` gives with the same arguments."""
+    plain = window_estimate(projections, widths, peak, lower, upper, weight_lower, weight_upper)
+    return smoothed_variance(plain.select(*CELL, F.col("variance").alias("value")), sigmas, shape)
+
+
 def stray_scatter(blank: DataFrame, mask: DataFrame, duration_ratio: float, widths: dict[int, float], peak: int, lower: int, upper: int | None = None, weight_lower: float = 0.5, weight_upper: float = 0.5) -> DataFrame:
     """One row, value: the scatter that the stray counts of a blank scan's windows would be taken for in the peak window."""
     wide = None

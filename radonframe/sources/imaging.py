@@ -80,10 +80,15 @@ def to_uint16(volume: DataFrame, largest: float | None = None) -> DataFrame:
 
 
 def slices(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(x, y, z, value) of slices (z_pos, slope, intercept, pixels array of rows): rescaled, numbered by position."""
-    order = Window.orderBy("z_pos")
-    numbered = rows.withColumn("z", F.dense_rank().over(order) - 1)
-    lines = numbered.select("z", "slope", F.coalesce("intercept", F.lit(0.0)).alias("intercept"), F.posexplode("pixels").alias("y", "row"))
+    """(x, y, z, value) of slices (z_pos, slope, intercept, pixels array of rows): rescaled, numbered by position.
+
+    Positions alone are ranked, one number for each slice, and joined to the pixels. Slices without a position have no place and are left out;
+    slices at one position share their number.
+    """
+    places = rows.select("z_pos").filter("z_pos is not null").distinct()
+    ranked = places.withColumn("z", (F.row_number().over(Window.orderBy("z_pos")) - 1).cast("int"))
+    numbered = rows.join(F.broadcast(ranked), "z_pos")
+    lines = numbered.select("z", F.coalesce("slope", F.lit(1.0)).alias("slope"), F.coalesce("intercept", F.lit(0.0)).alias("intercept"), F.posexplode("pixels").alias("y", "row"))
     return lines.select("slope", "intercept", "y", "z", F.posexplode("row").alias("x", "p")).select("x", "y", "z", (F.col("p") * F.col("slope") + F.col("intercept")).alias("value"))
 
 
@@ -98,10 +103,28 @@ def attenuation_scale(inverse: Column, factor: Column) -> Column:
     return F.coalesce(1 / inverse, factor, F.lit(1.0))
 
 
-def camera_geometry(frames: DataFrame, nearest: float) -> DataFrame:
-    """Frames (angle, x, y) with theta rounded half to even to a step, radius and offset of the detector."""
-    t = F.bround(F.col("angle") / nearest) * nearest
-    return frames.withColumns({"theta": t, "radius": F.col("x") * F.sin(F.radians(t)) + F.col("y") * F.cos(F.radians(t)), "offset": F.col("x") * F.cos(F.radians(t)) - F.col("y") * F.sin(F.radians(t))})
+def camera_geometry(frames: DataFrame, nearest: float = 1.0) -> DataFrame:
+    """Frames (angle, x, y) with theta, the angle rounded half to even to a step, and the radius and lateral offset of the detector, of the angle itself."""
+    t = F.radians("angle")
+    return frames.withColumns({"theta": F.bround(F.col("angle") / nearest) * nearest, "radius": F.col("x") * F.sin(t) + F.col("y") * F.cos(t), "offset": F.col("x") * F.cos(t) - F.col("y") * F.sin(t)})
+
+
+def head_frames(frames: DataFrame, window: int, spacing: float, nearest: float = 1.0) -> DataFrame:
+    """(a, file, frame, angle, offset, time, radius) of the frames of one energy window of a scan with several heads, for ``heads.Heads``.
+
+    frames: (file, frame, window, angle, x, y, time), places in mm and times in ms; spacing: of pixels in mm. Frames are numbered by file and place
+    in it, which one window over rows without pixels does. Angles are rounded to a step, offsets are in pixels, times in s, radii in cm.
+    """
+    own = camera_geometry(frames.filter(F.col("window") == window), nearest)
+    number = (F.row_number().over(Window.orderBy("file", "frame")) - 1).cast("int")
+    return own.select(number.alias("a"), "file", "frame", F.col("theta").alias("angle"), (F.col("offset") / spacing).alias("offset"), (F.col("time") / 1e3).alias("time"), (F.col("radius") / 10).alias("radius"))
+
+
+def head_projections(pixels: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(a, r, z, value) of frames (file, frame, scale, pixels array of rows) that ``head_frames`` has numbered: columns are r and rows z, counts times the file's scale."""
+    named = pixels.join(F.broadcast(numbered.select("file", "frame", "a")), ["file", "frame"])  # one row for each frame
+    rows = named.select("a", "scale", F.posexplode("pixels").alias("z", "row"))
+    return rows.select("a", "scale", "z", F.posexplode("row").alias("r", "p")).select("a", "r", "z", (F.col("p") * F.col("scale")).alias("value"))
 
 
 def view_geometry(raw: bytes) -> list[float]:

@@ -11,9 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid
+from ..functions import physics
+from ..operators import curves, grid
 from . import ranges
 from .imaging import header_value, read_header, read_raw, slice_thickness
+from .imaging import slices as slices_of
 
 Affine = list[list[float]]
 _KINDS = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}  # codes of the format
@@ -65,6 +67,25 @@ def aligned_mask(volume: DataFrame, label: float, source: Affine, target: Affine
     return aligned(region, source, target, shape).filter(F.col("value") > cutoff).select("x", "y", "z")
 
 
+def attenuation_of_slices(
+    spark: SparkSession, slices: DataFrame, target: Affine, shape: tuple[int, int, int], energy: float, peak_kv: float, materials: DataFrame, centred_spacing: tuple[float, float, float] | None = None, outside: float = 0.0,
+) -> DataFrame:
+    """(x, y, z, value): the attenuation in 1/cm of CT slices in the grid of an emission scan, in one call.
+
+    slices: (z_pos, slope, intercept, pixels, position, spacing, orientation[, table_height]); the CT numbers go through the conversion of their own
+    bone peak (``curves.conversion``) and are resampled. centred_spacing: the slices' spacing in the unit of ``target`` where both grids share their
+    middle, as scans with several heads do; their planes then run the other way.
+    """
+    volume = slices_of(spark, slices)
+    c = curves.conversion(volume, peak_kv, energy, materials)
+    mu = volume.withColumn("value", physics.bilinear_mu(F.col("value"), F.lit(c.a1), F.lit(c.a2), F.lit(c.b1), F.lit(c.b2)))
+    if centred_spacing is None:
+        return aligned(mu, of_slices(slices), target, shape, outside)
+    n = volume.agg(*[(F.max(a) + 1).alias(a) for a in "xyz"]).first()
+    out = aligned(mu, centred((n["x"], n["y"], n["z"]), centred_spacing), target, shape, outside)
+    return out.withColumn("z", (F.lit(shape[2] - 1) - F.col("z")).cast("int"))
+
+
 def nifti_header(spark: SparkSession, path: str) -> dict:
     """Shape, spacing, kind of numbers, where they start, and their slope and intercept: 348 bytes."""
     where = spark.read.format("binaryFile").load(path).select("path").first()["path"]

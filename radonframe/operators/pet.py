@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rays
-from .events import Scanner, cell_table, ring_plane, scanner_lut, with_endpoints
+from .events import Scanner, cell_table, histogram, ring_plane, scanner_lut, with_endpoints
 from .rays import Grid
+from .systems import Rays, Subsets, by_view
 
 DELTA = 1e-11
 
@@ -37,6 +38,32 @@ def sinogram_rays(bins: DataFrame, scanner: Scanner) -> DataFrame:
     return bins.join(cell_space(spark, scanner), ["a", "r"]).join(plane_space(spark, scanner), "p").withColumn("i", i)
 
 
+def all_bins(spark, scanner: Scanner) -> DataFrame:
+    """(a, r, p) of every bin of a scanner: cells of a ring times planes."""
+    cells = cell_space(spark, scanner).select("a", "r").distinct()
+    return cells.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(scanner.rings**2 - 1))))
+
+
+def sinogram_system(spark, scanner: Scanner, grid: Grid, weights: DataFrame | None = None) -> tuple[Rays, DataFrame]:
+    """The system of all bins of a scanner, and the bins (a, r, p, i); weights: a sinogram (a, r, p, value) of sensitivities, 0 where it has none."""
+    lines = sinogram_rays(all_bins(spark, scanner), scanner)
+    bins = lines.select("a", "r", "p", "i")
+    own = None if weights is None else bins.join(weights, ["a", "r", "p"], "left").select("i", F.coalesce("value", F.lit(0.0)).alias("weight"))
+    return Rays(lines.select("i", *rays.ENDS), grid, weights=own), bins
+
+
+def angle_subsets(scanner: Scanner, count: int) -> Subsets:
+    """Every ``count``-th angle of a sinogram is a subset."""
+    return by_view(count, (scanner.per_ring + 1) * scanner.rings**2)
+
+
+def sinogram_of_events(events: DataFrame, scanner: Scanner, grid: Grid, weights: DataFrame | None = None) -> tuple[Rays, DataFrame]:
+    """The sinogram system of a listmode scan (detector_1, detector_2), and its counts (i, g, s), s of 0."""
+    system, bins = sinogram_system(events.sparkSession, scanner, grid, weights)
+    counts = bins.join(histogram(events, scanner), ["a", "r", "p"], "left")
+    return system, counts.select("i", F.coalesce("value", F.lit(0.0)).alias("g"), F.lit(0.0).alias("s"))
+
+
 def pair_rays(pairs: DataFrame, lut: DataFrame) -> DataFrame:
     """Pairs or events (i, detector_1, detector_2, ..) with the ends of their lines."""
     return with_endpoints(pairs, lut)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,27 @@ def plane_blur(df: DataFrame, sigma: Callable[[Column], Column], spacing: tuple[
     return df
 
 
+def plane_operator(df: DataFrame, operator: Callable[[np.ndarray, int], np.ndarray], shape: tuple[int, int], keys: Sequence[str] = ("a",)) -> DataFrame:
+    """(keys, x, y, z, value) with each plane of one depth x, an array of ``shape`` over y and z, replaced by operator(plane, x), which is linear.
+
+    A response that no product of two lines gives, say of a collimator with hexagonal holes, is blurred by its own two-dimensional convolution;
+    the transposed system takes the transposed operator. A plane is a task's group, as large as the detector; missing voxels count as 0.
+    """
+    ny, nz = shape
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        plane = np.zeros(shape)
+        plane[frame["y"], frame["z"]] = frame["value"]
+        out = np.asarray(operator(plane, int(frame["x"].iloc[0])), float)
+        if out.shape != shape:
+            raise ValueError(f"the operator gave {out.shape} for {shape}")
+        y, z = np.divmod(np.arange(ny * nz, dtype=np.int32), nz)
+        return pd.DataFrame({**{k: frame[k].iloc[0] for k in (*keys, "x")}, "y": y, "z": z, "value": out.ravel()})
+
+    rows = df.select(*keys, *[F.col(c).cast("int").alias(c) for c in "xyz"], F.col("value").cast("double").alias("value"))
+    return rows.groupBy(*keys, "x").applyInPandas(run, rows.schema)
+
+
 def kernel_half(sigma_cm: float, spacing: float, deviations: float = 3.0) -> int:
     """Offsets to each side that a kernel needs for the widest response."""
     return math.ceil(sigma_cm / spacing * deviations)

@@ -236,6 +236,18 @@ class Turned(System):
         rows = projections.select(F.floor(i / (n * p)).cast("int").alias("a"), F.pmod(F.floor(i / p), F.lit(n)).cast("int").alias("r"), F.pmod(i, F.lit(p)).cast("int").alias("z"), "value")
         return self._voxel(spect.backward(rows, self.turns, n, self.probability, self.blur_back or self.blur))
 
+    def matrix(self, mask: DataFrame | None = None) -> DataFrame:
+        """(i, j, h) of a system without blur, to be saved; mask: (j), the voxels that it is to have."""
+        if self.blur:
+            raise ValueError("a blurred system has as many weights as voxels times pixels")
+        rows = self.turns.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(self.planes - 1))))
+        seen = F.lit(1.0)
+        if self.probability is not None:
+            rows, seen = rows.join(self.probability.withColumnRenamed("value", "seen"), ["a", "x", "y", "z"]), F.col("seen")
+        i, j = (F.col("a").cast("long") * self.n + F.col("y")) * self.planes + F.col("z"), (F.col("xi").cast("long") * self.n + F.col("yi")) * self.planes + F.col("z")
+        out = rows.groupBy(i.alias("i"), j.alias("j")).agg(F.sum(F.col("w") * seen).alias("h")).filter("h <> 0")
+        return out if mask is None else out.join(mask.select("j").distinct(), "j", "left_semi").select("i", "j", "h")
+
     def _places(self, df: DataFrame, first: str, size: int) -> DataFrame:
         """Each row of (first), of which there are few, with all places of ``size`` and the planes, as one number."""
         rows = df.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(self.planes - 1))))

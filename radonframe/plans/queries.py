@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import algebra, beds, counts, events, grid, likelihoods, planes, rays, solvers, spect, systems
+from ..operators import algebra, beds, counts, events, grid, likelihoods, pet, planes, rays, scatter, solvers, spect, systems
 from ..sources import coincidences, imaging, projections
 from .fixtures import (
     CELLS_SQL, DETECTORS, H_SQL, LISTMODE_SQL, SCANNER, TOF_BINS, VOLUMES_SQL, WINDOWS, WINDOWS_SQL, h_matrix, listmode, measured, ones, table, volumes, window_counts,
@@ -157,16 +157,19 @@ h AS (SELECT i, CAST(CASE way WHEN 0 THEN (k * 4 + p) * 4 + q WHEN 1 THEN (p * 4
 d AS (SELECT i, g, s FROM lines), f0 AS (SELECT j, CAST(1 AS DOUBLE) AS value FROM range(64) t(j))"""
 
 
-@query(f"WITH {RAYS_SQL}, {_em_sql('f0', 'f1', 0, 2)}, {_em_sql('f1', 'f2', 1, 2)} SELECT j, round(value, 6) AS value FROM (SELECT * FROM f2 UNION ALL SELECT * FROM f0 WHERE j NOT IN (SELECT j FROM h))")
-def osem_rays(spark, sf_dir):
-    """Each event's line along an axis of 4 x 4 x 4 voxels of 2 mm; H is not stored."""
-    e = table(spark, sf_dir, "events")
+def _event_rays(spark, sf_dir) -> DataFrame:
+    """Each event's line along an axis of 4 x 4 x 4 voxels of 2 mm."""
     way, p, q = F.pmod("user_id", F.lit(3)), F.pmod(F.floor(F.col("user_id") / 3), F.lit(4)), F.pmod(F.floor(F.col("user_id") / 12), F.lit(4))
     at = [F.when(way == 0, F.lit(None)).otherwise(p), F.when(way == 0, p).when(way == 2, q), F.when(way == 2, F.lit(None)).otherwise(q)]
     ends = [F.coalesce((c - 1.5) * 2, F.lit(end)).alias(f"{axis}{k}") for k, end in ((1, -10.0), (2, 10.0)) for axis, c in zip("xyz", at, strict=True)]
-    data = e.select(F.col("event_id").alias("i"), F.col("value").alias("g"), F.lit(0.5).alias("s"))
-    system = systems.Rays(e.select(F.col("event_id").alias("i"), *ends), rays.Grid((4, 4, 4), (2.0, 2.0, 2.0)))
-    return rounded(solvers.osem(system, data).run(1, 2))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), *ends)
+
+
+@query(f"WITH {RAYS_SQL}, {_em_sql('f0', 'f1', 0, 2)}, {_em_sql('f1', 'f2', 1, 2)} SELECT j, round(value, 6) AS value FROM (SELECT * FROM f2 UNION ALL SELECT * FROM f0 WHERE j NOT IN (SELECT j FROM h))")
+def osem_rays(spark, sf_dir):
+    """Two subsets of the events' lines; H is not stored."""
+    data = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("value").alias("g"), F.lit(0.5).alias("s"))
+    return rounded(solvers.osem(systems.Rays(_event_rays(spark, sf_dir), rays.Grid((4, 4, 4), (2.0, 2.0, 2.0))), data).run(1, 2))
 
 
 def _planes_sql() -> str:
@@ -423,9 +426,11 @@ raw AS (SELECT CAST((ca + ma * 2) * 24 + ct + mt * 2 + rt * 4 AS INTEGER) AS det
 lut AS (SELECT detector_id, 60 * cos(phi) - t * sin(phi) AS x, 60 * sin(phi) + t * cos(phi) AS y, z FROM raw)"""
 
 
-@query(f"WITH {_LUT_SQL} SELECT detector_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, z FROM lut")
+@query(f"WITH {LISTMODE_SQL}, {_LUT_SQL} SELECT event_id, detector_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, z FROM lm JOIN lut ON detector_id = detector_1")
 def scanner_lut(spark, sf_dir):
-    out = rounded(events.scanner_lut(spark, SCANNER), 6, "x", "y")
+    """The place of each event's first crystal."""
+    first = listmode(spark, sf_dir).select("event_id", F.col("detector_1").alias("detector_id"))
+    out = rounded(first.join(events.scanner_lut(spark, SCANNER), "detector_id"), 6, "x", "y")
     return out.withColumns({"x": F.col("x") + 0.0, "y": F.col("y") + 0.0})
 
 
@@ -486,9 +491,11 @@ def pair_combinations(spark, sf_dir):
     return events.combinations(table(spark, sf_dir, "supplier"), "s_suppkey")
 
 
-@query(f"WITH {_LUT_SQL} SELECT a.detector_id AS detector_1, b.detector_id AS detector_2 FROM lut a JOIN lut b ON a.detector_id < b.detector_id")
+@query(f"WITH {LISTMODE_SQL}, seen AS (SELECT detector_1 AS d FROM lm UNION SELECT detector_2 FROM lm) SELECT a.d AS detector_1, b.d AS detector_2 FROM seen a JOIN seen b ON a.d < b.d")
 def crystal_pairs(spark, sf_dir):
-    return events.combinations(events.scanner_lut(spark, SCANNER))
+    """All pairs of the crystals that events name."""
+    lm = listmode(spark, sf_dir)
+    return events.combinations(lm.select(F.col("detector_1").alias("detector_id")).union(lm.select("detector_2")).distinct())
 
 
 @query(f"WITH {LISTMODE_SQL} SELECT event_id, CAST({DETECTORS - 1} * least(detector_1, detector_2) + greatest(detector_1, detector_2) - least(detector_1, detector_2) * (least(detector_1, detector_2) + 1) // 2 - 1 AS BIGINT) AS pair FROM lm WHERE detector_1 <> detector_2")
@@ -537,13 +544,13 @@ def normalization_weights(spark, sf_dir):
 _PLANE_SQL = "CASE WHEN {a} = {b} THEN {a} WHEN {a} < {b} THEN 4 + ({b} - {a} - 1) * (8 - {b} + {a}) + {a} ELSE 4 + ({a} - {b} - 1) * (8 - {a} + {b}) + 4 - 2 * ({a} - {b}) + {a} END"
 
 
-@query(f"""WITH {_LUT_SQL}, lm AS (SELECT a.detector_id AS detector_1, b.detector_id AS detector_2, 0 AS tof, 1.0 / (1 + (a.detector_id + b.detector_id) % 5) AS weight FROM lut a JOIN lut b ON a.detector_id < b.detector_id), {CELLS_SQL},
+@query(f"""WITH {LISTMODE_SQL.replace("lm AS", "all_lm AS")}, lm AS (SELECT detector_1, detector_2, 0 AS tof, 1.0 / (1 + event_id % 5) AS weight FROM all_lm WHERE detector_1 % 24 <> detector_2 % 24), {CELLS_SQL},
 ways AS (SELECT a, r, {_PLANE_SQL.format(a="r1", b="r2")} AS p, weight FROM cells UNION ALL SELECT a, r, {_PLANE_SQL.format(a="r2", b="r1")}, weight FROM cells)
 SELECT a, r, CAST(p AS INTEGER) AS p, round(sum(weight) / 2, 6) AS value FROM ways GROUP BY 1, 2, 3""")
 def norm_sinogram(spark, sf_dir):
-    pairs = events.combinations(events.scanner_lut(spark, SCANNER))
-    weights = pairs.withColumn("weight", 1.0 / (1 + F.pmod(F.col("detector_1") + F.col("detector_2"), F.lit(5))))
-    return rounded(events.norm_sinogram(weights, SCANNER))
+    """Each event's pair with a weight of its own."""
+    pairs = listmode(spark, sf_dir).filter(F.pmod("detector_1", F.lit(24)) != F.pmod("detector_2", F.lit(24)))
+    return rounded(events.norm_sinogram(pairs.select("detector_1", "detector_2", (1.0 / (1 + F.pmod("event_id", F.lit(5)))).alias("weight")), SCANNER))
 
 
 @query("SELECT vec_id, round(greatest(1 - abs(label - 4.5) / 4.0, 0), 6) AS value FROM embeddings")
@@ -847,9 +854,17 @@ def _frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return frames, rotations
 
 
-@query(f"WITH {_FRAMES_SQL} SELECT CAST(view AS INTEGER) AS view, CAST(a AS INTEGER) AS a, round(angle, 6) AS angle, round(radius, 6) AS radius FROM w")
+@query("""WITH n AS (SELECT label AS d, count(*) AS views, min(vec_id) AS least FROM embeddings GROUP BY 1), g AS (SELECT d, least, views, unnest(range(views)) AS k FROM n),
+w AS (SELECT d, k, (d * 36.125 + 2.5 * k + 180) % 360 AS angle, CASE WHEN d % 2 = 0 THEN least + 24.0 ELSE least + (200 + k) / 10.0 END AS radius FROM g),
+v AS (SELECT *, row_number() OVER (ORDER BY d, k) - 1 AS view FROM w)
+SELECT CAST(view AS INTEGER) AS view, CAST(row_number() OVER (ORDER BY angle, view) - 1 AS INTEGER) AS a, round(angle, 6) AS angle, round(radius, 6) AS radius FROM v""")
 def projection_views(spark, sf_dir):
-    return rounded(projections.views(_frames(spark, sf_dir)[1]), 6, "angle", "radius")
+    """Labels as detectors with as many views as vectors; every other one moves out."""
+    heads = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("detector")).agg(F.count("*").cast("int").alias("views"), F.min("vec_id").alias("least"))
+    out = F.transform(F.sequence(F.lit(0), F.col("views") - 1), lambda k: F.col("least") * 10 + 200.0 + k)
+    radial = F.when(F.col("detector") % 2 == 0, F.array(F.col("least") * 10 + 240.0)).otherwise(out)
+    rotations = heads.select("detector", "views", (F.col("detector") * 36.125).alias("start"), F.lit(2.5).alias("step"), F.lit("CCW").alias("direction"), radial.alias("radial"))
+    return rounded(projections.views(rotations), 6, "angle", "radius")
 
 
 @query(f"""WITH {_FRAMES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY "window", slot ORDER BY frame) - 1 AS view FROM f),
@@ -890,3 +905,50 @@ def psf_square(spark, sf_dir):
 def cut_off(spark, sf_dir):
     rows = window_counts(spark, sf_dir).filter("window = 'view'")
     return rounded(spect.cut_off(rows, rows.filter("r between 3 and 12 and z < 3")), 4)
+
+
+@query("""WITH b AS (SELECT CAST(user_id % 8 AS INTEGER) AS a, CAST(event_id % 6 AS INTEGER) AS r, CAST(user_id // 8 % 3 AS INTEGER) AS z1, CAST(event_id // 6 % 3 AS INTEGER) AS z2, sum(value) AS value FROM events GROUP BY 1, 2, 3, 4),
+g AS (SELECT a, r, z1, z2, coalesce(value, 0) AS value FROM (SELECT a, r, z1, z2 FROM range(8) t(a), range(6) u(r), range(3) v(z1), range(3) w(z2)) LEFT JOIN b USING (a, r, z1, z2)),
+k AS (SELECT o, exp(-o * o / (2 * 0.8 ^ 2)) / (SELECT sum(exp(-p * p / (2 * 0.8 ^ 2))) FROM range(-3, 4) t(p)) AS w FROM range(-3, 4) t(o)),
+s1 AS (SELECT g.a, g.r, g.z1, g.z2, sum(k.w * n.value) AS value FROM g, k, g n WHERE n.a = (g.a + k.o + 8) % 8 AND n.r = g.r AND n.z1 = g.z1 AND n.z2 = g.z2 GROUP BY 1, 2, 3, 4),
+s2 AS (SELECT g.a, g.r, g.z1, g.z2, sum(k.w * n.value) AS value FROM s1 g, k, s1 n WHERE n.r = least(greatest(g.r + k.o, 0), 5) AND n.a = g.a AND n.z1 = g.z1 AND n.z2 = g.z2 GROUP BY 1, 2, 3, 4)
+SELECT CAST(a AS INTEGER) AS a, CAST(r AS INTEGER) AS r, CAST(z1 AS INTEGER) AS z1, CAST(z2 AS INTEGER) AS z2, round(value, 4) AS value FROM s2""")
+def smooth_randoms(spark, sf_dir):
+    """Event sums as a randoms sinogram of 8 x 6 x 3 x 3 bins."""
+    e, u = F.col("event_id"), F.col("user_id")
+    number = lambda c, n: F.pmod(F.floor(c), F.lit(n)).cast("int")
+    own = table(spark, sf_dir, "events").groupBy(number(u, 8).alias("a"), number(e, 6).alias("r"), number(u / 8, 3).alias("z1"), number(e / 6, 3).alias("z2")).agg(F.sum("value").alias("value"))
+    every = spark.range(8 * 54).select(*[number(F.col("id") / d, n).alias(c) for c, d, n in (("a", 54, 8), ("r", 9, 6), ("z1", 3, 3), ("z2", 1, 3))])
+    grid_of = every.join(own, ["a", "r", "z1", "z2"], "left").fillna(0.0, ["value"])
+    return rounded(counts.smooth_randoms(grid_of, {"a": 0.8, "r": 0.8}), 4)
+
+
+@query("""SELECT event_id, CAST(k AS INTEGER) AS tof, round(value * 50.0 / (2 * 4000.0 * 0.3 / 2), 9) AS value FROM events, range(4) t(k)""")
+def randoms_per_bin(spark, sf_dir):
+    return rounded(counts.randoms_per_bin(table(spark, sf_dir, "events").select("event_id", "value"), 4, 50.0, 4000.0), 9)
+
+
+def _scatter_sql() -> str:
+    return f"""WITH {H_SQL}, mu AS (SELECT j, CASE WHEN j % 5 = 0 THEN 0.01 ELSE 0.001 END AS value FROM f0),
+inside AS (SELECT DISTINCT i FROM h JOIN mu USING (j) WHERE value > 0.004), norm AS (SELECT j, sum(h) AS n FROM h GROUP BY j),
+o AS (SELECT * FROM h WHERE i NOT IN (SELECT i FROM inside)),
+b AS (SELECT j, sum(h * (1 + i % 3)) / any_value(n) AS s, greatest(sum(h * g) / any_value(n), 0) AS m FROM o JOIN d USING (i) JOIN norm USING (j) GROUP BY j)
+SELECT round(sum(s * m) / sum(s * s), 4) AS value FROM b"""
+
+
+@query(_scatter_sql())
+def scatter_scale(spark, sf_dir):
+    """Order lines as bins: those without a supplier of the denser kind are outside of the body."""
+    h, data = h_matrix(spark, sf_dir), measured(spark, sf_dir)
+    dense = h.select("j").distinct().withColumn("value", F.when(F.pmod("j", F.lit(5)) == 0, 0.01).otherwise(0.001))
+    estimate = data.select("i", (1.0 + F.pmod("i", F.lit(3))).alias("value"))
+    return rounded(scatter.scatter_scale(h, estimate, data.select("i", F.col("g").alias("value")), dense), 4)
+
+
+@query(f"""WITH {RAYS_SQL} SELECT j, round(sum(h * (0.5 + i % 3 + 1e-11)), 6) AS value FROM h GROUP BY j""")
+def sensitivity(spark, sf_dir):
+    """Back projection of all events' lines, each with its weight."""
+    lines = _event_rays(spark, sf_dir)
+    weights = lines.select("i", (0.5 + F.pmod("i", F.lit(3))).alias("weight"))
+    return rounded(pet.sensitivity(lines, rays.Grid((4, 4, 4), (2.0, 2.0, 2.0)), weights=weights).filter("value <> 0"))
+

@@ -138,6 +138,59 @@ def test_blurred_system_has_its_transpose(spark, turns):
     assert np.allclose(forward, want.ravel())
 
 
+def test_matrix_of_turned_volumes_in_a_mask(spark, turns):
+    seen, table = probability(spark)
+    mask = spark.createDataFrame([(j,) for j in range(0, N * N * PLANES, 3)], "j long")
+    h = turned_matrix(turns, seen).sum(axis=1).reshape(7 * N * PLANES, -1)
+    assert np.allclose(dense(systems.Turned(turns, N, PLANES, table).matrix(), *h.shape), h)
+    h[:, np.arange(h.shape[1]) % 3 != 0] = 0
+    assert np.allclose(dense(systems.Turned(turns, N, PLANES, table).matrix(mask), *h.shape), h)
+
+
+def test_operator_on_planes_and_its_transpose(spark):
+    rng = np.random.default_rng(13)
+    kernel, v = rng.uniform(0, 1, (3, 3)), rng.uniform(0, 1, (2, 3, 5, 4))
+
+    def convolved(k):
+        def run(plane, x):
+            wide = np.pad(plane, 1)
+            return sum(k[a, b] * (1 + x) * wide[a : a + plane.shape[0], b : b + plane.shape[1]] for a in range(3) for b in range(3))
+
+        return run
+
+    rows = spark.createDataFrame([(*map(int, at), float(x)) for at, x in np.ndenumerate(v)], "a int, x int, y int, z int, value double")
+    for k in (kernel, kernel[::-1, ::-1]):
+        got = np.zeros(v.shape)
+        for r in spect.plane_operator(rows, convolved(k), (5, 4)).collect():
+            got[r["a"], r["x"], r["y"], r["z"]] = r["value"]
+        assert np.allclose(got, [[convolved(k)(v[a, x], x) for x in range(3)] for a in range(2)])
+    w = rng.uniform(0, 1, (5, 4))
+    assert np.isclose((convolved(kernel)(v[0, 1], 1) * w).sum(), (v[0, 1] * convolved(kernel[::-1, ::-1])(w, 1)).sum())
+
+
+def test_sinogram_system_of_events(spark):
+    from radonframe.operators import events, pet
+    from radonframe.plans.fixtures import SCANNER
+
+    rng = np.random.default_rng(14)
+    own = Grid((3, 3, 2), (12.0, 12.0, 10.0))
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, SCANNER.per_ring * SCANNER.rings, (300, 2)) if a % SCANNER.per_ring != b % SCANNER.per_ring]
+    system, data = pet.sinogram_of_events(spark.createDataFrame(pairs, "detector_1 int, detector_2 int"), SCANNER, own)
+    rows = sorted((r["i"], r["g"]) for r in data.collect())
+    assert len(rows) == SCANNER.per_ring * (SCANNER.per_ring - 1) // 2 * SCANNER.rings**2 + SCANNER.per_ring * SCANNER.rings**2 or sum(g for _, g in rows) == len(pairs)
+    assert sum(g for _, g in rows) == len(pairs)
+    number = {i: k for k, (i, _) in enumerate(rows)}
+    h = np.zeros((len(rows), 18))
+    for r in rays.weights(system.lines, own).collect():
+        h[number[r["i"]], r["j"]] = r["h"]
+    g = np.array([x for _, x in rows])
+    per = (SCANNER.per_ring + 1) * SCANNER.rings**2
+    parts = [np.array([i // per % 2 == m for i, _ in rows]) for m in range(2)]
+    got = column(solvers.osem(system, data).run(1, pet.angle_subsets(SCANNER, 2)), "j", 18)
+    assert np.allclose(got, osem(h, g, np.zeros(len(g)), 1, parts), rtol=1e-6, atol=1e-9)
+    assert events.histogram(spark.createDataFrame(pairs, "detector_1 int, detector_2 int"), SCANNER).count() == (g > 0).sum()
+
+
 def test_transforms_of_images(spark, lines):
     k = spark.createDataFrame([(j, l, 0.5 if j == l else 0.25) for j in range(60) for l in (j - 1, j, j + 1) if 0 <= l < 60], "j long, l long, w double")
     dense_k = np.zeros((60, 60))

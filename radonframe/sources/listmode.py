@@ -2,9 +2,11 @@
 
 Binary: the magic ``yardl``, a 32-bit version 1, a schema text, a header record, then chunks of time blocks, each with its count, ended by
 a count of 0. Integers are base-128 varints, signed ones zig-zag; floats are little-endian; an optional value follows a byte 0 or 1; a
-vector follows its length. After the header every number is a varint, so a whole stream is decoded at once.
+vector follows its length. After the header every number is a varint, so a whole range is decoded at once.
 
-Files are read as wholes, one per row of Spark's ``binaryFile`` source (up to 2 GB each); more, smaller files are more tasks.
+A file is read twice: a first pass, a task for each file, goes through it in pieces of ``PIECE`` bytes and only counts numbers, for the places of its
+blocks; then tasks decode ranges of whole blocks of about ``RANGE_BYTES``. A stream that ends before its last count is refused in the first
+pass. What a task holds is a piece, or a range, whose length no more than one block can exceed.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import open_input
+
 MAGIC = b"yardl"
 VERSION = 1
 FIELDS = ("detector_1", "detector_2", "tof", "energy_1", "energy_2")
@@ -29,6 +33,9 @@ BLOCK_JSON = f"timeBlocks struct<id:bigint,promptEvents:array<{EVENT}>,delayedEv
 
 
 FILE_EVENTS = 4_000_000
+PIECE = 8 << 20
+RANGE_BYTES = 8 << 20
+RANGES = "file string, first long, bytes long, blocks array<long>"
 
 
 def to_varints(values: np.ndarray) -> bytes:
@@ -163,17 +170,107 @@ def encoded(header: dict[str, Any], time_blocks: list[tuple[int, np.ndarray, np.
     return b"".join([*parts, to_varints(np.concatenate([*numbers, np.array([0])]))])
 
 
+def header_of(path: str) -> tuple[dict[str, Any], int]:
+    """The header of a file at a path, and where its blocks start; reads no more of it than twice the header."""
+    size = 1 << 16
+    with open_input(path) as f:
+        while True:
+            f.seek(0)
+            data = f.read(size)
+            try:
+                header, at = opened(data)
+                if at <= len(data):
+                    return header, at
+            except (IndexError, struct.error, UnicodeDecodeError):
+                pass
+            if len(data) < size:
+                raise ValueError(f"{path} ends within its header")
+            size *= 2
+
+
+class _Numbers:
+    """The varints of a file from a place on, of which only some are decoded: it reads pieces and keeps one."""
+
+    def __init__(self, f, at: int, piece: int) -> None:
+        self.f, self.piece, self.base, self.raw, self.ends, self.k = f, piece, at, b"", np.empty(0, np.int64), 0
+        f.seek(at)
+
+    def _more(self) -> None:
+        """Drop what is behind and read on."""
+        done = int(self.ends[self.k - 1]) + 1 if self.k else 0
+        data = self.f.read(self.piece)
+        if not data:
+            raise ValueError("the stream ends before its last count")
+        self.raw, self.base, self.k = self.raw[done:] + data, self.base + done, 0
+        self.ends = np.flatnonzero(np.frombuffer(self.raw, np.uint8) < 0x80)
+
+    def place(self) -> int:
+        """Where the next number starts."""
+        return self.base + (int(self.ends[self.k - 1]) + 1 if self.k else 0)
+
+    def next(self) -> int:
+        while self.k >= len(self.ends):
+            self._more()
+        value, at = 0, int(self.ends[self.k - 1]) + 1 if self.k else 0
+        for k, b in enumerate(self.raw[at : int(self.ends[self.k]) + 1]):
+            value |= (b & 0x7F) << (7 * k)
+        self.k += 1
+        return value
+
+    def skip(self, n: int) -> None:
+        while n > len(self.ends) - self.k:
+            n -= len(self.ends) - self.k
+            self.k = len(self.ends)
+            self._more()
+        self.k += n
+
+
+def _ranges(piece: int, range_bytes: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                _, start = header_of(path)
+                with open_input(path) as f:
+                    numbers, out = _Numbers(f, start, piece), []
+                    while count := numbers.next():
+                        first, ids = numbers.place(), []
+                        for left in range(count - 1, -1, -1):
+                            ids.append(numbers.next())
+                            numbers.skip(5 * numbers.next())
+                            if numbers.next():
+                                numbers.skip(5 * numbers.next())
+                            if not left or numbers.place() - first >= range_bytes:
+                                out.append((path, first, numbers.place() - first, ids))
+                                first, ids = numbers.place(), []
+                if out:
+                    yield pd.DataFrame(out, columns=["file", "first", "bytes", "blocks"])
+
+    return run
+
+
+def block_ranges(spark: SparkSession, path: str, piece: int = PIECE, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(file, first, bytes, blocks): stretches of whole blocks of the files of a path, with the blocks' numbers."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInPandas(_ranges(piece, range_bytes), RANGES)
+
+
 def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            _, at = opened(content)
-            for number, delayed, rows in blocks(from_varints(content[at:])):
+        for path, first, size, ids in zip(frame["file"], frame["first"], frame["bytes"], frame["blocks"], strict=True):
+            with open_input(path) as f:
+                f.seek(first)
+                numbers = from_varints(f.read(size))
+            for number, delayed, rows in blocks(np.concatenate([np.array([len(ids)], np.uint64), numbers, np.zeros(1, np.uint64)])):
                 yield pd.DataFrame({"file": path, "block": number, "delayed": delayed} | {n: rows[:, k].astype(np.int64) for k, n in enumerate(FIELDS)})
 
 
-def read_binary(spark: SparkSession, path: str, time_blocks: list[int] | None = None) -> DataFrame:
-    """Events (file, block, delayed, detector_1, ...) of the files of a path, of some blocks if wanted."""
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_decode, EVENTS)
+def read_binary(spark: SparkSession, path: str, time_blocks: list[int] | None = None, piece: int = PIECE, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Events (file, block, delayed, detector_1, ...) of the files of a path, of some blocks if wanted; only ranges with such blocks are decoded."""
+    ranges = block_ranges(spark, path, piece, range_bytes)
+    if time_blocks is not None:
+        ranges = ranges.filter(F.arrays_overlap("blocks", F.array(*[F.lit(int(b)) for b in time_blocks]).cast("array<long>")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = ranges.repartition(parts, "file", "first").mapInPandas(_decode, EVENTS)
     return out if time_blocks is None else out.filter(F.col("block").isin(time_blocks))
 
 
@@ -182,12 +279,12 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for p, content in zip(frame["path"], frame["content"], strict=True):
-                h, _ = opened(content)
+            for p in frame["path"]:
+                h, _ = header_of(p)
                 e = h["tof_bin_edges"] or [0.0]
                 yield pd.DataFrame([{"file": p, "detector_id": d["id"], "x": d["x"], "y": d["y"], "z": d["z"], "bins": len(e) - 1, "tof_range": e[-1] - e[0]} for d in h["detectors"]])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, detector_id long, x double, y double, z double, bins int, tof_range double")
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, "file string, detector_id long, x double, y double, z double, bins int, tof_range double")
 
 
 def write_binary(events: DataFrame, folder: str, header: dict[str, Any], schema: str = "", file_events: int = FILE_EVENTS) -> DataFrame:

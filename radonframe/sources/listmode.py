@@ -11,6 +11,7 @@ pass. What a task holds is a piece, or a range, whose length no more than one bl
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -345,3 +346,63 @@ def to_ndjson(events: DataFrame) -> DataFrame:
     one = F.struct(*[F.col(b).cast("long").alias(a) for a, b in zip(names, FIELDS, strict=True)])
     grouped = events.groupBy("block").agg(F.collect_list(F.when(~F.col("delayed"), one)).alias("promptEvents"), F.collect_list(F.when(F.col("delayed"), one)).alias("delayedEvents"))
     return grouped.select(F.to_json(F.struct(F.struct(F.col("block").alias("id"), "promptEvents", F.when(F.size("delayedEvents") > 0, F.col("delayedEvents")).alias("delayedEvents")).alias("timeBlocks"))).alias("value"))
+
+
+DETECTOR_JSON = "struct<id:bigint,x:double,y:double,z:double>"
+SCANNER_JSON = f"struct<modelName:string,detectors:array<{DETECTOR_JSON}>,tofBinEdges:array<double>,tofResolution:double,energyBinEdges:array<double>,energyResolutionAt511:double,listmodeTimeBlockDuration:bigint>"
+EXAM_JSON = "struct<subject:struct<name:string,id:string>,institution:struct<name:string,address:string>,protocol:string,startOfAcquisition:string>"
+OPENING_JSON = f"yardl struct<version:int>, header struct<scanner:{SCANNER_JSON},exam:{EXAM_JSON}>"
+
+
+def header_json(h: dict[str, Any]) -> str:
+    """The header line of a JSON stream; what is null is left out. The start of an acquisition is in nanoseconds since 1970, written as text."""
+    scanner = {
+        "modelName": h.get("model_name"), "detectors": h["detectors"], "tofBinEdges": h["tof_bin_edges"], "tofResolution": h["tof_resolution"], "energyBinEdges": h["energy_bin_edges"],
+        "energyResolutionAt511": h["energy_resolution_at_511"], "listmodeTimeBlockDuration": h["block_duration_ms"],
+    }
+    out: dict[str, Any] = {"scanner": {k: v for k, v in scanner.items() if v is not None}}
+    if e := h.get("exam"):
+        subject = {"name": e["subject_name"], "id": e["subject_id"]}
+        start = None if e["start_ns"] is None else f"{np.datetime64(e['start_ns'], 'ns')}"
+        exam = {"subject": {k: v for k, v in subject.items() if v is not None}, "institution": {"name": e["institution"], "address": e["address"]}, "protocol": e["protocol"], "startOfAcquisition": start}
+        out["exam"] = {k: v for k, v in exam.items() if v is not None}
+    return json.dumps({"header": out}, ensure_ascii=False, separators=(",", ":"))
+
+
+def write_ndjson(events: DataFrame, folder: str, header: dict[str, Any], schema: str = "{}") -> DataFrame:
+    """Write events (block, delayed, detector_1, ...) as JSON streams, one a task, each with its opening line, its header and its blocks in order; (file, blocks)."""
+    lines = to_ndjson(events).withColumn("block", F.get_json_object("value", "$.timeBlocks.id").cast("long"))
+    opening = json.dumps({"yardl": {"version": VERSION, "schema": json.loads(schema)}}, separators=(",", ":")) + "\n" + header_json(header) + "\n"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, where = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        name, n, f = f"{where}/{uuid.uuid4().hex}.ndjson", 0, None
+        for frame in frames:
+            if f is None and len(frame):
+                system.create_dir(where)
+                f = system.open_output_stream(name)
+                f.write(opening.encode())
+            for line in frame["value"]:
+                f.write(line.encode() + b"\n")
+            n += len(frame)
+        if f is not None:
+            f.close()
+            yield pd.DataFrame({"file": [name], "blocks": [n]})
+
+    return lines.repartition("block").sortWithinPartitions("block").select("value").mapInPandas(run, "file string, blocks long")
+
+
+def ndjson_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header) of JSON streams; a file without the opening line of version 1, or with any number of headers but one, is an error."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.from_json("value", OPENING_JSON).alias("j"))
+    per = lines.groupBy("file").agg(F.max("j.yardl.version").alias("version"), F.count("j.header").alias("n"), F.first("j.header", ignorenulls=True).alias("header"))
+    wrong = F.raise_error(F.concat(F.col("file"), F.lit(" is not a listmode stream of version 1 with one header")))
+    return per.select("file", F.when((F.col("version") == VERSION) & (F.col("n") == 1), F.col("header")).otherwise(wrong).alias("header"))
+
+
+def scanner_of_ndjson(spark: SparkSession, path: str) -> DataFrame:
+    """(file, detector_id, x, y, z, bins, tof_range), as ``read_headers`` of binary streams."""
+    rows = ndjson_headers(spark, path).select("file", F.col("header.scanner").alias("s"))
+    edges = F.col("s.tofBinEdges")
+    span = F.coalesce(F.element_at(edges, -1) - F.get(edges, F.lit(0)), F.lit(0.0))
+    return rows.select("file", F.explode("s.detectors").alias("d"), F.greatest(F.size(edges) - 1, F.lit(0)).alias("bins"), span.alias("tof_range")).select("file", F.col("d.id").alias("detector_id"), "d.x", "d.y", "d.z", "bins", "tof_range")

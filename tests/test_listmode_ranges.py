@@ -56,3 +56,25 @@ def test_truncated_files_are_refused(spark, files, tmp_path):
     with pytest.raises(Exception, match="ends within its header"):
         listmode.read_binary(spark, f"{tmp_path}/head.bin").count()
     assert listmode.read_headers(spark, f"{files[0]}/none.bin").count() == 6000
+
+
+def test_json_streams_with_their_headers(spark, tmp_path):
+    header = {**HEADER, "detectors": HEADER["detectors"][:5], "exam": {"subject_name": None, "subject_id": "s1", "institution": "i", "address": "a", "protocol": "p", "start_ns": 1_500_000_000_000_000_001}}
+    rows = [(b, b % 2 == 0, k, k + 1, 0, 1, 2) for b in range(6) for k in range(b)]
+    events = spark.createDataFrame(rows, "block long, delayed boolean, detector_1 long, detector_2 long, tof long, energy_1 long, energy_2 long")
+    written = listmode.write_ndjson(events, f"file://{tmp_path}/json", header).collect()
+    assert sum(r["blocks"] for r in written) == 5 and 1 <= len(written) <= 5
+    assert sorted(map(tuple, listmode.read_ndjson(spark, f"{tmp_path}/json").collect())) == rows
+    lines = open(written[0]["file"]).read().splitlines()
+    assert lines[0] == '{"yardl":{"version":1,"schema":{}}}' and all("timeBlocks" in x for x in lines[2:])
+    heads = listmode.ndjson_headers(spark, f"{tmp_path}/json").collect()
+    assert len(heads) == len(written)
+    for r in heads:
+        e = r["header"]["exam"]
+        assert (e["subject"]["name"], e["subject"]["id"], e["protocol"], e["startOfAcquisition"]) == (None, "s1", "p", "2017-07-14T02:40:00.000000001")
+    scanner = listmode.scanner_of_ndjson(spark, f"{tmp_path}/json").collect()
+    assert {(r["detector_id"], r["x"], r["bins"], r["tof_range"]) for r in scanner} == {(k, 1.0 * k, 2, 2.0) for k in range(5)}
+    for name, text in (("none", "\n".join(lines[2:])), ("two", "\n".join([*lines[:2], *lines[1:]])), ("late", "\n".join(lines[1:]))):
+        (tmp_path / f"{name}.ndjson").write_text(text)
+        with pytest.raises(Exception, match="with one header"):
+            listmode.ndjson_headers(spark, f"{tmp_path}/{name}.ndjson").collect()

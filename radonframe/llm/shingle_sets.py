@@ -1,48 +1,116 @@
-"""Fingerprints of shingle sets cut into segments, of which sets with a Jaccard similarity of 0.8 or more share one.
-
-SimHash bits do not serve here: of sets with a similarity of 0.8, 15 % of the bits differ, so a 32-bit segment is within one bit with
-probability 0.035 only, and 1 - 1e-4 would take some 8,400 places a document. A component of this fingerprint is the least of the
-set's hashes under a function of its own: two sets agree in it with a probability equal to their similarity J, whatever
-their sizes, one text within the other included. Entries meet where all ``ROWS`` components of a segment agree. At J = 0.8 a segment
-does with probability 0.8 ** 5 = 0.33, one of ``SEGMENTS`` = 28 with 1 - 1.5e-5; at J = 0.3 one does with 0.07. No table of places
-grows with the length of texts.
+"""SimHash fingerprints of shingle sets, cut into segments of which sets with a Jaccard similarity of 0.8 or more share one.
+
+The fingerprint has ``POOL`` bits: bit i is 1 if it is in over half of the set's hashes under a function of its own. Two sets of similarity J differ in a
+bit with a probability of about acos(2 J / (1 + J)) / pi, 0.152 at 0.8, one text within the other included; ``SHARES`` has the worst exact
+figures, which small sets decide. A segment is a choice of some of the bits, and its place is their values: entries meet where all
+bits of a segment agree. Choices are cut from permutations of the fingerprint, as many as it takes for two sets at 0.8 to agree in
+none with a probability of ``MISS`` only: 16 bits take 208 segments (236 for sets of up to 50 shingles, 415 for up to 5). Longer segments, for larger
+tables, are more (22 bits: 709): no list of places grows with the length of texts, and meetings by chance do not grow with the table.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 
-SEGMENTS = 28
-ROWS = 5
+WORDS = 16  # 64-bit words of a fingerprint
+POOL = 64 * WORDS
+LEAST_BITS, MOST_BITS = 16, 32
+MISS = 1.5e-5
+#: Largest size and, at 0.8, the largest probability that a bit differs. The other set of a pair with 40 shingles has up to 50.
+SHARES = ((5, 0.1875), (50, 0.1612), (2**62, 0.1552))
 _EPS = 1e-9
-_STEP = 0x9E3779B97F4A7C15
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    x = x + np.uint64(salt * _STEP % 2**64)
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-_FACTORS = (mixed(np.arange(SEGMENTS * ROWS, dtype=np.uint64), 7) | np.uint64(1))[:, None]
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes of each row have each bit: (rows, 64)."""
+    out = np.zeros((len(hashes), 8, 8), np.int64)
+    for at in range(0, hashes.shape[1], 1 << 14):
+        some = hashes[:, at : at + (1 << 14)]
+        cuts = np.arange(0, some.shape[1], 255)
+        for k in range(8):  # bit k of each byte; up to 255 of them add up within their bytes
+            sums = np.add.reduceat((some >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts, axis=1)
+            out[:, :, k] += sums.view(np.uint8).reshape(len(hashes), -1, 8).sum(axis=1, dtype=np.int64)
+    return out.reshape(len(hashes), 64)
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def widened(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` hashes for each hash, one row for each."""
+    return mixed(hashes[None, :] + (_STEP * np.arange(1, words + 1, dtype=np.uint64))[:, None])
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """The SimHash bits of a set of distinct 64-bit hashes, as ``WORDS`` words."""
+    total = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(elements), 1 << 13):
+        total += ones(widened(elements[at : at + (1 << 13)], WORDS))
+    return packed(2 * total > len(elements))
+
+
+@cache
+def segments(bits: int, share: float) -> int:
+    """How many segments two fingerprints take to share one but for ``MISS``, if each of their bits differs with a probability of ``share``."""
+    of, d = math.lgamma, range(POOL - bits + 1)
+    chance = np.exp([of(POOL + 1) - of(x + 1) - of(POOL - x + 1) + x * math.log(share) + (POOL - x) * math.log1p(-share) for x in d])
+    agree = np.exp([of(POOL - x + 1) - of(POOL - x - bits + 1) - of(POOL + 1) + of(POOL - bits + 1) for x in d])
+    low, high = 0, 1 << 20
+    while high - low > 1:
+        n = (low + high) // 2
+        low, high = (n, high) if (chance * (1 - np.minimum(agree, 1)) ** n).sum() > MISS else (low, n)
+    return high
+
+
+@cache
+def choices(bits: int, n: int) -> np.ndarray:
+    """The bits of each of ``n`` segments: permutations of the fingerprint, cut."""
+    each = POOL // bits
+    turns = [np.argsort(mixed(np.arange(k * POOL, (k + 1) * POOL, dtype=np.uint64) + _STEP))[: each * bits] for k in range(-(-n // each))]
+    return np.concatenate(turns).reshape(-1, bits)[:n]
+
+
+def bits_for(entries: int) -> int:
+    """Bits of a segment for so many entries: two to four of them are at a place by chance in large tables, fewer in small ones."""
+    return min(max(math.ceil(math.log2(max(entries, 1))) - 2, LEAST_BITS), MOST_BITS)
+
+
+def rounds(bits: int, most: int) -> int:
+    """In how many parts of at most ``most`` segments of large sets the segments are taken."""
+    return -(-segments(bits, SHARES[-1][1]) // most)
+
+
+def places_of(sketches: np.ndarray, sizes: np.ndarray, bits: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of fingerprints (rows, ``WORDS``) in one of the parts of their segments: the segment and its bits. Empty sets have none."""
+    counts = [segments(bits, share) for _, share in SHARES]
+    at, spread = choices(bits, counts[0]), np.unpackbits(sketches.view(np.uint8), axis=1, bitorder="little")
+    rows, places, done = [], [], 0
+    for (most, _), n in zip(SHARES[::-1], counts[::-1], strict=True):  # smaller sets have those of larger ones and more
+        lo, hi = done + (n - done) * part // parts, done + (n - done) * (part + 1) // parts
+        own = np.flatnonzero((sizes > 0) & (sizes <= most))
+        if len(own) and hi > lo:
+            values = np.zeros((len(own), hi - lo, 8), np.uint8)
+            values[:, :, : -(-bits // 8)] = np.packbits(spread[own][:, at[lo:hi]], axis=2, bitorder="little")
+            rows.append(np.repeat(own, hi - lo))
+            places.append((values.view("<u8")[:, :, 0] | (np.arange(lo, hi, dtype=np.uint64) << np.uint64(32))).ravel())
+        done = n
+    return np.concatenate([np.empty(0, np.int64), *rows]), np.concatenate([np.empty(0, np.uint64), *places])
 
 
-def places(elements: np.ndarray) -> np.ndarray:
+def places(elements: np.ndarray, bits: int = LEAST_BITS) -> np.ndarray:
     """The places of a set of distinct 64-bit hashes, one for each segment; none for an empty set."""
-    if not len(elements):
-        return np.empty(0, np.uint64)
-    least = np.full(SEGMENTS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(elements), 1 << 11):
-        x = elements[None, at : at + (1 << 11)] * _FACTORS
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        np.minimum(least, x.min(axis=1), out=least)
-    parts = least.reshape(SEGMENTS, ROWS)
-    out = np.arange(SEGMENTS, dtype=np.uint64)
-    for k in range(ROWS):
-        out = mixed(out ^ parts[:, k], k + 1)
-    return out
+    return places_of(sketch(elements)[None, :], np.array([len(elements)]), bits)[1]
 
 
 def similar(a: np.ndarray, b: np.ndarray, t: float) -> bool:

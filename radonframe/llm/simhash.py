@@ -12,10 +12,11 @@
 4. Components of those edges.
 
 ``near_duplicates`` links 64-bit fingerprints within ``bits`` bits, exactly. ``similar_documents`` links documents whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more: its segments are those of ``shingle_sets``, of which such a pair shares one with probability
-1 - 1.5e-5 or more. Each entry's sets are compared with that of the least entry it meets; what that joins needs no further
-comparison. In meetings that are then still of several groups, all entries of different groups are compared: by 1024 SimHash bits within
-six standard deviations first, then in full. Sets are told apart by 64-bit hashes.
+shingles have a Jaccard similarity of 0.8 or more, by the same steps: fingerprints are the 1024 SimHash bits of a set, segments are those of
+``shingle_sets``, of which such a pair shares one with probability 1 - 1.5e-5 or more, entries that meet are compared by 128 of their bits within
+six standard deviations, and those that have a near one are verified: first each entry's set with that of the least entry it meets; what that joins
+needs no further comparison. In meetings that are then still of several groups, all entries of different groups are compared: by all bits within
+six standard deviations first, then by their sets in full, each pair once or, where a meeting has very many, in one task with its sets. Sets are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts have fingerprint zero, or an empty set, and are linked like any other; null ids get the component of
 their fingerprint (null if no id is there); repeated rows and ties share their fingerprint, and rows are kept or dropped one by one, so rows
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_sets
 from .components import components
-from .shingle_sets import places, similar
+from .shingle_sets import ones, packed, similar, sketch
 from .storage import drop, numbered, stage
 
 BITS = 4
@@ -44,8 +47,10 @@ BLOCK = 2048
 BLOCK_ELEMENTS = 1 << 18  # of the sets of a block
 STAGE_WIDTH = 5
 SIMILARITY = 0.8
-STAGE_WORDS = 16  # 64-bit words of the fingerprint of a set
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+STAGE_WORDS = shingle_sets.WORDS  # 64-bit words of the fingerprint of a set
+CHECK_WORDS = 2  # of these, what entries that meet are compared by first
+ROUND = 64  # segments at a time
+DENSE = 8  # pairs to compare for each entry of a meeting, beyond which they are compared in one place
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -58,33 +63,9 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
 
 
-def _ones(hashes: np.ndarray) -> np.ndarray:
-    """How many hashes of each row have each bit: (rows, 64)."""
-    ones = np.zeros((len(hashes), 8, 8), np.int64)
-    for at in range(0, hashes.shape[1], 1 << 14):
-        some = hashes[:, at : at + (1 << 14)]
-        cuts = np.arange(0, some.shape[1], 255)
-        for k in range(8):  # bit k of each byte; up to 255 of them add up within their bytes
-            sums = np.add.reduceat((some >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts, axis=1)
-            ones[:, :, k] += sums.view(np.uint8).reshape(len(hashes), -1, 8).sum(axis=1, dtype=np.int64)
-    return ones.reshape(len(hashes), 64)
-
-
-def _packed(bits: np.ndarray) -> np.ndarray:
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
-
-
 def majority(hashes: np.ndarray) -> list[int]:
     """The bits that over half of the hashes of each row have."""
-    return _packed(2 * _ones(hashes) > hashes.shape[1]).tolist()
-
-
-def widened(hashes: np.ndarray, words: int) -> np.ndarray:
-    """``words`` hashes for each hash, one row for each."""
-    x = hashes[None, :] + (_STEP * np.arange(1, words + 1, dtype=np.uint64))[:, None]
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return packed(2 * ones(hashes) > hashes.shape[1]).tolist()
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -118,45 +99,31 @@ def _fingerprints(width: int):
     return run
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """The 64 * ``STAGE_WORDS`` SimHash bits of a set."""
-    ones = np.zeros((STAGE_WORDS, 64), np.int64)
-    for at in range(0, len(elements), 1 << 13):
-        ones += _ones(widened(elements[at : at + (1 << 13)], STAGE_WORDS))
-    return _packed(2 * ones > len(elements))
-
-
 def _set_node(elements: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(elements.astype("<u8").tobytes(), SEED)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([np.empty(0, np.uint64), *arrays])))
-
-
-NODES = "row long, doc_id long, node long, places array<long>"
-SETS = "node long, size long, elements binary, sketch array<long>"
+NODES = "row long, doc_id long, hash long, size long, sketch binary"
+SETS = "node long, size long, sketch binary, elements binary"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at, nodes = [], []
-        for x in b.column(2):
-            elements = shingle_set(x.as_py())
-            nodes.append(_set_node(elements))
-            at.append(places(elements))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(np.array(nodes, np.uint64)), _lists(at)], ["row", "doc_id", "node", "places"])
+        sets = [shingle_set(x.as_py()) for x in b.column(2)]
+        hashes = _signed(np.array([_set_node(x) for x in sets], np.uint64))
+        out = [b.column(0), b.column(1), hashes, pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(out, ["row", "doc_id", "hash", "size", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for lo in range(0, whole.num_rows, 256):
-            sets = [shingle_set(x.as_py()) for x in whole.column(0).slice(lo, 256)]
-            yield pa.RecordBatch.from_arrays(
-                [_signed(np.array([_set_node(x) for x in sets], np.uint64)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()), _lists([sketch(x) for x in sets])],
-                ["node", "size", "elements", "sketch"],
-            )
+            b = whole.slice(lo, 256)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingle_set(x.as_py()).astype("<u8").tobytes() for x in b.column(3)], pa.binary())], ["node", "size", "sketch", "elements"])
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, STAGE_WORDS)
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -221,22 +188,49 @@ def _verify(bits: int):
     return run
 
 
+def _alike(rows: pa.StructArray, similarity: float, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each entry with those of other groups (own) that sizes and, from 64 shingles up, sketches do not rule out."""
+    sketches, sizes, own = _sketches(rows.field("sketch")), _numbers(rows, "size"), _numbers(rows, "own")
+    for i, others in _sides(_numbers(rows, "side")):
+        others = others[own[others] != own[i]]
+        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[low >= similarity * high - 1e-9]
+        near = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1) <= bits
+        yield i, others[near | (np.minimum(sizes[others], sizes[i]) < 64)]
+
+
+def _candidates(similarity: float):
+    """(place, i, j, a, b): pairs of entries of different groups that are to be compared; a meeting of more than ``DENSE`` of these for each entry is one row without a pair."""
+    bits = largest_distance(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for k in range(b.num_rows):
+                rows, at, pairs = b.column(0)[k].values, tuple(c[k].as_py() for c in b.columns[1:]), []
+                ids = _numbers(rows, "node")
+                for i, others in _alike(rows, similarity, bits):
+                    pairs += [(*at, min(ids[i], x), max(ids[i], x)) for x in ids[others]]
+                    if len(pairs) > DENSE * len(rows):
+                        pairs = [(*at, None, None)]
+                        break
+                out += pairs
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["place", "i", "j", "a", "b"])
+
+    return run
+
+
 def _verify_sets(similarity: float):
-    """Edges between entries of different groups (own): first sizes and, from 64 shingles up, sketches rule pairs out, then sets are compared."""
+    """Edges between entries of different groups (own) whose sets are similar."""
     bits = largest_distance(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _meetings(batches):
-            sketches, ids, sizes, own, out = _words(rows, "sketch"), _numbers(rows, "node"), _numbers(rows, "size"), _numbers(rows, "own"), []
-            joined, sets = _Joined(own), rows.field("elements")
+            ids, joined, sets, out = _numbers(rows, "node"), _Joined(_numbers(rows, "own")), rows.field("elements"), []
             at = lambda k: np.frombuffer(sets[k].as_py(), "<u8")  # noqa: B023, E731
-            for i, others in _sides(_numbers(rows, "side")):
-                others = others[own[others] != own[i]]
-                low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-                others = others[low >= similarity * high - 1e-9]
-                near = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1) <= bits
+            for i, others in _alike(rows, similarity, bits):
                 mine = None
-                for j in others[near | (np.minimum(sizes[others], sizes[i]) < 64)]:
+                for j in others:
                     if joined.root(i) != joined.root(int(j)):
                         mine = at(i) if mine is None else mine
                         if similar(mine, at(int(j)), similarity):
@@ -247,8 +241,8 @@ def _verify_sets(similarity: float):
     return run
 
 
-def _gathered(met: DataFrame, entries: DataFrame) -> DataFrame:
-    """(met): the entries, by ``node``, of each meeting (place, node, blocks), in pairs of blocks, each set of entries once."""
+def _dealt(met: DataFrame) -> DataFrame:
+    """(place, i, j, side, node): the meetings of (place, node, blocks) in pairs of blocks, each set of entries once."""
     # an entry of block k goes to the task of each pair of blocks that has k; with one block, to that of (0, 0)
     tasks = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -257,9 +251,13 @@ def _gathered(met: DataFrame, entries: DataFrame) -> DataFrame:
     dealt = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("place", F.explode(tasks).alias("t"))
     meetings = dealt.groupBy("place", "t.i", "t.j").agg(F.sort_array(F.collect_list("t.who")).alias("who")).filter(F.size("who") > 1)
     once = meetings.groupBy("who").agg(F.min("place").alias("place"), F.min("i").alias("i"), F.min("j").alias("j"))
-    full = once.select("place", "i", "j", F.explode("who").alias("w")).select("place", "i", "j", "w.*").join(entries, "node")
-    groups = full.groupBy("place", "i", "j").agg(F.collect_list(F.struct("side", *entries.columns)).alias("met"))
-    return groups.select("met")
+    return once.select("place", "i", "j", F.explode("who").alias("w")).select("place", "i", "j", "w.*")
+
+
+def _filled(dealt: DataFrame, entries: DataFrame) -> DataFrame:
+    """(met, place, i, j): the entries, by ``node``, of each meeting (place, i, j, side, node)."""
+    groups = dealt.join(entries, "node").groupBy("place", "i", "j").agg(F.collect_list(F.struct("side", *entries.columns)).alias("met"))
+    return groups.select("met", "place", "i", "j")
 
 
 def _blocks(amount: Column, block: int) -> Column:
@@ -274,7 +272,7 @@ def links(entries: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
     places = entries.select("node", F.explode(segments).alias("own")).select("node", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("place"))
     # counted before entries are brought together, so that a hot place is only a skewed join key
     shared = stage(places.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place", _blocks(F.col("n"), block).alias("blocks")), "simhash")
-    found = stage(_gathered(places.join(shared, "place"), entries.select("node", "check")).mapInArrow(_verify(bits), "a long, b long").distinct(), "simhash")
+    found = stage(_filled(_dealt(places.join(shared, "place")), entries.select("node", "check")).mapInArrow(_verify(bits), "a long, b long").distinct(), "simhash")
     drop(shared)
     return found
 
@@ -304,33 +302,106 @@ def _similar_pairs(similarity: float):
     return run
 
 
+def _places(bits: int, part: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                sketches = _sketches(b.column(2))
+                own, place = shingle_sets.places_of(sketches, b.column(1).to_numpy(), bits, part, parts)
+                checks = [_signed(sketches[own, k]) for k in range(CHECK_WORDS)]
+                yield pa.RecordBatch.from_arrays([_signed(place), b.column(0).take(pa.array(own)), *checks], ["place", "node", *[f"check{k}" for k in range(CHECK_WORDS)]])
+
+    return run
+
+
+def near_rows(meeting: np.ndarray, checks: np.ndarray, bits: int) -> np.ndarray:
+    """Which rows, in order of their meetings, have another one of their meeting within ``bits`` bits."""
+    hit, left, step = np.zeros(len(meeting), bool), np.arange(len(meeting)), 1
+    while len(left := left[: np.searchsorted(left, len(meeting) - step)]) and len(left := left[meeting[left] == meeting[left + step]]):
+        near = left[np.bitwise_count(checks[left] ^ checks[left + step]).sum(axis=1) <= bits]
+        hit[near] = hit[near + step] = True
+        step += 1
+    return hit
+
+
+def _near(bits: int):
+    """(place, node) of the rows (place, pair, node, checks), in order of place and pair, that have another one near at theirs."""
+
+    def found(rows: np.ndarray) -> pa.RecordBatch:
+        new = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+        hit = near_rows(np.concatenate([[0], np.cumsum(new)]), rows[:, 3:].view(np.uint64), bits)
+        return pa.RecordBatch.from_arrays([pa.array(rows[hit, 0]), pa.array(rows[hit, 2])], ["place", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((0, 3 + CHECK_WORDS), np.int64)
+        for b in batches:
+            rows = np.concatenate([rest, np.column_stack([c.to_numpy() for c in b.columns])])
+            whole = np.searchsorted((rows[:, :2] == rows[-1:, :2]).all(axis=1), True) if len(rows) else 0  # the last meeting may go on
+            if whole:
+                yield found(rows[:whole])
+            rest = rows[whole:]
+        if len(rest):
+            yield found(rest)
+
+    return run
+
+
+def _met(entries: DataFrame, similarity: float) -> DataFrame:
+    """(place, node), staged: the entries (node, size, sketch) that have another one near at a place, at each such place.
+
+    All segments are taken, ``ROUND`` at a time, so that shuffles hold only these. Places of more than ``BLOCK`` entries are cut into blocks, and each pair of blocks is a
+    meeting of its own.
+    """
+    bits, limit = shingle_sets.bits_for(entries.count()), largest_distance(similarity, 64 * CHECK_WORDS)
+    parts, found, block = shingle_sets.rounds(bits, ROUND), [], BLOCK
+    checks = [f"check{k}" for k in range(CHECK_WORDS)]
+    for part in range(parts):
+        placed = entries.select("node", "size", "sketch").mapInArrow(_places(bits, part, parts), ", ".join(f"{x} long" for x in ("place", "node", *checks)))
+        hot = stage(placed.groupBy("place").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("place", _blocks(F.col("n"), block).alias("blocks")), "similar")
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))  # noqa: B023
+        dealt = placed.join(hot, "place", "left").withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)))
+        meetings = dealt.select("place", "pair", "node", *checks).repartition("place", "pair").sortWithinPartitions("place", "pair")
+        found.append(stage(meetings.mapInArrow(_near(limit), "place long, node long").distinct(), "similar"))
+        drop(hot)
+    return reduce(DataFrame.unionByName, found)
+
+
 def _grouped(rows: DataFrame, similarity: float) -> DataFrame:
     """(row, doc_id, first): the first row (none, doc_id, row) of the group of each row (row, doc_id, text), a staged table. The least id is first, null ids come last."""
     nodes = stage(rows.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_nodes, NODES), "similar")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    entries = stage(nodes.groupBy("node").agg(F.min(order).alias("first"), F.first("places").alias("places")), "similar")
-    places = entries.select("node", F.explode("places").alias("place"))
-    shared = stage(places.groupBy("place").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("place", "lead"), "similar")
-    met = stage(places.join(shared, "place"), "similar")
-    wanted = entries.join(met.select("node").distinct(), "node", "left_semi").select("first.row")
-    sets = stage(rows.join(wanted, "row", "left_semi").select(F.col("text").cast("string")).mapInArrow(_sets, SETS), "similar")
+    # numbers compress in shuffles
+    entries = stage(nodes.groupBy("hash").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "similar")
+    met = _met(entries, similarity)
+    lead = stage(met.groupBy("place").agg(F.min("node").alias("lead")), "similar")
+    wanted = entries.join(met.select("node").distinct(), "node", "left_semi").select(F.col("first.row").alias("row"), "node", "size", "sketch")
+    sets = stage(rows.join(wanted, "row").select("node", "size", "sketch", F.col("text").cast("string")).mapInArrow(_sets, SETS), "similar")
     # first each entry with the least one it meets
-    star = stage(met.groupBy("node").agg(F.min("lead").alias("lead")).filter("lead < node"), "similar")
+    star = stage(met.join(lead, "place").groupBy("node").agg(F.min("lead").alias("lead")).filter("lead < node"), "similar")
     left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"of_{k}")) for k in ("lead", "node"))
     edges = stage(star.join(right, "node").join(left, "lead").select("lead", "node", "of_lead", "of_node").mapInArrow(_similar_pairs(similarity), "a long, b long"), "similar")
     joined = components(edges)
     owned = stage(sets.join(joined, "node", "left").select("node", "size", "elements", "sketch", F.coalesce("component", "node").alias("own")), "similar")
-    drop(sets, shared, star, joined)
-    at = met.select("place", "node").join(owned.select("node", "own", "size"), "node")
+    drop(sets, lead, star, joined)
+    at = met.join(owned.select("node", "own", "size"), "node")
     mixed = stage(at.groupBy("place").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.sum("size").alias("n")).filter("least < most").select("place", _blocks(F.col("n"), BLOCK_ELEMENTS).alias("blocks")), "similar")
-    rest = _gathered(met.select("place", "node").join(mixed, "place"), owned).mapInArrow(_verify_sets(similarity), "a long, b long")
-    more = stage(rest.distinct(), "similar")
+    # sets travel to a pair once, not to each place where it meets, and to places only where pairs would be too many
+    dealt = stage(_dealt(met.join(mixed, "place")), "similar")
+    apart = stage(_filled(dealt, owned.select("node", "own", "size", "sketch")).mapInArrow(_candidates(similarity), "place long, i int, j int, a long, b long"), "similar")
+    pairs = apart.filter("a is not null").select(F.col("a").alias("lead"), F.col("b").alias("node")).distinct()
+    left, right = (owned.select(F.col("node").alias(k), F.col("elements").alias(f"of_{k}")) for k in ("lead", "node"))
+    few = pairs.join(right, "node").join(left, "lead").select("lead", "node", "of_lead", "of_node").mapInArrow(_similar_pairs(similarity), "a long, b long")
+    dense = dealt.join(apart.filter("a is null").select("place", "i", "j"), ["place", "i", "j"])
+    many = _filled(dense, owned).mapInArrow(_verify_sets(similarity), "a long, b long")
+    more = stage(few.unionByName(many).distinct(), "similar")
     joined = components(edges.unionByName(more))
-    found = stage(entries.select("node", "first").join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "similar")
-    drop(met, owned, mixed, edges, more, joined, entries)
+    found = stage(entries.select("node", "hash", "first").join(joined, "node", "left").select("hash", "first", F.coalesce("component", "node").alias("component")), "similar")
+    drop(met, owned, mixed, dealt, apart, edges, more, joined, entries)
     least = stage(found.groupBy("component").agg(F.min("first").alias("first")), "similar")
-    named = stage(found.drop("first").join(least, "component").select("node", "first"), "similar")
-    out = stage(nodes.select("row", "doc_id", "node").join(named, "node").select("row", "doc_id", "first"), "similar")
+    named = stage(found.drop("first").join(least, "component").select("hash", "first"), "similar")
+    out = stage(nodes.select("row", "doc_id", "hash").join(named, "hash").select("row", "doc_id", "first"), "similar")
     drop(nodes, found, least, named)
     return out
 

@@ -26,7 +26,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ MAGIC = b"RFTOKEN1"
 FILE_TOKENS = 1 << 22
 BLOCK_TOKENS = 1 << 20
 CACHE_PIECES = 600_000
+CACHE_PARTS = 1 << 16
 BLOCKS_PER_TASK = 8
 MANIFEST = "part int, seq int, file string, n_tokens long, blocks array<struct<block:int,first:long,n:long,at:long,bytes:long>>"
 _TAIL = struct.Struct("<QII")
@@ -74,7 +75,7 @@ class Encoder:
 
     A byte-level tokenizer never joins a non-space with white space after it, so a text's ids are those of its pieces
     (white space and the word after it). Pieces recur: a cache keeps those seen since about ``CACHE_PIECES`` new ones ago. A new piece
-    is split as the tokenizer does and each part goes through its model. Pieces with an added token in them, and tokenizers of
+    is split as the tokenizer does and each part goes through its model; parts such as punctuation recur in new pieces and have a cache of their own. Pieces with an added token in them, and tokenizers of
     other kinds, take the library's whole encoding. Keys of the cache: a word for a space and the word, a line feed and a word for
     just that, a space and any other piece for that piece.
     """
@@ -92,6 +93,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.pieces = _Pieces(self._learn)
+        self.part = lru_cache(CACHE_PARTS)(self._part)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -112,7 +114,7 @@ class Encoder:
         if len(parts) == 1:
             return self._part(piece)
         # a part that is a space and a word is a piece of its own
-        return b"".join([self.pieces[p[1:]] if p[0] == " " and p[1:].isalpha() else self._part(p) for p in parts])
+        return b"".join([self.pieces[p[1:]] if p[0] == " " and p[1:].isalpha() else self.part(p) for p in parts])
 
     def _keys(self, text: str) -> list[str]:
         if _RUN.search(text):  # some run of white space has two characters

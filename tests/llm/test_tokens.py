@@ -101,3 +101,14 @@ def test_a_million_empty_texts(spark):
     row = got.selectExpr("count(*)", "sum(n_tokens)", "max(start)", "count(distinct ids_crc32)").first()
     assert tuple(row) == (1_000_000, 1_000_000, 999_999, 1)
     assert time.time() - began < 60
+
+
+def test_recurring_parts_are_encoded_once(monkeypatch):
+    """New words with a comma after them: the model is asked for each word, and for the comma once."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, asked = token_files.Encoder(path), []
+    model = encode.tokenize
+    monkeypatch.setattr(encode, "tokenize", lambda x: asked.append(x) or model(x))
+    text = " ".join("".join(chr(97 + k // 26**i % 26) for i in range(4)) + "," for k in range(1000))
+    assert np.frombuffer(encode([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert asked.count(",") == 1 and len(asked) == 1001

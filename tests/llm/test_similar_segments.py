@@ -41,3 +41,17 @@ def test_met_entries_are_those_near_at_a_place(spark, monkeypatch):
             if (spread[i] != spread[j]).sum() <= limit:
                 want |= {(p, k) for p in at[i] & at[j] for k in (i, j)}
     assert got == want and len(want) > 1000
+
+
+def test_meetings_of_many_pairs_are_compared_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[: 60 - 3 * k], *(f"x{k}_{i}" for i in range(2))])) for k in range(6)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [simhash.shingle_set(x) for _, x in rows]
+    links = [(i, j) for i in range(6) for j in range(i) if shingle_sets.similar(sets[i], sets[j], 0.8)]
+    least = list(range(6))
+    for _ in range(6):
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert got == dict(enumerate(least)) and len(links) > 3

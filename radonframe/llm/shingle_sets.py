@@ -6,6 +6,10 @@ figures, which small sets decide. A segment is a choice of some of the bits, and
 bits of a segment agree. Choices are cut from permutations of the fingerprint, as many as it takes for two sets at 0.8 to agree in
 none with a probability of ``MISS`` only: 16 bits take 208 segments (236 for sets of up to 50 shingles, 415 for up to 5). Longer segments, for larger
 tables, are more (22 bits: 709): no list of places grows with the length of texts, and meetings by chance do not grow with the table.
+
+``forest`` takes the entries of a bucket, those that agree in a few bits, and links those that share a segment of 16 bits and are near in all bits. Buckets
+are such places of ``table_bits`` bits, 3 at least, in as many tables as it takes (13 for 3 bits); each table has its choice of segments, so that a pair at 0.8, which is
+together in half of the tables or so, is missed with a probability of ``MISS`` in all.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import numpy as np
 WORDS = 16  # 64-bit words of a fingerprint
 POOL = 64 * WORDS
 LEAST_BITS, MOST_BITS = 16, 32
+LEAST_TABLE_BITS, BUCKET = 3, 1 << 15  # entries of a bucket
 MISS = 1.5e-5
 #: Largest size and, at 0.8, the largest probability that a bit differs. The other set of a pair with 40 shingles has up to 50.
 SHARES = ((5, 0.1875), (50, 0.1612), (2**62, 0.1552))
@@ -113,6 +118,99 @@ def places(elements: np.ndarray, bits: int = LEAST_BITS) -> np.ndarray:
     return places_of(sketch(elements)[None, :], np.array([len(elements)]), bits)[1]
 
 
+def table_bits(entries: int) -> int:
+    """Bits of a bucket's place for so many entries: about ``BUCKET`` of them or fewer share one by chance."""
+    return min(max(math.ceil(math.log2(max(entries, 1) / BUCKET)), LEAST_TABLE_BITS), LEAST_BITS)
+
+
+def limits(bits: int, deviations: float = 6) -> np.ndarray:
+    """For each of ``SHARES``, by the size of the larger set: bits of so many in which two sets at 0.8 differ, plus ``deviations`` standard deviations."""
+    return np.array([math.floor(bits * x + deviations * math.sqrt(bits * x * (1 - x))) for _, x in SHARES])
+
+
+class _Forest:
+    """Edges between entries that sizes and fingerprints do not rule out, at most one less than entries."""
+
+    def __init__(self, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
+        self.sizes, self.sketches, self.similarity = sizes, sketches, similarity
+        self.first, self.all = limits(128), limits(POOL)
+        self.label, self.edges = np.arange(len(sizes)), []
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        for at in range(0, len(a), 1 << 15):
+            self._link(a[at : at + (1 << 15)], b[at : at + (1 << 15)])
+
+    def _link(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.label[a] != self.label[b]
+        a, b = a[apart], b[apart]
+        low, high = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        keep = low >= self.similarity * high - _EPS
+        a, b, tier = a[keep], b[keep], np.searchsorted([x for x, _ in SHARES], high[keep])
+        for words, most in ((2, self.first), (WORDS, self.all)):
+            near = np.bitwise_count(self.sketches[a, :words] ^ self.sketches[b, :words]).sum(axis=1) <= most[tier]
+            a, b, tier = a[near], b[near], tier[near]
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in up:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        for i, j, x, y in zip(a.tolist(), b.tolist(), self.label[a].tolist(), self.label[b].tolist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                self.edges.append((i, j))
+        if up:
+            to = np.arange(len(self.label))
+            to[list(up)] = [root(x) for x in list(up)]
+            self.label = to[self.label]
+
+    def link_all(self) -> None:
+        """All pairs."""
+        x, y = self.sketches[:, 0].copy(), self.sketches[:, 1].copy()
+        for lo in range(0, len(x), 64):
+            hi = lo + 64
+            near = np.bitwise_count(x[lo:hi, None] ^ x[None, lo:]) + np.bitwise_count(y[lo:hi, None] ^ y[None, lo:]) <= self.first.max()
+            i, j = np.nonzero(near & (self.label[lo:hi, None] != self.label[None, lo:]))
+            self.link(lo + i[j > i], lo + j[j > i])
+
+
+def forest(sizes: np.ndarray, sketches: np.ndarray, similarity: float, table: int = 0, dense: int = 8) -> np.ndarray:
+    """(a, b), rows of the fingerprints: a spanning forest of the pairs that share a segment of the table and are near in size and in all bits.
+
+    Where a segment has more than ``dense`` pairs for each entry still to compare, all pairs of entries are compared at once.
+    """
+    counts = [segments(LEAST_BITS, share) for _, share in SHARES]
+    at, number = (choices(LEAST_BITS, counts[0]) + 37 * table) % POOL, np.array(counts)[np.searchsorted([x for x, _ in SHARES], sizes)]
+    spread = np.ascontiguousarray(np.unpackbits(np.ascontiguousarray(sketches).view(np.uint8), axis=1, bitorder="little").T)
+    trees = _Forest(sizes, sketches, similarity)
+    for k in range(counts[0]):
+        own = np.flatnonzero((number > k) & (sizes > 0))
+        if len(own) < 2:
+            continue
+        key = np.zeros(len(sizes), np.uint16)
+        for x, bit in enumerate(at[k]):
+            key |= spread[bit].astype(np.uint16) << np.uint16(x)
+        order = own[np.argsort(key[own], kind="stable")]
+        same = key[order[1:]] == key[order[:-1]]
+        trees.link(order[:-1][same], order[1:][same])
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        lengths, label = np.diff(starts, append=len(order)), trees.label[order]
+        mixed_runs = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        if (lengths * (lengths - 1) // 2)[mixed_runs].sum() > dense * len(own):
+            trees.link_all()
+            break
+        left = np.repeat(mixed_runs, lengths)
+        run, order, step = np.repeat(np.arange(len(starts)), lengths)[left], order[left], 2
+        at_run = np.arange(len(order))
+        while len(at_run := at_run[: np.searchsorted(at_run, len(order) - step)]) and len(at_run := at_run[run[at_run] == run[at_run + step]]):
+            trees.link(order[at_run], order[at_run + step])
+            step += 1
+    return np.array(trees.edges, np.int64).reshape(-1, 2)
+
+
 def similar(a: np.ndarray, b: np.ndarray, t: float) -> bool:
     """Whether two sorted sets have a Jaccard similarity of at least ``t``."""
     if len(a) > len(b):

@@ -13,10 +13,10 @@
 
 ``near_duplicates`` links 64-bit fingerprints within ``bits`` bits, exactly. ``similar_documents`` links documents whose sets of five-word
 shingles have a Jaccard similarity of 0.8 or more, by the same steps: fingerprints are the 1024 SimHash bits of a set, segments are those of
-``shingle_sets``, of which such a pair shares one with probability 1 - 1.5e-5 or more, entries that meet are compared by 128 of their bits within
-six standard deviations, and those that have a near one are verified: first each entry's set with that of the least entry it meets; what that joins
-needs no further comparison. In meetings that are then still of several groups, all entries of different groups are compared: by all bits within
-six standard deviations first, then by their sets in full, each pair once or, where a meeting has very many, in one task with its sets. Sets are told apart by 64-bit hashes.
+``shingle_sets``, of which such a pair shares one with probability 1 - 1.5e-5 or more. Whole fingerprints go to buckets of entries that agree in a few bits, and segments are
+taken there; a bucket yields a spanning forest of its pairs that share a segment and are near in all bits within six standard deviations. Components of the forests are
+clusters; each set goes to its cluster once (or to the pairs of blocks of a large one), where all pairs not joined yet are compared: by all bits within
+six standard deviations first, then by their sets in full. Sets are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts have fingerprint zero, or an empty set, and are linked like any other; null ids get the component of
 their fingerprint (null if no id is there); repeated rows and ties share their fingerprint, and rows are kept or dropped one by one, so rows
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import shingle_sets
 from .components import components
 from .shingle_sets import ones, packed, similar, sketch
-from .storage import drop, numbered, stage
+from .storage import chosen, drop, numbered, stage
 
 BITS = 4
 WIDTH = 4
@@ -50,7 +50,8 @@ SIMILARITY = 0.8
 STAGE_WORDS = shingle_sets.WORDS  # 64-bit words of the fingerprint of a set
 CHECK_WORDS = 2  # of these, what entries that meet are compared by first
 ROUND = 64  # segments at a time
-DENSE = 8  # pairs to compare for each entry of a meeting, beyond which they are compared in one place
+TABLES = 16  # tables of buckets at a time
+DENSE = 8  # pairs to compare for each entry of a bucket at one segment, beyond which all its pairs are compared at once
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -199,27 +200,6 @@ def _alike(rows: pa.StructArray, similarity: float, bits: int) -> Iterator[tuple
         yield i, others[near | (np.minimum(sizes[others], sizes[i]) < 64)]
 
 
-def _candidates(similarity: float):
-    """(place, i, j, a, b): pairs of entries of different groups that are to be compared; a meeting of more than ``DENSE`` of these for each entry is one row without a pair."""
-    bits = largest_distance(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for k in range(b.num_rows):
-                rows, at, pairs = b.column(0)[k].values, tuple(c[k].as_py() for c in b.columns[1:]), []
-                ids = _numbers(rows, "node")
-                for i, others in _alike(rows, similarity, bits):
-                    pairs += [(*at, min(ids[i], x), max(ids[i], x)) for x in ids[others]]
-                    if len(pairs) > DENSE * len(rows):
-                        pairs = [(*at, None, None)]
-                        break
-                out += pairs
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["place", "i", "j", "a", "b"])
-
-    return run
-
-
 def _verify_sets(similarity: float):
     """Edges between entries of different groups (own) whose sets are similar."""
     bits = largest_distance(similarity)
@@ -293,15 +273,6 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> Da
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar_pairs(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
-
-    return run
-
-
 def _places(bits: int, part: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -368,37 +339,86 @@ def _met(entries: DataFrame, similarity: float) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _tables(bits: int, part: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                own, place = shingle_sets.places_of(_sketches(b.column(2)), b.column(1).to_numpy(), bits, part, parts)
+                yield pa.RecordBatch.from_arrays([_signed(place), *[c.take(pa.array(own)) for c in b.columns]], ["place", "node", "size", "sketch"])
+
+    return run
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (place, pair), by which they are in order."""
+    own, last = [], None
+    for b in batches:
+        keys = np.column_stack([b.column(k).to_numpy() for k in (0, 1)])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            if own and tuple(keys[lo]) != last:
+                yield pa.Table.from_batches(own)
+                own = []
+            own.append(b.slice(lo, hi - lo))
+            last = tuple(keys[lo])
+    if own:
+        yield pa.Table.from_batches(own)
+
+
+def _forests(similarity: float, dense: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches):
+            nodes, sketches = rows.column("node").to_numpy(), _sketches(rows.column("sketch"))
+            pairs = nodes[shingle_sets.forest(rows.column("size").to_numpy(), sketches, similarity, rows.column("place")[0].as_py() >> 32, dense)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs.min(axis=1), pairs.max(axis=1))], ["a", "b"])
+
+    return run
+
+
+def _candidates(entries: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), staged: edges between the entries (node, size, sketch) with the same components as all pairs that share a bucket and a segment of it and are near.
+
+    Fingerprints go to their buckets, ``TABLES`` tables at a time, and segments are taken there. A bucket of more than 2 * ``BUCKET`` entries is cut into blocks, and each pair of
+    blocks is a bucket of its own.
+    """
+    bits, block = shingle_sets.table_bits(entries.count()), shingle_sets.BUCKET
+    parts, found, columns = shingle_sets.rounds(bits, TABLES), [], ["node", "size", "sketch"]
+    checked = entries.select(*columns).mapInArrow(_places(bits, 0, 1), ", ".join(f"{x} long" for x in ("place", "node", *[f"check{k}" for k in range(CHECK_WORDS)])))
+    hot = stage(checked.groupBy("place").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * block).select("place", _blocks(F.col("n"), block).alias("blocks")), "similar")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda x: x != mine)
+    pairs = F.transform(others, lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
+    for part in range(parts):
+        placed = entries.select(*columns).mapInArrow(_tables(bits, part, parts), "place long, node long, size long, sketch binary")
+        dealt = placed.join(F.broadcast(hot), "place", "left").withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)))
+        buckets = dealt.select("place", "pair", *columns).repartition("place", "pair").sortWithinPartitions("place", "pair")
+        found.append(stage(buckets.mapInArrow(_forests(similarity, DENSE), "a long, b long").distinct(), "similar"))
+    drop(hot)
+    return reduce(DataFrame.unionByName, found)
+
+
 def _grouped(rows: DataFrame, similarity: float) -> DataFrame:
     """(row, doc_id, first): the first row (none, doc_id, row) of the group of each row (row, doc_id, text), a staged table. The least id is first, null ids come last."""
     nodes = stage(rows.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_nodes, NODES), "similar")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     # numbers compress in shuffles
     entries = stage(nodes.groupBy("hash").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "similar")
-    met = _met(entries, similarity)
-    lead = stage(met.groupBy("place").agg(F.min("node").alias("lead")), "similar")
-    wanted = entries.join(met.select("node").distinct(), "node", "left_semi").select(F.col("first.row").alias("row"), "node", "size", "sketch")
-    sets = stage(rows.join(wanted, "row").select("node", "size", "sketch", F.col("text").cast("string")).mapInArrow(_sets, SETS), "similar")
-    # first each entry with the least one it meets
-    star = stage(met.join(lead, "place").groupBy("node").agg(F.min("lead").alias("lead")).filter("lead < node"), "similar")
-    left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"of_{k}")) for k in ("lead", "node"))
-    edges = stage(star.join(right, "node").join(left, "lead").select("lead", "node", "of_lead", "of_node").mapInArrow(_similar_pairs(similarity), "a long, b long"), "similar")
+    candidates = _candidates(entries, similarity)
+    clusters = stage(components(candidates).withColumnRenamed("component", "place"), "similar")
+    # sets travel once to the task of their cluster, or to those of the pairs of blocks that it is cut into
+    wanted = stage(entries.join(clusters, "node").select(F.col("first.row").alias("row"), "node", "size", "sketch"), "similar")
+    sets = stage(rows.filter(chosen(rows, "row", wanted.select("row"))).join(wanted, "row").select("node", "size", "sketch", F.col("text").cast("string")).mapInArrow(_sets, SETS), "similar")
+    sized = clusters.join(sets.select("node", "size"), "node").groupBy("place").agg(F.sum("size").alias("elements"), F.count("*").alias("n"))
+    blocks = stage(sized.select("place", F.greatest(_blocks(F.col("elements"), BLOCK_ELEMENTS), _blocks(F.col("n"), BLOCK)).alias("blocks")), "similar")
+    dealt = stage(_dealt(clusters.join(blocks, "place")), "similar")
+    edges = stage(_filled(dealt, sets.withColumn("own", F.col("node"))).mapInArrow(_verify_sets(similarity), "a long, b long").distinct(), "similar")
+    drop(candidates, clusters, wanted, sets, blocks, dealt)
     joined = components(edges)
-    owned = stage(sets.join(joined, "node", "left").select("node", "size", "elements", "sketch", F.coalesce("component", "node").alias("own")), "similar")
-    drop(sets, lead, star, joined)
-    at = met.join(owned.select("node", "own", "size"), "node")
-    mixed = stage(at.groupBy("place").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.sum("size").alias("n")).filter("least < most").select("place", _blocks(F.col("n"), BLOCK_ELEMENTS).alias("blocks")), "similar")
-    # sets travel to a pair once, not to each place where it meets, and to places only where pairs would be too many
-    dealt = stage(_dealt(met.join(mixed, "place")), "similar")
-    apart = stage(_filled(dealt, owned.select("node", "own", "size", "sketch")).mapInArrow(_candidates(similarity), "place long, i int, j int, a long, b long"), "similar")
-    pairs = apart.filter("a is not null").select(F.col("a").alias("lead"), F.col("b").alias("node")).distinct()
-    left, right = (owned.select(F.col("node").alias(k), F.col("elements").alias(f"of_{k}")) for k in ("lead", "node"))
-    few = pairs.join(right, "node").join(left, "lead").select("lead", "node", "of_lead", "of_node").mapInArrow(_similar_pairs(similarity), "a long, b long")
-    dense = dealt.join(apart.filter("a is null").select("place", "i", "j"), ["place", "i", "j"])
-    many = _filled(dense, owned).mapInArrow(_verify_sets(similarity), "a long, b long")
-    more = stage(few.unionByName(many).distinct(), "similar")
-    joined = components(edges.unionByName(more))
     found = stage(entries.select("node", "hash", "first").join(joined, "node", "left").select("hash", "first", F.coalesce("component", "node").alias("component")), "similar")
-    drop(met, owned, mixed, dealt, apart, edges, more, joined, entries)
+    drop(edges, joined, entries)
     least = stage(found.groupBy("component").agg(F.min("first").alias("first")), "similar")
     named = stage(found.drop("first").join(least, "component").select("hash", "first"), "similar")
     out = stage(nodes.select("row", "doc_id", "hash").join(named, "hash").select("row", "doc_id", "first"), "similar")
@@ -418,4 +438,4 @@ def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) ->
     """The rows of ``docs``, all columns, one of each group: that with the least id, of those with no id or the same id any one."""
     rows, name = numbered(docs)
     gone = _grouped(rows.select(F.col(name).alias("row"), "doc_id", "text"), similarity).filter("row <> first.row").select(F.col("row").alias(name))
-    return rows.join(gone, name, "left_anti").select(*docs.columns)
+    return rows.filter(~chosen(rows, name, gone)).select(*docs.columns)

@@ -10,10 +10,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 from urllib.parse import urlparse
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -51,6 +55,30 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+@lru_cache(4)
+def _ids(uri: str) -> pa.Array:
+    files, folder = open_fs(uri)
+    none = [pa.array([], pa.int64())]
+    if files.get_file_info(folder).type == fs.FileType.NotFound:
+        return none[0]
+    found = [x.path for x in files.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet")]
+    return pa.concat_arrays(none + [c for x in found for c in pq.read_table(x, filesystem=files, columns=["id"], partitioning=None).column("id").chunks])
+
+
+def chosen(rows: DataFrame, name: str, ids: DataFrame) -> Column:
+    """Whether a row of ``numbered`` rows is one of ``ids`` (one column): a task reads the ids of its own part of the rows from a shared file, so the rows are not shuffled."""
+    path = new_folder(rows.sparkSession, "chosen")
+    at = ids.toDF("id").withColumn("part", F.shiftright("id", 33))  # the part that numbered the row
+    at.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
+
+    @F.arrow_udf("boolean")
+    def is_chosen(row: pa.Array) -> pa.Array:
+        parts = pc.unique(pc.shift_right(row, pa.scalar(33, pa.int64())))
+        return pc.is_in(row, value_set=pa.concat_arrays([_ids(f"{path}/part={k}") for k in parts.to_pylist()] or [pa.array([], pa.int64())]))
+
+    return is_chosen(F.col(name))
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove staged tables that nothing reads any more."""
     for df in tables:

@@ -38,17 +38,21 @@ def chosen(events: DataFrame, randoms: bool = True, scatters: bool = True, rando
     return events if scatters else events.filter(~is_scattered())
 
 
-def detectors(events: DataFrame, scanner: Scanner, edges: Sequence[float] | None = None) -> DataFrame:
-    """Events with detector_1, detector_2 and, given edges of time bins in mm, tof: -1 below the first and the number of bins from the last on."""
+def detectors(events: DataFrame, scanner: Scanner, edges: Sequence[float] | None = None, place: Column | None = None) -> DataFrame:
+    """Events with detector_1, detector_2 and, given edges of time bins in mm, tof: -1 below the first, the number of bins from the last on, null without a place.
+
+    place: in mm along the line, for events that have it; else it is that of the times, whose products round, so what lies on an edge may fall below it.
+    """
     for k in (1, 2):
         parts = {}
         for level in LEVELS:
             parts[f"{level}_trans"], parts[f"{level}_axial"] = split_id(F.col(f"{level}_{k}"), getattr(scanner, f"{level}_trans"))
         events = events.withColumn(f"detector_{k}", detector_id(parts, scanner))
     if edges is not None:
-        place = -(F.col("time_2") - F.col("time_1")) * 1e12 * MM_PER_PS
+        if place is None:
+            place = -(F.col("time_2") - F.col("time_1")) * 1e12 * MM_PER_PS
         tof = sum((F.when(place >= e, 1).otherwise(0) for e in edges[1:]), F.when(place >= edges[0], 1).otherwise(0)) - 1
-        events = events.withColumn("tof", tof.cast("int"))
+        events = events.withColumn("tof", F.when(place.isNotNull(), tof.cast("int")))
     return events
 
 

@@ -3,6 +3,8 @@
 Index: tasks tokenise documents into shards of about ``SHARD_WORDS`` words and store, per shard, one row with the terms
 of its documents and the ascending positions of each (postings). Documents follow each other in a shard's positions with a gap
 of one between them, so no phrase crosses over. Postings stay with their shard: nothing is shuffled, and a shard fits a task.
+A shard is a row group of its own, and the search's tasks get places of shards, not shards: they read one at a time from the
+shared folder, so neither the writer, nor the JVM, nor a batch holds the shards of a task together, however large its part is.
 
 Search: a phrase's terms are taken from the rarest (by counts over the whole index) to the most common; lists of positions,
 each less its term's offset in the phrase, are intersected until one is empty. What remains are exact matches. A proximity
@@ -28,15 +30,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop, numbered, stage
+from .storage import drop, numbered, open_fs, stage
 
 WIDTH = 10
 SLOP = 2
 SHARD_WORDS = 1 << 18
 BLOCK_BYTES = 8 << 20
+UNIT_SHARDS, TASK_SHARDS = 4, 16
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
 INDEX = "shard string, doc_ids array<long>, doc_starts array<int>, doc_words array<int>, terms array<binary>, counts array<int>, postings binary"
 
@@ -84,9 +88,29 @@ def _build(shard_words: int):
 
 
 def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The positional index of ``docs`` (doc_id, text), a staged table with one row per shard."""
+    """The positional index of ``docs`` (doc_id, text), a staged table with one row per shard, each a row group."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stage(rows.mapInArrow(_build(shard_words), INDEX), "index")
+    return stage(rows.mapInArrow(_build(shard_words), INDEX), "index", group_rows=1)
+
+
+def _units(index: DataFrame) -> DataFrame:
+    """(file, first, last): places of an index's shards, ``UNIT_SHARDS`` or fewer in a row, dealt to tasks."""
+    files = index.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    units = files.select("file", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(UNIT_SHARDS).cast("long"))).alias("first"))
+    tasks = max(1, -(-index.count() // TASK_SHARDS))
+    return units.select("file", "first", F.least(F.col("first") + UNIT_SHARDS, "n").alias("last")).repartition(tasks, "file", "first")
+
+
+def _shards(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, pa.Scalar]]:
+    """The shards of units, one at a time."""
+    for b in batches:
+        for unit in b.to_pylist():
+            fs, where = open_fs(unit["file"])
+            with fs.open_input_file(where) as f:
+                table = pq.ParquetFile(f)
+                for k in range(unit["first"], unit["last"]):
+                    row = table.read_row_group(k, columns=columns, use_threads=False)
+                    yield {name: row.column(name)[0] for name in columns}
 
 
 class Phrases:
@@ -116,19 +140,18 @@ def _numbers(terms: pa.Array, vocabulary: pa.Array) -> np.ndarray:
 def _frequencies(vocabulary: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = pa.array(vocabulary, pa.binary()), np.zeros(len(vocabulary), np.int64)
-        for b in batches:
-            for terms, counts in zip(b.column(0), b.column(1), strict=True):
-                at = _numbers(terms.values, known)
-                n[at[at >= 0]] += counts.values.to_numpy()[at >= 0]  # a shard has each term once
+        for row in _shards(batches, ["terms", "counts"]):
+            at = _numbers(row["terms"].values, known)
+            n[at[at >= 0]] += row["counts"].values.to_numpy()[at >= 0]  # a shard has each term once
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
 
     return run
 
 
-def rank_terms(index: DataFrame, phrases: Phrases) -> None:
+def rank_terms(units: DataFrame, phrases: Phrases) -> None:
     """Fill in the frequencies over the whole index of the phrases' terms (as many numbers as the block has terms)."""
-    sums = index.select("terms", "counts").mapInArrow(_frequencies(list(phrases.vocabulary)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = units.mapInArrow(_frequencies(list(phrases.vocabulary)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     for r in sums.collect():
         phrases.frequency[r["at"]] = r["n"]
 
@@ -207,31 +230,29 @@ HITS = "shard string, at int, doc_id long, n_words long, spans array<int>, items
 def _search(phrases: Phrases, owners: list[list[str]], slop: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(list(phrases.vocabulary), pa.binary())
-        for b in batches:
-            for number in range(b.num_rows):
-                row = {name: b.column(name)[number] for name in b.schema.names}
-                starts, sizes = (row[name].values.to_numpy().astype(np.int64) for name in ("doc_starts", "doc_words"))
-                lists = shard_lists(row["terms"].values, row["counts"].values.to_numpy(), row["postings"].as_buffer(), vocabulary)
-                spans: dict[int, list[tuple[int, int]]] = {}
-                items: dict[int, set[str]] = {}
-                if slop is None:
-                    matches = ((k, found, found + phrases.sizes[k]) for k, found in phrase_starts(lists, phrases))
-                else:
-                    matches = ((k, np.array([lo]), np.array([hi + 1])) for k, lo, hi in near_matches(lists, phrases, slop, starts))
-                for k, found, ends in matches:
-                    for d, x, y in zip((np.searchsorted(starts, found, "right") - 1).tolist(), found.tolist(), ends.tolist(), strict=True):
-                        # an empty document shares no position with a word: its gap is its own
-                        spans.setdefault(d, []).append((x - int(starts[d]), y - int(starts[d])))
-                        items.setdefault(d, set()).update(owners[k])
-                every = range(len(starts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["shard"].as_py()] * len(starts), pa.string()), pa.array(every, pa.int32()), row["doc_ids"].values, pa.array(sizes),
-                        pa.array([[v for s in united(spans.get(d, ())) for v in s] for d in every], pa.list_(pa.int32())),
-                        pa.array([sorted(items.get(d, ())) for d in every], pa.list_(pa.string())),
-                    ],
-                    ["shard", "at", "doc_id", "n_words", "spans", "items"],
-                )
+        for row in _shards(batches, ["shard", "doc_ids", "doc_starts", "doc_words", "terms", "counts", "postings"]):
+            starts, sizes = (row[name].values.to_numpy().astype(np.int64) for name in ("doc_starts", "doc_words"))
+            lists = shard_lists(row["terms"].values, row["counts"].values.to_numpy(), row["postings"].as_buffer(), vocabulary)
+            spans: dict[int, list[tuple[int, int]]] = {}
+            items: dict[int, set[str]] = {}
+            if slop is None:
+                matches = ((k, found, found + phrases.sizes[k]) for k, found in phrase_starts(lists, phrases))
+            else:
+                matches = ((k, np.array([lo]), np.array([hi + 1])) for k, lo, hi in near_matches(lists, phrases, slop, starts))
+            for k, found, ends in matches:
+                for d, x, y in zip((np.searchsorted(starts, found, "right") - 1).tolist(), found.tolist(), ends.tolist(), strict=True):
+                    # an empty document shares no position with a word: its gap is its own
+                    spans.setdefault(d, []).append((x - int(starts[d]), y - int(starts[d])))
+                    items.setdefault(d, set()).update(owners[k])
+            every = range(len(starts))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["shard"].as_py()] * len(starts), pa.string()), pa.array(every, pa.int32()), row["doc_ids"].values, pa.array(sizes),
+                    pa.array([[v for s in united(spans.get(d, ())) for v in s] for d in every], pa.list_(pa.int32())),
+                    pa.array([sorted(items.get(d, ())) for d in every], pa.list_(pa.string())),
+                ],
+                ["shard", "at", "doc_id", "n_words", "spans", "items"],
+            )
 
     return run
 
@@ -259,6 +280,7 @@ def find_windows(index: DataFrame, items: DataFrame, width: int = WIDTH, block_b
     items = items.select(F.col("item_id").cast("string"), "text").distinct()
     size = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
+    units = _units(index)
     hits: DataFrame | None = None
     for k in range(blocks):
         owners: dict[tuple[bytes, ...], set[str]] = {}
@@ -266,8 +288,8 @@ def find_windows(index: DataFrame, items: DataFrame, width: int = WIDTH, block_b
             for w in windows(r["text"], width):
                 owners.setdefault(w, set()).add("null" if r["item_id"] is None else r["item_id"])
         phrases = Phrases(owners)
-        rank_terms(index, phrases)
-        found = index.mapInArrow(_search(phrases, [sorted(x) for x in owners.values()], slop), HITS)
+        rank_terms(units, phrases)
+        found = units.mapInArrow(_search(phrases, [sorted(x) for x in owners.values()], slop), HITS)
         hits = found if hits is None else hits.unionByName(found)
     if blocks > 1:
         hits = hits.groupBy("shard", "at", "doc_id", "n_words").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")).mapInArrow(_unite, HITS)

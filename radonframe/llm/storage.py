@@ -41,11 +41,15 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/radonframe/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here, and a lost executor costs no more than its running tasks."""
+def stage(df: DataFrame, label: str, group_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here, and a lost executor costs no more than its running tasks.
+
+    group_rows: rows of a file's row group, for rows of megabytes: else a writer holds a hundred before it looks at their size, and Spark's reader a whole group.
+    """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out if group_rows is None else out.option("parquet.block.row.count.limit", group_rows)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,10 @@
 import hashlib
 import re
 import time
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from radonframe.llm import decontaminate
@@ -85,3 +87,13 @@ def test_many_windows():
     for k in (0, 7, 199_999, 200_000, 200_001):
         assert tuple(names[x] for x in p[k]) == every[k] and {names[x] for x in p.padded[k]} == set(every[k])
     assert decontaminate.Phrases([]).padded.shape[0] == 0
+
+
+def test_a_shard_is_a_row_group_and_search_reads_one_at_a_time(spark):
+    docs = spark.createDataFrame([(k, f"a{k} b c d e") for k in range(100)], "doc_id long, text string").coalesce(1)
+    index = decontaminate.build_index(docs, shard_words=13)
+    files = [pq.ParquetFile(urlparse(f).path).metadata for f in index.inputFiles()]
+    assert sum(m.num_row_groups for m in files) > 20 and all(m.row_group(k).num_rows == 1 for m in files for k in range(m.num_row_groups))
+    hits = decontaminate.find_windows(index, spark.createDataFrame([(1, "b c d"), (2, "a7")], "item_id long, text string"))
+    assert "postings" not in hits._jdf.queryExecution().executedPlan().toString()  # shards do not pass through the JVM
+    assert sorted((r["doc_id"], r["spans"], r["items"]) for r in hits.collect()) == [(k, [0, 4] if k == 7 else [1, 4], ["1", "2"] if k == 7 else ["1"]) for k in range(100)]

@@ -34,7 +34,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop, numbered, open_fs, stage
+from .storage import chosen, drop, numbered, open_fs, stage
 
 WIDTH = 10
 SLOP = 2
@@ -316,4 +316,4 @@ def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH)
     index = build_index(rows.select(F.col(name).alias("doc_id"), "text"))
     hit = stage(find_windows(index, items, width).filter(F.size("spans") > 0).select(F.col("doc_id").alias(name)).distinct(), "hits")
     drop(index)
-    return rows.join(hit, name, "left_anti").select(*docs.columns)
+    return rows.filter(~chosen(rows, name, hit)).select(*docs.columns)

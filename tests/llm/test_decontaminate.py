@@ -97,3 +97,17 @@ def test_a_shard_is_a_row_group_and_search_reads_one_at_a_time(spark):
     hits = decontaminate.find_windows(index, spark.createDataFrame([(1, "b c d"), (2, "a7")], "item_id long, text string"))
     assert "postings" not in hits._jdf.queryExecution().executedPlan().toString()  # shards do not pass through the JVM
     assert sorted((r["doc_id"], r["spans"], r["items"]) for r in hits.collect()) == [(k, [0, 4] if k == 7 else [1, 4], ["1", "2"] if k == 7 else ["1"]) for k in range(100)]
+
+
+def test_texts_are_not_shuffled_to_drop_the_contaminated(spark, odd):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the hits are many
+    try:
+        left = decontaminate.without_contaminated(odd, items)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    hit = [b[-1] for b in brute([(r["doc_id"], r["text"]) for r in odd.collect()], ITEMS)]
+    assert 0 < sum(hit) < len(hit) and left.count() == len(hit) - sum(hit)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.physics import bilinear_mu
+from .closest import closest
 from .grid import convolve, gaussian_kernel
 
 CELL = ("a", "r", "z")
@@ -151,14 +154,37 @@ def fill_beds(projections: DataFrame, offsets: DataFrame, size: int, keys: Seque
     return projections.join(plan, ["bed", "z"]).select(F.col("_bed").alias("bed"), *keys, F.col("_z").alias("z"), "value")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], first: tuple[str, str], second: tuple[str, str], tie: str) -> DataFrame:
-    """Each left row with the right row nearest by two differences in turn, of those with equal keys; ties by ``tie``.
+def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], first: tuple[str, str], second: tuple[str, str], tie: str, block: int = 1 << 20) -> DataFrame:
+    """Each left row, once, with ``tie`` and the compared columns of the right row nearest by two differences in turn, of those with equal keys; ties by ``tie``.
 
-    The right side is a small table of configurations: the join is on the keys, then one pass keeps the least.
+    The columns of differences are integers or floats. Rows of a key meet in a task, which searches in sorted values (``closest``): no pairs are
+    made. A key with more than ``block`` left rows is dealt to several tasks, which get its right rows each.
     """
-    order = F.struct(F.abs(F.col(f"l.{first[0]}") - F.col(f"r.{first[1]}")).alias("d1"), F.abs(F.col(f"l.{second[0]}") - F.col(f"r.{second[1]}")).alias("d2"), F.col(f"r.{tie}").alias("tie"))
-    joined = left.alias("l").join(right.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
-    return joined.groupBy(*[F.col(f"l.{c}") for c in left.columns]).agg(F.min(order)["tie"].alias(tie))
+    for df, k in ((left, 0), (right, 1)):
+        for c in (first[k], second[k]):
+            if not isinstance(df.schema[c].dataType, (T.IntegralType, T.FractionalType)) or isinstance(df.schema[c].dataType, T.DecimalType):
+                raise TypeError(f"{c}: integers or floats are compared, not {df.schema[c].dataType.simpleString()}")
+    known = lambda df: df.filter(" and ".join(f"`{k}` is not null" for k in keys))
+    taken = list(dict.fromkeys([first[1], second[1], tie]))
+    left, right = known(left), known(right.select(*keys, *taken))
+    hot = F.broadcast(left.groupBy(*keys).count().filter(F.col("count") > block).select(*keys, F.ceil(F.col("count") / block).cast("int").alias("_blocks")))  # a row for each ``block`` rows at most
+    blocks = F.coalesce("_blocks", F.lit(1))
+    own = left.join(hot, list(keys), "left").withColumn("_block", F.pmod(F.xxhash64(*left.columns), blocks).cast("int")).select(*left.columns, "_block")
+    other = right.join(hot, list(keys), "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*right.columns, "_block")
+    columns = left.columns
+
+    def found(a: pa.Table, b: pa.Table) -> pa.Table:
+        a = a.select(columns).group_by(columns).aggregate([])
+        if not (a.num_rows and b.num_rows):
+            a, b = a.slice(0, 0), b.slice(0, 0)
+        else:
+            b = b.take(pa.array(closest(a, b, first, second, tie)))
+        for c in taken:
+            a = a.append_column(c, b[c])
+        return a
+
+    out = T.StructType([*left.schema.fields, *right.select(*taken).schema.fields])
+    return own.groupBy(*keys, "_block").cogroup(other.groupBy(*keys, "_block")).applyInArrow(found, out)
 
 
 def conversion(table: DataFrame, model: str, energy: float, ct_energy: float) -> DataFrame:
